@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_store", "media", "token_counts", "fingerprints")
+MODULES = ("token_store", "media", "token_counts", "fingerprints", "pii")
 
 
 def queries() -> dict:
