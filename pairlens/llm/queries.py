@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_store", "media", "token_counts", "fingerprints", "pii")
+MODULES = ("near_dedup", "token_store", "media", "token_counts", "pii", "fingerprints")
 
 
 def queries() -> dict:
