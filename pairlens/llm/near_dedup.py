@@ -207,13 +207,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: the one with the least doc_id; of repeated rows any one.
+    """One row of docs for each class: the one with the least doc_id; of rows that share that id any one.
 
-    Rows with a null doc_id stay only if nobody of their class has an id.
+    Rows with a null doc_id stay only if nobody of their class has an id; then one for all of them.
     """
-    of = near_classes(docs).groupBy("class_id").agg(F.count("*").alias("_n")).select(F.col("class_id").alias("_id"))
-    kept = docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    of = settle(near_classes(docs))
+    stay = of.select(F.col("class_id").alias("_id")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = of.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # texts are only dealt out by id where ids do repeat
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def op1_near_dedup(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "token_store", "media", "token_counts", "pii", "fingerprints")
+MODULES = ("near_dedup", "packing", "token_store", "media", "token_counts", "pii", "quality", "fingerprints")
 
 
 def queries() -> dict:
