@@ -1,6 +1,7 @@
 """Document quality by naive Bayes features and a linear support vector machine.
 
-Features are indicators of hashed character 3-grams. Each is scaled by the log ratio of its smoothed
+Features are indicators of hashed character 3-grams, and of word n-grams whose last word is the same as
+their first, whatever that word is, by the share of the words that such n-grams end at. Each is scaled by the log ratio of its smoothed
 shares in the two classes; a linear model with hinge loss is fitted to the scaled indicators by dual
 coordinate descent and turned into a probability on labelled rows that were kept out of the fit.
 
@@ -22,25 +23,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, documents, slices, texts
+from .shingles import word_hashes
 
 #: Most labelled documents that a model is fitted to.
 SAMPLE = 6000
 BITS = 16
+#: Distances at which a word may come again, and the shares from which that counts.
+AGAIN, SHARES = (1, 2, 3), (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
+N_FEATURES = (1 << BITS) + len(AGAIN) * len(SHARES)
 THRESHOLD = 0.3
 
 
+def repeats(texts: pa.Array) -> list[np.ndarray]:
+    """Features of words that come again at a short distance."""
+    words, lens = word_hashes(texts)
+    text = np.repeat(np.arange(len(lens)), lens)
+    found = np.zeros((len(lens), len(AGAIN), len(SHARES)), bool)
+    for k, d in enumerate(AGAIN):
+        same = (words[d:] == words[:-d]) & (text[d:] == text[:-d])
+        share = np.bincount(text[d:][same], minlength=len(lens)) / np.maximum(lens, 1)
+        found[:, k] = share[:, None] >= np.array(SHARES)
+    return [(1 << BITS) + np.flatnonzero(f) for f in found.reshape(len(lens), -1)]
+
+
 def features(texts: pa.Array):
-    """Numbers of the 3-grams that occur in each text, ascending (as an iterator of arrays)."""
+    """Numbers of the features of each text, ascending (as an iterator of arrays)."""
     for a, b in slices(texts):
         part = pa.concat_arrays([texts.slice(a, b - a)])
         edges = np.concatenate([[0], np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False))])
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[: edges[-1]].astype(np.uint32)
         gram = (data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)) if len(data) > 2 else data[:0]
         gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for x, y, again in zip(edges[:-1].tolist(), edges[1:].tolist(), repeats(part), strict=True):
             seen = np.zeros(1 << BITS, bool)
             seen[gram[x : max(x, y - 2)]] = True
-            yield np.flatnonzero(seen)
+            yield np.concatenate([np.flatnonzero(seen), again])
 
 
 def margin(weights: np.ndarray, bias: float, found: np.ndarray) -> float:
@@ -49,7 +66,7 @@ def margin(weights: np.ndarray, bias: float, found: np.ndarray) -> float:
 
 def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Each feature's log of its smoothed share in class 1 over that in class 0."""
-    count = np.full((2, 1 << BITS), smooth)
+    count = np.full((2, N_FEATURES), smooth)
     for found, label in zip(rows, labels, strict=True):
         count[int(label), found] += 1
     share = count / (np.bincount(labels.astype(int), minlength=2)[:, None] + 2 * smooth)
@@ -66,7 +83,7 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     values = [ratios[f] / max(1.0, np.sqrt(len(f))) for f in rows]
     norm = np.array([float(v @ v) + 1.0 for v in values])
     most = cost * len(labels) / (2 * np.where(labels > 0, (labels > 0).sum(), (labels <= 0).sum()))
-    dual, weights, bias = np.zeros(len(labels)), np.zeros(1 << BITS), 0.0
+    dual, weights, bias = np.zeros(len(labels)), np.zeros(N_FEATURES), 0.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
@@ -107,16 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(it):
         for batch in it:
-            found = [f.astype(np.uint16).tobytes() for f in features(batch.column(1).cast(pa.large_string()))]
+            found = [f.astype(np.uint32).tobytes() for f in features(batch.column(1).cast(pa.large_string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["label", "found", "part"])
 
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = rows.select("label", "text", (crc_of_id() % 5).cast("int").alias("part")).mapInArrow(run, "label int, found binary, part int").collect()
-    found, y = [np.frombuffer(r["found"], np.uint16).astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float)
+    found, y = [np.frombuffer(r["found"], np.uint32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float)
     part = np.array([r["part"] for r in rows])
     test = part == 1
     if min((y[~test] > 0).sum(), (y[~test] <= 0).sum()) == 0:
-        return {"weights": np.zeros(1 << BITS), "bias": 0.0, "slope": 0.0, "offset": float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))}
+        return {"weights": np.zeros(N_FEATURES), "bias": 0.0, "slope": 0.0, "offset": float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))}
     own = [f for f, t in zip(found, test, strict=True) if not t]
     ratios = log_ratios(own, y[~test])
     weights, bias = dual_descent(own, y[~test], ratios)
