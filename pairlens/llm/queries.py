@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "packing", "token_store", "media", "token_counts", "pii", "quality", "byte_bpe", "fingerprints")
+MODULES = ("near_dedup", "packing", "token_store", "media", "token_counts", "pii", "quality", "lm_scores", "byte_bpe", "fingerprints")
 
 
 def queries() -> dict:
