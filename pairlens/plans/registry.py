@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("columns",)
+MODULES = ("columns", "score", "aggregate")
 
 
 def _all():
