@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours, then the label's own label, so chains
     shorten by more than half a round. Tables between rounds lie in the shared folder.
     """
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = settle(edges.select("a", "b").union(edges.select("b", "a")))
     # a node of a star has its hub's label after one round
     label = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
