@@ -63,11 +63,11 @@ def crc_of_ids(ids) -> list[int]:
 class Lists:
     """Value lists of distinct words, kept flat: word -> number, number -> values.
 
-    ``make(words)`` returns one list of integers per word. Starts afresh beyond ``limit`` words or
+    ``make(words)`` returns the bytes of one array of 32-bit integers per word. Starts afresh beyond ``limit`` words or
     ``limit_chars`` characters, so memory stays bounded.
     """
 
-    def __init__(self, make, limit: int = 1_200_000, limit_chars: int = 20_000_000):
+    def __init__(self, make, limit: int = 500_000, limit_chars: int = 10_000_000):
         self.make, self.limit, self.limit_chars = make, limit, limit_chars
         self.clear()
 
@@ -84,7 +84,7 @@ class Lists:
         new = [w for w in words if w not in number]
         for word, values in zip(new, self.make(new) if new else (), strict=True):
             number[word] = len(number)
-            self.flat.extend(values)
+            self.flat.frombytes(values)
             self.at.append(len(self.flat))
         self.chars += sum(map(len, new))
         which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
@@ -171,23 +171,24 @@ class LibraryIds:
         self.lib = tokenizer(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find, self.symbols = regex.compile(PATTERN).findall, byte_symbols()
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
         self.lists = Lists(self.make)
 
-    def make(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.ids) > 1_200_000:
+    def make(self, pieces: list[str]) -> list[bytes]:
+        if len(self.ids) > 500_000:
             self.ids.clear()
         out, seen, model = [], self.ids, self.lib.model
         for piece in pieces:
             if len(piece) > 64 or "<" in piece and any(x in piece for x in self.added):
-                out.append(self.lib.encode(piece, add_special_tokens=False).ids)
+                out.append(array("i", self.lib.encode(piece, add_special_tokens=False).ids).tobytes())
                 continue
             ids = []
             for token in self.find(piece):
                 if (got := seen.get(token)) is None:
-                    got = seen[token] = [x.id for x in model.tokenize(token.encode().decode("latin-1").translate(self.symbols))]
-                ids += got
-            out.append(ids)
+                    made = model.tokenize(token.encode().decode("latin-1").translate(self.symbols))
+                    got = seen[token] = array("i", [x.id for x in made]).tobytes()
+                ids.append(got)
+            out.append(b"".join(ids))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ class WordCounts:
         self.cut = regex.compile("|".join(map(regex.escape, self.added)))
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.symbols, self.counts = byte_symbols(), {}
-        self.lists = Lists(lambda pieces: [[sum(map(self.count, self.find(p)))] for p in pieces])
+        self.lists = Lists(lambda pieces: [array("i", [sum(map(self.count, self.find(p)))]).tobytes() for p in pieces])
 
     def rank_of(self, a: str, b: str):
         return self.ranks.get((a, b))
@@ -43,7 +44,7 @@ class WordCounts:
     def count(self, word: str) -> int:
         n = self.counts.get(word)
         if n is None:
-            if len(self.counts) > 1_000_000:
+            if len(self.counts) > 600_000:
                 self.counts.clear()
             symbols = list(word.encode().decode("latin-1").translate(self.symbols))
             symbols[-1] += self.end
