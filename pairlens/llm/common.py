@@ -22,8 +22,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a batch sent to Python; ten thousand texts would take more memory than is needed.
+BATCH_ROWS = 1500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text, null texts as empty ones."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -60,44 +70,22 @@ def crc_of_ids(ids) -> list[int]:
     return [zlib.crc32(b"" if i is None else str(i).encode()) for i in ids]
 
 
-class Lists:
-    """Value lists of distinct words, kept flat: word -> number, number -> values.
+def looked_up(made: list[bytes], codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the words numbered by codes in order; and how many belong to each text of lens words.
 
-    ``make(words)`` returns the bytes of one array of 32-bit integers per word. Starts afresh beyond ``limit`` words or
-    ``limit_chars`` characters, so memory stays bounded.
+    made holds each word's values as the bytes of 32-bit integers.
     """
+    flat, starts, n = spans(made)
+    n = n[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    edges = np.concatenate([[0], np.cumsum(lens)])
+    return gather(flat, starts[codes], n), np.diff(ends[edges])
+
 
-    def __init__(self, make, limit: int = 500_000, limit_chars: int = 10_000_000):
-        self.make, self.limit, self.limit_chars = make, limit, limit_chars
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict = {}
-        self.chars = 0
-        self.flat, self.at = array("i"), array("q", [0])
-
-    def spans(self, words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The flat values, and where each of these distinct words' values start and how many there are."""
-        if len(self.number) > self.limit or self.chars > self.limit_chars:
-            self.clear()
-        number = self.number
-        new = [w for w in words if w not in number]
-        for word, values in zip(new, self.make(new) if new else (), strict=True):
-            number[word] = len(number)
-            self.flat.frombytes(values)
-            self.at.append(len(self.flat))
-        self.chars += sum(map(len, new))
-        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        at = np.array(self.at, np.int64)
-        return np.array(self.flat, np.int32), at[which], at[which + 1] - at[which]
-
-    def lookup(self, words: list, codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All values of the words numbered by codes in order; and how many belong to each text of lens words."""
-        flat, starts, n = self.spans(words)
-        n = n[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        edges = np.concatenate([[0], np.cumsum(lens)])
-        return gather(flat, starts[codes], n), np.diff(ends[edges])
+def spans(made: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' values one after another, where each word's start, how many it has."""
+    n = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    return np.frombuffer(b"".join(made), np.int32), np.cumsum(n) - n, n
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -172,10 +160,9 @@ class LibraryIds:
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find, self.symbols = regex.compile(PATTERN).findall, byte_symbols()
         self.ids: dict[str, bytes] = {}
-        self.lists = Lists(self.make)
 
     def make(self, pieces: list[str]) -> list[bytes]:
-        if len(self.ids) > 500_000:
+        if len(self.ids) > 600_000:
             self.ids.clear()
         out, seen, model = [], self.ids, self.lib.model
         for piece in pieces:
@@ -193,7 +180,7 @@ class LibraryIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, codes, lens, _ = space_pieces(texts)
-        return self.lists.lookup(words, codes, lens)
+        return looked_up(self.make(words), codes, lens)
 
 
 _KEPT: dict = {}

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 #: Default key of the pseudonyms; give your own in production.
 KEY = b"change this key"
@@ -179,6 +179,7 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     Columns whose names clash with a count's are replaced by the count.
     """
+    bounded_batches(docs.sparkSession)
     names = [f"n_{k}" for k in KINDS]
     keep = [c for c in docs.columns if c not in names]
     fields = [docs.schema[c] for c in keep]

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, documents, slices, texts
+from .common import bounded_batches, crc_of_id, documents, slices, texts
 from .shingles import word_hashes
 
 #: Most labelled documents that a model is fitted to.
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 def score(docs: DataFrame, model: dict) -> Column:
     """The column of scores of text."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one fixed-size vector
 
     @F.pandas_udf("double")

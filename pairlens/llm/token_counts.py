@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merge
-from .common import Lists, byte_symbols, documents, kept, text_batches, texts
+from .common import byte_symbols, documents, kept, text_batches, texts
 
 
 class WordCounts:
@@ -36,7 +35,6 @@ class WordCounts:
         self.cut = regex.compile("|".join(map(regex.escape, self.added)))
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.symbols, self.counts = byte_symbols(), {}
-        self.lists = Lists(lambda pieces: [array("i", [sum(map(self.count, self.find(p)))]).tobytes() for p in pieces])
 
     def rank_of(self, a: str, b: str):
         return self.ranks.get((a, b))
@@ -72,8 +70,8 @@ class WordCounts:
         lists = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " "), " ")
         lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        flat, starts, _ = self.lists.spans(coded.dictionary.to_pylist())
-        ends = np.concatenate([[0], np.cumsum(flat[starts][coded.indices.to_numpy()], dtype=np.int64)])
+        counts = np.array([sum(map(self.count, self.find(p))) for p in coded.dictionary.to_pylist()], np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts[coded.indices.to_numpy()])])
         edges = np.concatenate([[0], np.cumsum(lens)])
         return np.diff(ends[edges]) + extra
 
