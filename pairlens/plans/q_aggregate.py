@@ -110,13 +110,13 @@ def a24(v):
     return v.groupBy("architecture").agg(F.count("*").alias("n"), r6(F.avg(shift)).alias("mean_shift"), r6(a.percentile(shift, 0.95)).alias("p95_shift"), F.max(shift).alias("max_shift"), F.round(F.stddev_samp("gt_x"), 4).alias("spread"), (F.count("*") - F.count_distinct("pair_id")).alias("duplicates"), F.count_if(~F.col("gt_x").between(100, 899)).alias("outside"))
 
 
-@Q.add("a25_label_noise_floor", "select severity, round(avg(abs(mu)),6) as shear, round(avg(0.7978845608*0.25*exp(-mu*mu/0.125)+mu*(1-0)*0)+0,6)*0 as zero, round(avg(case when abs(mu)>0.4 then 1.0::double else 0 end),6) as beyond from (select severity, (gt_y-500)/1000.0 as mu from v1) group by 1", "v1")
+@Q.add("a25_label_noise_floor", "select severity, round(avg(abs(mu)),6) as shear, 0.0e0 as out_of_bounds, round(avg(case when abs(mu)>0.4 then 1.0::double else 0 end),6) as beyond from (select severity, (gt_y-500)/1000.0 as mu from v1) group by 1", "v1")
 def a25(v):
     mu = (F.col("gt_y") - 500) / 1000.0
     rows = v.select("severity", mu.alias("mu"), a.folded_normal_mean(mu, 0.25).alias("noise"))
     # a mean of |N| is never under the shear's own mean, nor over it by more than sigma sqrt(2/pi)
     bad = F.count_if((F.col("noise") < F.abs("mu") - 1e-6) | (F.col("noise") > F.abs("mu") + 0.25 * 0.79789)).cast("double")
-    return rows.groupBy("severity").agg(r6(F.avg(F.abs("mu"))).alias("shear"), bad.alias("zero"), r6(a.share(F.abs("mu") > 0.4)).alias("beyond"))
+    return rows.groupBy("severity").agg(r6(F.avg(F.abs("mu"))).alias("shear"), bad.alias("out_of_bounds"), r6(a.share(F.abs("mu") > 0.4)).alias("beyond"))
 
 
 FIND = "f as (select pair_id, architecture, unnest([{'s':case when failed=1 then 'FAIL' else 'OK' end,'r':'raised'},{'s':case when score<0.3 then 'WARN' else 'OK' end,'r':'low score'},{'s':case when secs>1.9 then 'WARN' else 'OK' end,'r':'slow'}]) as u from v1)"

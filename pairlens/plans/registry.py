@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("columns", "score", "aggregate", "hypotheses", "joins", "spatial", "sources", "sample")
+MODULES = ("columns", "score", "aggregate", "hypotheses", "joins", "spatial", "sources", "sample", "fit")
 
 
 def _all():
