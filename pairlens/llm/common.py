@@ -162,7 +162,7 @@ class LibraryIds:
         self.ids: dict[str, bytes] = {}
 
     def make(self, pieces: list[str]) -> list[bytes]:
-        if len(self.ids) > 600_000:
+        if len(self.ids) > 300_000:
             self.ids.clear()
         out, seen, model = [], self.ids, self.lib.model
         for piece in pieces:
@@ -193,7 +193,7 @@ def kept(key, make):
     return _KEPT[key]
 
 
-def slices(texts: pa.Array, limit: int = 6_000_000):
+def slices(texts: pa.Array, limit: int = 3_000_000):
     """Start and end of runs of texts with at most so many bytes each, or of one text."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -205,9 +205,10 @@ def slices(texts: pa.Array, limit: int = 6_000_000):
         yield start, len(texts)
 
 
-def text_batches(it, limit: int = 6_000_000):
+def text_batches(it, limit: int = 3_000_000):
     """(ids, texts) of Arrow batches, a bounded number of bytes at a time."""
     for batch in it:
         ids, column = batch.column(0), batch.column(1).cast(pa.large_string())
         for a, b in slices(column, limit):
             yield ids.slice(a, b - a), pa.concat_arrays([column.slice(a, b - a)])
+    pa.default_memory_pool().release_unused()  # the worker process outlives the task

@@ -89,7 +89,7 @@ def packed(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget:
     below = F.array(*(F.lit(b).cast("long") for b in bounds))
     bucket = F.size(F.filter(below, lambda b: b < F.col("bin")))
     rows = measured.withColumn("bucket", bucket if bounds else F.lit(0)).withColumn("slice", F.shiftright("row", 14))
-    rows = rows.withColumn("bucket_tokens", F.get(below, F.col("bucket")) if bounds else F.lit(0).cast("long"))
+    rows = rows.withColumn("bucket_tokens", F.get(below, F.col("bucket")) if bounds else F.lit(1).cast("long"))
     at = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("row")) - 1
     counts = rows.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
     # slices are numbered in groups first, so that no window holds more than a group or one row for each

@@ -24,7 +24,7 @@ def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, _BASE, np.uint64), dtype=np.uint64)])
+            _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + (n >> 3), _BASE, np.uint64), dtype=np.uint64)])
     return _POWERS[:n]
 
 

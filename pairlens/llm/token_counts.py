@@ -42,7 +42,7 @@ class WordCounts:
     def count(self, word: str) -> int:
         n = self.counts.get(word)
         if n is None:
-            if len(self.counts) > 600_000:
+            if len(self.counts) > 400_000:
                 self.counts.clear()
             symbols = list(word.encode().decode("latin-1").translate(self.symbols))
             symbols[-1] += self.end

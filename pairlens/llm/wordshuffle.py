@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import text_batches
 
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 _ROW = ("block", "bucket", "payload")
 SCHEMA = "block long, bucket int, payload binary"
 
