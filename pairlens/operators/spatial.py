@@ -130,15 +130,25 @@ def suppressed_top(values: Column, k: int, reach: int = 3) -> Column:
     return F.aggregate(order, start, take)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small table between rounds, kept in the session's checkpoint folder, so plans don't grow."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlens-"))
+    return df.checkpoint()
+
+
 def plane_fit(rows: DataFrame, key: str, x: str, y: str, z: str, rounds: int = 3, floor: float = 0.15, least: int = 6) -> DataFrame:
     """key, a, b, c, n: z = a x + b y + c for each key, refitted without rows off by more than max(3 medians, floor).
 
-    All keys are fitted at once: sums of the normal equations, Cramer's rule, and the rest joined back.
-    A key with fewer than ``least`` rows left keeps its last fit.
+    All keys are fitted at once: sums of the normal equations, then Cramer's rule; between rounds only one
+    row for each key is kept. A key with fewer than ``least`` rows left keeps its last fit.
     """
     rows = rows.select(F.col(key).alias("_k"), *(F.col(n).cast("double").alias(m) for n, m in ((x, "x"), (y, "y"), (z, "z"))))
     kept, fit = rows, None
-    for _ in range(rounds):
+    for turn in range(rounds):
         p = lambda u, v: F.sum(F.col(u) * F.col(v))
         s = kept.groupBy("_k").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz"), p("x", "x").alias("xx"), p("x", "y").alias("xy"), p("y", "y").alias("yy"), p("x", "z").alias("xz"), p("y", "z").alias("yz"))
         det = lambda m: m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
@@ -148,11 +158,12 @@ def plane_fit(rows: DataFrame, key: str, x: str, y: str, z: str, rounds: int = 3
         new = s.select("_k", "n", *((det(put(k)) / whole).alias(name) for k, name in enumerate("abc")))
         if fit is not None:
             new = fit.join(new.select("_k", *(F.col(c).alias(f"_{c}") for c in ("n", *"abc"))), "_k", "left").select("_k", *(F.when((F.col("_n") >= least) & F.col("_a").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", *"abc")))
-        fit = new
-        off = F.abs(F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")))
-        scored = rows.join(fit.select("_k", *"abc"), "_k").withColumn("_off", off)
-        limit = scored.groupBy("_k").agg(F.greatest(3 * F.percentile("_off", F.lit(0.5)), F.lit(floor)).alias("_limit"))
-        kept = scored.join(limit, "_k").filter("_off <= _limit").select("_k", "x", "y", "z")
+        fit = settled(new)
+        if turn + 1 < rounds:
+            off = F.abs(F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")))
+            scored = rows.join(fit.select("_k", *"abc"), "_k").withColumn("_off", off)
+            limit = settled(scored.groupBy("_k").agg(F.greatest(3 * F.percentile("_off", F.lit(0.5)), F.lit(floor)).alias("_limit")))
+            kept = scored.join(limit, "_k").filter("_off <= _limit").select("_k", "x", "y", "z")
     return fit.withColumnRenamed("_k", key)
 
 
@@ -160,14 +171,14 @@ def huber_fit(rows: DataFrame, key: str, inputs: Sequence[str], target: str, rou
     """key, weights (of the inputs, then the constant), r2: Huber-reweighted regression of each key.
 
     Each round sums the weighted normal equations of all keys in Spark; only one small row for each key
-    reaches Python, to be solved.
+    reaches Python, to be solved, and only those rows are kept between rounds.
     """
     import numpy as np
     import pandas as pd
 
     k = len(inputs) + 1
     names = [f"_x{i}" for i in range(k)]
-    rows = rows.select(F.col(key).alias("_k"), *(F.col(c).cast("double").alias(n) for c, n in zip(inputs, names[:-1], strict=True)), F.lit(1.0).alias(names[-1]), F.col(target).cast("double").alias("_z")).withColumn("_w", F.lit(1.0))
+    rows = rows.select(F.col(key).alias("_k"), *(F.col(c).cast("double").alias(n) for c, n in zip(inputs, names[:-1], strict=True)), F.lit(1.0).alias(names[-1]), F.col(target).cast("double").alias("_z"))
     upper = [(i, j) for i in range(k) for j in range(i, k)]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,15 +190,16 @@ def huber_fit(rows: DataFrame, key: str, inputs: Sequence[str], target: str, rou
             out.append((r["_k"], np.linalg.lstsq(m, v, rcond=None)[0].tolist()))
         return pd.DataFrame(out, columns=["_k", "_b"])
 
-    kind = rows.schema["_k"].dataType.simpleString()
-    for _ in range(rounds):
+    kind, weighted = rows.schema["_k"].dataType.simpleString(), rows.withColumn("_w", F.lit(1.0))
+    for turn in range(rounds):
         w = F.col("_w")
-        sums = rows.groupBy("_k").agg(*(F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in upper), *(F.sum(w * F.col(n) * F.col("_z")).alias(f"v{i}") for i, n in enumerate(names)))
-        fit = sums.groupBy("_k").applyInPandas(solve, f"_k {kind}, _b array<double>")
+        sums = weighted.groupBy("_k").agg(*(F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in upper), *(F.sum(w * F.col(n) * F.col("_z")).alias(f"v{i}") for i, n in enumerate(names)))
+        fit = settled(sums.groupBy("_k").applyInPandas(solve, f"_k {kind}, _b array<double>"))
         guess = sum((F.col(n) * F.col("_b")[i] for i, n in enumerate(names)), F.lit(0.0))
-        off = rows.drop("_b", "_off").join(fit, "_k").withColumn("_off", F.col("_z") - guess)
-        scale = off.groupBy("_k").agg((1.4826 * F.percentile(F.abs("_off"), F.lit(0.5)) + 1e-12).alias("_s"))
-        u = F.abs("_off") / F.col("_s")
-        rows = off.join(scale, "_k").withColumn("_w", F.when(u <= width, 1.0).otherwise(width / u)).drop("_s")
+        off = rows.join(fit, "_k").withColumn("_off", F.col("_z") - guess)
+        if turn + 1 < rounds:
+            scale = settled(off.groupBy("_k").agg((1.4826 * F.percentile(F.abs("_off"), F.lit(0.5)) + 1e-12).alias("_s")))
+            u = F.abs("_off") / F.col("_s")
+            weighted = off.join(scale, "_k").withColumn("_w", F.when(u <= width, 1.0).otherwise(width / u))
     r2 = 1 - F.sum(F.col("_off") * F.col("_off")) / F.nullif(F.var_pop("_z") * F.count("*"), F.lit(0.0))
-    return rows.groupBy("_k").agg(F.first("_b").alias("weights"), r2.alias("r2")).withColumnRenamed("_k", key)
+    return off.groupBy("_k").agg(F.first("_b").alias("weights"), r2.alias("r2")).withColumnRenamed("_k", key)
