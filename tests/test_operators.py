@@ -150,17 +150,15 @@ def test_samples(spark):
     assert [r[0] for r in values(sample.worker_quotas(spark, 10, 4, cap=7).orderBy("worker"), "n")] == [3, 3, 1, 0]
 
 
-def _make():
-    return {"n": 0}
-
-
-def _answer(model, row):
-    if row["k"] == 1:
-        raise RuntimeError
-    return {"x": float("nan") if row["k"] == 2 else 1.0, "found": 1}
+def test_isolated_map_never_loses_a_row(spark):
+    def _make():  # nested, so that workers needn't import this file
+        return {"n": 0}
 
+    def _answer(model, row):
+        if row["k"] == 1:
+            raise RuntimeError
+        return {"x": float("nan") if row["k"] == 2 else 1.0, "found": 1}
 
-def test_isolated_map_never_loses_a_row(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(12)], "pair_id int, k int")
     got = {r["pair_id"]: r for r in batch.isolated_map(df, "pair_id", _make, _answer).collect()}
     assert len(got) == 12 and {r["error"] for i, r in got.items() if i % 4 == 1} == {"RuntimeError"} and {r["error"] for i, r in got.items() if i % 4 == 2} == {"not a number"}
@@ -235,7 +233,7 @@ def test_ordinals_have_no_gaps(spark):
 
 
 def test_streams_keep_unique_rows_and_resume(spark, tmp_path):
-    df = spark.range(50).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    df = spark.range(50).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts"))
     df.union(df).repartition(3).write.parquet(str(tmp_path / "in"))
     rows = lambda: streams.read(spark, str(tmp_path / "in"), df.schema)
     assert streams.drained(streams.unique(rows(), "k", "ts"), str(tmp_path / "u"), str(tmp_path / "c1")).count() == 50
