@@ -191,8 +191,9 @@ def _agreeing(a: Column, b: Column, longs: int) -> Column:
     return F.lit(16 * longs) - count
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size, n_exact (rows with the same text)."""
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, digest of every row; label, digest, n_exact of each text; and of each class (label) its class_id,
+    class_size, and the id and digest that come first in it, nulls last."""
     signed = settle(_bands(docs, bands, rows))
     exact = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"), F.first("code").alias("code")))
     # a number for each distinct text: its own, for doc_id can be null or have several texts
@@ -229,23 +230,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             left = now.select("bucket", "node").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
             hubs *= MORE
     grouped = exact.select("node", "digest", "least", "n_exact").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of = grouped.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_exact").alias("class_size"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "digest"))
+    of = grouped.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_exact").alias("class_size"), first.alias("first"))
+    return signed, grouped, of
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), class_size, n_exact (rows with the same text)."""
+    signed, grouped, of = _classes(docs, threshold, bands, rows)
     of = grouped.join(of, "label").select("digest", "class_id", "class_size", "n_exact")
     return signed.select("doc_id", "digest").join(of, "digest").drop("digest")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: the one with the least doc_id; of rows that share that id any one.
+    """One row of docs for each class: the least by doc_id (nulls last), then by the digest of its text.
 
-    Rows with a null doc_id stay only if nobody of their class has an id; then one for all of them.
+    A doc_id says nothing about the class, for it can be null or have several texts. Only of rows that
+    share id and text any one stays.
     """
-    of = settle(near_classes(docs))
-    stay = of.select(F.col("class_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows = of.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # texts are only dealt out by id where ids do repeat
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    signed, _, of = _classes(docs, THRESHOLD, BANDS, ROWS)
+    stay = settle(of.select(F.col("first.least").alias("_id"), F.col("first.digest").alias("_digest")))
+    of_stay = lambda df, digest: df.join(stay, df["doc_id"].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    kept = of_stay(docs, F.md5(F.coalesce(docs["text"], F.lit(""))))
+    # texts are only dealt out once more where rows do repeat
+    repeated = of_stay(signed, signed["digest"]).groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def op1_near_dedup(spark, sf_dir):

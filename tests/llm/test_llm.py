@@ -162,6 +162,15 @@ def test_near_dedup_empty_and_deduplicated(empty, odd):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({1: 1, 2: 1, 4: 1, 5: 1, None: 1, 7: 1, 8: 1, 9: 1, 10: 1})
 
 
+def test_deduplicated_keeps_one_row_of_each_class(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = c + " more"
+    # two null ids; id 7 on a text of its own and on a near copy of document 3; an exact repeat
+    rows = [(None, a), (None, b), (3, c), (7, near), (7, d), (7, d), (None, d)]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, a), (None, b), (3, c), (7, d)])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     gaps = []
