@@ -32,15 +32,29 @@ _FIND = regex.compile(
     r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[a-z0-9][a-z0-9-]{0,62}\.){1,8}[a-z]{2,24}(?![\w]))
   | (?:(?<=\btoken\s=\s["'])|(?<=\b(?:token|secret|api_?key|password|passwd)["']?\s?[:=]\s?["']?))(?P<secret>[0-9a-z_/+-]{16,128})(?![\w])
-  | (?P<phone>(?<![\w])(?:\+1[\s.-]?)?\(\d{3}\)\s?\d{3}[.-]\d{4}(?![\w])|(?<![\w.-])(?:\+1[\s.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
+  | (?P<phone>(?<![\w])(?:\+?1[\s.-]?)?\(\d{3}\)[\s.-]?\d{3}[ .-]\d{4}(?![\w])|(?<![\w.-])(?:\+?1[\s.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])
+    |(?<![\w.,+-])(?<!\d[ ])(?:1[ ])?[2-9]\d{2}[ ]\d{3}[ ]\d{4}(?![\w-]|[.,]\d|[ ]\d{3})
+    |(?<![\w+])(?:\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|(?:\+(?!1)|00(?=[2-9]\d{0,2}[ .-]))\d(?:[ ]?\(0\)[ ]?|[ ./-]?\(?\d\)?){6,14})(?![\w-]))
   | (?P<iban>(?<![\w])[a-z]{2}\d{2}(?:[ ]?[0-9a-z]{4}){2,7}(?:[ ]?[0-9a-z]{1,4})?(?![\w]))
   | (?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\g<-1>\d{4}\g<-1>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
   | (?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))
   | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-]))
+  | (?<=\b(?:tel|telephone|phone|mobile|cell|fax|call)\b[.:]{0,2}[ ]?)(?P<phone>\(?\d\)?(?:[ ./-]?\(?\d\)?){6,14}(?![\w]|[ ./-]?\d))
     """.replace(r"\g<-1>", r"[ -]"),
     regex.X | regex.I,
 )
+#: Length of a country's IBANs.
+IBAN_LENGTHS = {
+    c: n for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in names.split()
+}
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _EPOCH, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
@@ -112,17 +126,40 @@ def _mod97(text: str) -> int:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    plain = "".join(text.split()).upper()
-    if not plain.isascii() or not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
-        return None
-    body = _spelled(plain[4:], key, "iban " + plain[:2])
-    return _into(plain[:2] + str(98 - _mod97(body + plain[:2] + "00")).zfill(2) + body, text)
+    """The IBAN at the start of text, without the words behind it that the pattern may have taken in.
+
+    It ends at the end of a word, with the length that its country prescribes; without such a country it is
+    the longest that passes.
+    """
+    ends = [i for i in range(len(text), 0, -1) if i == len(text) or text[i] == " "]
+    for end in ends:
+        plain = "".join(text[:end].split()).upper()
+        if not plain.isascii() or len(plain) != IBAN_LENGTHS.get(plain[:2], len(plain)) or not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+            continue
+        body = _spelled(plain[4:], key, "iban " + plain[:2])
+        return _into(plain[:2] + str(98 - _mod97(body + plain[:2] + "00")).zfill(2) + body, text[:end])
+    return None
 
 
 def _phone(text: str, key: bytes) -> str | None:
-    at = 2 if text.startswith("+1") else 0
-    digits = "".join(c for c in text[at:] if c.isdecimal())
-    return text[:at] + _into(str(permute(int(digits), 10**10, key, "phone")).zfill(10), text[at:])
+    """The calling code stays, and so does a (0) behind it; the others are permuted by code and length."""
+    trunk = text.find("(0)") if text[0] in "+0" else -1
+    if trunk >= 0:
+        made = _phone(text[:trunk] + text[trunk + 3 :], key)
+        return None if made is None else made[:trunk] + "(0)" + made[trunk:]
+    digits = "".join(c for c in text if c.isdecimal())
+    if not digits.isascii():
+        return None
+    prefix = 1 if text[0] != "+" and digits[0] == "1" and len(digits) == 11 else 0
+    if text[0] == "+" or digits[:2] == "00" and digits[2:3] not in ("", "0"):
+        zeros = 0 if text[0] == "+" else 2
+        code = 1 if digits[zeros] in "17" else 2 if digits[zeros : zeros + 2] in _TWO else 3
+        prefix = zeros + code
+    code, rest = digits[:prefix].lstrip("0"), digits[prefix:]
+    if not rest or len(code + rest) > 15:
+        return None
+    kind = "phone" if code in ("", "1") and len(rest) == 10 else f"phone {code} {len(rest)}"
+    return _into(digits[:prefix] + str(permute(int(rest), 10 ** len(rest), key, kind)).zfill(len(rest)), text)
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -162,16 +199,18 @@ _MAKE = {
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were found."""
     counts: dict[str, int] = {}
-
-    def put(m):
+    out, done, at = [], 0, 0
+    while m := _FIND.search(text, at):
         kind, value = m.lastgroup, m.group(m.lastgroup)
-        made = _MAKE[kind](value, key)
+        made, at = _MAKE[kind](value, key), m.end()
+        if kind == "iban":  # what its pattern took in besides may hold other values
+            at = m.start() + len(made or value[:4])
         if made is None:
-            return m.group()
+            continue
         counts[kind] = counts.get(kind, 0) + 1
-        return m.group().replace(value, made, 1)
-
-    return _FIND.sub(put, text), counts
+        out += [text[done : m.start()], made]
+        done = at
+    return "".join(out) + text[done:], counts
 
 
 def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:

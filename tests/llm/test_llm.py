@@ -245,6 +245,38 @@ def test_pii_keeps_formats_and_links(odd, empty):
     assert pii.pseudonyms(empty).count() == 0
 
 
+def test_pii_ibans_before_words_and_other_phones():
+    for iban in ("BE68539007547034", "AT611904300234573201", "ES9121000418450200051332", "PL61109010140000071219812874"):
+        grouped = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+        made = pii.pseudonymise(iban)[0]
+        assert made != iban and made[:2] == iban[:2] and len(made) == len(iban) and pii._mod97(made[4:] + made[:4]) == 1
+        for value in (iban, grouped):
+            for after in (" is", " and", " with that is it", " however", ", so", ""):
+                found, counts = pii.pseudonymise(f"pay {value}{after}")
+                assert counts == {"iban": 1} and found.endswith(after) and found[4 : 4 + len(value)].replace(" ", "") == made
+    # a failed candidate doesn't hide what comes behind it
+    found, counts = pii.pseudonymise("ab12 cdef ES91 2100 0418 4502 0005 1332 is 1.43.173.185")
+    assert counts == {"iban": 1, "ip": 1} and found.startswith("ab12 cdef ES") and "2100 0418" not in found
+    shapes = ["555 123 4567", "(555) 123 4567", "(555)123-4567", "+15551234567", "+1 555 123 4567", "1-555-123-4567", "555-123-4567"]
+    made = set()
+    for s in shapes:
+        found, counts = pii.pseudonymise(f"at {s} now")
+        assert counts == {"phone": 1} and found.startswith("at ") and found.endswith(" now") and len(found) == len(s) + 7, s
+        made.add("".join(c for c in found if c.isdecimal())[-10:])
+    assert len(made) == 1 and made != {"5551234567"}
+    made = set()
+    for s in ("+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "0044 20 7946 0958"):
+        found, counts = pii.pseudonymise(f"at {s}.")
+        assert counts == {"phone": 1} and "44" in found[:8] and len(found) == len(s) + 4, s
+        made.add("".join(c for c in found.replace("(0)", "") if c.isdecimal())[-10:])
+    assert len(made) == 1 and made != {"2079460958"}
+    for s in ("+49 30 1234567", "+33 6 12 34 56 78", "+4915112345678", "+353 1 234 5678", "tel. 030/1234567", "Phone: 06 12 34 56 78", "call 020 7946 0958"):
+        assert pii.pseudonymise(s)[1] == {"phone": 1}, s
+    for s in ("100 200 3000 400 5000", "call 4400896270136252", "1234567890", "0012345678901", "a + 12345678"):
+        assert pii.pseudonymise(s) == (s, {}), s
+    assert pii.pseudonymise("call 2024-02-29")[1] == {"date": 1} and pii.pseudonymise("call 4400 8962 7013 6251")[1] == {"card": 1}
+
+
 def test_quality_held_out(spark, docs, odd, empty, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
