@@ -9,9 +9,10 @@ with the word's share among all training words of the corpus:
     P(word) = MIX * count / N + (1 - MIX) * P(spelling, then a new word)
 
 so scores are log10 probabilities of the sequence of words. Counts, vocabulary and the shares of ids come
-from all training texts by way of a shuffle of distinct words; the attention weights are trained on the
-share of the training texts that ``ROUNDS`` says (chosen by hash), by as many replicas as that sample needs
-at ``REPLICA_BYTES`` each, which are averaged after each round. So all that is gathered grows with the input.
+from all training texts by way of a shuffle of distinct words; the symbols' groups come from all pairs of
+neighbours in them. The attention weights are trained on the share of the training texts that ``ROUNDS`` says
+(chosen by hash), by as many replicas as that needs at ``REPLICA_BYTES`` each, which are averaged after each round.
+So all that is gathered grows with the input.
 
 Ids: the ``SYMBOLS`` most frequent of the training words have a symbol each; the others share one, and
 within it their smoothed shares. Nulls count as empty texts, which have only an end. Repeated rows give
@@ -38,6 +39,8 @@ SYMBOLS, GROUPS = 4096, 64
 #: One text in so many is learned from, at this rate: first a start that the replicas share, then more.
 ROUNDS = ((64, 0.01), (32, 0.005))
 REPLICA_BYTES, LEAST_STEPS = 4_000_000, 500
+#: Neighbours on one side that the symbols' profiles tell apart; rows of a profile table that travel together.
+NEIGHBOURS, TOGETHER = 512, 64
 END = b"\n"  # no word holds it
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -176,28 +179,56 @@ def spelled(column: pa.Array, speller: Speller) -> tuple[np.ndarray, np.ndarray,
     return gather(flat, starts[numbers], n[numbers]), n[numbers], lens
 
 
-def train(sample: DataFrame, path: str, counts: np.ndarray, n_ends: int) -> tuple[Symbols, dict]:
-    """Symbols and a model from a sample of training texts."""
-    spark, speller = sample.sparkSession, _speller(path)
-    first = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()  # only shapes the groups
+def neighbours(rows: DataFrame, path: str, number: np.ndarray, n: int, column: np.ndarray) -> np.ndarray:
+    """How often each symbol has each column's symbols behind it, then before it, within the texts of rows."""
+    sent = rows.sparkSession.sparkContext.broadcast((number, column))
+    blocks = -(-n // TOGETHER)
+
+    def pairs(it):
+        number, column = sent.value
+        table = None
+        for _, texts in text_batches(it):
+            ids, _, _ = spelled(texts, _speller(path))
+            s = np.where(ids < 0, n - 1, number[np.maximum(ids, 0)])
+            a, b = s[:-1][ids[:-1] >= 0], s[1:][ids[:-1] >= 0]
+            if table is None:
+                table = np.zeros(blocks * TOGETHER * 2 * NEIGHBOURS, np.int64)
+            for cells in (a * (2 * NEIGHBOURS) + column[b], b * (2 * NEIGHBOURS) + NEIGHBOURS + column[a]):
+                which, times = np.unique(cells, return_counts=True)
+                table[which] += times
+        if table is not None:
+            for k, part in enumerate(table.reshape(blocks, -1)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["block", "payload"])
+
+    def added(it):
+        for k, same in by_key(it, 0):
+            total = sum(expand(payload)[0] for _, payload in same)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["block", "payload"])
+
+    schema = "block int, payload binary"
+    met = rows.select("doc_id", "text").mapInArrow(pairs, schema).repartition(min(blocks, partitions(rows.sparkSession)), "block").sortWithinPartitions("block")
+    table = np.zeros((blocks, TOGETHER * 2 * NEIGHBOURS), np.float32)
+    for r in met.mapInArrow(added, schema).toLocalIterator():  # a table of fixed size
+        table[r["block"]] = expand(r["payload"])[0]
+    return table.reshape(-1, 2 * NEIGHBOURS)[:n]
+
+
+def train(rows: DataFrame, path: str, counts: np.ndarray, n_ends: int) -> tuple[Symbols, dict]:
+    """Symbols and a model from the training texts."""
+    spark, speller = rows.sparkSession, _speller(path)
 
     def profiles(number: np.ndarray, n: int) -> np.ndarray:
-        width = 512
-        seen = np.argsort(-np.bincount(number, counts, n), kind="stable")[: width - 1]
-        column = np.full(n, width - 1)
+        seen = np.argsort(-np.bincount(number, counts, n), kind="stable")[: NEIGHBOURS - 1]
+        column = np.full(n, NEIGHBOURS - 1)
         column[seen] = np.arange(len(seen))
-        table = np.zeros((n, 2 * width), np.float32)
-        if first:
-            ids, _, _ = spelled(pa.array([r["text"] for r in first], pa.large_string()), speller)
-            s = np.where(ids < 0, n - 1, number[np.maximum(ids, 0)])
-            np.add.at(table, (s[:-1], column[s[1:]]), 1)
-            np.add.at(table, (s[1:], width + column[s[:-1]]), 1)
+        table = neighbours(rows, path, number, n, column)
         return np.sqrt(table / np.maximum(1, table.sum(1, keepdims=True)))
 
     symbols = Symbols(counts, n_ends, speller.starts_word(), profiles)
     model = attention.new_model(symbols.share, symbols.edges)
     for turn, (every, rate) in enumerate(ROUNDS):
-        some = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+        some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
         size = some.agg(F.sum(F.length("text"))).first()[0] or 0
         if not size:
             continue
@@ -235,10 +266,8 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     found = settle(packets(rows, cut, buckets, _counted), "none")
     words = settle(dictionary(found, n), "none")
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    sample = rows.filter((crc_of_id() % 5 != 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS[-1][0])) == 0))
-    sample = settle(sample)
-    training = rows.select("doc_id").filter(crc_of_id() % 5 != 1).count()
-    symbols, model = train(sample, path, id_counts(words, path), training)
+    training = rows.filter(crc_of_id() % 5 != 1)
+    symbols, model = train(training, path, id_counts(words, path), training.count())
     sent = spark.sparkContext.broadcast((symbols, model))
 
     def spell(ids, column):

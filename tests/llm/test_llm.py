@@ -352,6 +352,23 @@ def test_lm_scores_counts_and_base(request, which, monkeypatch):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_lm_groups_come_from_all_neighbours(docs):
+    from pairlens.llm.common import texts
+
+    rows = texts(docs).repartition(3)
+    speller = lm_scores.Speller(BYTE)
+    number = np.arange(speller.lib.get_vocab_size()) % 150
+    column = np.minimum(np.arange(151), lm_scores.NEIGHBOURS - 1)
+    got = lm_scores.neighbours(rows, BYTE, number, 151, column)
+    want = np.zeros_like(got)
+    for _, t in plain(docs):
+        ids = lm_scores.spelled(pa.array([t], pa.large_string()), speller)[0]
+        s = np.where(ids < 0, 150, number[np.maximum(ids, 0)])
+        np.add.at(want, (s[:-1], column[s[1:]]), 1)
+        np.add.at(want, (s[1:], lm_scores.NEIGHBOURS + column[s[:-1]]), 1)
+    assert (got == want).all()
+
+
 def test_fingerprints_next_and_edited(odd, docs, empty):
     for df in (odd, docs):
         rows = plain(df)
