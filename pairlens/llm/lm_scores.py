@@ -10,8 +10,8 @@ with the word's share among all training words of the corpus:
 
 so scores are log10 probabilities of the sequence of words. Counts, vocabulary and the shares of ids come
 from all training texts by way of a shuffle of distinct words; the symbols' groups come from all pairs of
-neighbours in them. The attention weights are trained on the share of the training texts that ``ROUNDS`` says
-(chosen by hash), by as many replicas as that needs at ``REPLICA_BYTES`` each, which are averaged after each round.
+neighbours in them. The attention weights are trained on a hash sample first, then on all training texts, by
+as many replicas as these need at ``REPLICA_BYTES`` each, which are averaged after each round (``ROUNDS``).
 So all that is gathered grows with the input.
 
 Ids: the ``SYMBOLS`` most frequent of the training words have a symbol each; the others share one, and
@@ -36,9 +36,9 @@ from .wordshuffle import SCHEMA, by_key, expand, meet, packets, pack_words, plac
 
 MIX = 0.4
 SYMBOLS, GROUPS = 4096, 64
-#: One text in so many is learned from, at this rate: first a start that the replicas share, then more.
-ROUNDS = ((64, 0.01), (32, 0.005))
-REPLICA_BYTES, LEAST_STEPS = 4_000_000, 500
+#: One text in so many is learned from, at this rate: first a start that the replicas share, then all texts.
+ROUNDS = ((64, 0.01), (1, 0.005))
+REPLICA_BYTES, LEAST_STEPS = 4_000_000, 600
 #: Neighbours on one side that the symbols' profiles tell apart; rows of a profile table that travel together.
 NEIGHBOURS, TOGETHER = 512, 64
 END = b"\n"  # no word holds it

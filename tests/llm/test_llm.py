@@ -352,6 +352,26 @@ def test_lm_scores_counts_and_base(request, which, monkeypatch):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
+    from types import SimpleNamespace
+
+    from pairlens.llm.common import texts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def learned(model, edges, inputs, targets, scored, steps, rate, seed):
+        if seed == len(lm_scores.ROUNDS) - 1:
+            seen.add(int(scored.sum()))
+        return model, 0
+
+    monkeypatch.setattr(lm_scores, "attention", SimpleNamespace(new_model=attention.new_model, groups=attention.groups, windows=attention.windows, train=learned))
+    rows, speller = texts(docs), lm_scores.Speller(BYTE)
+    counts = np.arange(speller.lib.get_vocab_size()) % 7
+    lm_scores.train(rows, BYTE, counts, docs.count())
+    ids, _, _ = lm_scores.spelled(pa.array([t for _, t in plain(docs)], pa.large_string()), speller)
+    assert seen.value == len(ids)
+
+
 def test_lm_groups_come_from_all_neighbours(docs):
     from pairlens.llm.common import texts
 
