@@ -37,7 +37,7 @@ def m06(v):
 
 @Q.add("m07_boosted_trees", None, "v1")
 def m07(v):
-    _, out = fit.boosted(v, FEATURES, "gt_found", rounds=20)
+    _, out = fit.boosted(v, FEATURES, "gt_found")
     return s.auc(out.drop("score").withColumnRenamed("p", "score"), [], "gt_found").select(F.round("auc", 4).alias("auc"))
 
 

@@ -247,3 +247,18 @@ def test_breakdown_and_health(spark):
     got = sorted(values(aggregate.breakdown(df, ["g", "s"], [F.count("*").alias("n")]), "dimension", "value", "n"))
     assert got == [("g", "a", 2), ("g", "b", 1), ("s", "1", 1), ("s", "2", 2)]
     assert values(aggregate.health(df.withColumn("r", F.lit(1)), ["r"], "f", "f"), "errors", "reasons") == [(1, "errors")]
+
+
+def test_boosted_trees_query_has_all_rounds(monkeypatch):
+    from pairlens.plans import q_fit
+
+    asked = []
+
+    def boosted(rows, features, label, rounds=200):
+        asked.append(rounds)
+        raise StopIteration
+
+    monkeypatch.setattr(q_fit.fit, "boosted", boosted)
+    with pytest.raises(StopIteration):
+        q_fit.m07(None)
+    assert asked == [200]
