@@ -9,14 +9,18 @@ A text needs about k ln k + 2k darts, however long it is, for ranks beyond that
 rare case that a coordinate stays empty the rank limit is doubled.
 
 Signatures are cut into bands; equal bands are candidates. Exact copies are set aside first and count
-as one document. In each bucket all members are compared with some hubs, then with more, until every
+as one document. In each bucket all members are compared with a few hubs, then with more, until every
 pair of members that are still in different classes has been compared: a pair is skipped only if its
-members are already in one class, so no link between classes is lost, and a large group of copies costs
-a few comparisons for each member, not one for each pair. Nothing is capped.
+members are already in one class, so no link between classes is lost. The hubs are the members with the
+largest buckets (the text that others were copied from, as a rule), so that a large group of copies is
+one class after a few comparisons for each member. Nothing is capped.
 
-A comparison first counts the coordinates in which 4 bits of the signatures agree, within the join; pairs
-that agree in less than ``ESTIMATE`` of them are done (at a similarity of 0.8 that happens to 2 pairs in
-10,000, at 0.85 to fewer than one in a million). The others' shingles are compared exactly.
+Two tests within the join leave few pairs that aren't similar. The parity of the shingles (each place in
+a text counts) that fall on each of ``PARITIES`` bits: two texts differ in at least as many shingles as
+their parities have different bits, so no similar pair is lost, and texts of some hundred words that are
+under the threshold rarely pass. And the coordinates in which 4 bits of the signatures agree: pairs that
+agree in less than ``ESTIMATE`` of them are done (at a similarity of 0.8 that happens to 2 pairs in 10,000,
+at 0.85 to fewer than one in a million). The texts of the other pairs are compared exactly.
 
 Nulls and empty texts have no shingles: copies of each other form a class, nothing else joins them.
 A null or repeated doc_id is a row like any other; rows of one id and text share a class.
@@ -36,10 +40,10 @@ from .components import components
 from .shingles import mix, shingle_hashes
 
 BANDS, ROWS, THRESHOLD, WIDTH = 24, 6, 0.8, 5
-#: Bands looked at first; large groups of copies become one class there.
-FIRST = 4
 #: Hubs of a bucket in the first turn, and how many times as many in each later one.
-HUBS, MORE = 64, 16
+HUBS, MORE = 2, 16
+#: Bits of a text's parities; a multiple of 64.
+PARITIES = 1024
 #: Least share of a code's places in which two texts must agree to be compared exactly: 3.5 standard
 #: deviations under the share at the threshold, 0.8 + 0.2 / 16.
 ESTIMATE = 0.699
@@ -115,66 +119,79 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, bands (empty for a text without shingles), code (4 bits of each coordinate), digest of every row."""
-
-    def run(it):
-        for ids, column in text_batches(it):
-            sets = weighted(column)
-            signed = signatures(sets, bands * rows).reshape(-1, bands, rows)
-            with np.errstate(over="ignore"):
-                keys = np.zeros(signed.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-                for r in range(rows):
-                    keys = mix(keys ^ signed[:, :, r])
-            some = np.array([len(s[0]) > 0 for s in sets], np.int64)
-            at = np.concatenate([[0], np.cumsum(some * bands)])
-            values = pa.array(keys[some.astype(bool)].ravel().view(np.int64))
-            code = (mix(signed.reshape(len(sets), -1)) & np.uint64(15)).astype(np.uint8)
-            code = np.pad(code, ((0, 0), (0, -code.shape[1] % 16)))
-            code = (code[:, ::2] | code[:, 1::2] << 4).view(np.int64)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * code.shape[1], pa.int32()), pa.array(code.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), codes], ["doc_id", "bands", "code"])
+def parities(sets: list[tuple[np.ndarray, np.ndarray]], bits: int = PARITIES) -> np.ndarray:
+    """Per set and bit whether an odd number of its shingles falls there; a shingle's repeats fall apart."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(s[0] for s in sets)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(s[1] for s in sets)]).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        place = mix(np.repeat(keys, counts) + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(bits)
+    odd = np.bincount(np.repeat(row, counts) * bits + place.astype(np.int64), minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.int64)
 
-    with_digest = texts(docs).select("doc_id", "text", F.md5("text").alias("digest"))
 
-    def both(it):
-        for batch in it:
-            done = list(run([batch.select([0, 1])]))
-            table = pa.Table.from_batches(done) if done else None
-            if table is not None:
-                for b in table.append_column("digest", batch.column(2)).combine_chunks().to_batches():
-                    yield b
+def _lists(values: np.ndarray) -> pa.Array:
+    """One list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
-    return with_digest.mapInArrow(both, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bands array<long>, code array<long>, digest string")
 
+def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id, bands (empty for a text without shingles), code (4 bits of each coordinate), parity, weight (shingles), digest of every row."""
+
+    def run(ids, column):
+        sets = weighted(column)
+        signed = signatures(sets, bands * rows).reshape(-1, bands, rows)
+        with np.errstate(over="ignore"):
+            keys = np.zeros(signed.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+            for r in range(rows):
+                keys = mix(keys ^ signed[:, :, r])
+        some = np.array([len(s[0]) > 0 for s in sets], np.int64)
+        at = np.concatenate([[0], np.cumsum(some * bands)])
+        values = pa.array(keys[some.astype(bool)].ravel().view(np.int64))
+        code = (mix(signed.reshape(len(sets), -1)) & np.uint64(15)).astype(np.uint8)
+        code = np.pad(code, ((0, 0), (0, -code.shape[1] % 16)))
+        code = (code[:, ::2] | code[:, 1::2] << 4).view(np.int64)
+        weight = pa.array([int(s[1].sum()) for s in sets], pa.int64())
+        return [ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), _lists(code), _lists(parities(sets)), weight]
+
+    def all_of(it):
+        for batch in it:
+            at = 0
+            for ids, column in text_batches([batch.select([0, 1])]):
+                yield pa.RecordBatch.from_arrays([*run(ids, column), batch.column(2).slice(at, len(ids))], ["doc_id", "bands", "code", "parity", "weight", "digest"])
+                at += len(ids)
 
-def _multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles, counts (as bytes) of the wanted texts; node is the text's representative id."""
+    with_digest = texts(docs).select("doc_id", "text", F.md5("text").alias("digest"))
+    return with_digest.mapInArrow(all_of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bands array<long>, code array<long>, parity array<long>, weight long, digest string")
 
-    def run(it):
-        for ids, column in text_batches(it):
-            sets = weighted(column)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype(np.uint32).tobytes() for s in sets], pa.binary())], ["node", "shingles", "counts"])
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes (node, digest)."""
     # few wanted texts are sent to the tasks that read the documents; many are met in a shuffle
-    few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    few = F.broadcast(wanted.select("digest")) if wanted.count() <= SENT else wanted.select("digest")
     rows = texts(docs).withColumn("digest", F.md5("text")).join(few, "digest", "left_semi")
-    one = rows.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("node", "text")
-    return one.mapInArrow(run, "node long, shingles binary, counts binary")
+    return rows.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("node", "text")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose multisets are similar enough, compared exactly."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+def _similar(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose texts are similar enough, compared exactly."""
 
     def run(it):
-        as_set = lambda s, c: (np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint32))
         for batch in it:
-            found = [similarity(as_set(*p[:2]), as_set(*p[2:])) >= threshold for p in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # a hub's text comes once in many pairs of a batch
+            nodes, column = pa.concat_arrays([batch.column(0), batch.column(1)]), pa.concat_arrays([batch.column(2), batch.column(3)])
+            _, first = np.unique(nodes.to_numpy(), return_index=True)
+            some = pa.RecordBatch.from_arrays([nodes.take(pa.array(first)), column.take(pa.array(first))], ["node", "text"])
+            sets = {}
+            for ids, part in text_batches([some]):
+                sets |= dict(zip(ids.to_pylist(), weighted(part), strict=True))
+            found = [similarity(sets[x], sets[y]) >= threshold for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb")
+    left, right = (of.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -195,40 +212,47 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[
     """doc_id, digest of every row; label, digest, n_exact of each text; and of each class (label) its class_id,
     class_size, and the id and digest that come first in it, nulls last."""
     signed = settle(_bands(docs, bands, rows))
-    exact = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"), F.first("code").alias("code")))
+    first = [F.first(k).alias(k) for k in ("bands", "code", "parity", "weight")]
     # a number for each distinct text: its own, for doc_id can be null or have several texts
+    exact = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_exact"), *first)
     exact = settle(exact.withColumn("node", F.monotonically_increasing_id()))
-    every = exact.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = settle(every.join(shared, "bucket", "left_semi").select("node", "band", "bucket"))
-    wanted = members.select("node").distinct().join(exact.select("node", "digest"), "node")
-    sets = settle(_multisets(docs, wanted), "none")
-    nodes = settle(wanted.select("node").join(exact.select("node", "code"), "node"))
-    label, links = nodes.select("node", F.col("node").alias("label")), None
+    every = exact.select("node", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = settle(every.join(shared, "bucket").select("bucket", "node", "n"))
+    wide = members.groupBy("node").agg(F.sum("n").alias("wide"))
+    flat = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES // 64)]
+    nodes = settle(wide.join(exact, "node").select("node", "wide", "weight", "digest", "code", *flat))
+    of = settle(_texts_of(docs, nodes.select("node", "digest")))
+    signs = nodes.drop("digest")
+    hubs_signs = signs.select(*(F.col(k).alias(f"hub_{k}" if k != "node" else "hub") for k in signs.columns))
     longs = -(-bands * rows // 16)
     least = ESTIMATE * bands * rows + 16 * longs - bands * rows  # filling places always agree
-    for low, high in ((0, FIRST), (FIRST, bands)):
-        left, hubs = members.filter((F.col("band") >= low) & (F.col("band") < high)).select("bucket", "node"), HUBS
-        while True:
-            now = left.join(label, "node")
-            open_ = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
-            now = settle(now.join(open_, "bucket", "left_semi").select("bucket", "node", "label"))
-            if not now.limit(1).count():
-                break
-            # the same order in all buckets, so that the bands of a group agree on its hubs
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-            chosen = now.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-            chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
-            coded = now.join(nodes, "node")
-            hub = chosen.join(nodes.select(F.col("node").alias("hub"), F.col("code").alias("hub_code")), "hub")
-            near = (coded["bucket"] == hub["bucket"]) & (F.col("label") != F.col("hub_label")) & (_agreeing(F.col("code"), F.col("hub_code"), longs) >= least)
-            pairs = coded.join(hub, near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            fresh = settle(_similar(pairs, sets, threshold))
-            links = fresh if links is None else links.union(fresh)
-            found = components(links)
-            label = settle(label.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-            left = now.select("bucket", "node").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-            hubs *= MORE
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"hub_p{k}"))) for k in range(1, PARITIES // 64)), F.bit_count(F.col("p0").bitwiseXOR(F.col("hub_p0"))))
+    most = (F.col("weight") + F.col("hub_weight")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    after = (F.col("hub_wide") > F.col("wide")) | ((F.col("hub_wide") == F.col("wide")) & (F.col("hub") < F.col("node")))
+    label, left, hubs = nodes.select("node", F.col("node").alias("label")), members.select("bucket", "node"), HUBS
+    while True:
+        now = left.join(label, "node")
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
+        now = settle(now.join(open_, "bucket", "left_semi").select("bucket", "node", "label"))
+        if not now.limit(1).count():
+            break
+        # the same order in all buckets, so that the bands of a group agree on its hubs
+        order = Window.partitionBy("bucket").orderBy(F.desc("wide"), "node")
+        chosen = now.join(signs.select("node", "wide"), "node").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
+        chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+        coded, hub = now.join(signs, "node"), chosen.join(hubs_signs, "hub")
+        near = (coded["bucket"] == hub["bucket"]) & (F.col("label") != F.col("hub_label")) & after & (differ <= most) & (_agreeing(F.col("code"), F.col("hub_code"), longs) >= least)
+        pairs = coded.join(hub, near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        fresh = settle(_similar(pairs, of, threshold))
+        if fresh.limit(1).count():
+            # the classes so far are the nodes of the graph
+            edges = fresh.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+            found = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            found = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            label = settle(label.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        left = now.select("bucket", "node").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        hubs *= MORE
     grouped = exact.select("node", "digest", "least", "n_exact").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("least").isNull(), "least", "digest"))
     of = grouped.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_exact").alias("class_size"), first.alias("first"))
@@ -249,14 +273,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     share id and text any one stays.
     """
     signed, _, of = _classes(docs, THRESHOLD, BANDS, ROWS)
-    stay = settle(of.select(F.col("first.least").alias("_id"), F.col("first.digest").alias("_digest")))
-    of_stay = lambda df, digest: df.join(stay, df["doc_id"].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
-    kept = of_stay(docs, F.md5(F.coalesce(docs["text"], F.lit(""))))
+    stay = settle(of.select(F.col("first.least").alias("id"), F.col("first.digest").alias("digest")))
+    # rows are one column here, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.md5(F.coalesce("text", F.lit(""))).alias("row_digest"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_digest") == F.col("digest"))
+    kept = rows.join(stay, same, "left_semi")
     # texts are only dealt out once more where rows do repeat
-    repeated = of_stay(signed, signed["digest"]).groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    signs = signed.select(F.col("doc_id").alias("row_id"), F.col("digest").alias("row_digest"))
+    if signs.join(stay, same, "left_semi").groupBy("row_id", "row_digest").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["row_id", "row_digest"])
+    return kept.select("row.*")
 
 
 def op1_near_dedup(spark, sf_dir):
