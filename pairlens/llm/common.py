@@ -15,9 +15,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -123,7 +125,7 @@ def space_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np
         mark = pa.array(np.repeat(is_whole, lens))
         flat = pc.if_else(mark, pc.binary_join_element_wise(pa.scalar("\x02", texts.type), flat, pa.scalar("", texts.type)), flat)
     coded = flat.dictionary_encode()
-    words = [w[1:] if w[:1] == "\x02" else " " + w for w in coded.dictionary.to_pylist()]
+    words = [w[1:] if w[:1] == "\x02" else " " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     return words, coded.indices.to_numpy().astype(np.int64), lens, is_whole
 
 
@@ -135,10 +137,6 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: How Unicode texts are split before byte-level BPE; the same in the .json and .tiktoken files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 def byte_symbols() -> dict[int, str]:
     """Byte -> the printable character that stands for it in byte-level BPE files (for str.translate)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -150,32 +148,63 @@ class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them for byte-level BPE.
 
     Each distinct pre-token goes through the library's model once; texts that can't be cut into
-    pieces, and pieces that hold an added token's string, go through the whole library.
+    pieces, and pieces that hold an added token's string, go through the whole library. Pieces and
+    pre-tokens met before are remembered in two tables of bounded size: what was met in neither the
+    last full one nor the one being filled is forgotten.
     """
 
+    MEMO = 200_000
+
     def __init__(self, path: str):
         import regex
 
         self.lib = tokenizer(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find, self.symbols = regex.compile(PATTERN).findall, byte_symbols()
-        self.ids: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _tokens(self, piece: str) -> list[str]:
+        """Its pre-tokens; a word of plain letters, maybe with a comma or point behind, needs no pattern."""
+        if piece.isascii() and (piece[:1] == " " or piece[:1].isalpha()):
+            if piece[1:].isalpha():
+                return [piece]
+            if piece[-1] in ",." and piece[1:-1].isalpha():
+                return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
+    def _remember(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.MEMO:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def _token(self, token: str) -> bytes:
+        if (got := self.new.get(token)) is None:
+            if (got := self.old.get(token)) is None:
+                plain = token.replace(" ", self.symbols[32]) if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.symbols)
+                got = array("i", [x.id for x in self.lib.model.tokenize(plain)]).tobytes()
+            self._remember(token, got)
+        return got
+
+    def _piece(self, piece: str) -> bytes:
+        if len(piece) > 64 or "<" in piece and any(x in piece for x in self.added):
+            return array("i", self.lib.encode(piece, add_special_tokens=False).ids).tobytes()
+        tokens = self._tokens(piece)
+        if len(tokens) == 1:
+            return self._token(piece)
+        got = b"".join([self._token(t) for t in tokens])
+        self._remember(piece, got)
+        return got
 
     def make(self, pieces: list[str]) -> list[bytes]:
-        if len(self.ids) > 300_000:
-            self.ids.clear()
-        out, seen, model = [], self.ids, self.lib.model
+        out = []
         for piece in pieces:
-            if len(piece) > 64 or "<" in piece and any(x in piece for x in self.added):
-                out.append(array("i", self.lib.encode(piece, add_special_tokens=False).ids).tobytes())
-                continue
-            ids = []
-            for token in self.find(piece):
-                if (got := seen.get(token)) is None:
-                    made = model.tokenize(token.encode().decode("latin-1").translate(self.symbols))
-                    got = seen[token] = array("i", [x.id for x in made]).tobytes()
-                ids.append(got)
-            out.append(b"".join(ids))
+            if (got := self.new.get(piece)) is None:
+                if (got := self.old.get(piece)) is None:
+                    got = self._piece(piece)
+                else:
+                    self._remember(piece, got)
+            out.append(got)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
