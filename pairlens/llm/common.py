@@ -159,6 +159,7 @@ class LibraryIds:
         import regex
 
         self.lib = tokenizer(path)
+        self.model = self.lib.model
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find, self.symbols = regex.compile(PATTERN).findall, byte_symbols()
         self.new: dict[str, bytes] = {}
@@ -182,7 +183,7 @@ class LibraryIds:
         if (got := self.new.get(token)) is None:
             if (got := self.old.get(token)) is None:
                 plain = token.replace(" ", self.symbols[32]) if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.symbols)
-                got = array("i", [x.id for x in self.lib.model.tokenize(plain)]).tobytes()
+                got = array("i", [x.id for x in self.model.tokenize(plain)]).tobytes()
             self._remember(token, got)
         return got
 
