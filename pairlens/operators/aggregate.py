@@ -12,9 +12,57 @@ ERROR_SHARE, FOUND_SHARE = 0.20, 0.30
 ERROR_BANDS = ((1.0, "<=1"), (2.0, "1-2"), (3.0, "2-3"), (5.0, "3-5"))
 
 
-def percentile(c: Column | str, p: float) -> Column:
-    """Exact, with linear interpolation."""
-    return F.percentile(F.col(c) if isinstance(c, str) else c, F.lit(p))
+def cuts(rows: DataFrame, value: str, buckets: int = 64) -> list[float]:
+    """Bounds of about even buckets of a number, as literals: they don't change when a task is repeated."""
+    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
+    return F.size(F.filter(F.array(*(F.lit(float(x)) for x in bounds)), lambda b: b <= value)) if bounds else F.lit(0)
+
+
+def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, and for each name the value at that place (from 0) of the key's ascending values; a rank may use ``_all``, their number.
+
+    Equal values are counted first, so a hot key is small before it is looked at; counts of buckets tell in
+    which bucket a place lies, and only those buckets are sorted, each by itself.
+    """
+    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = some.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_bucket", bucket_of(F.col("_v"), cuts(some, "_v")))
+    every = Window.partitionBy(*keys, F.lit(0))  # one row for each bucket
+    whole = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
+    whole = whole.withColumns({"_all": F.sum("_in").over(every), "_before": F.sum("_in").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")})
+    here = F.lit(False)
+    for r in ranks.values():
+        here = here | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    whole = whole.filter(here).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), "_all", "_before")
+    on = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(whole, on).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    at = lambda r: F.min(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r), F.col("_v")))
+    return placed.groupBy(*keys).agg(*(at(r).alias(name) for name, r in ranks.items()), F.first("_all").alias("_all"))
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each name that share's quantile of the key's values: exact, with linear interpolation; nulls left out."""
+    place = {n: F.lit(p) * (F.col("_all") - 1) for n, p in shares.items()}
+    ranks = {f"_lo_{n}": F.floor(h) for n, h in place.items()} | {f"_hi_{n}": F.ceil(h) for n, h in place.items()}
+    found = _at_ranks(rows, keys, value, ranks)
+    return found.select(*keys, *((F.col(f"_lo_{n}") + (h - F.floor(h)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, h in place.items()))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables of one row for each key, side by side; a null key is a key."""
+    if not keys:
+        return left.crossJoin(right)  # one row each
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(other[f"_r_{k}"])
+    return left.join(other, on, "left").drop(*(f"_r_{k}" for k in keys))
 
 
 def share(flag: Column) -> Column:
@@ -24,7 +72,9 @@ def share(flag: Column) -> Column:
 def summarize(rows: DataFrame, keys: Sequence[str], err: str = "err", within: Sequence[int] = (1, 2, 5, 10)) -> DataFrame:
     """keys, n, median, mean, p90, p99 and the share within each distance; missing errors are left out."""
     some = rows.filter(F.col(err).isNotNull())
-    return some.groupBy(*keys).agg(F.count("*").alias("n"), percentile(err, 0.5).alias("median"), F.avg(err).alias("mean"), percentile(err, 0.9).alias("p90"), percentile(err, 0.99).alias("p99"), *(share(F.col(err) <= t).alias(f"acc{t}") for t in within))
+    one = some.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(err).alias("mean"), *(share(F.col(err) <= t).alias(f"acc{t}") for t in within))
+    both = joined(one, quantiles(some, keys, err, {"median": 0.5, "p90": 0.9, "p99": 0.99}), keys)
+    return both.select(*keys, "n", "median", "mean", "p90", "p99", *(f"acc{t}" for t in within))
 
 
 def error_band(err: Column | str) -> Column:
@@ -45,6 +95,11 @@ def breakdown(rows: DataFrame, by: Sequence[str], aggregates: Sequence[Column])
     return sets.select(name.alias("dimension"), value.alias("value"), *(c for c in sets.columns if c not in (*by, "_g")))
 
 
+def each_alone(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows once for each of ``by``, with its name and value as dimension and value."""
+    return rows.withColumns({"_by": F.explode(F.array(*(F.struct(F.lit(b).alias("d"), F.col(b).cast("string").alias("v")) for b in by)))}).withColumns({"dimension": F.col("_by.d"), "value": F.col("_by.v")}).drop("_by")
+
+
 def cohens_d(rows: DataFrame, variables: Sequence[str], failed: str) -> DataFrame:
     """variable, d, n_fail, n_ok: standardised difference of failures and successes; null below two of either."""
     long = rows.select(F.col(failed).alias("_f"), F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables)))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -63,15 +118,9 @@ def strictly_rising(rows: DataFrame, keys: Sequence[str], level: str, value: str
 
 
 def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at index int(share * n) of the ascending values, for each named share; no interpolation.
-
-    Counts of distinct values replace the rows, so a hot key is summed before it is sorted.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys, F.lit(0)).orderBy(value)
-    placed = counts.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(Window.partitionBy(*keys, F.lit(0)))})
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1)
-    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))
+    """The value at index int(share * n) of the ascending values, for each named share; no interpolation."""
+    ranks = {n: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1) for n, p in shares.items()}
+    return _at_ranks(rows, keys, value, ranks).drop("_all")
 
 
 def health(rows: DataFrame, keys: Sequence[str], failed: str, found: str) -> DataFrame:

@@ -153,15 +153,15 @@ def best(swept: DataFrame, keys: Sequence[str], value: str = "total", score: str
 
 
 def pr_curve(rows: DataFrame, keys: Sequence[str], label: str, score: str = "score") -> DataFrame:
-    """keys, score, precision, recall: one point for each distinct score, from the highest."""
+    """keys, score, precision, recall, and both before the score's own rows: one point for each distinct score, from the highest."""
     rows = rows.withColumns({"_tp": F.when(F.col(label) == 1, 1).otherwise(0), "_all": F.lit(1)})
     swept = running(histogram(rows, keys, ("_tp", "_all"), score), keys, ("_tp", "_all"), score)
-    return swept.select(*keys, score, ratio(F.col("ge__tp"), F.col("ge__all")).alias("precision"), ratio(F.col("ge__tp"), F.col("all__all")).alias("recall"))
+    tp, n = F.col("ge__tp"), F.col("ge__all")
+    before = (ratio(tp - F.col("_tp"), n - F.col("_all"), 1.0).alias("precision_before"), ratio(tp - F.col("_tp"), F.col("all__all")).alias("recall_before"))
+    return swept.select(*keys, score, ratio(tp, n).alias("precision"), ratio(tp, F.col("all__all")).alias("recall"), *before)
 
 
-def average_precision(curve: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """Area under the curve from its start at precision 1, recall 0, by trapezoids; curve has one row for each score."""
-    order = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc(score))
-    p0, r0 = F.coalesce(F.lag("precision").over(order), F.lit(1.0)), F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    slices = curve.withColumn("_area", (F.col("recall") - r0) * (F.col("precision") + p0) / 2)
-    return slices.groupBy(*keys).agg(F.sum("_area").alias("ap"))
+def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Area under the curve from its start at precision 1, recall 0, by trapezoids; curve comes from pr_curve()."""
+    area = (F.col("recall") - F.col("recall_before")) * (F.col("precision") + F.col("precision_before")) / 2
+    return curve.groupBy(*keys).agg(F.sum(area).alias("ap"))

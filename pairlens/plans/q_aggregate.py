@@ -36,14 +36,22 @@ def a07(v):
     return rows.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("grp"))))
 
 
-BREAK = "select '{k}' as dimension, cast({k} as varchar) as value, count(*) as n, count_if(score<0.5)::bigint as declined, round(avg(case when score>=0.5 then rl else 0 end),6) as credit, round(avg(case when err<=1 then 1.0::double else 0 end),6) as le1, round(median(err),6) as median from g where gt_found=1 group by {k}"
+BREAK = "select '{k}' as dimension, cast({k} as varchar) as value, count(*) as n, count_if(score<0.5)::bigint as declined, round(avg(case when score>=0.5 then rl else 0 end),6) as credit, round(avg(case when err<=1 then 1.0::double else 0 end),6) as le1, count_if(err>5)::bigint as gt5, round(median(err),6) as median, round(median(score),6) as median_score from g where gt_found=1 group by {k}"
+ABSENT = "select 'absent by severity' as dimension, cast(severity as varchar) as value, count(*) as n, count_if(score<0.5)::bigint as declined, null::double as credit, null::double as le1, 0::bigint as gt5, null::double as median, round(median(score),6) as median_score from g where gt_found=0 group by severity"
 
 
-@Q.add("a08_breakdowns", f"with {G} " + " union all ".join(BREAK.replace("{k}", k) for k in ("grp", "severity", "architecture")), "v1")
+@Q.add("a08_breakdowns", f"with {G} " + " union all ".join([*(BREAK.replace("{k}", k) for k in ("grp", "severity", "architecture")), ABSENT]), "v1")
 def a08(v):
-    rows = s.measured(v).filter("grp in ('A','B','C') and gt_found = 1")
-    said = F.col("score") >= 0.5
-    return a.breakdown(rows, ["grp", "severity", "architecture"], [F.count("*").alias("n"), F.count_if(~said).alias("declined"), r6(F.avg(c.masked("raw_loc", said.cast("int")))).alias("credit"), r6(a.share(F.col("err") <= 1)).alias("le1"), r6(a.percentile("err", 0.5)).alias("median")])
+    rows = s.measured(v).filter("grp in ('A','B','C')")
+    there = a.each_alone(rows.filter("gt_found = 1"), ["grp", "severity", "architecture"])
+    absent = rows.filter("gt_found = 0").withColumns({"dimension": F.lit("absent by severity"), "value": F.col("severity").cast("string"), "err": F.lit(None).cast("double"), "raw_loc": F.lit(None).cast("double")})
+    long = there.unionByName(absent)
+    said, keys = F.col("score") >= 0.5, ["dimension", "value"]
+    credit, near = F.when(said, F.col("raw_loc")).otherwise(F.when(F.col("raw_loc").isNotNull(), 0.0)), F.when(F.col("err").isNotNull(), F.col("err") <= 1)
+    one = long.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~said).alias("declined"), r6(F.avg(credit)).alias("credit"), r6(a.share(near)).alias("le1"), F.count_if(F.col("err") > 5).alias("gt5"))
+    for value, name in (("err", "median"), ("score", "median_score")):
+        one = a.joined(one, a.quantiles(long, keys, value, {name: 0.5}), keys).withColumn(name, r6(F.col(name)))
+    return one
 
 
 @Q.add("a09_set_severity_matrix", f"with {E} select grp, severity, count(*) as n, round(avg(case when err<=5 then 1.0::double else 0 end),6) as acc5 from e where err is not null group by rollup(grp, severity)", "v1")
@@ -66,10 +74,12 @@ def t02(v):
     return a10(v).select("variable", F.row_number().over(Window.orderBy(F.desc(F.coalesce(F.abs("d"), F.lit(0.0))), "variable")).cast("long").alias("place"))
 
 
-@Q.add("a11_severity_medians", f"with {E}, m as (select grp, severity, median(err) as med from e where err is not null group by 1,2), k as (select grp, med > lag(med) over (partition by grp order by severity) as up from m) select grp, bool_and(coalesce(up,true)) as rising from k group by 1", "v1")
+@Q.add("a11_severity_medians", f"with {E}, cr as (select *, case when err<=1 then 1.0::double when err<=2 then 0.8 when err<=3 then 0.6 when err<=5 then 0.4 else 0 end as credit from e where err is not null), m as (select grp, severity, median(err) as med from cr group by 1,2), k as (select grp, med > lag(med) over (partition by grp order by severity) as up from m), t as (select grp, bool_and(coalesce(up,true)) as rising from k group by 1) select cr.grp, round(avg(credit),6) as credit, round(median(err),6) as median, any_value(rising) as rising from cr join t on t.grp=cr.grp group by 1", "v1")
 def a11(v):
-    m = v.withColumn("err", c.location_error()).filter("err is not null").groupBy("grp", "severity").agg(a.percentile("err", 0.5).alias("med"))
-    return a.strictly_rising(m, ["grp"], "severity", "med")
+    rows = v.withColumn("err", c.location_error()).filter("err is not null")
+    rising = a.strictly_rising(a.quantiles(rows, ["grp", "severity"], "err", {"med": 0.5}), ["grp"], "severity", "med")
+    one = rows.groupBy("grp").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"))
+    return rounded(a.joined(a.joined(one, a.quantiles(rows, ["grp"], "err", {"median": 0.5}), ["grp"]), rising, ["grp"]), ["grp"])
 
 
 @Q.add("a12_score_range_by_presence", "select gt_found, min(score) as lo, max(score) as hi, bool_and(case when gt_found=0 then grp='C' else grp<>'C' end) as family_ok from v1 group by 1", "v1")
@@ -83,8 +93,9 @@ NR = "min(case when upto > least(floor({p}*total), total-1) then secs end)"
 @Q.add("a13_latency", f"with q as (select grp, secs, sum(count(*)) over (partition by grp order by secs) as upto, sum(count(*)) over (partition by grp) as total from v1 group by 1,2), n as (select grp, {NR.format(p=0.5)} as nr50, {NR.format(p=0.9)} as nr90 from q group by 1) select v1.grp, round(median(secs),6) as median, round(quantile_cont(secs,0.9),6) as p90, max(secs) as top, count_if(secs>1.5)::bigint as slow, any_value(nr50) as nr50, any_value(nr90) as nr90 from v1 join n on v1.grp=n.grp group by 1", "v1")
 def a13(v):
     near = a.nearest_rank(v, ["grp"], "secs", {"nr50": 0.5, "nr90": 0.9})
-    one = v.groupBy("grp").agg(r6(a.percentile("secs", 0.5)).alias("median"), r6(a.percentile("secs", 0.9)).alias("p90"), F.max("secs").alias("top"), F.count_if(F.col("secs") > 1.5).alias("slow"))
-    return one.join(near, "grp")
+    one = v.groupBy("grp").agg(F.max("secs").alias("top"), F.count_if(F.col("secs") > 1.5).alias("slow"))
+    between = rounded(a.quantiles(v, ["grp"], "secs", {"median": 0.5, "p90": 0.9}), ["grp"])
+    return a.joined(a.joined(one, between, ["grp"]), near, ["grp"])
 
 
 @Q.add("a14_run_health", "select architecture, count(*) as n, count_if(f)::bigint as errors, count_if(score>=0.8)::bigint as found, concat_ws(' | ', case when count_if(f)*1.0/count(*)>=0.2 then 'errors' end, case when count_if(score>=0.8)*1.0/count(*)<0.3 then 'few found' end) as reasons from (select architecture, score, (c%29=0 or (architecture='1-URGENT' and c%4=0)) as f from v1) group by 1", "v1")
@@ -107,16 +118,22 @@ def a23(v):
 @Q.add("a24_composition", "select architecture, count(*) as n, round(avg(abs(x-gt_x)),6) as mean_shift, round(quantile_cont(abs(x-gt_x),0.95),6) as p95_shift, max(abs(x-gt_x)) as max_shift, round(stddev_samp(gt_x),4) as spread, (count(*)-count(distinct pair_id))::bigint as duplicates, count_if(not(gt_x between 100 and 899))::bigint as outside from v1 group by 1", "v1")
 def a24(v):
     shift = F.abs(F.col("x") - F.col("gt_x"))
-    return v.groupBy("architecture").agg(F.count("*").alias("n"), r6(F.avg(shift)).alias("mean_shift"), r6(a.percentile(shift, 0.95)).alias("p95_shift"), F.max(shift).alias("max_shift"), F.round(F.stddev_samp("gt_x"), 4).alias("spread"), (F.count("*") - F.count_distinct("pair_id")).alias("duplicates"), F.count_if(~F.col("gt_x").between(100, 899)).alias("outside"))
+    p95 = rounded(a.quantiles(v.select("architecture", shift.alias("shift")), ["architecture"], "shift", {"p95_shift": 0.95}), ["architecture"])
+    one = v.groupBy("architecture").agg(F.count("*").alias("n"), r6(F.avg(shift)).alias("mean_shift"), F.max(shift).alias("max_shift"), F.round(F.stddev_samp("gt_x"), 4).alias("spread"), (F.count("*") - F.count_distinct("pair_id")).alias("duplicates"), F.count_if(~F.col("gt_x").between(100, 899)).alias("outside"))
+    return a.joined(one, p95, ["architecture"])
+
+
+ERF = "(1-(tt*(0.254829592+tt*(-0.284496736+tt*(1.421413741+tt*(-1.453152027+tt*1.061405429)))))*exp(-z*z))"
 
 
-@Q.add("a25_label_noise_floor", "select severity, round(avg(abs(mu)),6) as shear, 0.0e0 as out_of_bounds, round(avg(case when abs(mu)>0.4 then 1.0::double else 0 end),6) as beyond from (select severity, (gt_y-500)/1000.0 as mu from v1) group by 1", "v1")
+@Q.add("a25_label_noise_floor", f"select severity, round(avg(abs(mu)),6) as shear, round(avg(0.25*sqrt(2/3.141592653589793)*exp(-z*z)+abs(mu)*{ERF}),6) as noise, round(avg(sqrt(ox*ox+oy*oy)),6) as barrel, round(avg(case when abs(mu)>0.4 then 1.0::double else 0 end),6) as beyond from (select *, 1/(1+0.3275911*z) as tt from (select severity, (gt_y-500)/1000.0e0 as mu, abs((gt_y-500)/1000.0e0)/0.25/sqrt(2.0e0) as z, (gt_x-500)*0.00000002*((gt_x-500)*(gt_x-500)+(gt_y-500)*(gt_y-500)) as ox, (gt_y-500)*0.00000002*((gt_x-500)*(gt_x-500)+(gt_y-500)*(gt_y-500)) as oy from v1)) group by 1", "v1")
 def a25(v):
+    """Shear, expected distance with a jitter of 0.25 on it, barrel offset, and the share of shears beyond 0.4."""
     mu = (F.col("gt_y") - 500) / 1000.0
-    rows = v.select("severity", mu.alias("mu"), a.folded_normal_mean(mu, 0.25).alias("noise"))
-    # a mean of |N| is never under the shear's own mean, nor over it by more than sigma sqrt(2/pi)
-    bad = F.count_if((F.col("noise") < F.abs("mu") - 1e-6) | (F.col("noise") > F.abs("mu") + 0.25 * 0.79789)).cast("double")
-    return rows.groupBy("severity").agg(r6(F.avg(F.abs("mu"))).alias("shear"), bad.alias("out_of_bounds"), r6(a.share(F.abs("mu") > 0.4)).alias("beyond"))
+    x, y = F.col("gt_x") - 500, F.col("gt_y") - 500
+    barrel = 2e-8 * (x * x + y * y) * F.sqrt(x * x + y * y)
+    one = v.groupBy("severity").agg(F.avg(F.abs(mu)).alias("shear"), F.avg(a.folded_normal_mean(mu, 0.25)).alias("noise"), F.avg(barrel).alias("barrel"), a.share(F.abs(mu) > 0.4).alias("beyond"))
+    return rounded(one, ["severity"])
 
 
 FIND = "f as (select pair_id, architecture, unnest([{'s':case when failed=1 then 'FAIL' else 'OK' end,'r':'raised'},{'s':case when score<0.3 then 'WARN' else 'OK' end,'r':'low score'},{'s':case when secs>1.9 then 'WARN' else 'OK' end,'r':'slow'}]) as u from v1)"
@@ -129,12 +146,20 @@ def a26(v):
     return a.status_rollup(long, "pair_id")
 
 
-@Q.add("a27_composition_rules", "select x.grp, x.least, coalesce(g.n,0) as n, coalesce(g.n,0)>=x.least as enough, coalesce(g.k,0)=5 as all_presets from (select unnest(['A','B','C','D','E']) as grp, unnest([100,100,100,5000,1]) as least) x left join (select grp, count(*) as n, count(distinct architecture) as k from v1 group by 1) g on g.grp=x.grp", "v1")
+@Q.add("a27_composition_rules", "select x.grp, x.least, coalesce(g.n,0) as n, coalesce(g.n,0)>=x.least as enough, coalesce(g.present,0)::bigint as present, coalesce(g.absent,0)::bigint as absent, case when x.grp='C' then coalesce(present,0)=0 else coalesce(g.absent,0)=0 end as presence_ok, coalesce(g.k,0)=5 as all_presets, coalesce(g.lo<=8.5 and g.hi>=11.5, false) as scale_ends, coalesce(g.s0 and g.s4, false) as level_ends from (select unnest(['A','B','C','D','E']) as grp, unnest([100,100,100,5000,1]) as least) x left join (select grp, count(*) as n, count_if(gt_found=1) as present, count_if(gt_found=0) as absent, count(distinct architecture) as k, min(gt_scale) as lo, max(gt_scale) as hi, bool_or(severity=0) as s0, bool_or(severity=4) as s4 from v1 group by 1) g on g.grp=x.grp", "v1")
 def a27(v):
+    """Counts, presence, presets, and whether both ends of the scales and levels occur, against what is expected."""
     want = v.sparkSession.createDataFrame([("A", 100), ("B", 100), ("C", 100), ("D", 5000), ("E", 1)], "grp string, least int")
-    have = v.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("architecture").alias("k"))
-    n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
-    return want.join(have, "grp", "left").select("grp", "least", n.cast("long").alias("n"), (n >= F.col("least")).alias("enough"), (k == 5).alias("all_presets"))
+    have = v.groupBy("grp").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("gt_found") == 1).alias("_present"), F.count_if(F.col("gt_found") == 0).alias("_absent"), F.count_distinct("architecture").alias("_k"),
+        F.min("gt_scale").alias("_lo"), F.max("gt_scale").alias("_hi"), F.bool_or(F.col("severity") == 0).alias("_s0"), F.bool_or(F.col("severity") == 4).alias("_s4"),
+    )
+    n, present, absent, k = (F.coalesce(f"_{x}", F.lit(0)).cast("long") for x in ("n", "present", "absent", "k"))
+    none = lambda e: F.coalesce(e, F.lit(False))
+    return want.join(have, "grp", "left").select(
+        "grp", "least", n.alias("n"), (n >= F.col("least")).alias("enough"), present.alias("present"), absent.alias("absent"), F.when(F.col("grp") == "C", present == 0).otherwise(absent == 0).alias("presence_ok"),
+        (k == 5).alias("all_presets"), none((F.col("_lo") <= 8.5) & (F.col("_hi") >= 11.5)).alias("scale_ends"), none(F.col("_s0") & F.col("_s4")).alias("level_ends"),
+    )
 
 
 @Q.add("a28_residual_before_after", "with j as (select a.severity, abs(a.x-a.gt_x) as before, abs(b.x-b.gt_x) as after from v1 a join v2 b using (pair_id) where a.score>=0.7) select severity, count(*) as n, round(avg(before),6) as before, round(avg(after),6) as after from j group by 1", "v1 v2")
@@ -147,7 +172,8 @@ def a28(v, w):
 @Q.add("a29_optimum_to_label_gap", f"with {E} select severity, round(median(err),6) as gap, round(median(err)/0.25,6) as in_jitter, count(*) as n from e where err is not null and score>=0.5 group by 1", "v1")
 def a29(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null and score >= 0.5")
-    return rows.groupBy("severity").agg(r6(a.percentile("err", 0.5)).alias("gap"), r6(a.percentile("err", 0.5) / 0.25).alias("in_jitter"), F.count("*").alias("n"))
+    one = a.joined(rows.groupBy("severity").agg(F.count("*").alias("n")), a.quantiles(rows, ["severity"], "err", {"gap": 0.5}), ["severity"])
+    return rounded(one.withColumn("in_jitter", F.col("gap") / 0.25), ["severity"])
 
 
 RUNS = f"u as (select 'a' as run, *, {LOC} as err from v1 union all select 'b', *, {LOC} from v2)"
@@ -183,7 +209,9 @@ def a32(v):
 @Q.add("a34_history_shortlist", f"with {E}, h as (select cast(pair_id%20 as int) as epoch, round(avg(case when err<=5 then 1.0::double else 0 end),6) as acc5, round(median(err),6) as med from e where err is not null group by 1), r as (select *, row_number() over (order by (1-acc5)*1000+med, epoch) as k, max(epoch) over () as last from h) select epoch, acc5, med from r where k<=3 or epoch=last", "v1")
 def a34(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null")
-    one = rows.groupBy((F.col("pair_id") % 20).cast("int").alias("epoch")).agg(r6(a.share(F.col("err") <= 5)).alias("acc5"), r6(a.percentile("err", 0.5)).alias("med"))
+    rows = rows.withColumn("epoch", (F.col("pair_id") % 20).cast("int"))
+    one = a.joined(rows.groupBy("epoch").agg(a.share(F.col("err") <= 5).alias("acc5")), a.quantiles(rows, ["epoch"], "err", {"med": 0.5}), ["epoch"])
+    one = rounded(one, ["epoch"])
     # the history as one JSON text, as a training run leaves it; one row for each epoch
     text = one.agg(F.to_json(F.sort_array(F.collect_list(F.struct("epoch", "acc5", "med")))).alias("history"))
     h = text.select(F.inline(F.from_json("history", "array<struct<epoch:int,acc5:double,med:double>>")))
@@ -195,16 +223,26 @@ def a34(v):
 ARM = ", ".join(f"round(avg(case when err<={t} then 1.0::double else 0 end),6) as le{t}" for t in (1, 2, 3, 5))
 
 
-@Q.add("a35_arm_table", f"with {E} select architecture, round(avg(err),6) as mean, round(median(err),6) as median, {ARM}, round(median(score),6) as score, round(median(score-zncc),6) as margin from e where err is not null group by 1", "v1")
-def a35(v):
-    rows = v.withColumn("err", c.location_error()).filter("err is not null")
-    return rows.groupBy("architecture").agg(r6(F.avg("err")).alias("mean"), r6(a.percentile("err", 0.5)).alias("median"), *(r6(a.share(F.col("err") <= t)).alias(f"le{t}") for t in (1, 2, 3, 5)), r6(a.percentile("score", 0.5)).alias("score"), r6(a.percentile(F.col("score") - F.col("zncc"), 0.5)).alias("margin"))
+BEST3 = "k as (select pair_id, zncc, row_number() over (partition by pair_id order by zncc desc, hypothesis_index) as i from v3), b as (select pair_id, max(zncc) filter (where i=1) as best, max(zncc) filter (where i=2) as next from k group by 1)"
+
+
+@Q.add("a35_arm_table", f"with {BEST3}, {E} select architecture, round(avg(err),6) as mean, round(median(err),6) as median, {ARM}, round(median(score),6) as score, round(median(best-next),6) as margin from e left join b on b.pair_id=e.pair_id where err is not null group by 1", "v1 v3")
+def a35(v, w):
+    """The margin is the best candidate's score less its best competitor's; pairs with one candidate have none."""
+    top = w.groupBy("pair_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("zncc"))), 1, 2).alias("top"))
+    margin = top.select("pair_id", (F.get("top", F.lit(0)) - F.get("top", F.lit(1))).alias("margin"))
+    rows = v.withColumn("err", c.location_error()).filter("err is not null").join(margin, "pair_id", "left")
+    one = rows.groupBy("architecture").agg(F.avg("err").alias("mean"), *(a.share(F.col("err") <= t).alias(f"le{t}") for t in (1, 2, 3, 5)))
+    for value, name in (("err", "median"), ("score", "score"), ("margin", "margin")):
+        one = a.joined(one, a.quantiles(rows, ["architecture"], value, {name: 0.5}), ["architecture"])
+    return rounded(one, ["architecture"])
 
 
 @Q.add("a36_gross_miss_gate", f"with {E} select architecture, count_if(err>5)::bigint as misses, count_if(err>10)::bigint as gross, count_if(err>5)=0 as all_within, round(median(err),6) as median from e where err is not null group by 1", "v1")
 def a36(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null")
-    return rows.groupBy("architecture").agg(F.count_if(F.col("err") > 5).alias("misses"), F.count_if(F.col("err") > 10).alias("gross"), (F.count_if(F.col("err") > 5) == 0).alias("all_within"), r6(a.percentile("err", 0.5)).alias("median"))
+    one = rows.groupBy("architecture").agg(F.count_if(F.col("err") > 5).alias("misses"), F.count_if(F.col("err") > 10).alias("gross"), (F.count_if(F.col("err") > 5) == 0).alias("all_within"))
+    return rounded(a.joined(one, a.quantiles(rows, ["architecture"], "err", {"median": 0.5}), ["architecture"]), ["architecture"])
 
 
 @Q.add("a37_shard_counts", "with a as (select source, count(*) as claimed from claimed where source<>'src3' group by 1), b as (select source, count(*) as present from present_files where source<>'src5' group by 1) select coalesce(a.source,b.source) as source, claimed, present, case when claimed is null then 'no manifest' when present is null then 'empty' when claimed<>present then 'count differs' else 'ok' end as reason from a full join b on a.source=b.source", "claimed present_files")
