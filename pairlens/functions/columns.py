@@ -6,10 +6,10 @@ All take columns (or names) and give columns; none needs a Python worker. NaN an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: bounds and credit of the scoring rubric
@@ -189,6 +189,14 @@ def apply_affine(m: Mapping[str, Column], x: Column, y: Column) -> tuple[Column,
     return m["a"] * x + m["b"] * y + m["c"], m["d"] * x + m["e"] * y + m["f"]
 
 
+def available(rows: DataFrame, features: Sequence[str], least: float = 0.5) -> DataFrame:
+    """feature, share, usable: how often each feature is finite; one that no column has is not usable."""
+    there = [x for x in features if x in rows.columns]
+    shares = rows.agg(F.lit(0).alias("_none"), *(F.avg(finite(x).isNotNull().cast("double")).alias(x) for x in there))
+    long = shares.select(stacked({x: F.col(x) if x in there else F.lit(0.0) for x in features}, "feature", "share"))
+    return long.select("feature", "share", (F.col("share") >= least).alias("usable"))
+
+
 def invert_affine(m: Mapping[str, Column]) -> dict[str, Column]:
     det = m["a"] * m["e"] - m["b"] * m["d"]
     a, b, d, e = m["e"] / det, -m["b"] / det, -m["d"] / det, m["a"] / det
@@ -211,6 +219,15 @@ def barrel_inverse(distorted: Column, k: float, steps: int = 50) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), distorted.cast("double"), step)
 
 
+def corrected_label(x: Column, y: Column, shift: Column, k: float, size: int) -> tuple[Column, Column]:
+    """Where a labelled point is seen after a drift of its row (shift, to the right) and barrel distortion k of a square image."""
+    middle = (size - 1) / 2.0
+    u, w = (x - shift - middle) / middle, (y - middle) / middle
+    r = F.hypot(u, w)
+    scale = F.when(r < 1e-12, 1.0).otherwise(barrel_inverse(r, k) / r)
+    return u * scale * middle + middle, w * scale * middle + middle
+
+
 def dihedral(t: Column, x: Column, y: Column, size: Column | float) -> tuple[Column, Column]:
     """A point of a square under the symmetry t: t % 4 quarter turns, mirrored first if t >= 4."""
     last = (size if isinstance(size, Column) else F.lit(size)) - 1
@@ -249,4 +266,11 @@ def correlation(a: Column, b: Column, weights: Column | None = None) -> Column:
     return F.when((va <= 1e-12) | (vb <= 1e-12), 0.0).otherwise(cov / F.sqrt(va * vb))
 
 
-Rule = Callable[[Column], Column]
+def content_hash(payload: Column | str) -> Column:
+    """SHA-256 of a text or bytes, in hex."""
+    return F.sha2(col(payload).cast("binary"), 256)
+
+
+def utc_text(time: Column) -> Column:
+    """A time as a UTC text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(time.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -22,14 +22,15 @@ def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*(F.lit(float(x)) for x in bounds)), lambda b: b <= value)) if bounds else F.lit(0)
 
 
-def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """keys, and for each name the value at that place (from 0) of the key's ascending values; a rank may use ``_all``, their number.
 
     Equal values are counted first, so a hot key is small before it is looked at; counts of buckets tell in
     which bucket a place lies, and only those buckets are sorted, each by itself.
     """
-    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = some.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_bucket", bucket_of(F.col("_v"), cuts(some, "_v")))
+    weight = F.lit(1) if weight is None else weight
+    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), weight.alias("_w"))
+    counts = some.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n")).withColumn("_bucket", bucket_of(F.col("_v"), cuts(some, "_v")))
     every = Window.partitionBy(*keys, F.lit(0))  # one row for each bucket
     whole = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
     whole = whole.withColumns({"_all": F.sum("_in").over(every), "_before": F.sum("_in").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")})
@@ -46,11 +47,14 @@ def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
     return placed.groupBy(*keys).agg(*(at(r).alias(name) for name, r in ranks.items()), F.first("_all").alias("_all"))
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """keys, and for each name that share's quantile of the key's values: exact, with linear interpolation; nulls left out."""
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], weight: Column | None = None) -> DataFrame:
+    """keys, and for each name that share's quantile of the key's values: exact, with linear interpolation; nulls left out.
+
+    A row stands for ``weight`` equal ones.
+    """
     place = {n: F.lit(p) * (F.col("_all") - 1) for n, p in shares.items()}
     ranks = {f"_lo_{n}": F.floor(h) for n, h in place.items()} | {f"_hi_{n}": F.ceil(h) for n, h in place.items()}
-    found = _at_ranks(rows, keys, value, ranks)
+    found = _at_ranks(rows, keys, value, ranks, weight)
     return found.select(*keys, *((F.col(f"_lo_{n}") + (h - F.floor(h)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, h in place.items()))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import signal
 import time
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,33 +15,66 @@ OUTPUT = "x double, y double, theta double, scale double, found int, score doubl
 _BUILT: dict = {}
 
 
+class _Late(Exception):
+    pass
+
+
+@contextmanager
+def _within(limit: float | None):
+    """Raises _Late in the block after limit seconds; a task's Python code runs in its worker's main thread."""
+    if limit is None:
+        yield
+        return
+
+    def ring(*_):
+        raise _Late
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, max(limit, 1e-6))
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def isolated_map(rows: DataFrame, key: str, make: Callable[[], object], answer: Callable[[object, dict], dict], limit: float | None = None) -> DataFrame:
     """key and OUTPUT: answer(model, row) for each row, with the model made once in each worker process.
 
-    A row whose answer raises, comes late (limit in seconds, looked at when it returns) or isn't a number
-    is refused: found 0, zeros, and the reason in error. No row is ever missing.
+    A row whose answer raises, takes longer than limit seconds (it is interrupted then), or isn't of numbers is
+    refused: found 0, zeros, and the reason in error. No row is ever missing, and none takes others down.
     """
-    kind, name = rows.schema[key].dataType.simpleString(), f"{make.__module__}.{make.__qualname__}"
+    kind, token = rows.schema[key].dataType.simpleString(), uuid.uuid4().hex
     blank = {"x": 0.0, "y": 0.0, "theta": 0.0, "scale": 0.0, "found": 0, "score": 0.0, "error": None}
+    types = {k: type(v) for k, v in blank.items() if k != "error"}
+
+    def checked(got: dict) -> dict:
+        got = {k: kind(got.get(k, blank[k])) for k, kind in types.items()}
+        if any(x != x or x in (float("inf"), float("-inf")) for x in got.values()):
+            raise ValueError
+        return got | {"error": None}
 
     def run(it):
-        if name not in _BUILT:
-            _BUILT[name] = make()
-        model = _BUILT[name]
+        if token not in _BUILT:
+            _BUILT[token] = make()
+        model = _BUILT[token]
         for pdf in it:
             out = []
             for row in pdf.to_dict("records"):
-                began, got = time.perf_counter(), dict(blank)
+                began, got = time.perf_counter(), None
                 try:
-                    got |= answer(model, row)
-                    if any(got[k] is None or got[k] != got[k] for k in blank if k != "error"):
-                        got = blank | {"error": "not a number"}
+                    with _within(limit):
+                        got = answer(model, row)
+                except _Late:
+                    got = blank | {"error": "late"}
                 except Exception as e:  # noqa: BLE001 - any failure of the user's function is a refusal
                     got = blank | {"error": type(e).__name__}
-                took = time.perf_counter() - began
-                if limit is not None and took > limit:
-                    got = blank | {"error": "late"}
-                out.append({key: row[key]} | got | {"seconds": took})
+                else:
+                    try:
+                        got = checked(got)
+                    except Exception:  # noqa: BLE001 - whatever else the user's function gave
+                        got = blank | {"error": "not a number"}
+                out.append({key: row[key]} | got | {"seconds": time.perf_counter() - began})
             yield pd.DataFrame(out, columns=[key, *blank, "seconds"])
 
     return rows.mapInPandas(run, f"`{key}` {kind}, {OUTPUT}")

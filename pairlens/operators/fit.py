@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..sources.io import shared_folder
 from . import score as s
+from .aggregate import quantiles
 
 
 def scaling(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -18,6 +20,13 @@ def scaling(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float,
     return {x: (one[f"m{i}"] or 0.0, one[f"s{i}"] or 1.0) for i, x in enumerate(features)}
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows from a table in the shared folder, for fits that pass over them again and again."""
+    path = shared_folder(rows.sparkSession, "fit")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _scaled(scale: Mapping[str, tuple[float, float]]) -> list[Column]:
     return [(c.zero_if_missing(x) - m) / d for x, (m, d) in scale.items()]
 
@@ -63,6 +72,7 @@ def newton(rows: DataFrame, features: Sequence[str], label: str, ridge: float =
     scale = scaling(rows, features)
     names = [f"_z{i}" for i in range(len(features) + 1)]
     data = rows.select(F.col(label).cast("double").alias("_y"), *(e.alias(n) for e, n in zip(_scaled(scale), names, strict=False)), F.lit(1.0).alias(names[-1]))
+    data = stored(data)
     k, w = len(names), np.zeros(len(features) + 1)
     for _ in range(steps):
         p = c.sigmoid(sum((float(x) * F.col(n) for x, n in zip(w, names, strict=True)), F.lit(0.0)))
@@ -93,7 +103,10 @@ def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    mid = rows.agg(*(F.percentile(c.finite(x), F.lit(0.5)).alias(x) for x in features)).first()
+    mid = {}
+    for x in features:
+        one = quantiles(rows.select(c.finite(x).alias("v")), [], "v", {"mid": 0.5}).first()
+        mid[x] = one["mid"] if one else None
     names = [f"_z{i}" for i in range(len(features))]
     data = rows.withColumns({n: F.coalesce(c.finite(x), F.lit(mid[x] or 0.0)) for n, x in zip(names, features, strict=True)} | {"_label": F.col(label).cast("double")})
     data = VectorAssembler(inputCols=names, outputCol="_features").transform(data)
@@ -124,16 +137,31 @@ def cross_validated(rows: DataFrame, build: Callable[[DataFrame], Column], folds
     return out
 
 
-def compared(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, least_finite: float = 0.5) -> DataFrame:
-    """name, eligible, auc: logistic fits of named feature sets; a set is eligible if all its columns exist and are finite often enough."""
-    wanted = sorted({x for xs in sets.values() for x in xs if x in rows.columns})
-    share = rows.agg(*(F.avg(c.finite(x).isNotNull().cast("double")).alias(x) for x in wanted)).first()
-    out = []
+def compared(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, fold: str, least: float = 0.5) -> DataFrame:
+    """name, eligible, auc, held_total, held_f1: a standardised logistic fit of each named feature set on the other folds,
+    with the threshold that is best there, and what both earn on the fold, as the mean over folds; a set is eligible
+    if all its columns exist and are finite often enough. rows come from measured()."""
+    wanted = sorted({x for xs in sets.values() for x in xs})
+    usable = {r["feature"] for r in c.available(rows, wanted, least).collect() if r["usable"]}
+    ids, out = [r[0] for r in rows.select(fold).distinct().collect()], []  # a few folds
     for name, xs in sets.items():
-        good = all(x in rows.columns and share[x] >= least_finite for x in xs)
-        auc = None
-        if good:
-            data = rows.select(predicted(newton(rows, xs, label)).alias("score"), F.col(label).alias("_l"))
-            auc = s.auc(data, [], "_l").first()["auc"]
-        out.append((name, good, auc))
-    return rows.sparkSession.createDataFrame(out, "name string, eligible boolean, auc double")
+        if not usable.issuperset(xs):
+            out.append((name, False, None, None, None))
+            continue
+        fits = {k: predicted(logistic(rows.filter(F.col(fold) != k), xs, label)) for k in ids}
+        value = F.lit(None).cast("double")
+        for k, e in fits.items():
+            value = F.when(F.col(fold) == k, e).otherwise(value)
+        held = rows.withColumn("score", value)
+        auc = s.auc(held.select("score", F.col(label).alias("_l")), [], "_l").first()["auc"]
+        # a fold's threshold comes from its own fit on the other folds' rows
+        own = held.filter(F.col("grp").isin("A", "B", "C"))
+        train = None
+        for k, e in fits.items():
+            one = s.histogram(rows.filter((F.col(fold) != k) & F.col("grp").isin("A", "B", "C")).withColumn("score", e), []).withColumn(fold, F.lit(k))
+            train = one if train is None else train.unionByName(one)
+        best = s.best(s.sweep_hist(train, [fold]).withColumn("total", F.round("total", 9)), [fold]).select(F.col(fold).alias("_k"), "threshold")
+        at = s.sweep_hist(s.histogram(own, [fold]), [fold]).join(F.broadcast(best), F.col(fold) == F.col("_k")).filter("score >= threshold")
+        got = at.groupBy(fold).agg(F.min_by("total", "score").alias("t"), F.min_by("f1", "score").alias("f")).agg(F.avg("t").alias("t"), F.avg("f").alias("f")).first()
+        out.append((name, True, auc, got["t"], got["f"]))
+    return rows.sparkSession.createDataFrame(out, "name string, eligible boolean, auc double, held_total double, held_f1 double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import joined, quantiles
+
 SCORES = ("zncc", "rank_score", "band_score", "dog_score")
 # fixed values: named boxes of tolerance (pixels)
 BOXES = {"tight": 1.0, "basin": 3.0, "loose": 6.0}
@@ -63,20 +65,21 @@ def against(errors: DataFrame, base: str, limit: float = 5.0, pair: str = "pair_
     return one.withColumn("net", F.col("rescued") - F.col("broken"))
 
 
-def clustered(proposals: Column, radius: float = 6.0) -> Column:
-    """Greedy clusters of an array of (score, x, y) structs, the strongest first.
+def clustered(proposals: Column, radius: float = 6.0, verify: bool = False) -> Column:
+    """Greedy clusters of an array of (score, x, y) structs, the strongest first; with verify, of (score, x, y, check).
 
     A proposal joins the first cluster whose first member is within the radius, else it starts one. Each
     cluster carries its start and sums; proposals of one pair are few, so this is a fold over an array.
     """
-    start = F.array().cast("array<struct<x0:double,y0:double,n:int,s:double,sx:double,sy:double,top:double>>")
+    start = F.array().cast("array<struct<x0:double,y0:double,n:int,s:double,sx:double,sy:double,top:double,check:double>>")
+    check = lambda p: (p["check"] if verify else F.lit(None)).cast("double")
     order = F.reverse(F.array_sort(proposals))
 
     def join(clusters: Column, p: Column) -> Column:
         near = lambda k: F.hypot(p["x"] - k["x0"], p["y"] - k["y0"]) <= radius
         at = F.array_position(F.transform(clusters, near), F.lit(True))
-        grown = F.transform(clusters, lambda k, i: F.when(i + 1 == at, F.struct(k["x0"].alias("x0"), k["y0"].alias("y0"), (k["n"] + 1).alias("n"), (k["s"] + p["score"]).alias("s"), (k["sx"] + p["score"] * p["x"]).alias("sx"), (k["sy"] + p["score"] * p["y"]).alias("sy"), k["top"].alias("top"))).otherwise(k))
-        own = F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.lit(1).alias("n"), p["score"].alias("s"), (p["score"] * p["x"]).alias("sx"), (p["score"] * p["y"]).alias("sy"), p["score"].alias("top"))
+        grown = F.transform(clusters, lambda k, i: F.when(i + 1 == at, F.struct(k["x0"].alias("x0"), k["y0"].alias("y0"), (k["n"] + 1).alias("n"), (k["s"] + p["score"]).alias("s"), (k["sx"] + p["score"] * p["x"]).alias("sx"), (k["sy"] + p["score"] * p["y"]).alias("sy"), k["top"].alias("top"), F.greatest(k["check"], check(p)).alias("check"))).otherwise(k))
+        own = F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.lit(1).alias("n"), p["score"].alias("s"), (p["score"] * p["x"]).alias("sx"), (p["score"] * p["y"]).alias("sy"), p["score"].alias("top"), check(p).alias("check"))
         return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(own)))
 
     return F.aggregate(order, start, join)
@@ -100,14 +103,37 @@ def voted(clusters: Column, rule: str) -> Column:
     return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
 
 
+def verified(clusters: Column, k: int = 4, alpha: Column | float = 0.0) -> Column:
+    """(x, y) of the one of the k clusters with the greatest total confidence that has the best check (the greatest of
+    its members'), plus alpha times its share of the k clusters' confidence; the first on ties."""
+    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    # by confidence, the earlier first on ties
+    order = F.array_sort(F.transform(clusters, lambda c, i: F.struct((-c["s"]).alias("s"), i.alias("i"), c.alias("k"))))
+    top = F.slice(order, 1, k)
+    whole = F.aggregate(top, F.lit(0.0), lambda s, c: s + c["k"]["s"])
+    whole = F.when(whole == 0, 1.0).otherwise(whole)
+    value = lambda c, i: F.struct((c["k"]["check"] + alpha * c["k"]["s"] / whole).alias("v"), (-i).alias("i"), c["k"].alias("k"))
+    best = F.array_max(F.transform(top, value))["k"]
+    weight = F.when(best["s"] == 0, 1.0).otherwise(best["s"])
+    return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
+
+
 def routed(rows: DataFrame, thresholds: Sequence[float], ratio: str, cheap: str, costly: str, limit: float = 5.0) -> DataFrame:
-    """threshold, acc, p99, passes, ok: the cheap answer where ratio <= threshold (1 pass), else the costly one (9).
+    """threshold, acc, p99, passes, ok, chosen: the cheap answer where ratio <= threshold (1 pass), else the costly one (9).
 
-    ok: no less accurate than always costly, and its p99 within 5 %.
+    ok: no less accurate than always costly, and its p99 within 5 %. chosen: of those the one with the fewest
+    passes, the least on ties. Rows are counted by the number of thresholds below their ratio and by their
+    errors first; only those counts are taken once for each threshold.
     """
-    grid = rows.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    base = rows.agg(F.avg((F.col(costly) <= limit).cast("double")).alias("_acc"), F.percentile(costly, F.lit(0.99)).alias("_p99"))
-    fast = F.col(ratio) <= F.col("threshold")
-    long = rows.crossJoin(F.broadcast(grid)).withColumn("_e", F.when(fast, F.col(cheap)).otherwise(F.col(costly)))
-    one = long.groupBy("threshold").agg(F.avg((F.col("_e") <= limit).cast("double")).alias("acc"), F.percentile("_e", F.lit(0.99)).alias("p99"), F.avg(F.when(fast, 1.0).otherwise(9.0)).alias("passes"))
-    return one.crossJoin(base).select("threshold", "acc", "p99", "passes", ((F.col("acc") >= F.col("_acc")) & (F.col("p99") <= F.col("_p99") * 1.05)).alias("ok"))
+    grid = F.array(*(F.lit(float(t)) for t in sorted(thresholds)))
+    below = F.size(F.filter(grid, lambda t: t < F.col(ratio)))
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("fast"), F.col(cheap).alias("e")), F.struct(F.lit(False).alias("fast"), F.col(costly).alias("e"))))
+    counts = rows.filter(F.col(ratio).isNotNull()).select(below.alias("_below"), kinds.alias("k")).groupBy("_below", "k.fast", "k.e").agg(F.count("*").alias("_n"))
+    base = counts.filter("not fast").agg((F.sum(F.when(F.col("e") <= limit, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("_acc"))
+    p99 = quantiles(counts.filter("not fast"), [], "e", {"_p99": 0.99}, F.col("_n"))
+    long = counts.select("*", F.posexplode(grid).alias("_place", "threshold")).filter((F.col("_below") <= F.col("_place")) == F.col("fast"))
+    one = long.groupBy("threshold").agg((F.sum(F.when(F.col("e") <= limit, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("acc"), (F.sum(F.when(F.col("fast"), 1.0).otherwise(9.0) * F.col("_n")) / F.sum("_n")).alias("passes"))
+    one = joined(one, quantiles(long, ["threshold"], "e", {"p99": 0.99}, F.col("_n")), ["threshold"])
+    one = one.crossJoin(base).crossJoin(p99).withColumn("ok", (F.col("acc") >= F.col("_acc")) & (F.col("p99") <= F.col("_p99") * 1.05))
+    best = F.min(F.when(F.col("ok"), F.struct("passes", "threshold"))).over(Window.partitionBy(F.lit(0)))  # one row for each threshold
+    return one.withColumn("_best", best).select("threshold", "acc", "p99", "passes", "ok", F.coalesce(F.col("threshold") == F.col("_best.threshold"), F.lit(False)).alias("chosen"))

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import with_ordinal
+
 
 def portable_hash(*parts: Column | str | int) -> Column:
     """32 bits: the first eight hex digits of the md5 of the parts joined by bars."""
@@ -40,18 +42,27 @@ def fixed_size(rows: DataFrame, n: int, seed: int, key: str = "pair_id") -> Data
     return rows.withColumn("_h", portable_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def draws(rows: DataFrame, stratum: str, quotas: Mapping[str, int], count: int, counts: Mapping[str, int], key: str = "pair_id", slack: float = 1.6) -> DataFrame:
-    """rows of ``count`` stratified draws (column draw), each with exact quotas, shared by all that is computed on them.
+def draws(rows: DataFrame, stratum: str, quotas: Mapping[str, int], count: int, key: str = "pair_id") -> DataFrame:
+    """rows of ``count`` stratified draws (column draw), each with exact quotas, without replacement, shared by all that is computed on them.
 
-    Rows whose hash is beyond slack times the share that a draw needs are left out before the window; if
-    that leaves a draw short, use more slack (the result is checked by the caller's counts).
+    Rows are numbered once within their stratum (by a numeric key). A draw hashes to places, some more than
+    its quota; the first distinct ones count. So the work grows with draws times quotas, not with draws times
+    rows. A draw that stays short is an error.
     """
-    spark = rows.sparkSession
-    share = spark.createDataFrame([(k, q, min(1.0, slack * q / max(1, counts.get(k, 0)) + 0.01)) for k, q in quotas.items()], f"{stratum} string, _quota int, _share double")
-    long = rows.join(F.broadcast(share), stratum).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    some = long.withColumn("_h", portable_hash(key, F.col("draw"))).filter(F.col("_h") < F.col("_share") * 4294967296.0)
-    order = Window.partitionBy("draw", stratum).orderBy("_h", key)
-    return some.withColumn("_place", F.row_number().over(order)).filter("_place <= _quota").drop("_place", "_quota", "_share", "_h")
+    quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
+    some = with_ordinal(rows.filter(F.col(stratum).isin(*quotas)), key, "_at", within=[stratum])
+    strata = some.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n")).withColumn("_quota", quota[F.col("_s")])
+    # enough tries for the quota of distinct places, with room to spare
+    tries = F.ceil(-2 * F.col("_n") * F.log(F.greatest(1 - F.col("_quota") / (F.col("_n") + 0.5), F.lit(1e-9)))) + 40
+    asked = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).repartition("draw").withColumn("_i", F.explode(F.sequence(F.lit(0), tries.cast("int") - 1)))
+    asked = asked.withColumn("_place", portable_hash("_s", "draw", "_i") % F.col("_n"))
+    # a draw's places of one stratum are a few times its quota
+    first = asked.groupBy("draw", "_s", "_quota", "_place").agg(F.min("_i").alias("_i"))
+    own = Window.partitionBy("draw", "_s")
+    first = first.withColumns({"_k": F.row_number().over(own.orderBy("_i")), "_have": F.count("*").over(own)}).filter("_k <= _quota")
+    place = F.when(F.col("_have") < F.col("_quota"), F.raise_error(F.lit("a draw has fewer rows than its quota")).cast("long")).otherwise(F.col("_place"))
+    chosen = first.select("draw", "_s", place.alias("_place"))
+    return some.join(chosen, (F.col(stratum) == F.col("_s")) & (F.col("_at") == F.col("_place"))).drop("_s", "_at", "_place")
 
 
 def poisson_weight(u: Column, most: int = 6) -> Column:
@@ -71,25 +82,58 @@ def bootstrap_weights(rows: DataFrame, count: int, seed: int = 0, key: str = "pa
     return long.withColumn("weight", poisson_weight(uniform(key, F.col("draw"), seed))).filter("weight > 0")
 
 
-def paired_difference(rows: DataFrame, value_a: str, value_b: str, count: int, seed: int = 0, key: str = "pair_id", strata: Sequence[str] = ()) -> DataFrame:
-    """draw, delta: weighted mean of b less that of a in each draw, both runs with the same weights (mean over strata)."""
-    w = bootstrap_weights(rows.select(key, *strata, value_a, value_b), count, seed, key)
-    one = w.groupBy("draw", *strata).agg((F.sum(F.col("weight") * (F.col(value_b) - F.col(value_a))) / F.sum("weight")).alias("d"))
+def cell_weights(cells: DataFrame, keys: Sequence[str], count: int, seed: int = 0) -> DataFrame:
+    """cells (keys, n rows alike) once for each draw with the weight of all their rows: a sum of n Poisson(1) counts.
+
+    Up to 15 rows the counts are drawn one by one, beyond that the sum is drawn from its normal limit, rounded.
+    """
+    long = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    one = lambda i: poisson_weight(uniform(*keys, "draw", i, seed))
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(15)).cast("int")), F.lit(0), lambda w, i: w + one(i))
+    angle, size = uniform(*keys, "draw", F.lit("a"), seed), uniform(*keys, "draw", F.lit("b"), seed)
+    normal = F.sqrt(-2 * F.log(size)) * F.cos(angle * (2 * 3.141592653589793))
+    many = F.greatest(F.lit(0), F.floor(F.col("n") + F.sqrt(F.col("n").cast("double")) * normal + 0.5))
+    return long.withColumn("weight", F.when(F.col("n") <= 15, few).otherwise(many)).filter("weight > 0")
+
+
+def paired_difference(rows: DataFrame, value_a: str, value_b: str, count: int, seed: int = 0, strata: Sequence[str] = ()) -> DataFrame:
+    """draw, delta: weighted mean of b less that of a in each draw, both runs with the same weights (mean over strata).
+
+    Values are credits or hits, so rows fall into few cells of stratum and both values (in thousandths); only
+    cells are drawn, whatever the number of rows. Round other values first.
+    """
+    milli = {n: F.round(F.col(v) * 1000).cast("int").alias(n) for n, v in (("_a", value_a), ("_b", value_b))}
+    cells = rows.groupBy(*strata, *milli.values()).agg(F.count("*").alias("n"))
+    w = cell_weights(cells, [*strata, "_a", "_b"], count, seed)
+    one = w.groupBy("draw", *strata).agg((F.sum(F.col("weight") * (F.col("_b") - F.col("_a"))) / F.sum("weight") / 1000).alias("d"))
     return one.groupBy("draw").agg(F.avg("d").alias("delta"))
 
 
 def interval(deltas: DataFrame, bar: float = 0.35) -> DataFrame:
-    """mean, lo, hi (95 %), p_better, p_bar of a difference's draws."""
+    """mean, lo, hi (95 %), p_better, p_worse, p_bar of a difference's draws (one row for each draw)."""
     p = lambda q: F.percentile("delta", F.lit(q))
-    return deltas.agg(F.avg("delta").alias("mean"), p(0.025).alias("lo"), p(0.975).alias("hi"), F.avg((F.col("delta") > 0).cast("double")).alias("p_better"), F.avg((F.col("delta") >= bar).cast("double")).alias("p_bar"))
+    chance = lambda flag: F.avg(flag.cast("double"))
+    d = F.col("delta")
+    return deltas.agg(F.avg(d).alias("mean"), p(0.025).alias("lo"), p(0.975).alias("hi"), chance(d > 0).alias("p_better"), chance(d < 0).alias("p_worse"), chance(d >= bar).alias("p_bar"))
 
 
 def half_splits(rows: DataFrame, stratum: str, seeds: int, key: str = "pair_id") -> DataFrame:
-    """rows once for each seed with half (0 or 1): exact halves of each stratum."""
-    long = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    w = Window.partitionBy("seed", stratum)
-    place = F.row_number().over(w.orderBy(portable_hash(key, F.col("seed")), key))
-    return long.withColumn("half", (place > F.count("*").over(w) / 2).cast("int"))
+    """rows once for each seed with half (0 or 1): exact halves of each stratum, in the order of a hash.
+
+    Counts of 1,024 ranges of the hash tell in which one a stratum's middle lies; only that one is sorted.
+    """
+    long = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_h", portable_hash(key, F.col("seed")))
+    long = long.withColumn("_range", F.shiftright("_h", 22).cast("int"))
+    every = Window.partitionBy("seed", stratum)
+    counts = long.groupBy("seed", stratum, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumns({"_all": F.sum("_n").over(every), "_upto": F.sum("_n").over(every.orderBy("_range"))})
+    counts = counts.select(F.col("seed").alias("_seed"), F.col(stratum).alias("_s"), F.col("_range").alias("_r"), (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", (F.col("_all") / 2).alias("_middle"))
+    long = long.join(F.broadcast(counts), (F.col("seed") == F.col("_seed")) & F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))  # 1,024 rows for each seed and stratum
+    at_cut = (F.col("_before") < F.col("_middle")) & (F.col("_upto") > F.col("_middle"))
+    own = F.row_number().over(Window.partitionBy("seed", stratum, "_range").orderBy("_h", key))
+    sure = long.filter(~at_cut).withColumn("half", (F.col("_upto") > F.col("_middle")).cast("int"))
+    near = long.filter(at_cut).withColumn("half", (F.col("_before") + own > F.col("_middle")).cast("int"))
+    return sure.unionByName(near).select(*rows.columns, "seed", "half")
 
 
 def apportioned(weights: DataFrame, total: int, name: str = "name", weight: str = "weight") -> DataFrame:
@@ -109,3 +153,16 @@ def worker_quotas(spark, total: int, workers: int, cap: int | None = None) -> Da
         return one.withColumn("n", F.col("n").cast("long"))
     upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("worker"))
     return one.select("worker", F.greatest(F.lit(0), F.least(F.col("n"), cap - (upto - F.col("n")))).cast("long").alias("n"))
+
+
+def composition_plan(weights: DataFrame, total: int, levels: int, low: float, high: float, seed: int = 0, name: str = "name", weight: str = "weight") -> DataFrame:
+    """place, name, level, value: one row for each of ``total`` items (a plan is as long as it is asked for).
+
+    Shares by largest remainders; each name cycles through the levels, has a uniform value within the bounds,
+    and its items are spread evenly over the plan.
+    """
+    some = apportioned(weights, total, name, weight).filter("n > 0")
+    items = some.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    value = low + (high - low) * uniform(name, F.col("_i"), seed)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.round((F.col("_i") + 0.5) / F.col("n"), 9), name)
+    return items.select((F.row_number().over(order) - 1).cast("long").alias("place"), name, (F.col("_i") % levels).cast("int").alias("level"), value.alias("value"))

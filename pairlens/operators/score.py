@@ -152,6 +152,36 @@ def best(swept: DataFrame, keys: Sequence[str], value: str = "total", score: str
     return joined.filter(F.col(value) >= F.col("best") - margin).groupBy(*keys).agg(F.first("best").alias("best"), F.min(score).alias("threshold"))
 
 
+def trained(own: DataFrame, fold: str, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Each fold's training histogram, from the folds' own ones: the total of a score less what the fold has there."""
+    ids = own.select(F.col(fold).alias("_f")).distinct()  # a few folds
+    entry = F.struct(F.col(fold).alias("key"), F.struct(*measures).alias("value"))
+    total = own.groupBy("score").agg(*(F.sum(m).alias(m) for m in measures), F.map_from_entries(F.collect_list(entry)).alias("_own"))
+    mine = F.try_element_at("_own", F.col("_f"))
+    less = total.crossJoin(F.broadcast(ids)).select(F.col("_f").alias(fold), "score", *((F.col(m) - F.coalesce(mine[m], F.lit(0))).alias(m) for m in measures))
+    return less.filter("n > 0")
+
+
+def fold_thresholds(own: DataFrame, fold: str) -> DataFrame:
+    """fold, threshold: the best total on the other folds."""
+    return best(sweep_hist(trained(own, fold), [fold]).withColumn("total", F.round("total", 9)), [fold]).select(fold, "threshold")
+
+
+def held_out(rows: DataFrame, fold: str) -> DataFrame:
+    """fold, threshold, held_total, held_f1: each fold's best threshold on the other folds, and what it earns on the fold itself."""
+    own = histogram(rows.filter(F.col("grp").isin("A", "B", "C")), [fold])
+    chosen = fold_thresholds(own, fold).withColumnRenamed(fold, "_k")
+    # the fold's own row with the least score at or above the threshold tells all sums of score >= threshold
+    at = sweep_hist(own, [fold]).join(F.broadcast(chosen), F.col(fold) == F.col("_k")).filter(F.col("score") >= F.col("threshold"))
+    return at.groupBy(fold, "threshold").agg(F.min_by("total", "score").alias("held_total"), F.min_by("f1", "score").alias("held_f1"))
+
+
+def found_total(swept: DataFrame) -> DataFrame:
+    """A sweep with f1_found (findings as the positive answers) and total_found, the total with it."""
+    found = f1(F.col("ge_present"), F.col("ge_absent"), F.col("all_present") - F.col("ge_present"))
+    return swept.withColumn("f1_found", found).withColumn("total_found", F.col("total") + POINTS["f1"] * (F.col("f1_found") - F.col("f1")))
+
+
 def pr_curve(rows: DataFrame, keys: Sequence[str], label: str, score: str = "score") -> DataFrame:
     """keys, score, precision, recall, and both before the score's own rows: one point for each distinct score, from the highest."""
     rows = rows.withColumns({"_tp": F.when(F.col(label) == 1, 1).otherwise(0), "_all": F.lit(1)})

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import band_join, near_cells
+from ..sources.io import shared_folder
+from .aggregate import quantiles
+from .joins import band_join
 
 
 def bounding_boxes(vertices: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -51,13 +53,21 @@ def voted_offset(matches: DataFrame, n_reference: DataFrame, few: int = 8, bars:
     return one.select("b.*", support.alias("support"), (support >= F.when(F.col("n") < few, bars[0]).otherwise(bars[1])).alias("accepted"))
 
 
+def edge_differences(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """layer, gap, n: differences e - r within reach of the edges of a layer, and how many pairs have each.
+
+    Equal edges are counted on both sides first, so pairs of edges are never made one by one.
+    """
+    a = left.groupBy("layer", "e").agg(F.count("*").alias("na"))
+    b = right.groupBy("layer", "r").agg(F.count("*").alias("nb"))
+    met = band_join(a, b, ["layer"], [("e", "r", reach)])
+    return met.groupBy("layer", (F.col("e") - F.col("r")).alias("gap")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+
+
 def edge_votes(boxes: DataFrame, reference: DataFrame, edge: str, guess: float, reach: float = 15.0, top: int = 3) -> DataFrame:
     """d, votes: the most frequent differences of one edge between boxes and reference boxes of a layer."""
-    left = boxes.select("layer", (F.col(edge) - guess).alias("e"))
-    right = reference.select("layer", F.col(edge).alias("r"))
-    right = right.withColumn("_c", F.explode(near_cells(F.col("r"), reach)))
-    met = left.withColumn("_c", F.floor(F.col("e") / reach)).join(right, ["layer", "_c"]).filter(F.abs(F.col("e") - F.col("r")) <= reach)
-    votes = met.groupBy(F.round(F.col("e") - F.col("r") + guess, 2).alias("d")).agg(F.count("*").alias("votes"))
+    votes = edge_differences(boxes.select("layer", (F.col(edge) - guess).alias("e")), reference.select("layer", F.col(edge).alias("r")), reach)
+    votes = votes.groupBy(F.round(F.col("gap") + guess, 2).alias("d")).agg(F.sum("n").alias("votes"))
     return votes.orderBy(F.desc("votes"), "d").limit(top)
 
 
@@ -134,9 +144,7 @@ def settled(df: DataFrame) -> DataFrame:
     """A small table between rounds, kept in the session's checkpoint folder, so plans don't grow."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlens-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
@@ -162,7 +170,7 @@ def plane_fit(rows: DataFrame, key: str, x: str, y: str, z: str, rounds: int = 3
         if turn + 1 < rounds:
             off = F.abs(F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")))
             scored = rows.join(fit.select("_k", *"abc"), "_k").withColumn("_off", off)
-            limit = settled(scored.groupBy("_k").agg(F.greatest(3 * F.percentile("_off", F.lit(0.5)), F.lit(floor)).alias("_limit")))
+            limit = settled(quantiles(scored, ["_k"], "_off", {"_mid": 0.5}).select("_k", F.greatest(3 * F.col("_mid"), F.lit(floor)).alias("_limit")))
             kept = scored.join(limit, "_k").filter("_off <= _limit").select("_k", "x", "y", "z")
     return fit.withColumnRenamed("_k", key)
 
@@ -198,7 +206,7 @@ def huber_fit(rows: DataFrame, key: str, inputs: Sequence[str], target: str, rou
         guess = sum((F.col(n) * F.col("_b")[i] for i, n in enumerate(names)), F.lit(0.0))
         off = rows.join(fit, "_k").withColumn("_off", F.col("_z") - guess)
         if turn + 1 < rounds:
-            scale = settled(off.groupBy("_k").agg((1.4826 * F.percentile(F.abs("_off"), F.lit(0.5)) + 1e-12).alias("_s")))
+            scale = settled(quantiles(off.withColumn("_abs", F.abs("_off")), ["_k"], "_abs", {"_mid": 0.5}).select("_k", (1.4826 * F.col("_mid") + 1e-12).alias("_s")))
             u = F.abs("_off") / F.col("_s")
             weighted = off.join(scale, "_k").withColumn("_w", F.when(u <= width, 1.0).otherwise(width / u))
     r2 = 1 - F.sum(F.col("_off") * F.col("_off")) / F.nullif(F.var_pop("_z") * F.count("*"), F.lit(0.0))

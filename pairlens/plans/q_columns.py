@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..operators.aggregate import quantiles
 from .fixtures import Queries
 
 Q = Queries()
@@ -71,15 +72,14 @@ NANS = "case when c%17=0 then cast('nan' as double) when c%19=0 then cast('infin
 @Q.add("p10_missing_policy", f"with z as (select pair_id, {NANS} as v from v1), f as (select pair_id, case when isfinite(v) then v end as v from z) select pair_id, round(coalesce(v,0),6) as zero, round(coalesce(v,(select median(v) from f)),6) as med, cast(v is null as int) as missing from f", "v1")
 def p10(v):
     rows = v.select("pair_id", c.finite(F.expr(NANS)).alias("v"))
-    median = rows.agg(F.percentile("v", F.lit(0.5)).alias("median"))
+    median = quantiles(rows, [], "v", {"median": 0.5})
     return rows.crossJoin(F.broadcast(median)).select("pair_id", r6(c.zero_if_missing("v")).alias("zero"), r6(F.coalesce("v", "median")).alias("med"), F.col("v").isNull().cast("int").alias("missing"))
 
 
-@Q.add("p11_available", f"with z as (select {NANS} as a, case when c%3=0 then zncc end as b from v1) select 'a' as feature, round(avg(case when isfinite(a) then 1.0 else 0.0 end),6) as share, avg(case when isfinite(a) then 1.0 else 0.0 end)>=0.5 as usable from z union all select 'b', round(avg(case when isfinite(b) then 1.0 else 0.0 end),6), avg(case when isfinite(b) then 1.0 else 0.0 end)>=0.5 from z", "v1")
+@Q.add("p11_available", f"with z as (select {NANS} as a, case when c%3=0 then zncc end as b from v1) select 'a' as feature, round(avg(case when isfinite(a) then 1.0::double else 0.0 end),6) as share, avg(case when isfinite(a) then 1.0 else 0.0 end)>=0.5 as usable from z union all select 'b', round(avg(case when isfinite(b) then 1.0::double else 0.0 end),6), avg(case when isfinite(b) then 1.0 else 0.0 end)>=0.5 from z union all select 'missing', 0.0::double, false", "v1")
 def p11(v):
     rows = v.select(F.expr(NANS).alias("a"), F.expr("case when c%3=0 then zncc end").alias("b"))
-    shares = rows.agg(*(F.avg(c.finite(k).isNotNull().cast("double")).alias(k) for k in "ab"))
-    return shares.select(c.stacked({k: F.col(k) for k in "ab"}, "feature", "share")).select("feature", r6(F.col("share")).alias("share"), (F.col("share") >= 0.5).alias("usable"))
+    return c.available(rows, ["a", "b", "missing"]).withColumn("share", r6(F.col("share")))
 
 
 W9 = {"score": 2.5, "zncc": 1.25, "peak_ratio": -1.5, "pose_peak": 0.75}
@@ -161,8 +161,9 @@ def p22(v):
 def p23(v):
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.partitionBy("grp").orderBy("pair_id")) - 1
-    return v.withColumn("i", at).filter("i % 7 = 0 and i < 700").select("pair_id")
+    # a limit on the row number itself is applied before the shuffle
+    at = F.row_number().over(Window.partitionBy("grp").orderBy("pair_id"))
+    return v.withColumn("i", at).filter("i <= 700").filter("(i - 1) % 7 = 0").select("pair_id")
 
 
 SPECS = ("base:gain=1.0,steps=3", "fast:gain=0.5,steps=1,blur=true", "slow:gain=2.5,steps=9")
@@ -195,10 +196,18 @@ def f02(v):
     return v.select("pair_id", r6(c.label_offset("gt_scale")).alias("off"))
 
 
-@Q.add("f03_barrel", "select pair_id, round(r*(1+0.05*r*r),6) as fwd, round(r,6) as inv from (select pair_id, sqrt(gt_x*gt_x+gt_y*gt_y)/1000 as r from v1)", "v1")
+@Q.add("f03_barrel", "select pair_id, round(r*(1+0.05*r*r),6) as fwd, round(r,6) as inv, round(u,4) as label_x, round(w,4) as label_y from (select pair_id, sqrt(gt_x*gt_x+gt_y*gt_y)/1000 as r, gt_x as u, gt_y as w from v1)", "v1")
 def f03(v):
+    """A radius distorted and back; and a label seen through drift and distortion, moved there first: the correction finds it again."""
     r = F.hypot("gt_x", "gt_y") / 1000
-    return v.select("pair_id", r6(c.barrel(r, 0.05)).alias("fwd"), r6(c.barrel_inverse(c.barrel(r, 0.05), 0.05)).alias("inv"))
+    middle, k = 499.5, 0.05
+    u, w = (F.col("gt_x") - middle) / middle, (F.col("gt_y") - middle) / middle
+    way = 1 + k * (u * u + w * w)
+    shift = F.col("severity") * 0.75
+    # the label whose corrected place is gt_x, gt_y
+    x, y = u * way * middle + middle + shift, w * way * middle + middle
+    px, py = c.corrected_label(x, y, shift, k, 1000)
+    return v.select("pair_id", r6(c.barrel(r, 0.05)).alias("fwd"), r6(c.barrel_inverse(c.barrel(r, 0.05), 0.05)).alias("inv"), F.round(px, 4).alias("label_x"), F.round(py, 4).alias("label_y"))
 
 
 @Q.add("f04_dihedral", "with p as (select pair_id, cast(c%8 as int) as t, cast(case when c%8>=4 then 999-gt_x else gt_x end as double) as a, gt_y as b, gt_x, gt_y from v1) select pair_id, case t%4 when 1 then b when 2 then 999-a when 3 then 999-b else a end as u, case t%4 when 1 then 999-a when 2 then 999-b when 3 then a else b end as v, gt_x as bx, gt_y as by from p", "v1")
@@ -246,3 +255,13 @@ def f19(v):
     m = F.map_from_entries(F.transform(F.slice("embedding", 1, 8), lambda e, i: F.struct(i.cast("int"), e.cast("double"))))
     total = F.aggregate(c.dense(m, 8), F.lit(0.0), lambda s, x: s + x)
     return v.select("vec_id", F.round(total, 4).alias("total"), F.round(F.element_at(m, F.lit(2)), 5).alias("third"), F.size("embedding").cast("long").alias("n"))
+
+
+@Q.add("f16_content_hash", "select doc_id, sha256(text) as sha from documents", "documents")
+def f16(d):
+    return d.select("doc_id", c.content_hash("text").alias("sha"))
+
+
+@Q.add("f20_utc_stamp", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as utc from events", "events")
+def f20(e):
+    return e.select("event_id", c.utc_text(F.col("ts")).alias("utc"))

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 
 from ..operators import batch, fit
 from ..operators import score as s
+from ..sources.io import shared_folder
 from ..streaming import streams
 from .fixtures import Queries, view
 from .q_columns import r6
-from .q_score import portable_hash
+from ..operators.sample import portable_hash
 
 Q = Queries()
 FEATURES = ("score", "zncc", "peak_ratio", "pose_peak")
@@ -62,8 +60,11 @@ def m11(v):
 
 @Q.add("m12_feature_sets", None, "v1")
 def m12(v):
+    """Two folds by a hash; every fit, its threshold and its scores keep to their sides."""
     sets = {"plain": ["score"], "pair": ["score", "zncc"], "all": list(FEATURES), "missing": ["score", "no_such"]}
-    return fit.compared(v, sets, "gt_found").withColumn("auc", F.round("auc", 6))
+    rows = s.measured(v).withColumn("fold", (portable_hash("pair_id", F.lit(0)) % 2).cast("int"))
+    out = fit.compared(rows, sets, "gt_found", "fold")
+    return out.select("name", "eligible", *(F.round(k, 4).alias(k) for k in ("auc", "held_total", "held_f1")))
 
 
 @Q.add("e02_cv_callback", None, "v1")
@@ -88,19 +89,16 @@ def e03(v):
 
 
 def _folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlens-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def stream(name: str, sql: str | None = None):
-    """Registers a query over the events table, dealt into files and read back as a stream."""
+    """Registers a query over the events table, written to files and read back as a stream."""
 
     def put(f):
         def run(spark, sf_dir):
-            at = _folder(spark)
             events = view(spark, sf_dir, "events").withColumn("run", (F.col("user_id") % 8).cast("int"))
-            events.repartition(4, "event_id").write.parquet(f"{at}/in")
-            return f(streams.read(spark, f"{at}/in", events.schema), at)
+            return f(events, _folder(spark))
 
         Q[name] = run
         if sql:
@@ -114,42 +112,64 @@ def failed():
     return F.col("event_type") == "error"
 
 
-@stream("x01_mass_failure_alarm", "select cast(user_id%8 as int) as run from events group by 1 having count(*)>=8 and count_if(event_type='error')>=0.2*count(*)")
-def x01(rows, at):
-    streams.alarm(rows, "run", failed(), f"{at}/out", f"{at}/check")
-    spark = rows.sparkSession
-    last = streams.drained(streams.health(rows, "run", failed()), f"{at}/all", f"{at}/check2", "complete")
-    fired = spark.read.schema(last.schema).parquet(f"{at}/out") if streams.exists(spark, f"{at}/out") else last.limit(0)
-    # runs that still look bad at the end; a run may also have fired early and recovered
-    return fired.select("run").join(last.filter((F.col("n") >= 8) & (F.col("errors") >= 0.2 * F.col("n"))), "run", "left_semi")
+def arrive(events, at, parts: int = 4):
+    """Yields the stream of what has arrived, after each of so many parts of the events has."""
+    for k in range(parts):
+        events.filter(F.col("event_id") % parts == k).write.mode("append").parquet(f"{at}/in")
+        yield streams.read(events.sparkSession, f"{at}/in", events.schema, files=1_000_000)
+
+
+X01 = "with p as (select cast(user_id%8 as int) as run, event_id%4 as part, count(*) as n, count_if(event_type='error') as errors from events group by 1,2), c as (select run, part, sum(n) over (partition by run order by part) as n, sum(errors) over (partition by run order by part) as errors from p), a as (select *, row_number() over (partition by run order by part) as k from c where n>=8 and errors>=0.2*n) select run, n::bigint as n, errors::bigint as errors from a where k=1"
+
+
+@stream("x01_mass_failure_alarm", X01)
+def x01(events, at):
+    """Each run's state when the alarm first fires; the events arrive in four parts, each a batch of the same query."""
+    spark = events.sparkSession
+    for rows in arrive(events, at):
+        streams.alarm(rows, "run", failed(), f"{at}/out", f"{at}/check")
+    if streams.exists(spark, f"{at}/out"):
+        return spark.read.parquet(f"{at}/out").select("run", "n", "errors")
+    return events.groupBy("run").agg(F.count("*").alias("n"), F.count("*").alias("errors")).limit(0)
 
 
-@stream("x02_live_progress", "select cast(user_id%8 as int) as run, count(*) as done, count_if(event_type='purchase')::bigint as found from events group by 1")
-def x02(rows, at):
-    return streams.drained(streams.progress(rows, "run", F.col("event_type") == "purchase", "value", 10_000), f"{at}/out", f"{at}/check", "complete").select("run", "done", "found")
+@stream("x02_live_progress", "select cast(user_id%8 as int) as run, count(*) as done, count_if(event_type='purchase')::bigint as found, round(quantile_disc(value,0.5),6) as median, round(count(*)/sum(value),6) as rate, round(greatest(10000-count(*),0)/(count(*)/sum(value)),3) as eta from events group by 1")
+def x02(events, at):
+    for rows in arrive(events, at, 2):
+        out = streams.drained(streams.progress(rows, "run", F.col("event_type") == "purchase", "value", 10_000), f"{at}/out", f"{at}/check", "complete")
+    return out.select("run", "done", "found", r6(F.col("median")).alias("median"), r6(F.col("rate")).alias("rate"), F.round("eta", 3).alias("eta"))
 
 
 @stream("x03_growing_pool", "select event_id from events where cast(user_id%8 as int) in (1,3,5)")
-def x03(rows, at):
-    rows.sparkSession.createDataFrame([(1,), (3,), (5,)], "run int").write.parquet(f"{at}/markers")
-    streams.grow_pool(rows, f"{at}/markers", "run", f"{at}/out", f"{at}/check")
-    return rows.sparkSession.read.parquet(f"{at}/out").select("event_id")
+def x03(events, at):
+    """Shard 5 is marked as finished only after its first rows have arrived."""
+    spark = events.sparkSession
+    mark = lambda *ks: spark.createDataFrame([(k,) for k in ks], "run int").write.mode("append").parquet(f"{at}/markers")
+    mark(1, 3)
+    for rows in arrive(events, at, 2):
+        streams.grow_pool(rows, f"{at}/out", f"{at}/check")
+        mark(5)
+    return streams.pool(spark, f"{at}/out", f"{at}/markers", "run").select("event_id")
 
 
 @stream("x04_resume", "select event_id from events")
-def x04(rows, at):
-    streams.resume(rows.select("event_id"), "event_id", f"{at}/out", f"{at}/check")
+def x04(events, at):
+    for rows in arrive(events, at, 2):
+        streams.resume(rows.select("event_id"), "event_id", f"{at}/out", f"{at}/check")
     # again from the start, as after a lost checkpoint: nothing is added
     streams.resume(rows.select("event_id"), "event_id", f"{at}/out", f"{at}/check2")
-    return rows.sparkSession.read.parquet(f"{at}/out")
+    return events.sparkSession.read.parquet(f"{at}/out")
 
 
 def x05(spark, sf_dir):
     at = _folder(spark)
     v = view(spark, sf_dir, "v1")
-    v.repartition(4, "pair_id").write.parquet(f"{at}/in")
-    rows = s.measured(streams.read(spark, f"{at}/in", v.schema))
-    streams.score_stream(rows, ["grp"], f"{at}/out", f"{at}/check")
+    for k in range(2):
+        v.filter(F.col("pair_id") % 2 == k).write.mode("append").parquet(f"{at}/in")
+        rows = s.measured(streams.read(spark, f"{at}/in", v.schema, files=1_000_000))
+        streams.score_stream(rows, ["grp"], f"{at}/out", f"{at}/check")
+    # again from the start, as after a lost checkpoint: every file counts once
+    streams.score_stream(rows, ["grp"], f"{at}/out", f"{at}/check2")
     return streams.scored(spark, f"{at}/out", ["grp"]).select("grp", "n", r6(F.col("acc")).alias("acc"), r6(F.col("se")).alias("se"))
 
 
@@ -157,8 +177,9 @@ Q["x05_incremental_scoring"] = x05
 
 
 @stream("x06_unique_ids", "select distinct event_id from events")
-def x06(rows, at):
-    twice = rows.unionByName(rows)
+def x06(events, at):
+    for rows in arrive(events, at, 1):
+        twice = rows.unionByName(rows)
     return streams.drained(streams.unique(twice, "event_id", "ts", "3650 days").select("event_id"), f"{at}/out", f"{at}/check")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import hypotheses as h
+from ..operators.aggregate import each_alone
 from .fixtures import Queries
 from .q_columns import LOC, r6
 
@@ -85,22 +86,27 @@ def a22(v, w):
     return v.select("pair_id", "grp").join(pair, "pair_id").rollup("grp").agg(F.count("*").alias("n"), r6(F.avg(F.col("zncc") - F.col("oracle"))).alias("gap"), r6(F.try_divide(F.count_if(bad & (F.col("oracle") <= 5)), F.count_if(bad))).alias("fixed"))
 
 
-@Q.add("m20_routing_sweep", f"with {SEL}, j as (select v1.pair_id, peak_ratio, a.err as es, o.err as et from v1 join sel a on v1.pair_id=a.pair_id and a.selector='zncc' join sel o on v1.pair_id=o.pair_id and o.selector='oracle'), b as (select avg(case when et<=5 then 1.0::double else 0 end) as ba, quantile_cont(et,0.99) as bp from j), g as (select t, avg(case when case when peak_ratio<=t then es else et end<=5 then 1.0::double else 0 end) as acc, quantile_cont(case when peak_ratio<=t then es else et end,0.99) as p99, avg(case when peak_ratio<=t then 1.0::double else 9 end) as passes from j, (select unnest([0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]::double[]) as t) group by 1) select t as threshold, round(acc,6) as acc, round(p99,6) as p99, round(passes,6) as passes, acc>=ba and p99<=bp*1.05 as ok from g, b", "v1 v3")
+@Q.add("m20_routing_sweep", f"with {SEL}, j as (select v1.pair_id, peak_ratio, a.err as es, o.err as et from v1 join sel a on v1.pair_id=a.pair_id and a.selector='zncc' join sel o on v1.pair_id=o.pair_id and o.selector='oracle'), b as (select avg(case when et<=5 then 1.0::double else 0 end) as ba, quantile_cont(et,0.99) as bp from j), g as (select t, avg(case when case when peak_ratio<=t then es else et end<=5 then 1.0::double else 0 end) as acc, quantile_cont(case when peak_ratio<=t then es else et end,0.99) as p99, avg(case when peak_ratio<=t then 1.0::double else 9 end) as passes from j, (select unnest([0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]::double[]) as t) group by 1), k as (select *, acc>=ba and p99<=bp*1.05 as ok from g, b) select t as threshold, round(acc,6) as acc, round(p99,6) as p99, round(passes,6) as passes, ok, coalesce(t=arg_min(t, struct_pack(p := passes, t := t)) filter (where ok) over (), false) as chosen from k", "v1 v3")
 def m20(v, w):
     pair = h.selector_errors(w).groupBy("pair_id").pivot("selector", ["zncc", "oracle"]).agg(F.first("err"))
     out = h.routed(v.select("pair_id", "peak_ratio").join(pair, "pair_id"), [k / 10 for k in range(11)], "peak_ratio", "zncc", "oracle")
-    return out.select("threshold", r6(F.col("acc")).alias("acc"), r6(F.col("p99")).alias("p99"), r6(F.col("passes")).alias("passes"), "ok")
+    return out.select("threshold", r6(F.col("acc")).alias("acc"), r6(F.col("p99")).alias("p99"), r6(F.col("passes")).alias("passes"), "ok", "chosen")
 
 
-def proposals(v):
-    return v.groupBy("pair_id").agg(F.collect_set(F.struct(F.col("zncc").alias("score"), F.col("px").alias("x"), F.col("py").alias("y"))).alias("props"))
+def proposals(v, check: str | None = None):
+    some = [F.col("zncc").alias("score"), F.col("px").alias("x"), F.col("py").alias("y"), *([F.col(check).alias("check")] if check else [])]
+    return v.groupBy("pair_id").agg(F.collect_set(F.struct(*some)).alias("props"))
+
+
+ALPHAS = (0.0, 0.2, 0.35, 0.5, 1.0)
 
 
 @Q.add("m21_vote_rules", None, "v3")
 def m21(v):
-    """x, y of each rule for each pair; tests compare with a plain loop."""
-    k = proposals(v).select("pair_id", h.clustered(F.col("props")).alias("k"))
-    return k.select("pair_id", F.size("k").alias("clusters"), F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), h.voted(F.col("k"), r).alias("p")) for r in h.RULES)))).select("pair_id", "clusters", "rule", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
+    """x, y of each rule for each pair, with the band score as the check of the verified rules; tests compare with a plain loop."""
+    k = proposals(v, "band_score").select("pair_id", h.clustered(F.col("props"), verify=True).alias("k"))
+    rules = {r: h.voted(F.col("k"), r) for r in h.RULES} | {"verify" if a == 0 else f"verify+{a}": h.verified(F.col("k"), alpha=a) for a in ALPHAS}
+    return k.select("pair_id", F.size("k").alias("clusters"), F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), p.alias("p")) for r, p in rules.items())))).select("pair_id", "clusters", "rule", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 
 @Q.add("t03_top_clusters", "with p as (select distinct pair_id, zncc, px, py from v3), r as (select *, row_number() over (partition by pair_id order by zncc desc, px desc, py desc) as i from p) select pair_id, string_agg(cast(zncc as decimal(8,6)), ',' order by i) as top from r where i<=2 group by 1", "v3")
@@ -109,15 +115,15 @@ def t03(v):
     return proposals(v).select("pair_id", F.array_join(F.transform(top, lambda p: p["score"].cast("decimal(8,6)").cast("string")), ",").alias("top"))
 
 
-AB = f"ab as (select 'base' as variant, *, {LOC} as err from v1 union all select 'other', *, {LOC} from v2), tt as (select *, case when err<=1 then 1.0::double when err<=2 then 0.8 when err<=3 then 0.6 when err<=5 then 0.4 else 0 end as cr from ab where err is not null), gg as (select variant, severity, avg(cr) as credit, avg(abs(x-gt_x)) as dx, avg(case when err<=1 then 1.0::double else 0 end) as le1, max(err) as worst from tt group by 1,2)"
+AB = f"ab as (select 'base' as variant, *, {LOC} as err from v1 union all select 'other', *, {LOC} from v2), tt as (select *, unnest([{{'d':'severity','v':cast(severity as varchar)}},{{'d':'architecture','v':architecture}}]) as u, case when err<=1 then 1.0::double when err<=2 then 0.8 when err<=3 then 0.6 when err<=5 then 0.4 else 0 end as cr from ab where err is not null), gg as (select variant, u.d as dimension, u.v as value, avg(cr) as credit, avg(abs(x-gt_x)) as dx, avg(case when err<=1 then 1.0::double else 0 end) as le1, max(err) as worst from tt group by 1,2,3)"
 
 
-@Q.add("m22_variant_ab", f"with {AB} select g.variant, g.severity, round(g.credit,6) as credit, round(g.dx,6) as dx, round(g.le1,6) as le1, round(g.worst,6) as worst, round(40*(g.credit-b.credit),6) as points from gg g join gg b on b.variant='base' and b.severity=g.severity", "v1 v2")
+@Q.add("m22_variant_ab", f"with {AB} select g.variant, g.dimension, g.value, round(g.credit,6) as credit, round(g.dx,6) as dx, round(g.le1,6) as le1, round(g.worst,6) as worst, round(40*(g.credit-b.credit),6) as points from gg g join gg b on b.variant='base' and b.dimension=g.dimension and b.value=g.value", "v1 v2")
 def m22(v, w):
     both = v.withColumn("variant", F.lit("base")).union(w.withColumn("variant", F.lit("other"))).withColumn("err", c.location_error()).filter("err is not null")
-    one = both.groupBy("variant", "severity").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"), F.avg(F.abs(F.col("x") - F.col("gt_x"))).alias("dx"), F.avg((F.col("err") <= 1).cast("double")).alias("le1"), F.max("err").alias("worst"))
-    base = one.filter("variant = 'base'").select("severity", F.col("credit").alias("_b"))
-    return one.join(base, "severity").select("variant", "severity", *(r6(F.col(k)).alias(k) for k in ("credit", "dx", "le1", "worst")), r6(40 * (F.col("credit") - F.col("_b"))).alias("points"))
+    one = each_alone(both, ["severity", "architecture"]).groupBy("variant", "dimension", "value").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"), F.avg(F.abs(F.col("x") - F.col("gt_x"))).alias("dx"), F.avg((F.col("err") <= 1).cast("double")).alias("le1"), F.max("err").alias("worst"))
+    base = one.filter("variant = 'base'").select("dimension", "value", F.col("credit").alias("_b"))
+    return one.join(base, ["dimension", "value"]).select("variant", "dimension", "value", *(r6(F.col(k)).alias(k) for k in ("credit", "dx", "le1", "worst")), r6(40 * (F.col("credit") - F.col("_b"))).alias("points"))
 
 
 @Q.add("w06_first_n_per_class", "select pair_id, ok from (select pair_id, ok, row_number() over (partition by ok order by pair_id) as i from (select pair_id, score>=0.5 as ok from v1)) where i<=50", "v1")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import score as s
+from ..operators.sample import portable_hash
+from ..sources.io import with_ordinal
 from .fixtures import Queries
 from .q_columns import LOC, r6, tier_sql
 
@@ -112,8 +114,8 @@ def sweep_sql(key: str, rows: str = "g", score: str = "score", cte: str = "") ->
  {cte}sw as (select k, s, {', '.join(f'sum({m}) over (partition by k order by s desc) as ge_{m}, sum({m}) over (partition by k) as all_{m}' for m in ('n', 'pre', 'ab', 'ok5', 'la', 'lb', 'na', 'nb', 'ok', 'sc', 'rc'))}, n, ok5 from {cte}sh),
  {cte}sa as (select k, coalesce(sum(ok5*((all_n-all_ok5)-(ge_n-ge_ok5)+0.5*(n-ok5)))/nullif(max(all_ok5)*(max(all_n)-max(all_ok5)),0),0) as auc from {cte}sw group by 1),
  {cte}sp as (select w.k, s, auc, 0.45*ge_la/nullif(all_na,0)+0.55*ge_lb/nullif(all_nb,0) as loc, coalesce(ge_sc/nullif(ge_ok,0),0) as scale, coalesce(ge_rc/nullif(ge_ok,0),0) as rot,
-  coalesce(2.0*(all_ab-ge_ab)/nullif(2*(all_ab-ge_ab)+(all_pre-ge_pre)+ge_ab,0),0) as f1 from {cte}sw w join {cte}sa a on w.k=a.k),
- {cte}t as (select k, s, loc, f1::double as f1, round((40*loc+10*scale+10*rot+15*f1+10*auc)::double,9) as total from {cte}sp)"""
+  coalesce(2.0*(all_ab-ge_ab)/nullif(2*(all_ab-ge_ab)+(all_pre-ge_pre)+ge_ab,0),0) as f1, coalesce(2.0*ge_pre/nullif(2*ge_pre+(all_pre-ge_pre)+ge_ab,0),0) as f1p from {cte}sw w join {cte}sa a on w.k=a.k),
+ {cte}t as (select k, s, loc, f1::double as f1, round((40*loc+10*scale+10*rot+15*f1+10*auc)::double,9) as total, round((40*loc+10*scale+10*rot+15*f1p+10*auc)::double,9) as total_found from {cte}sp)"""
 
 
 @Q.add("m01_best_f1_threshold", f"with {G}, {sweep_sql('architecture')} select k as architecture, round(max(f1),6) as best, min(s) filter (where rf=mf) as threshold from (select *, round(f1,9) as rf, max(round(f1,9)) over (partition by k) as mf from t) group by 1", "v1")
@@ -133,22 +135,6 @@ def m02(v):
     return s.best(swept, ["stat"]).select("stat", r6(F.col("best")).alias("best"), "threshold")
 
 
-def held_out(rows, folds: str, keys: list[str] | None = None):
-    """Each fold's best threshold on the other folds, and what it earns on the fold itself.
-
-    The histograms of all folds are taken once; a training histogram is the total less the fold's.
-    """
-    gray = rows.filter(F.col("grp").isin("A", "B", "C"))
-    own = s.histogram(gray, [folds])
-    ids = own.select(F.col(folds).alias("_f")).distinct()
-    train = own.crossJoin(F.broadcast(ids)).filter(F.col(folds) != F.col("_f")).groupBy(F.col("_f").alias(folds), "score").agg(*(F.sum(m).alias(m) for m in s.MEASURES))
-    chosen = s.best(s.sweep_hist(train, [folds]).withColumn("total", F.round("total", 9)), [folds]).select(F.col(folds).alias("_k"), "threshold")
-    test = s.sweep_hist(own, [folds])
-    # the fold's own row with the least score at or above the threshold tells all sums of score >= threshold
-    at = test.join(F.broadcast(chosen), F.col(folds) == F.col("_k")).filter(F.col("score") >= F.col("threshold"))
-    return at.groupBy(folds, "threshold").agg(F.min_by("total", "score").alias("held_total"), F.min_by("f1", "score").alias("held_f1"))
-
-
 def cv_sql(fold: str) -> str:
     return f"""with {G.replace('from v1', f', {fold} as fold from v1')}, fs as (select distinct fold as f from g), tr as (select g.*, fs.f as hold from g, fs where g.fold<>fs.f),
  {sweep_sql('hold', 'tr', cte='ka')}, best as (select k, min(s) filter (where total=mt) as threshold from (select *, max(total) over (partition by k) as mt from kat) group by 1),
@@ -156,30 +142,33 @@ def cv_sql(fold: str) -> str:
  select b.k as fold, threshold, round(min_by(total, s),6) as held_total, round(min_by(f1, s),6) as held_f1 from kbt b join best on best.k=b.k where s>=threshold group by 1,2"""
 
 
-@Q.add("m03_two_fold_threshold", cv_sql("cast(pair_id%2 as int)"), "v1")
+@Q.add("m03_two_fold_threshold", cv_sql("cast((row_number() over (order by pair_id)-1)%2 as int)"), "v1")
 def m03(v):
-    out = held_out(s.measured(v).withColumn("fold", (F.col("pair_id") % 2).cast("int")), "fold")
+    """Folds are alternating rows of the graded sets, in the order of their ids."""
+    rows = with_ordinal(s.measured(v).filter("grp in ('A','B','C')"), "pair_id", "fold")
+    out = s.held_out(rows.withColumn("fold", (F.col("fold") % 2).cast("int")), "fold")
     return out.select("fold", "threshold", r6(F.col("held_total")).alias("held_total"), r6(F.col("held_f1")).alias("held_f1"))
 
 
-def portable_hash(*columns):
-    """32 bits of md5 as a number: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.col(x).cast("string") for x in columns))), 1, 8), 16, 10).cast("long")
-
-
 HASH4 = "cast(('0x'||substr(md5(concat_ws('|',pair_id,0)),1,8))::bigint%4 as int)"
 
 
 @Q.add("m04_kfold_threshold", cv_sql(HASH4), "v1")
 def m04(v):
-    out = held_out(s.measured(v).withColumn("fold", (portable_hash("pair_id", F.lit(0)) % 4).cast("int")), "fold")
+    out = s.held_out(s.measured(v).withColumn("fold", (portable_hash("pair_id", F.lit(0)) % 4).cast("int")), "fold")
     return out.select("fold", "threshold", r6(F.col("held_total")).alias("held_total"), r6(F.col("held_f1")).alias("held_f1"))
 
 
-@Q.add("m09_downward_biased_threshold", f"with {G}, {sweep_sql('architecture')} select k as architecture, round(mt,6) as best, min(s) as threshold from (select *, max(total) over (partition by k) as mt from t) where total>=mt-0.05 group by 1,2", "v1")
+M09 = "select k as architecture, round(mt,6) as best, min(s) as threshold, round(any_value(mtf),6) as best_found, min(s) filter (where total_found>=mtf-0.05) as threshold_found from (select *, max(total) over (partition by k) as mt, max(total_found) over (partition by k) as mtf from t) group by 1,2"
+
+
+@Q.add("m09_downward_biased_threshold", f"with {G}, {sweep_sql('architecture')} {M09.replace('min(s) as threshold,', 'min(s) filter (where total>=mt-0.05) as threshold,')}", "v1")
 def m09(v):
-    swept = s.sweep(s.measured(v), ["architecture"]).withColumn("total", F.round("total", 9))
-    return s.best(swept, ["architecture"], margin=0.05).select("architecture", r6(F.col("best")).alias("best"), "threshold")
+    """The least threshold within 0.05 of the best total, with refusals and with findings as the positive answers of F1."""
+    swept = s.found_total(s.sweep(s.measured(v), ["architecture"])).withColumns({k: F.round(k, 9) for k in ("total", "total_found")})
+    x = s.best(swept, ["architecture"], margin=0.05)
+    y = s.best(swept, ["architecture"], "total_found", margin=0.05).withColumnsRenamed({"best": "best_found", "threshold": "threshold_found"})
+    return x.join(y, "architecture").select("architecture", r6(F.col("best")).alias("best"), "threshold", r6(F.col("best_found")).alias("best_found"), "threshold_found")
 
 
 GRID = (0.2, 0.3, 0.4, 0.5, 0.6)

@@ -41,13 +41,12 @@ def s07(d):
     return io.complete_only(d.select("doc_id", "source"), done, "source")
 
 
-@Q.add("s08_shard_merge", "select source, (sum(n) over (order by source)-n+shard_id)::bigint as id, shard_id, source||'/'||doc_id as path from (select source, doc_id, row_number() over (partition by source order by doc_id)-1 as shard_id from documents) join (select source, count(*) as n from documents group by 1) using (source)", "documents")
+@Q.add("s08_shard_merge", "with n as (select source, sum(count(*)) over (order by source) - count(*) as start from documents group by 1) select d.source, (start + row_number() over (partition by d.source order by doc_id) - 1)::bigint as id, row_number() over (partition by d.source order by doc_id) - 1 as shard_id, d.source||'/'||doc_id as path from documents d join n on n.source=d.source", "documents")
 def s08(d):
     rows = d.select("source", F.col("doc_id").cast("string").alias("path"), "doc_id")
     return io.merge_shards(rows, "source", "doc_id", ["path"]).select("source", "id", "shard_id", "path")
 
 
-Q.sql["s08_shard_merge"] = "with n as (select source, sum(count(*)) over (order by source) - count(*) as start from documents group by 1) select d.source, (start + row_number() over (partition by d.source order by doc_id) - 1)::bigint as id, row_number() over (partition by d.source order by doc_id) - 1 as shard_id, d.source||'/'||doc_id as path from documents d join n on n.source=d.source"
 
 
 @Q.add("s09_chunk_merge", "select floor(i/500)::bigint as chunk, count(*) as n, bool_and(pair_id%777<>0) as ok from (select pair_id, row_number() over (order by pair_id)-1 as i from v1) group by 1", "v1")
@@ -115,7 +114,59 @@ def s21(d):
     return io.shard_keys(d.select(F.expr(NAMES).alias("name")))
 
 
-@Q.add("s14_json_rows", "select pair_id, severity, round(score,6) as score from v1", "v1")
+@Q.add("s14_report_files", "select grp, count(*) as n, round(avg(score),6) as mean, round(max(score),6) as top from v1 group by 1", "v1")
 def s14(v):
-    text = v.select(F.to_json(F.struct("pair_id", "severity", r6(F.col("score")).alias("score"))).alias("line"))
-    return text.select(F.from_json("line", "pair_id long, severity int, score double").alias("r")).select("r.*")
+    """Rows as JSON lines, metrics as JSON and a report as CSV, written and read back; one row of each for each set."""
+    at = io.shared_folder(v.sparkSession, "reports")
+    read = v.sparkSession.read
+    v.select("pair_id", "grp", "score").write.json(f"{at}/rows")
+    rows = read.schema("pair_id long, grp string, score double").json(f"{at}/rows")
+    rows.groupBy("grp").agg(F.avg("score").alias("mean")).write.json(f"{at}/metrics")
+    rows.groupBy("grp").agg(F.max("score").alias("top")).write.option("header", True).csv(f"{at}/report")
+    metrics, report = read.schema("grp string, mean double").json(f"{at}/metrics"), read.schema("grp string, top double").csv(f"{at}/report", header=True)
+    return rows.groupBy("grp").agg(F.count("*").alias("n")).join(metrics, "grp").join(report, "grp").select("grp", "n", r6(F.col("mean")).alias("mean"), r6(F.col("top")).alias("top"))
+
+
+@Q.add("s01_pick_columns", "select o_orderkey as id, o_totalprice as price from orders", "orders")
+def s01(o):
+    """An exact name but for case and spaces, and the only column with a candidate's first word."""
+    names = {"id": io.pick_column(o.columns, [" O_OrderKey", "key"], "id"), "price": io.pick_column(o.columns, ["totalprice_usd"], "price")}
+    return o.select(*(F.col(f).alias(n) for n, f in names.items()))
+
+
+@Q.add("s02_resolved_schema", "select doc_id as pair_id, source as search_path, lang from documents", "documents")
+def s02(d):
+    names = io.resolve_schema(d.columns, ("pair_id", "search_path", "lang"), {"pair_id": "doc_id", "search_path": "source"})
+    return d.select(*(F.col(f).alias(n) for n, f in names.items()))
+
+
+@Q.add("s13_results_files", "select cast(o_custkey as varchar) as name, count(*) as n, round(sum(round(o_totalprice,2)),2) as total from orders group by 1", "orders")
+def s13(o):
+    """Files of splits in both layouts, some customers in each file; a split holds the prices of a customer's orders."""
+    at = io.shared_folder(o.sparkSession, "results")
+    split = o.groupBy("o_custkey").agg(F.collect_list(F.round(F.col("o_totalprice").cast("double"), 2)).alias("errors"))
+    split = split.select(F.floor(F.col("o_custkey") / 500).alias("file"), F.struct(F.col("o_custkey").cast("string").alias("name"), "errors").alias("s"))
+    lists = split.groupBy("file").agg(F.collect_list("s").alias("splits"))
+    whole = F.to_json(F.struct(F.struct(F.lit("x").alias("commit"), F.lit("now").alias("utc")).alias("provenance"), "splits"))
+    text = lists.select("file", F.when(F.col("file") % 2 == 0, F.to_json("splits")).otherwise(whole).alias("value"))
+    text.write.partitionBy("file").text(at)
+    found = io.read_results(o.sparkSession, at)
+    total = F.aggregate("errors", F.lit(0.0), lambda t, x: t + x)
+    return found.select("name", F.size("errors").cast("long").alias("n"), F.round(total, 2).alias("total"))
+
+
+@Q.add("s15_comment_lines", "select doc_id, lang from documents where doc_id%10<>0", "documents")
+def s15(d):
+    at = io.shared_folder(d.sparkSession, "comments")
+    d.select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("# note "), "doc_id")).otherwise(F.concat_ws(",", "doc_id", "lang"))).write.text(at)
+    return io.read_commented(d.sparkSession, at, "doc_id long, lang string")
+
+
+FILES = "select doc_id, '/a/'||doc_id||'_left.png' as path from documents where doc_id%3<>0 union all select doc_id, '/b/'||doc_id||'_right.png' from documents where doc_id%4<>0"
+
+
+@Q.add("s16_paired_files", f"with f as ({FILES}) select cast(doc_id as varchar) as stem, max(case when path like '%left%' then doc_id||'_left.png' end) as left, max(case when path like '%right%' then doc_id||'_right.png' end) as right from f group by doc_id", "documents")
+def s16(d):
+    name = lambda folder, end: F.concat(F.lit(f"/{folder}/"), F.col("doc_id").cast("string"), F.lit(end)).alias("path")
+    files = d.filter("doc_id % 3 <> 0").select(name("a", "_left.png")).union(d.filter("doc_id % 4 <> 0").select(name("b", "_right.png")))
+    return io.paired_files(files, "_left.png", "_right.png")

@@ -34,8 +34,8 @@ EDGE = "select layer, round(e-r+305,2) as d, count(*) as votes from (select b.la
 def j10(v):
     left = v.select("layer", (F.col("x0") - 305).alias("e"))
     right = s.interior(v, 300, 600).select("layer", F.col("x0").alias("r"))
-    met = band_join(left, right, ["layer"], [("e", "r", 15.0)])
-    return met.groupBy("layer", F.round(F.col("e") - F.col("r") + 305, 2).alias("d")).agg(F.count("*").alias("votes"))
+    gaps = s.edge_differences(left, right, 15.0)
+    return gaps.groupBy("layer", F.round(F.col("gap") + 305, 2).alias("d")).agg(F.sum("n").alias("votes"))
 
 
 def axis(k: str, g: int) -> str:

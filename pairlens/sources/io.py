@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,14 +29,14 @@ def _plain(name: str) -> str:
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str], role: str) -> str:
-    """The column of a role: an exact match of a candidate (case and spaces aside), else the only one that holds one."""
+    """The column of a role: an exact match of a candidate (case and spaces aside), else the only one that holds a candidate's first word."""
     for want in candidates:
         hits = [f for f in columns if _plain(f) == _plain(want)]
         if len(hits) == 1:
             return hits[0]
         if hits:
             raise SchemaError(f"{role}: columns {hits} are the same")
-    hits = [f for f in columns if any(_plain(w) in _plain(f) for w in candidates)]
+    hits = [f for f in columns if any(_plain(w).split("_")[0] in _plain(f) for w in candidates)]
     if len(hits) != 1:
         raise SchemaError(f"{role}: {len(hits)} of the columns {list(columns)} could be meant by {list(candidates)}")
     return hits[0]
@@ -56,9 +58,13 @@ def resolve_schema(columns: Sequence[str], wanted: Sequence[str] = PAIRS3, mappi
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header line of a CSV file (or of the first of several); repeated names are an error."""
-    line = spark.read.text(path).filter(~F.col("value").startswith("#")).limit(1).collect()
-    names = next(csv.reader(io.StringIO(line[0]["value"]))) if line else []
+    """The header line of a CSV file, or of all files of a folder; repeated names and files that differ are an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at")).filter(~F.col("value").startswith("#"))
+    # a file's header is in its first block, before all lines but comments
+    first = lines.filter("at = 0").groupBy("f").agg(F.first("value").alias("h")).select("h").distinct().limit(2).collect()
+    if len(first) > 1:
+        raise SchemaError(f"files with different headers: {[r['h'] for r in first]}")
+    names = next(csv.reader(io.StringIO(first[0]["h"]))) if first else []
     if len(set(names)) != len(names):
         raise SchemaError(f"repeated columns in {names}")
     return names
@@ -94,25 +100,37 @@ def withheld(rows: DataFrame, columns: Sequence[str] = WITHHELD, key: str = "pai
     return rows.select(key, *(F.when(filled, F.col(x)).alias(x) for x in columns))
 
 
-def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal", buckets: int = 64) -> DataFrame:
-    """rows with their place in the order of a numeric key, from 0; no task sorts more than a bucket.
+def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal", buckets: int = 64, within: Sequence[str] = ()) -> DataFrame:
+    """rows with their place in the order of a numeric key, from 0, among all or those with the same ``within``.
 
-    Bounds of about even buckets are literals, so the places don't change when a task is repeated.
+    No task sorts more than a bucket. Bounds of about even buckets are literals, so the places don't change
+    when a task is repeated.
     """
     cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = F.array(*(F.lit(x).cast("double") for x in sorted(set(cuts))))
     some = rows.withColumn("_bucket", F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(key))), F.lit(0)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
-    starts = some.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return some.withColumn("_own", own).join(F.broadcast(starts), "_bucket").select(*rows.columns, (F.col("_start") + F.col("_own")).alias(name))
+    # one row for each bucket
+    before = Window.partitionBy(*within, F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy(*within, "_bucket").agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"_w{i}") for i, k in enumerate(within)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    on = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(within):
+        on = on & F.col(k).eqNullSafe(F.col(f"_w{i}"))
+    own = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(key)) - 1
+    return some.withColumn("_own", own).join(starts, on).select(*rows.columns, (F.col("_start") + F.col("_own")).alias(name))
 
 
 def scan_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """CSV manifests with differing columns, and the file and shard (its folder) of each row."""
-    out = None
+    """CSV manifests with differing columns, and the file and shard (its folder) of each row.
+
+    Folders with the same header are one read, so the plan grows with the headers, not with the shards.
+    """
+    by_header: dict[tuple, list[str]] = {}
     for p in paths:
-        one = spark.read.option("comment", "#").csv(p, header=True).withColumn("file", F.col("_metadata.file_path"))
+        by_header.setdefault(tuple(header(spark, p)), []).append(p)
+    out = None
+    for names, same in by_header.items():
+        schema = ", ".join(f"`{n}` string" for n in names)
+        one = spark.read.schema(schema).option("comment", "#").csv(same, header=True).withColumn("file", F.col("_metadata.file_path"))
         one = one.withColumn("shard", F.element_at(F.split("file", "/"), -2))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
@@ -124,11 +142,10 @@ def complete_only(rows: DataFrame, markers: DataFrame, shard: str = "shard") ->
 
 
 def merge_shards(rows: DataFrame, shard: str, order: str, paths: Sequence[str] = (), key: str = "id") -> DataFrame:
-    """A new id over all shards, the old place as shard_id, and paths below their shard's folder."""
-    own = F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1
+    """A new id over all shards, the old place (by a numeric order) as shard_id, and paths below their shard's folder."""
     before = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     starts = rows.groupBy(shard).agg(F.count("*").alias("_n")).select(shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    out = rows.withColumn("shard_id", own.cast("long")).join(starts, shard)
+    out = with_ordinal(rows, order, "shard_id", within=[shard]).withColumn("shard_id", F.col("shard_id").cast("long")).join(starts, shard)
     out = out.withColumn(key, F.col("_start") + F.col("shard_id")).drop("_start")
     return out.withColumns({p: F.concat_ws("/", F.col(shard).cast("string"), F.col(p)) for p in paths})
 
@@ -233,3 +250,34 @@ def shard_keys(names: DataFrame, column: str = "name") -> DataFrame:
     split = F.when(F.regexp_extract(column, form, 1) != "", "test").otherwise("train")
     shard = F.concat_ws("_", split, F.regexp_extract(column, form, 2), F.lpad(F.regexp_extract(column, form, 3), 4, "0"))
     return some.groupBy(shard.alias("shard")).agg(F.min(column).alias(column))
+
+
+def payload_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 of each file of a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def stamped(rows: DataFrame, name: str = "utc") -> DataFrame:
+    """rows with the query's time as a UTC text, whatever the session's time zone."""
+    return rows.withColumn(name, c.utc_text(F.current_timestamp()))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Without that setting a local session uses a temporary folder; on a cluster that is an error, for
+    executors would write where nobody else reads.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="pairlens-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_commented(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV files with comment lines (#) anywhere; their header each, or none and a schema."""
+    reader = spark.read.option("comment", "#")
+    return reader.schema(schema).csv(path) if schema else reader.csv(path, header=True)

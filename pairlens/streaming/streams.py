@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..operators import score as s
 from ..operators.aggregate import ERROR_SHARE
+from ..sources.io import complete_only
 
 LEAST_ROWS = 8
 
 
 def read(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A folder of Parquet files as a stream; ``_file`` tells a row's file."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return rows.withColumn("_file", F.md5(F.col("_metadata.file_path")))
 
 
 def _drain(writer, checkpoint: str, name: str | None = None):
@@ -58,15 +61,20 @@ def progress(rows: DataFrame, run: str, found: Column, seconds: str, total: int)
     return one.select(run, "done", "found", "median", rate.alias("rate"), (F.greatest(F.lit(total) - F.col("done"), F.lit(0)) / rate).alias("eta"))
 
 
-def grow_pool(rows: DataFrame, markers: str, shard: str, out: str, checkpoint: str) -> None:
-    """Appends each batch's rows of shards whose marker is there by then; a batch written again replaces itself."""
-    spark = rows.sparkSession
+def _by_file(batch: DataFrame, out: str) -> None:
+    """Writes a batch into a folder for each input file, in place of what was there: a file that comes again, in a
+    repeated batch or after a lost checkpoint, counts once."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(out)
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        done = spark.read.parquet(markers).select(shard).distinct()
-        batch.join(done, shard, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    _drain(rows.writeStream.foreachBatch(put), checkpoint)
+def grow_pool(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Keeps all rows that have arrived, with their shard; rows come from read(). See pool()."""
+    _drain(rows.writeStream.foreachBatch(lambda batch, _: _by_file(batch, out)), checkpoint)
+
+
+def pool(spark: SparkSession, out: str, markers: str, shard: str) -> DataFrame:
+    """Rows of the shards that are finished by now, whenever their rows came."""
+    return complete_only(spark.read.parquet(out).drop("_file"), spark.read.parquet(markers), shard)
 
 
 def epoch_of(pool: DataFrame, size: int, seed: int, key: str) -> DataFrame:
@@ -90,15 +98,11 @@ def resume(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
 
 
 def score_stream(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Keeps the additive score histogram of all rows so far, one folder for each batch; sums of all folders are the state.
+    """Keeps the additive score histogram of each file; their sum is the state. Read with scored().
 
-    rows come from measured(). Read with scored().
+    rows come from measured(read()).
     """
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        s.histogram(batch, keys).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-
-    _drain(rows.writeStream.foreachBatch(put), checkpoint)
+    _drain(rows.writeStream.foreachBatch(lambda batch, _: _by_file(s.histogram(batch, [*keys, "_file"]), out)), checkpoint)
 
 
 def scored(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:

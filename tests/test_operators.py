@@ -131,8 +131,76 @@ def test_newton_and_logistic_agree(spark):
     gap = df.agg(F.max(F.abs(fit.predicted(n) - fit.predicted(fit.logistic(df, ["a", "b"], "y"))))).first()[0]
     assert gap < 0.02
     assert df.agg(F.max(F.abs(fit.predicted(n) - fit.predicted_raw(*fit.raw_weights(n))))).first()[0] < 1e-9
-    got = {r["name"]: r for r in fit.compared(df, {"both": ["a", "b"], "none": ["a", "zz"]}, "y").collect()}
-    assert got["both"]["eligible"] and got["both"]["auc"] > 0.7 and not got["none"]["eligible"]
+
+
+def test_feature_sets_are_compared_on_held_out_folds(spark, sf):
+    from pairlens.plans.fixtures import view
+
+    rows = score.measured(view(spark, sf, "v1")).withColumn("fold", (F.col("pair_id") % 2).cast("int"))
+    got = {r["name"]: r for r in fit.compared(rows, {"one": ["score"], "none": ["score", "zz"]}, "gt_found", "fold").collect()}
+    assert got["one"]["eligible"] and 0 < got["one"]["held_total"] <= 85 and not got["none"]["eligible"] and got["none"]["held_f1"] is None
+    # by hand: the other fold's fit and best threshold, on the fold
+    for k in (0, 1):
+        rows_k = rows.withColumn("score", fit.predicted(fit.logistic(rows.filter(F.col("fold") != k), ["score"], "gt_found")))
+        t = score.best(score.sweep(rows_k.filter(F.col("fold") != k), []).withColumn("total", F.round("total", 9)), []).first()["threshold"]
+        one = score.rubric(rows_k.filter(F.col("fold") == k), [], t, empty=0.0).first()
+        got[k] = (one["total"], one["f1"])
+    assert abs(np.mean([got[k][0] for k in (0, 1)]) - got["one"]["held_total"]) < 1e-6 and abs(np.mean([got[k][1] for k in (0, 1)]) - got["one"]["held_f1"]) < 1e-9
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, float(x)) for k, n in (("a", 1), ("b", 2), ("c", 700), (None, 31)) for x in np.round(rng.normal(size=n), 2)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r for r in aggregate.quantiles(df, ["k"], "v", {"p0": 0.0, "p37": 0.37, "mid": 0.5, "p1": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        own = [x for q, x in rows if q == k]
+        assert np.allclose([r["p0"], r["p37"], r["mid"], r["p1"]], np.quantile(own, [0, 0.37, 0.5, 1]))
+    all_ = [x for _, x in rows if x is not None]
+    assert np.isclose(aggregate.quantiles(df, [], "v", {"q": 0.9}).first()["q"], np.quantile(all_, 0.9))
+    weighted = aggregate.quantiles(spark.createDataFrame([(1.0, 3), (5.0, 1)], "v double, n int"), [], "v", {"q": 0.5}, F.col("n")).first()["q"]
+    assert weighted == 1.0
+    near = aggregate.nearest_rank(df, ["k"], "v", {"q": 0.9}).filter("k = 'c'").first()["q"]
+    assert near == sorted(x for q, x in rows if q == "c")[int(0.9 * 700)]
+    assert aggregate.quantiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
+
+
+def test_draws_have_exact_quotas(spark):
+    df = spark.createDataFrame([(i, "AAB"[i % 3]) for i in range(90)], "pair_id int, grp string")
+    d = sample.draws(df, "grp", {"A": 50, "B": 30}, 40)
+    counts = d.groupBy("draw", "grp").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("m")).collect()
+    assert {(r["grp"], r["n"], r["m"]) for r in counts} == {("A", 50, 50), ("B", 30, 30)} and len(counts) == 80
+    often = [r["n"] for r in d.filter("grp = 'A'").groupBy("pair_id").agg(F.count("*").alias("n")).collect()]
+    assert len(often) == 60 and 20 < min(often) <= 40  # 33.3 on average
+    with pytest.raises(Exception, match="fewer rows"):
+        sample.draws(df, "grp", {"B": 31}, 3).count()
+
+
+def test_cell_weights_have_the_mean_and_spread_of_a_bootstrap(spark):
+    cells = spark.createDataFrame([("few", 5), ("many", 400)], "k string, n int")
+    w = {r["k"]: r for r in sample.cell_weights(cells, ["k"], 4000).groupBy("k").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q")).collect()}
+    for k, n in (("few", 5), ("many", 400)):
+        mean = w[k]["s"] / 4000
+        assert abs(mean - n) < 4 * np.sqrt(n / 4000) and abs(w[k]["q"] / 4000 - mean**2 - n) < 0.1 * n
+
+
+def test_verified_clusters(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [(float(a) / 100, float(x), float(y), float(v) / 7) for a, x, y, v in zip(rng.integers(1, 99, 12), rng.integers(0, 40, 12), rng.integers(0, 40, 12), rng.integers(0, 7, 12), strict=True)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, p array<struct<score:double,x:double,y:double,check:double>>").select("id", hypotheses.clustered(F.col("p"), verify=True).alias("k"))
+    got = {r["id"]: r for r in df.select("id", *(hypotheses.verified(F.col("k"), alpha=a).alias(f"a{n}") for n, a in enumerate((0.0, 0.35)))).collect()}
+    for i, ps in rows:
+        clusters = []
+        for p in sorted(ps, reverse=True):
+            near = [k for k in clusters if np.hypot(p[1] - k[0][1], p[2] - k[0][2]) <= 6]
+            near[0].append(p) if near else clusters.append([p])
+        sums = [sum(p[0] for p in k) for k in clusters]
+        top = sorted(range(len(clusters)), key=lambda j: -sums[j])[:4]
+        for n, a in enumerate((0.0, 0.35)):
+            best = max(top, key=lambda j: (round(max(p[3] for p in clusters[j]) + a * sums[j] / sum(sums[t] for t in top), 12), -top.index(j)))
+            w = [p[0] for p in clusters[best]]
+            assert np.allclose([got[i][f"a{n}"]["x"], got[i][f"a{n}"]["y"]], [np.average([p[q] for p in clusters[best]], weights=w) for q in (1, 2)])
 
 
 def test_samples(spark):
@@ -163,12 +231,28 @@ def test_isolated_map_never_loses_a_row(spark):
     got = {r["pair_id"]: r for r in batch.isolated_map(df, "pair_id", _make, _answer).collect()}
     assert len(got) == 12 and {r["error"] for i, r in got.items() if i % 4 == 1} == {"RuntimeError"} and {r["error"] for i, r in got.items() if i % 4 == 2} == {"not a number"}
     assert all(r["found"] == 0 and r["x"] == 0 for i, r in got.items() if i % 4 in (1, 2)) and all(r["found"] == 1 for i, r in got.items() if i % 4 in (0, 3))
-    assert all(r["error"] == "late" for r in batch.isolated_map(df.filter("k = 0"), "pair_id", _make, _answer, limit=0.0).collect())
+
+    def _odd(model, row):
+        if row["k"] == 3:
+            while True:  # hangs
+                pass
+        return [{"x": "text"}, {"x": None}, "no dict"][row["k"]]
+
+    got = batch.isolated_map(df, "pair_id", _make, _odd, limit=0.2).collect()
+    assert len(got) == 12 and {(r["pair_id"] % 4 == 3, r["error"]) for r in got} == {(True, "late"), (False, "not a number")}
+
+    def _other():
+        return {"n": 5}
+
+    same_name = {"__qualname__": _make.__qualname__, "__module__": _make.__module__}
+    for k, v in same_name.items():
+        setattr(_other, k, v)
+    assert {r["x"] for r in batch.isolated_map(df, "pair_id", _other, lambda m, _: {"x": m["n"]}).collect()} == {5.0}
 
 
 def test_columns_and_schemas_are_refused(spark, tmp_path):
     assert io.pick_column(["Pair ID", "ref_image"], ["pair id"], "id") == "Pair ID"
-    assert io.pick_column(["id", "my_ref_image"], ["ref"], "reference") == "my_ref_image"
+    assert io.pick_column(["id", "my_ref_image"], ["ref_path"], "reference") == "my_ref_image"
     for bad in (["a_ref", "b_ref"], ["x"]):
         with pytest.raises(io.SchemaError):
             io.pick_column(bad, ["ref"], "reference")
@@ -187,6 +271,11 @@ def test_columns_and_schemas_are_refused(spark, tmp_path):
     path.write_text("a,a\n1,2\n")
     with pytest.raises(io.SchemaError):
         io.header(spark, str(path))
+    for name, text in (("a", "x,y\n1,2\n"), ("b", "# c\ny,x\n1,2\n")):
+        (tmp_path / "two").mkdir(exist_ok=True)
+        (tmp_path / "two" / f"{name}.csv").write_text(text)
+    with pytest.raises(io.SchemaError, match="different"):
+        io.header(spark, str(tmp_path / "two"))
 
 
 def test_results_files_of_both_layouts(spark, tmp_path):
@@ -205,6 +294,7 @@ def test_files_pair_by_their_endings(spark, tmp_path):
     assert sorted(values(got, "stem", "left", "right")) == [("a", "a_ref.png", "a_search.png"), ("b", "b_ref.png", None), ("c", None, "c_search.png")]
     import hashlib
 
+    assert {(r["sha256"], r["bytes"]) for r in io.payload_digests(spark, str(tmp_path)).collect()} == {(hashlib.sha256(n.encode()).hexdigest(), len(n)) for n in ("a_ref.png", "a_search.png", "b_ref.png", "c_search.png")}
     assert {r["sha"] for r in files.collect()} == {hashlib.sha256(n.encode()).hexdigest() for n in ("a_ref.png", "a_search.png", "b_ref.png", "c_search.png")}
 
 
@@ -242,6 +332,28 @@ def test_streams_keep_unique_rows_and_resume(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "r")).count() == 50
 
 
+def test_pool_and_scores_survive_late_markers_and_lost_checkpoints(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "k long, shard int")
+    at = lambda n: str(tmp_path / n)
+    mark = lambda k: spark.createDataFrame([(k,)], "shard int").write.mode("append").parquet(at("m"))
+    df.filter("k < 20").write.parquet(at("in"))
+    mark(1)
+    rows = lambda: streams.read(spark, at("in"), df.schema)
+    streams.grow_pool(rows(), at("out"), at("c1"))
+    df.filter("k >= 20").write.mode("append").parquet(at("in"))
+    mark(2)
+    streams.grow_pool(rows(), at("out"), at("c1"))
+    streams.grow_pool(rows(), at("out"), at("lost"))
+    assert sorted(values(streams.pool(spark, at("out"), at("m"), "shard"), "k")) == [(i,) for i in range(30) if i % 3]
+
+
+def test_utc_stamp(spark):
+    import datetime
+
+    got = io.stamped(spark.range(1)).first()["utc"]
+    assert abs(datetime.datetime.fromisoformat(got) - datetime.datetime.now(datetime.UTC)) < datetime.timedelta(minutes=2)
+
+
 def test_breakdown_and_health(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 2, 0)], "g string, s int, f int")
     got = sorted(values(aggregate.breakdown(df, ["g", "s"], [F.count("*").alias("n")]), "dimension", "value", "n"))
