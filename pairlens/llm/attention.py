@@ -60,55 +60,75 @@ def groups(profiles: np.ndarray, share: np.ndarray, count: int) -> list[np.ndarr
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def _states(m: dict, ids: np.ndarray) -> dict:
-    n = ids.shape[1]
-    x = m["emb"][ids] + m["pos"][:n]
-    q, k, v = (x @ (m["q"] / np.float32(math.sqrt(WIDTH)))), x @ m["k"], x @ m["v"]
+def _joint(m: dict) -> np.ndarray:
+    """Weights of queries, keys and values side by side."""
+    return np.concatenate([m["q"] * m["q"].dtype.type(1 / math.sqrt(WIDTH)), m["k"], m["v"]], 1)
+
+
+def _states(m: dict, ids: np.ndarray, joint: np.ndarray | None = None) -> dict:
+    """All layers' values; those without attention's pairs of places have one row for each place."""
+    size, n = ids.shape
+    x = (m["emb"][ids] + m["pos"][:n]).reshape(-1, WIDTH)
+    three = (x @ (_joint(m) if joint is None else joint)).reshape(size, n, 3 * WIDTH)
+    q, k, v = three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
     s = q @ k.transpose(0, 2, 1)
     s += _MASK[:n, :n]
-    np.exp(np.minimum(s, 60, out=s), out=s)  # weights stay far below; one pass less than taking off the greatest
-    s /= s.sum(2, keepdims=True)
-    c = s @ v
+    s -= s.max(2, keepdims=True)
+    np.exp(s, out=s)
+    s /= (s @ np.ones((n, 1), s.dtype))
+    c = (s @ v).reshape(-1, WIDTH)
     h = x + c @ m["o"]
     g = np.maximum(h @ m["w1"] + m["b1"], 0)
-    return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": h, "g": g, "z": h + g @ m["w2"]}
+    return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": h, "g": g, "z": (h + g @ m["w2"]).reshape(size, n, WIDTH)}
 
 
-def windows(seqs: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and which targets to score, one row for each window.
+class Windows:
+    """Windows over sequences of targets, each target scored in exactly one.
 
     seqs holds all sequences of targets one after another; the input of a target is the one before it,
-    the first one's is ``start``. Every target is scored in exactly one window.
+    the first one's is ``start``.
     """
-    n = np.where(lens > WINDOW, 1 + -(-(lens - WINDOW) // STRIDE), (lens > 0).astype(np.int64))
-    of = np.repeat(np.arange(len(lens)), n)
-    turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    at = (turn * STRIDE)[:, None] + np.arange(WINDOW)
-    inside = at < lens[of][:, None]
-    spot = np.where(inside, (np.cumsum(lens) - lens)[of][:, None] + at, 0)
-    targets = seqs[spot]
-    inputs = np.concatenate([np.where(at[:, :1] > 0, seqs[np.maximum(spot[:, :1] - 1, 0)], start), targets[:, :-1]], 1)
-    inputs[~inside] = start
-    return inputs, targets, inside & ((turn == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-
-
-def log_probs(m: dict, edges: np.ndarray, seqs: np.ndarray, lens: np.ndarray, word_groups: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+
+    def __init__(self, seqs: np.ndarray, lens: np.ndarray, start: int):
+        n = np.where(lens > WINDOW, 1 + -(-(lens - WINDOW) // STRIDE), (lens > 0).astype(np.int64))
+        self.of = np.repeat(np.arange(len(lens)), n)
+        self.turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.first = (np.cumsum(lens) - lens)[self.of]
+        self.seqs, self.lens, self.start = seqs, lens, start
+
+    def __len__(self):
+        return len(self.of)
+
+    def take(self, some) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and which targets to score of these windows, one row each."""
+        turn, first = self.turn[some], self.first[some]
+        at = (turn * STRIDE)[:, None] + np.arange(WINDOW)
+        inside = at < self.lens[self.of[some]][:, None]
+        spot = np.where(inside, first[:, None] + at, 0)
+        targets = self.seqs[spot]
+        inputs = np.concatenate([np.where(at[:, :1] > 0, self.seqs[np.maximum(spot[:, :1] - 1, 0)], self.start), targets[:, :-1]], 1)
+        inputs[~inside] = self.start
+        return inputs, targets, inside & ((turn == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
+
+
+def log_probs(m: dict, edges: np.ndarray, seqs: np.ndarray, lens: np.ndarray, word_groups: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """ln of each target's share, and of the share of all groups that start a word, in the order of seqs."""
-    inputs, targets, scored = windows(seqs, lens, len(m["b"]))
+    windows = Windows(seqs, lens, len(m["b"]))
     own, word = np.empty(len(seqs), np.float32), np.empty(len(seqs), np.float32)
     # biases as one more row of each matrix
     ug, u = np.concatenate([m["ug"], m["bg"][None]]), np.concatenate([m["u"], m["b"][:, None]], 1)
-    ug, of = np.ascontiguousarray(ug), np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    ug, of, joint = np.ascontiguousarray(ug), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), _joint(m)
     sums, at = np.stack([word_groups, np.ones_like(word_groups)], 1).astype(np.float32), 0
-    for i in range(0, len(inputs), chunk):
-        some = scored[i : i + chunk]
-        z = _states(m, inputs[i : i + chunk])["z"][some]
+    for i in range(0, len(windows), chunk):
+        inputs, targets, some = windows.take(slice(i, i + chunk))
+        z = _states(m, inputs, joint)["z"][some]
         z = np.concatenate([z, np.ones((len(z), 1), np.float32)], 1)
-        t = targets[i : i + chunk][some]
+        t = targets[some]
         g = of[t]
         logits = z @ ug
+        logits -= logits.max(1, keepdims=True)
         mine = logits[np.arange(len(z)), g]
-        np.exp(logits, out=logits)  # logits of this small model stay far from overflow
+        np.exp(logits, out=logits)
         total = logits @ sums
         mine -= np.log(total[:, 1])
         word[at : at + len(z)] = np.log(np.minimum(total[:, 0] / total[:, 1], 1) + 1e-30)
@@ -118,6 +138,7 @@ def log_probs(m: dict, edges: np.ndarray, seqs: np.ndarray, lens: np.ndarray, wo
             if edges[k + 1] - edges[k] > 1:
                 rows = order[ends[k] : ends[k + 1]]
                 part = z[rows] @ u[edges[k] : edges[k + 1]].T
+                part -= part.max(1, keepdims=True)
                 mine[rows] += part[np.arange(len(rows)), t[rows] - edges[k]]
                 np.exp(part, out=part)
                 mine[rows] -= np.log(part.sum(1))
@@ -137,56 +158,63 @@ def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.nda
 
 def gradients(m: dict, edges: np.ndarray, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the scored targets and its gradients."""
-    f = _states(m, ids)
-    z, t, n = f["z"][scored], targets[scored], max(1, int(scored.sum()))
+    f, (size, n) = _states(m, ids), ids.shape
+    z, t, count = f["z"][scored], targets[scored], max(1, int(scored.sum()))
     g = np.searchsorted(edges, t, "right") - 1
     loss, p = _softmax_loss(z @ m["ug"] + m["bg"], g)
-    d = {"ug": z.T @ p / n, "bg": p.sum(0) / n, "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
+    d = {"ug": z.T @ p / count, "bg": p.sum(0) / count, "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
     near = p @ m["ug"].T
     order = np.argsort(g, kind="stable")
     ends = np.searchsorted(g[order], np.arange(len(edges)))
     for k in np.flatnonzero(np.diff(ends)).tolist():
         if edges[k + 1] - edges[k] > 1:
             rows, span = order[ends[k] : ends[k + 1]], slice(edges[k], edges[k + 1])
-            more, p = _softmax_loss(z[rows] @ m["u"][span].T + m["b"][span], t[rows] - edges[k])
+            own = z[rows]
+            more, p = _softmax_loss(own @ m["u"][span].T + m["b"][span], t[rows] - edges[k])
             loss += more
-            d["u"][span], d["b"][span] = p.T @ z[rows] / n, p.sum(0) / n
+            d["u"][span], d["b"][span] = p.T @ own / count, p.sum(0) / count
             near[rows] += p @ m["u"][span]
     dz = np.zeros_like(f["z"])
-    dz[scored] = near / n
-    flat = lambda a: a.reshape(-1, a.shape[-1])
+    dz[scored] = near / count
+    dz = dz.reshape(-1, WIDTH)
     dg = (dz @ m["w2"].T) * (f["g"] > 0)
-    d["w2"], d["w1"], d["b1"] = flat(f["g"]).T @ flat(dz), flat(f["h"]).T @ flat(dg), flat(dg).sum(0)
+    d["w2"], d["w1"], d["b1"] = f["g"].T @ dz, f["h"].T @ dg, dg.sum(0)
     dh = dz + dg @ m["w1"].T
-    d["o"] = flat(f["c"]).T @ flat(dh)
-    dc = dh @ m["o"].T
+    d["o"] = f["c"].T @ dh
+    dc = (dh @ m["o"].T).reshape(size, n, WIDTH)
     da = dc @ f["v"].transpose(0, 2, 1)
-    dv = f["a"].transpose(0, 2, 1) @ dc
-    ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    scale = np.float32(1 / math.sqrt(WIDTH))
-    d["q"], d["k"], d["v"] = flat(f["x"]).T @ flat(dq) * scale, flat(f["x"]).T @ flat(dk), flat(f["x"]).T @ flat(dv)
-    dx = dh + dq @ (m["q"].T * scale) + dk @ m["k"].T + dv @ m["v"].T
+    three = np.empty((size, n, 3 * WIDTH), dz.dtype)
+    three[..., 2 * WIDTH :] = f["a"].transpose(0, 2, 1) @ dc
+    da *= f["a"]
+    da -= f["a"] * (da @ np.ones((n, 1), da.dtype))
+    three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH] = da @ f["k"], da.transpose(0, 2, 1) @ f["q"]
+    three = three.reshape(-1, 3 * WIDTH)
+    joint = f["x"].T @ three
+    d["q"], d["k"], d["v"] = joint[:, :WIDTH] * joint.dtype.type(1 / math.sqrt(WIDTH)), joint[:, WIDTH : 2 * WIDTH], joint[:, 2 * WIDTH :]
+    dx = dh + three @ _joint(m).T
     d["pos"] = np.zeros_like(m["pos"])
-    d["pos"][: ids.shape[1]] = dx.sum(0)
+    d["pos"][:n] = dx.reshape(size, n, WIDTH).sum(0)
     d["emb"] = np.zeros_like(m["emb"])
     order = np.argsort(ids.ravel(), kind="stable")
     first = np.flatnonzero(np.diff(ids.ravel()[order], prepend=-1))
-    d["emb"][ids.ravel()[order[first]]] = np.add.reduceat(flat(dx)[order], first)
-    return loss / n, d
+    d["emb"][ids.ravel()[order[first]]] = np.add.reduceat(dx[order], first)
+    return loss / count, d
 
 
-def train(m: dict, edges: np.ndarray, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarray, least_steps: int, rate: float, batch: int = 64, seed: int = 3) -> tuple[dict, int]:
-    """Adam over all windows, again and again until at least so many steps are made."""
+def train(m: dict, edges: np.ndarray, windows: Windows, least_steps: int, rate: float, seed: int = 3) -> tuple[dict, int]:
+    """Adam over all windows, again and again until at least so many steps are made.
+
+    Batches are as large (64 to 512 windows) as leaves 400 steps for a pass.
+    """
+    batch = min(512, max(64, len(windows) // 400))
     m = {k: v.copy() for k, v in m.items()}
     one, two, step, rng = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0, np.random.default_rng(seed)
-    rounds = max(1, -(-least_steps // max(1, -(-len(inputs) // batch))))
-    total = rounds * -(-len(inputs) // batch)
+    rounds = max(1, -(-least_steps // max(1, -(-len(windows) // batch))))
+    total = rounds * -(-len(windows) // batch)
     for _ in range(rounds):
-        order = rng.permutation(len(inputs))
+        order = rng.permutation(len(windows))
         for i in range(0, len(order), batch):
-            some = order[i : i + batch]
-            _, d = gradients(m, edges, inputs[some], targets[some], inside[some])
+            _, d = gradients(m, edges, *windows.take(order[i : i + batch]))
             step += 1
             r = rate * (1 - 0.9 * step / total) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in d.items():

@@ -7,8 +7,6 @@ columns first, so extra columns, whatever their names, never clash with the oper
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 from array import array
 
@@ -19,6 +17,8 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_folder
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -40,22 +40,19 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="pairlens-")
-        spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/pairlens-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share; it goes when the session ends."""
+    path = shared_folder(spark, "llm")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
-def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def settle(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """The rows of df from a table written to the shared folder: computed once, lineage cut."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

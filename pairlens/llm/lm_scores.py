@@ -23,6 +23,7 @@ untrained model.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import LibraryIds, crc_of_id, crc_of_ids, documents, gather, kept, partitions, settle, spans, text_batches, texts
-from .wordshuffle import SCHEMA, by_key, expand, meet, packets, pack_words, places, squeeze, unpack_words
+from .common import LibraryIds, crc_of_ids, documents, gather, kept, partitions, settle, spans, text_batches, texts
+from .wordshuffle import SCHEMA, blocks, by_key, expand, meet, pack_words, squeeze, unpack_words
 
-MIX = 0.4
+#: Weight of the words' own counts.
+MIX = 0.2
 SYMBOLS, GROUPS = 4096, 64
 #: One text in so many is learned from, at this rate: first a start that the replicas share, then all texts.
-ROUNDS = ((64, 0.01), (1, 0.005))
-REPLICA_BYTES, LEAST_STEPS = 4_000_000, 600
+ROUNDS = ((8, 0.015), (1, 0.01))
+#: Ids that a replica learns from, about 16 MB of text; steps that it makes at least; parts in which replicas are averaged.
+REPLICA_IDS, LEAST_STEPS, PARTS = 6_000_000, 200, 64
 #: Neighbours on one side that the symbols' profiles tell apart; rows of a profile table that travel together.
 NEIGHBOURS, TOGETHER = 512, 64
 END = b"\n"  # no word holds it
@@ -116,26 +119,56 @@ def _speller(path: str) -> Speller:
     return kept(("speller", path), lambda: Speller(path))
 
 
-def id_counts(words: DataFrame, path: str) -> np.ndarray:
-    """How often each id spells the training words; the vocabulary bounds what the driver gets."""
+#: Stands for a text's end among the ids.
+NO_ID = 0xFFFFFFFF
+
+
+def spelled(words: list[bytes], speller: Speller) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and the ids of all."""
+    flat, _, n = speller.spans_of(words)
+    if END in words:
+        end = words.index(END)
+        at = int(n[:end].sum())
+        flat = np.concatenate([flat[:at], [-1], flat[at + n[end] :]])
+        n[end] = 1
+    return n.astype(np.uint32), flat.astype(np.uint32)
+
+
+class Block:
+    """A block's documents as sequences of ids."""
+
+    def __init__(self, payload: bytes):
+        whole, known, _, lens, self.numbers, self.n, self.flat = expand(payload)
+        self.ids = [int(i) if k else None for i, k in zip(whole, known, strict=True)]
+        self.lens = lens.astype(np.int64)
+
+    def ids_of(self, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents' words one after another (NO_ID at ends), and how many each document has."""
+        numbers, lens = self.numbers[np.repeat(documents, self.lens)], self.lens[documents]
+        n, at = self.n.astype(np.int64), np.cumsum(self.n, dtype=np.int64) - self.n
+        ends = np.concatenate([[0], np.cumsum(n[numbers])])
+        return gather(self.flat, at[numbers], n[numbers]), np.diff(ends[np.concatenate([[0], np.cumsum(lens)])])
+
+
+def _payloads(it):
+    return (x for batch in it for x in batch.column(0).to_pylist())
+
+
+def id_counts(homes: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in the training texts, and last how many ends; the vocabulary bounds what the driver gets."""
 
     def run(it):
-        speller, total = _speller(path), np.zeros(0, np.int64)
-        for batch in it:
-            for payload in batch.column(0).to_pylist():
-                lens, data, counts = expand(payload)
-                some = [(w, c) for w, c in zip(unpack_words(lens, data), counts.tolist(), strict=True) if w != END]
-                if some:
-                    flat, starts, n = speller.spans_of([w for w, _ in some])
-                    one = np.bincount(gather(flat, starts, n), np.repeat([float(c) for _, c in some], n))
-                    total = np.pad(total, (0, max(0, len(one) - len(total))))
-                    total[: len(one)] += one.astype(np.int64)
+        total = np.zeros(size + 1, np.int64)
+        for payload in _payloads(it):
+            block = Block(payload)
+            times = np.bincount(block.numbers, np.repeat(is_training(block.ids), block.lens), len(block.n))
+            ids = np.where(block.flat == NO_ID, size, block.flat.astype(np.int64))
+            total += np.bincount(ids, np.repeat(times, block.n), size + 1).astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = words.select("payload").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(_speller(path).lib.get_vocab_size(), np.int64)
-    for r in rows:
+    out = np.zeros(size + 1, np.int64)
+    for r in homes.select("payload").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -168,90 +201,105 @@ class Symbols:
         pool = np.bincount(number[shared], counts[shared] + 0.5, n + 3)
         self.within = np.where(shared, np.log10((counts + 0.5) / np.maximum(pool[number], 1e-9)), 0.0)
 
+    def of_ids(self, ids: np.ndarray) -> np.ndarray:
+        ends = ids == NO_ID
+        return np.where(ends, self.end, self.of[np.where(ends, 0, ids)])
 
-def spelled(column: pa.Array, speller: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words in order (-1 for ends), ids of each word, words of each text."""
-    words, numbers, lens = cut(column)
-    flat, starts, n = speller.spans_of([w for w in words])
-    end = words.index(END)
-    flat, starts, n = np.append(flat, -1), starts.copy(), n.copy()
-    starts[end], n[end] = len(flat) - 1, 1
-    return gather(flat, starts[numbers], n[numbers]), n[numbers], lens
 
+def summed(rows: DataFrame, schema_key: str, n: int) -> dict[int, np.ndarray]:
+    """Rows (key, payload: an array) added up by their few keys, in so many tasks; the driver gets one array for each key."""
+
+    def added(it):
+        for k, same in by_key(it, 0):
+            total = None
+            for _, payload in same:
+                one = expand(payload)[0]
+                total = one if total is None else total + one
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["key", "payload"])
+
+    met = rows.repartition(n, schema_key).sortWithinPartitions(schema_key).mapInArrow(added, "key int, payload binary")
+    return {r["key"]: expand(r["payload"])[0] for r in met.toLocalIterator()}
 
-def neighbours(rows: DataFrame, path: str, number: np.ndarray, n: int, column: np.ndarray) -> np.ndarray:
-    """How often each symbol has each column's symbols behind it, then before it, within the texts of rows."""
-    sent = rows.sparkSession.sparkContext.broadcast((number, column))
-    blocks = -(-n // TOGETHER)
+
+def neighbours(homes: DataFrame, number: np.ndarray, n: int, column: np.ndarray) -> np.ndarray:
+    """How often each symbol has each column's symbols behind it, then before it, within the training texts."""
+    spark = homes.sparkSession
+    sent, blocks = spark.sparkContext.broadcast((number, column)), -(-n // TOGETHER)
 
     def pairs(it):
         number, column = sent.value
+        cells = blocks * TOGETHER * 2 * NEIGHBOURS
         table = None
-        for _, texts in text_batches(it):
-            ids, _, _ = spelled(texts, _speller(path))
-            s = np.where(ids < 0, n - 1, number[np.maximum(ids, 0)])
-            a, b = s[:-1][ids[:-1] >= 0], s[1:][ids[:-1] >= 0]
-            if table is None:
-                table = np.zeros(blocks * TOGETHER * 2 * NEIGHBOURS, np.int64)
-            for cells in (a * (2 * NEIGHBOURS) + column[b], b * (2 * NEIGHBOURS) + NEIGHBOURS + column[a]):
-                which, times = np.unique(cells, return_counts=True)
-                table[which] += times
+        for payload in _payloads(it):
+            block = Block(payload)
+            ids, _ = block.ids_of(is_training(block.ids))
+            ends = ids == NO_ID
+            s = np.where(ends, n - 1, number[np.where(ends, 0, ids)])
+            a, b = s[:-1][~ends[:-1]], s[1:][~ends[:-1]]
+            table = np.zeros(cells, np.int64) if table is None else table
+            table += np.bincount(a * (2 * NEIGHBOURS) + column[b], minlength=cells)
+            table += np.bincount(b * (2 * NEIGHBOURS) + NEIGHBOURS + column[a], minlength=cells)
         if table is not None:
             for k, part in enumerate(table.reshape(blocks, -1)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["block", "payload"])
-
-    def added(it):
-        for k, same in by_key(it, 0):
-            total = sum(expand(payload)[0] for _, payload in same)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["block", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["key", "payload"])
 
-    schema = "block int, payload binary"
-    met = rows.select("doc_id", "text").mapInArrow(pairs, schema).repartition(min(blocks, partitions(rows.sparkSession)), "block").sortWithinPartitions("block")
     table = np.zeros((blocks, TOGETHER * 2 * NEIGHBOURS), np.float32)
-    for r in met.mapInArrow(added, schema).toLocalIterator():  # a table of fixed size
-        table[r["block"]] = expand(r["payload"])[0]
+    for k, part in summed(homes.select("payload").mapInArrow(pairs, "key int, payload binary"), "key", min(blocks, partitions(spark))).items():  # of fixed size
+        table[k] = part
     return table.reshape(-1, 2 * NEIGHBOURS)[:n]
 
 
-def train(rows: DataFrame, path: str, counts: np.ndarray, n_ends: int) -> tuple[Symbols, dict]:
+def train(homes: DataFrame, speller: Speller) -> tuple[Symbols, dict]:
     """Symbols and a model from the training texts."""
-    spark, speller = rows.sparkSession, _speller(path)
+    spark = homes.sparkSession
+    size = speller.lib.get_vocab_size()
+    every_id = id_counts(homes, size)
+    counts, n_ends = every_id[:-1], int(every_id[-1])
 
     def profiles(number: np.ndarray, n: int) -> np.ndarray:
         seen = np.argsort(-np.bincount(number, counts, n), kind="stable")[: NEIGHBOURS - 1]
         column = np.full(n, NEIGHBOURS - 1)
         column[seen] = np.arange(len(seen))
-        table = neighbours(rows, path, number, n, column)
+        table = neighbours(homes, number, n, column)
         return np.sqrt(table / np.maximum(1, table.sum(1, keepdims=True)))
 
     symbols = Symbols(counts, n_ends, speller.starts_word(), profiles)
     model = attention.new_model(symbols.share, symbols.edges)
+    if not n_ends:
+        return symbols, model
     for turn, (every, rate) in enumerate(ROUNDS):
-        some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-        size = some.agg(F.sum(F.length("text"))).first()[0] or 0
-        if not size:
-            continue
         sent = spark.sparkContext.broadcast((symbols, model))  # a few hundred kB
 
+        def sequences(it, sent=sent, every=every):
+            """One row for each block: the training texts' symbols."""
+            symbols, _ = sent.value
+            for payload in _payloads(it):
+                block = Block(payload)
+                some = is_training(block.ids) & np.array([zlib.crc32(b"learn %d" % (i or 0)) % every == 0 for i in block.ids], bool)
+                if some.any():
+                    ids, lens = block.ids_of(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([squeeze(symbols.of_ids(ids).astype(np.uint16), lens.astype(np.uint32))], pa.binary())], ["payload"])
+
         def learn(it, sent=sent, turn=turn, rate=rate):
             symbols, model = sent.value
-            columns = [c for _, c in text_batches(it)]
-            if not columns:
+            parts = [expand(p) for p in _payloads(it)]
+            if not parts:
                 return
-            ids, n, lens = spelled(pa.concat_arrays(columns), _speller(path))
-            edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lens)])]
-            seqs = np.where(ids < 0, symbols.end, symbols.of[np.maximum(ids, 0)])
-            inputs, targets, scored = attention.windows(seqs, np.diff(edges), len(model["b"]))
-            made, _ = attention.train(model, symbols.edges, inputs, targets, scored, LEAST_STEPS, rate, seed=turn)
-            weight = len(inputs)
-            flat = np.concatenate([made[k].ravel() for k in sorted(made)]).astype(np.float64) * weight
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["weights", "n"])
-
-        made = some.repartition(-(-size // REPLICA_BYTES)).mapInArrow(learn, "weights binary, n long")
-        # sums meet in a tree of executors; the driver gets one vector
-        total, weight = made.rdd.map(lambda r: (np.frombuffer(r["weights"]), r["n"])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-        flat, at = (total / weight).astype(np.float32), 0
+            seqs, lens = (np.concatenate(x) for x in zip(*parts, strict=True))
+            windows = attention.Windows(seqs.astype(np.int32), lens.astype(np.int64), len(model["b"]))
+            made, _ = attention.train(model, symbols.edges, windows, LEAST_STEPS, rate, seed=turn)
+            flat = np.concatenate([*(made[k].ravel() for k in sorted(made)), [1.0]]).astype(np.float64) * len(windows)
+            for k, part in enumerate(np.array_split(flat, PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["key", "payload"])
+
+        replicas = -(-int(every_id.sum()) // every // REPLICA_IDS) or 1
+        made = homes.select("payload").mapInArrow(sequences, "payload binary").repartition(replicas).mapInArrow(learn, "key int, payload binary")
+        found = summed(made, "key", min(PARTS, partitions(spark)))
+        if not found:  # so few texts that the sample has none
+            continue
+        flat = np.concatenate([found[k] for k in range(PARTS)])
+        flat, at = (flat[:-1] / flat[-1]).astype(np.float32), 0
         for k in sorted(model):
             model[k] = flat[at : at + model[k].size].reshape(model[k].shape)
             at += model[k].size
@@ -262,29 +310,28 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
     n, rows = partitions(spark), texts(docs)
-    buckets = 2 * n
-    found = settle(packets(rows, cut, buckets, _counted), "none")
+    found = blocks(rows, cut, 2 * n, _counted, lambda words: spelled(words, _speller(path)))
+    homes, found = found.filter("at_home").drop("at_home"), found.filter("not at_home").drop("at_home")
     words = settle(dictionary(found, n), "none")
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    training = rows.filter(crc_of_id() % 5 != 1)
-    symbols, model = train(training, path, id_counts(words, path), training.count())
-    sent = spark.sparkContext.broadcast((symbols, model))
+    sent = spark.sparkContext.broadcast(train(homes, _speller(path)))
 
-    def spell(ids, column):
+    def spelling(numbers, lens, n_ids, flat):
         """log10 of each word's spelling, closed, in the order of the words."""
         symbols, model = sent.value
-        ids, n_ids, lens = spelled(column, _speller(path))
-        ends = np.cumsum(n_ids)
+        n_ids = n_ids.astype(np.int64)
+        per_word = n_ids[numbers]
+        ids = gather(flat, (np.cumsum(n_ids) - n_ids)[numbers], per_word)
+        ends = np.cumsum(per_word)
         per_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])])
-        seqs = np.where(ids < 0, symbols.end, symbols.of[np.maximum(ids, 0)])
-        own, word = attention.log_probs(model, symbols.edges, seqs, per_text, symbols.starts)
-        own = own / math.log(10) + np.where(ids < 0, 0.0, symbols.within[np.maximum(ids, 0)])
+        own, word = attention.log_probs(model, symbols.edges, symbols.of_ids(ids), per_text, symbols.starts)
+        own = own / math.log(10) + np.where(ids == NO_ID, 0.0, symbols.within[np.where(ids == NO_ID, 0, ids)])
         word = word / math.log(10)
-        starts = ends - n_ids
+        starts = ends - per_word
         # given that a word starts here, and that another (or the end) starts after it
         after = np.append(word[starts[1:]], 0.0)
         after[np.cumsum(lens) - 1] = 0.0
-        return (np.add.reduceat(own, starts) - word[starts] + after).astype(np.float32)
+        return np.add.reduceat(own, starts) - word[starts] + after
 
     def answer(it):
         for bucket, same in by_key(it, 1):
@@ -299,10 +346,10 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([out], pa.binary())], ["block", "bucket", "payload"])
 
     def finish(ids, lens, numbers, answers, extra):
-        c, spelling = answers[0][numbers].astype(np.float64), extra[0].astype(np.float64)
+        c, spelled_ = answers[0][numbers].astype(np.float64), spelling(numbers, lens, *extra)
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        mixed = np.log10(MIX * c / max(1, total) + (1 - MIX) * 10.0 ** np.maximum(spelling, -290)) if total else spelling
-        mixed = np.where(c > 0, mixed, math.log10(1 - MIX) + spelling) if total else spelling
+        mixed = np.log10(MIX * c / max(1, total) + (1 - MIX) * 10.0 ** np.maximum(spelled_, -290)) if total else spelled_
+        mixed = np.where(c > 0, mixed, math.log10(1 - MIX) + spelled_) if total else spelled_
         first = np.cumsum(lens) - lens
         columns = {
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~is_training(ids)), "n_tokens": pa.array(lens, pa.int64()),
@@ -313,7 +360,7 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
 
     asked = found.union(words.select("block", "bucket", "payload")).repartition(n, "bucket").sortWithinPartitions("bucket", "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(places(rows, cut, buckets, spell), asked.mapInArrow(answer, SCHEMA), n, finish, schema)
+    return meet(homes, asked.mapInArrow(answer, SCHEMA), n, finish, schema)
 
 
 def op8_lm_scores(spark, sf_dir):

@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import settle, text_batches
 
 BLOCK_BYTES = 4_000_000
 _ROW = ("block", "bucket", "payload")
@@ -112,6 +112,26 @@ def places(rows: DataFrame, cut, buckets: int, extra=None) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def blocks(rows: DataFrame, cut, buckets: int, extra, home) -> DataFrame:
+    """Packets and places of the documents in one pass, from a table written once: rows of packets(), and of places()
+    with the arrays that ``home(words)`` gives for a block's distinct words; at_home tells them apart."""
+
+    def run(it):
+        for block, ids, _, words, sizes, numbers, lens in _blocks(it, cut, buckets):
+            more, at, out = extra(ids, numbers, lens, len(words)), 0, []
+            for b in np.flatnonzero(sizes).tolist():
+                n = int(sizes[b])
+                out.append((b, squeeze(*pack_words(words[at : at + n]), more[at : at + n])))
+                at += n
+            known = np.array([i is not None for i in ids.to_pylist()], np.uint8)
+            whole = np.array([i or 0 for i in ids.to_pylist()], np.int64)
+            out.append((-1, squeeze(whole, known, sizes.astype(np.uint32), lens.astype(np.uint32), numbers, *home(words))))
+            columns = [pa.array([block] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary()), pa.array([b < 0 for b, _ in out])]
+            yield pa.RecordBatch.from_arrays(columns, [*_ROW, "at_home"])
+
+    return settle(rows.mapInArrow(run, f"{SCHEMA}, at_home boolean"), "none", "at_home")
+
+
 def by_key(it, key: int):
     """Groups of (block, bucket, payload) rows, sorted by the key's column, one row at a time."""
     rows = (r for batch in it for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -123,7 +143,7 @@ def meet(at_home: DataFrame, answers: DataFrame, n: int, finish, schema: str) ->
 
     ``finish(ids, lens, numbers, answers, extra)`` gets the block's document ids, words in each text,
     the words' numbers in order, the expanded answers' arrays, joined in the order of the numbers, and
-    what ``extra`` gave; it returns a record batch.
+    what ``extra`` or ``home`` gave; it returns a record batch.
     """
 
     def run(it):
