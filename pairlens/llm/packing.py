@@ -1,7 +1,7 @@
 """Batches of documents of like length: optimal length buckets, then a token budget.
 
 The histogram of all lengths goes to the driver (at most some ten thousand bins: lengths up to 4096
-apart, longer ones rounded up by less than one in 2048). Dynamic programming chooses the bucket
+apart, longer ones rounded up by less than one in 2048; or all lengths apart, as a parameter). Dynamic programming chooses the bucket
 lengths that need the least padding; with the lower hull of lines it takes time in proportion to
 bins times buckets and is exact. A bucket's documents are numbered and cut into batches of as many
 padded documents as the token budget holds, at least one.
@@ -74,16 +74,22 @@ def best_bounds(lens, counts, buckets: int = BUCKETS) -> list[int]:
     return bounds[::-1]
 
 
-def binned(length: Column) -> Column:
-    """Lengths up to 4096 as they are, longer ones rounded up to 12 leading bits."""
-    step = F.pow(F.lit(2), F.length(F.bin(length)) - 12).cast("long")
-    return F.when(length <= 4096, length).otherwise(F.ceil(length / step) * step)
+def binned(length: Column, bits: int | None) -> Column:
+    """Lengths up to 2 ** bits as they are, longer ones rounded up to so many leading bits; without bits all as they are."""
+    if bits is None:
+        return length
+    step = F.pow(F.lit(2), F.length(F.bin(length)) - bits).cast("long")
+    return F.when(length <= 1 << bits, length).otherwise(F.ceil(length / step) * step)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_tokens (padded length), batch (within the bucket), slot, padding."""
+def packed(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget: int = BUDGET, bits: int | None = 12) -> DataFrame:
+    """doc_id, n_tokens, bucket, bucket_tokens (padded length), batch (within the bucket), slot, padding.
+
+    The bounds are optimal for lengths rounded to ``bits`` leading bits; None takes every length by itself, with as many
+    bins on the driver as there are different lengths.
+    """
     measured = lengths(docs, tokenizer_path).withColumn("row", F.monotonically_increasing_id())
-    measured = settle(measured.withColumn("bin", binned(F.col("n_tokens"))))
+    measured = settle(measured.withColumn("bin", binned(F.col("n_tokens"), bits)))
     bins = measured.groupBy("bin").agg(F.count("*").alias("n")).collect()
     bounds = best_bounds([b["bin"] for b in bins], [b["n"] for b in bins], buckets)
     below = F.array(*(F.lit(b).cast("long") for b in bounds))

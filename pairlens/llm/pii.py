@@ -3,7 +3,7 @@
 Numbers and dates that pass their checks (Luhn for cards, mod 97 for IBANs, octets of addresses,
 calendar dates from 1900 to 2099, ...) are permuted by a keyed Feistel network over exactly the
 values of their format, so a pseudonym passes the same checks, equal values stay equal in all
-documents, and nothing has to be remembered or shuffled. The key is a parameter; without it the
+documents, and nothing has to be remembered or shuffled. The key must be given; without it the
 permutation can't be undone. Case and separators of the original are kept.
 
 Nulls stay null (counts 0), empty and very long texts are ordinary texts, repeated rows give
@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import math
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents
 
-#: Default key of the pseudonyms; give your own in production.
-KEY = b"change this key"
+#: Where a session keeps the key; and what queries take without it: who reads this can undo their pseudonyms.
+KEY_SETTING, TRIAL_KEY = "spark.pairlens.pii.key", b"for trials only"
 ROUNDS = 10
 KINDS = ("email", "secret", "phone", "iban", "card", "ssn", "ip", "date")
 _FIND = regex.compile(
@@ -84,21 +85,35 @@ def permute(x: int, size: int, key: bytes, kind: str) -> int:
             return x
 
 
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The characters that c is permuted among: digits, a to z, or the letters of its case and run of 128 code points."""
+    if "0" <= c <= "9":
+        return "0123456789"
+    if c.lower() in _LOWER:
+        return _LOWER
+    if not c.isalpha():
+        return ""
+    run = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in run if x.isalpha() and x.lower() not in _LOWER and (x.isupper(), x.islower()) == (c.isupper(), c.islower()))
+
+
 def _spelled(text: str, key: bytes, kind: str) -> str:
-    """Digits for digits and letters for letters (others than a-z count by their place in a-z)."""
-    x, size, spots = 0, 1, []
+    """Digits for digits and letters for letters of the same alphabet; two texts never become one (but for the case of a to z)."""
+    x, size, spots, shape = 0, 1, [], []
     for i, c in enumerate(text):
-        base = 10 if "0" <= c <= "9" else 26 if c.isalpha() else 0
-        if base:
-            low = c.lower()
-            x, size = x * base + (int(c) if base == 10 else _LOWER.find(low) if low in _LOWER else ord(low[0]) % 26), size * base
-            spots.append((i, base))
+        alphabet = _alphabet(c)
+        if alphabet:
+            x, size = x * len(alphabet) + alphabet.index(c.lower() if alphabet == _LOWER else c), size * len(alphabet)
+            spots.append((i, alphabet))
+            shape.append(alphabet[0])
     if not spots:
         return text
-    x, out = permute(x, size, key, kind), list(text)
-    for i, base in reversed(spots):
-        x, d = divmod(x, base)
-        out[i] = str(d) if base == 10 else _LOWER[d].upper() if text[i].isupper() else _LOWER[d]
+    # texts of other alphabets are permuted apart
+    x, out = permute(x, size, key, kind if all(a in "0a" for a in shape) else kind + "".join(shape)), list(text)
+    for i, alphabet in reversed(spots):
+        x, d = divmod(x, len(alphabet))
+        out[i] = alphabet[d].upper() if alphabet == _LOWER and text[i].isupper() else alphabet[d]
     return "".join(out)
 
 
@@ -196,7 +211,7 @@ _MAKE = {
 }
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were found."""
     counts: dict[str, int] = {}
     out, done, at = [], 0, 0
@@ -213,7 +228,7 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     return "".join(out) + text[done:], counts
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in text (n_chars, if there, follows), and a count ``n_<kind>`` of each kind.
 
     Columns whose names clash with a count's are replaced by the count.
@@ -245,8 +260,14 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return out
 
 
+def session_key(spark) -> bytes:
+    """The key in the session's settings, or that for trials."""
+    said = spark.conf.get(KEY_SETTING, None)
+    return said.encode() if said else TRIAL_KEY
+
+
 def op6_pii(spark, sf_dir):
-    return pseudonyms(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonyms(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
 
 
 QUERIES = {"op6_pii": op6_pii}

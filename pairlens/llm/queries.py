@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import byte_bpe, fingerprints, lm_scores, media, near_dedup, packing, pii, quality, token_counts, token_store
 
-MODULES = ("near_dedup", "packing", "token_store", "media", "token_counts", "pii", "quality", "lm_scores", "byte_bpe", "fingerprints")
+MODULES = (near_dedup, packing, token_store, media, token_counts, pii, quality, lm_scores, byte_bpe, fingerprints)
 
 
 def queries() -> dict:
-    found: dict = {}
-    for name in MODULES:
-        found |= import_module(f"{__package__}.{name}").QUERIES
-    return found
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    found: dict = {}
-    for name in MODULES:
-        found |= getattr(import_module(f"{__package__}.{name}"), "SQL", {})
-    return found
+    return {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}

@@ -1,6 +1,5 @@
 """Operators of the llm subpackage against libraries and brute force, and on odd tables."""
 
-import base64
 import hashlib
 import re
 import zlib
@@ -11,13 +10,17 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from pairlens.llm import attention, byte_bpe, components, fingerprints, lm_scores, media, near_dedup, packing, pii, quality, token_counts, token_store
-from pairlens.llm.common import LibraryIds, tokenizer
+from pairlens.llm import attention, byte_bpe, components, fingerprints, lm_scores, media, near_dedup, packing, pii, quality, token_counts, token_store, wordshuffle
+from pairlens.llm.common import LibraryIds, texts, tokenizer
 from pairlens.llm.shingles import shingle_hashes
 
 BYTE, WORD, RANKS = (P.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"))
 
 
+def said(text, key=pii.TRIAL_KEY):
+    return pii.pseudonymise(text, key)
+
+
 def key(r):
     return (r[0] is not None, r[0] or 0, r[1] or "")
 
@@ -227,54 +230,54 @@ def test_packing(request, which):
 
 
 def test_pii_keeps_formats_and_links(odd, empty):
-    found, counts = pii.pseudonymise("4400896270136251 3668798256337530 DE89 3704 0044 0532 0130 00 123-45-6789 2024-02-29 31.12.1999 +1 (017) 555-7713 1.43.173.185 v4.0")
+    found, counts = said("4400896270136251 3668798256337530 DE89 3704 0044 0532 0130 00 123-45-6789 2024-02-29 31.12.1999 +1 (017) 555-7713 1.43.173.185 v4.0")
     assert counts == {"card": 1, "iban": 1, "ssn": 1, "date": 2, "phone": 1, "ip": 1}
     assert "3668798256337530" in found and "4400896270136251" not in found and found.endswith("v4.0")
     card = found.split()[0]
     assert pii.luhn(card) == 0 and len(card) == 16
-    assert pii.pseudonymise("4400-8962-7013-6251")[0].replace("-", "") == card
-    assert pii.pseudonymise("4400896270136251", b"other")[0] != card
-    assert pii.pseudonymise("A.B@Example.com")[0].lower() == pii.pseudonymise("a.b@example.com")[0]
+    assert said("4400-8962-7013-6251")[0].replace("-", "") == card
+    assert said("4400896270136251", b"other")[0] != card
+    assert said("A.B@Example.com")[0].lower() == said("a.b@example.com")[0]
     for size in (1, 2, 10, 97, 1000):
         assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
-    out = {r["doc_id"]: r for r in pii.pseudonyms(odd).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonyms(odd, pii.TRIAL_KEY).collect()}
     assert out[3]["text"] is None and out[9]["n_card"] == 0 and out[7]["text"] == "x" * 30_000
     assert (out[10]["n_email"], out[10]["n_phone"], out[10]["n_card"], out[10]["n_ip"]) == (1, 1, 1, 1)
     assert not any(x in out[10]["text"] for x in ("a.b@example.com", "705", "4400896270136251", "1.43.173.185"))
     assert out[10]["n_chars"] == len(out[10]["text"]) and out[10]["bucket"] == "x"
-    assert pii.pseudonyms(empty).count() == 0
+    assert pii.pseudonyms(empty, pii.TRIAL_KEY).count() == 0
 
 
 def test_pii_ibans_before_words_and_other_phones():
     for iban in ("BE68539007547034", "AT611904300234573201", "ES9121000418450200051332", "PL61109010140000071219812874"):
         grouped = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
-        made = pii.pseudonymise(iban)[0]
+        made = said(iban)[0]
         assert made != iban and made[:2] == iban[:2] and len(made) == len(iban) and pii._mod97(made[4:] + made[:4]) == 1
         for value in (iban, grouped):
             for after in (" is", " and", " with that is it", " however", ", so", ""):
-                found, counts = pii.pseudonymise(f"pay {value}{after}")
+                found, counts = said(f"pay {value}{after}")
                 assert counts == {"iban": 1} and found.endswith(after) and found[4 : 4 + len(value)].replace(" ", "") == made
     # a failed candidate doesn't hide what comes behind it
-    found, counts = pii.pseudonymise("ab12 cdef ES91 2100 0418 4502 0005 1332 is 1.43.173.185")
+    found, counts = said("ab12 cdef ES91 2100 0418 4502 0005 1332 is 1.43.173.185")
     assert counts == {"iban": 1, "ip": 1} and found.startswith("ab12 cdef ES") and "2100 0418" not in found
     shapes = ["555 123 4567", "(555) 123 4567", "(555)123-4567", "+15551234567", "+1 555 123 4567", "1-555-123-4567", "555-123-4567"]
     made = set()
     for s in shapes:
-        found, counts = pii.pseudonymise(f"at {s} now")
+        found, counts = said(f"at {s} now")
         assert counts == {"phone": 1} and found.startswith("at ") and found.endswith(" now") and len(found) == len(s) + 7, s
         made.add("".join(c for c in found if c.isdecimal())[-10:])
     assert len(made) == 1 and made != {"5551234567"}
     made = set()
     for s in ("+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "0044 20 7946 0958"):
-        found, counts = pii.pseudonymise(f"at {s}.")
+        found, counts = said(f"at {s}.")
         assert counts == {"phone": 1} and "44" in found[:8] and len(found) == len(s) + 4, s
         made.add("".join(c for c in found.replace("(0)", "") if c.isdecimal())[-10:])
     assert len(made) == 1 and made != {"2079460958"}
     for s in ("+49 30 1234567", "+33 6 12 34 56 78", "+4915112345678", "+353 1 234 5678", "tel. 030/1234567", "Phone: 06 12 34 56 78", "call 020 7946 0958"):
-        assert pii.pseudonymise(s)[1] == {"phone": 1}, s
+        assert said(s)[1] == {"phone": 1}, s
     for s in ("100 200 3000 400 5000", "call 4400896270136252", "1234567890", "0012345678901", "a + 12345678"):
-        assert pii.pseudonymise(s) == (s, {}), s
-    assert pii.pseudonymise("call 2024-02-29")[1] == {"date": 1} and pii.pseudonymise("call 4400 8962 7013 6251")[1] == {"card": 1}
+        assert said(s) == (s, {}), s
+    assert said("call 2024-02-29")[1] == {"date": 1} and said("call 4400 8962 7013 6251")[1] == {"card": 1}
 
 
 def test_quality_held_out(spark, docs, odd, empty, sf):
@@ -305,6 +308,8 @@ def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     edges = np.array([0, 3, 4, 7])
     m = {k: v.astype(np.float64) for k, v in attention.new_model(np.full(7, 1 / 7), edges).items()}
+    large = {k: v * 40 for k, v in m.items()}
+    assert all(np.isfinite(x).all() for x in attention.log_probs(large, edges, np.arange(60) % 7, np.array([60]), np.array([True, False, False])))
     ids, targets = rng.integers(0, 8, (3, attention.WINDOW)), rng.integers(0, 7, (3, attention.WINDOW))
     scored = rng.random(ids.shape) < 0.7
     _, d = attention.gradients(m, edges, ids, targets, scored)
@@ -318,8 +323,11 @@ def test_attention_gradients_and_windows():
         assert abs((loss[0] - loss[1]) / 2e-5 - d[k][i]) < 1e-7
     lens = np.array([0, 1, 23, 24, 25, 44, 45, 200])
     seqs = rng.integers(0, 7, int(lens.sum()))
-    inputs, targets, scored = attention.windows(seqs, lens, 7)
+    windows = attention.Windows(seqs, lens, 7)
+    inputs, targets, scored = windows.take(slice(None))
     assert (targets[scored] == seqs).all()  # once each, in order
+    some = rng.permutation(len(windows))[:5]
+    assert all((a == b[some]).all() for a, b in zip(windows.take(some), (inputs, targets, scored), strict=True))
     small = attention.new_model(np.full(7, 1 / 7), edges)
     own, word = attention.log_probs(small, edges, seqs, lens, np.array([True, False, False]))
     one = np.zeros(len(seqs))
@@ -352,40 +360,91 @@ def test_lm_scores_counts_and_base(request, which, monkeypatch):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
-def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
+def homes_of(df):
+    found = wordshuffle.blocks(texts(df), lm_scores.cut, 8, lm_scores._counted, lambda words: lm_scores.spelled(words, lm_scores._speller(BYTE)))
+    return found.filter("at_home").drop("at_home")
+
+
+def spelling(text, lib):
+    """Ids of the words of one text by the library, each after a space; None for the end."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return [lib.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words] + [[None]]
+
+
+def test_lm_learns_from_all_training_texts(spark, docs, odd, monkeypatch):
     from types import SimpleNamespace
 
-    from pairlens.llm.common import texts
+    lib, speller = tokenizer(BYTE), lm_scores.Speller(BYTE)
+    for df in (docs, odd):
+        seen = spark.sparkContext.accumulator(0)
 
-    seen = spark.sparkContext.accumulator(0)
+        def learned(model, edges, windows, steps, rate, seed, seen=seen):
+            if seed == len(lm_scores.ROUNDS) - 1:
+                seen.add(sum(int(windows.take(k)[2].sum()) for k in (slice(0, 50), slice(50, None))))
+            return model, 0
 
-    def learned(model, edges, inputs, targets, scored, steps, rate, seed):
-        if seed == len(lm_scores.ROUNDS) - 1:
-            seen.add(int(scored.sum()))
-        return model, 0
+        monkeypatch.setattr(lm_scores, "attention", SimpleNamespace(new_model=attention.new_model, groups=attention.groups, Windows=attention.Windows, train=learned))
+        homes = homes_of(df)
+        lm_scores.train(homes, speller)
+        want = Counter(x for i, t in plain(df) if crc(i) % 5 != 1 for w in spelling(t, lib) for x in w)
+        assert seen.value == sum(want.values())
+        got = lm_scores.id_counts(homes, speller.lib.get_vocab_size())
+        assert got[-1] == want.pop(None) and {i: n for i, n in enumerate(got[:-1].tolist()) if n} == dict(want)
 
-    monkeypatch.setattr(lm_scores, "attention", SimpleNamespace(new_model=attention.new_model, groups=attention.groups, windows=attention.windows, train=learned))
-    rows, speller = texts(docs), lm_scores.Speller(BYTE)
-    counts = np.arange(speller.lib.get_vocab_size()) % 7
-    lm_scores.train(rows, BYTE, counts, docs.count())
-    ids, _, _ = lm_scores.spelled(pa.array([t for _, t in plain(docs)], pa.large_string()), speller)
-    assert seen.value == len(ids)
 
+def test_lm_scores_equal_a_plain_loop(docs, monkeypatch):
+    """The score of each text, word by word and id by id from the trained model's own tables."""
+    import math
 
-def test_lm_groups_come_from_all_neighbours(docs):
-    from pairlens.llm.common import texts
+    made = []
+    real = lm_scores.train
 
-    rows = texts(docs).repartition(3)
-    speller = lm_scores.Speller(BYTE)
+    def kept(homes, speller):
+        made.append(real(homes, speller))
+        return made[-1]
+
+    monkeypatch.setattr(lm_scores, "LEAST_STEPS", 20)
+    monkeypatch.setattr(lm_scores, "train", kept)
+    got = {r["doc_id"]: r["score"] for r in lm_scores.lm_scores(docs, BYTE).collect()}
+    symbols, m = made[0]
+    words = re.compile(rb"[^\x20\x09-\x0D]+")
+    rows = [(i, t, words.findall(t.encode().lower()) + [b"\n"]) for i, t in plain(docs)]
+    count = Counter(w for i, _, ws in rows if crc(i) % 5 != 1 for w in ws)
+    n, lib, edges = sum(count.values()), tokenizer(BYTE), symbols.edges
+    norm = lambda a: a - np.log(np.exp(a - a.max()).sum()) - a.max()
+    for i, t, ws in sorted(rows, key=lambda r: len(r[1]))[3:60:8]:
+        ids = [(x, k) for k, w in enumerate(spelling(t, lib)) for x in w]
+        seq = [symbols.end if x is None else int(symbols.of[x]) for x, _ in ids]
+        own, opens = [], []
+        for at in range(len(seq)):
+            # the only window that scores this place
+            first = 0 if at < attention.WINDOW else -(-(at + 1 - attention.WINDOW) // attention.STRIDE) * attention.STRIDE
+            context = np.array([[len(m["b"]) if k == 0 else seq[k - 1] for k in range(first, at + 1)]])
+            z = attention._states(m, context)["z"][0, -1].astype(np.float64)
+            g = int(np.searchsorted(edges, seq[at], "right")) - 1
+            groups, inside = norm(z @ m["ug"] + m["bg"]), norm(z @ m["u"][edges[g] : edges[g + 1]].T + m["b"][edges[g] : edges[g + 1]])
+            own.append((groups[g] + inside[seq[at] - edges[g]]) / math.log(10) + (0.0 if ids[at][0] is None else symbols.within[ids[at][0]]))
+            opens.append(math.log10(min(1.0, np.exp(groups)[symbols.starts].sum()) + 1e-30))
+        starts = [at for at in range(len(ids)) if at == 0 or ids[at][1] != ids[at - 1][1]]
+        total = 0.0
+        for k, at in enumerate(starts):
+            end = starts[k + 1] if k + 1 < len(starts) else len(ids)
+            spell = sum(own[at:end]) - opens[at] + (opens[end] if end < len(ids) else 0.0)
+            total += math.log10(lm_scores.MIX * count[ws[k]] / n + (1 - lm_scores.MIX) * 10**spell)
+        assert abs(total - got[i]) < 2e-3 * max(10, len(ws)), i
+
+
+def test_lm_groups_come_from_all_neighbours(docs):
+    speller, lib = lm_scores.Speller(BYTE), tokenizer(BYTE)
     number = np.arange(speller.lib.get_vocab_size()) % 150
     column = np.minimum(np.arange(151), lm_scores.NEIGHBOURS - 1)
-    got = lm_scores.neighbours(rows, BYTE, number, 151, column)
+    got = lm_scores.neighbours(homes_of(docs.repartition(3)), number, 151, column)
     want = np.zeros_like(got)
-    for _, t in plain(docs):
-        ids = lm_scores.spelled(pa.array([t], pa.large_string()), speller)[0]
-        s = np.where(ids < 0, 150, number[np.maximum(ids, 0)])
-        np.add.at(want, (s[:-1], column[s[1:]]), 1)
-        np.add.at(want, (s[1:], lm_scores.NEIGHBOURS + column[s[:-1]]), 1)
+    for i, t in plain(docs):
+        if crc(i) % 5 != 1:
+            s = np.array([150 if x is None else number[x] for w in spelling(t, lib) for x in w])
+            np.add.at(want, (s[:-1], column[s[1:]]), 1)
+            np.add.at(want, (s[1:], lm_scores.NEIGHBOURS + column[s[:-1]]), 1)
     assert (got == want).all()
 
 
@@ -430,8 +489,73 @@ def test_pipeline_matches_its_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["doc_id"] for r in out) == stay
     lib, text = tokenizer(BYTE), dict(rows)
-    assert all(r["n_tokens"] == len(lib.encode(pii.pseudonymise(text[r["doc_id"]])[0], add_special_tokens=False).ids) + 1 for r in out)
+    assert all(r["n_tokens"] == len(lib.encode(said(text[r["doc_id"]])[0], add_special_tokens=False).ids) + 1 for r in out)
 
 
-def test_ranks_file():
-    assert base64.b64encode(b"a").decode() and byte_bpe.encode_word(b"", {}) == []
+def test_pii_keeps_other_letters_apart():
+    letters = [chr(x) for x in range(0x430, 0x450)] + ["é", "ä", "ß", "q", "中", "文", "7"]
+    made = {said(f"{c}name@example.com")[0] for c in letters}
+    assert len(made) == len(letters) and not made & {f"{c}name@example.com" for c in letters}
+    assert said("жук@example.com")[0] != "жук@example.com" and said("жук@example.com")[0] == said("жук@example.com")[0]
+
+
+def test_pii_over_a_table_equals_a_loop(docs):
+    got = Counter((r["doc_id"], r["text"], r["n_email"] + r["n_card"] + r["n_phone"]) for r in pii.pseudonyms(docs.select("doc_id", "text"), b"k").collect())
+    want = Counter()
+    for i, t in plain(docs):
+        text, n = said(t, b"k")
+        want[i, text, sum(n.get(k, 0) for k in ("email", "card", "phone"))] += 1
+    assert got == want
+
+
+def test_packing_with_all_lengths_apart(spark):
+    rows = [(i, "a " * n) for i, n in enumerate((3, 5000, 5001, 5002, 4999, 7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.packed(df, BYTE, buckets=6, budget=20_000, bits=None).collect()
+    assert all(r["padding"] == 0 for r in got) and len({r["bucket_tokens"] for r in got}) == 6
+    rounded = packing.packed(df, BYTE, buckets=6, budget=20_000).collect()
+    assert all(r["padding"] >= 0 for r in rounded)
+
+
+def test_fingerprints_by_brute_force(odd, docs):
+    """Sketches, likeness to the edited text and to the next one, from sorted sets of all shingle hashes."""
+    sketch = lambda t: sorted(set(shingle_hashes(pa.array([t], pa.large_string()))[0].tolist()))[: fingerprints.K]
+
+    def likeness(a, b):
+        union = sorted(set(a) | set(b))[: fingerprints.K]
+        return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+    for df in (odd, docs):
+        rows = plain(df)
+        want = Counter()
+        for (i, t), after in zip(rows, [*(t for _, t in rows[1:]), rows[0][1]], strict=True):
+            e = fingerprints.edited(t, after)
+            a, b, c = sketch(t), sketch(e), sketch(after)
+            text = [fingerprints.as_text(np.array(x, np.uint64)) for x in (a, b)]
+            want[i, *text, round(likeness(a, b), 9), round(likeness(a, c), 9)] += 1
+        assert Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprints(df).collect()) == want
+    # shingle hashes are those of words, whatever the batch: by hand from the texts' words
+    texts_ = ["a b c d e f", "b c d e f", "x", "", "A  b\tC d E"]
+    every, lens = shingle_hashes(pa.array(texts_, pa.large_string()))
+    parts = np.split(every, np.cumsum(lens)[:-1])
+    assert lens.tolist() == [2, 1, 1, 0, 1] and parts[0][1] == parts[1][0] and parts[0][0] == parts[4][0] and len(set(every.tolist())) == 3
+
+
+def test_near_dedup_takes_any_column_names(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a, 5, 6, 7), (2, a + " more", 5, 6, 7), (3, b, 5, 6, 7)], "doc_id long, text string, _id int, digest int, node int")
+    kept = near_dedup.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(0)
+    sets = []
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 400, 300)).astype(np.uint64)
+        sets.append((keys, rng.integers(1, 4, len(keys))))
+    bits = np.unpackbits(near_dedup.parities(sets).view(np.uint8), axis=1)
+    for i in range(40):
+        for j in range(i):
+            a, b = dict(zip(*map(np.ndarray.tolist, sets[i]), strict=True)), dict(zip(*map(np.ndarray.tolist, sets[j]), strict=True))
+            assert (bits[i] != bits[j]).sum() <= sum(abs(a.get(k, 0) - b.get(k, 0)) for k in a | b)
