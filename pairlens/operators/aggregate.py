@@ -12,14 +12,9 @@ ERROR_SHARE, FOUND_SHARE = 0.20, 0.30
 ERROR_BANDS = ((1.0, "<=1"), (2.0, "1-2"), (3.0, "2-3"), (5.0, "3-5"))
 
 
-def cuts(rows: DataFrame, value: str, buckets: int = 64) -> list[float]:
-    """Bounds of about even buckets of a number, as literals: they don't change when a task is repeated."""
-    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    return sorted(set(found or []))
-
-
-def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
-    return F.size(F.filter(F.array(*(F.lit(float(x)) for x in bounds)), lambda b: b <= value)) if bounds else F.lit(0)
+def bucket_of(value: Column) -> Column:
+    """A number's bucket, in the order of the numbers: about 0.4 % wide, finer than 0.00001 near 0; some thousand for common ranges."""
+    return F.signum(value) * F.floor(256 * F.log1p(F.abs(value) * 1000))
 
 
 def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], weight: Column | None = None) -> DataFrame:
@@ -30,7 +25,7 @@ def _at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
     """
     weight = F.lit(1) if weight is None else weight
     some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), weight.alias("_w"))
-    counts = some.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n")).withColumn("_bucket", bucket_of(F.col("_v"), cuts(some, "_v")))
+    counts = some.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n")).withColumn("_bucket", bucket_of(F.col("_v")))
     every = Window.partitionBy(*keys, F.lit(0))  # one row for each bucket
     whole = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
     whole = whole.withColumns({"_all": F.sum("_in").over(every), "_before": F.sum("_in").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")})

@@ -103,21 +103,27 @@ def voted(clusters: Column, rule: str) -> Column:
     return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
 
 
-def verified(clusters: Column, k: int = 4, alpha: Column | float = 0.0) -> Column:
-    """(x, y) of the one of the k clusters with the greatest total confidence that has the best check (the greatest of
-    its members'), plus alpha times its share of the k clusters' confidence; the first on ties."""
-    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
-    # by confidence, the earlier first on ties
+def shortlisted(clusters: Column, k: int = 4) -> Column:
+    """The k clusters with the greatest total confidence, the earlier first on ties, and their whole confidence."""
     order = F.array_sort(F.transform(clusters, lambda c, i: F.struct((-c["s"]).alias("s"), i.alias("i"), c.alias("k"))))
-    top = F.slice(order, 1, k)
-    whole = F.aggregate(top, F.lit(0.0), lambda s, c: s + c["k"]["s"])
-    whole = F.when(whole == 0, 1.0).otherwise(whole)
-    value = lambda c, i: F.struct((c["k"]["check"] + alpha * c["k"]["s"] / whole).alias("v"), (-i).alias("i"), c["k"].alias("k"))
-    best = F.array_max(F.transform(top, value))["k"]
+    return F.transform(F.slice(order, 1, k), lambda c: c["k"])
+
+
+def verified(shortlist: Column, whole: Column, alpha: Column | float = 0.0) -> Column:
+    """(x, y) of the shortlisted cluster that has the best check (the greatest of its members'), plus alpha times its share
+    of the shortlist's whole confidence; the first on ties."""
+    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    share = alpha / F.when(whole == 0, 1.0).otherwise(whole)
+    value = lambda c, i: F.struct((c["check"] + share * c["s"]).alias("v"), (-i).alias("i"), c.alias("k"))
+    best = F.array_max(F.transform(shortlist, value))["k"]
     weight = F.when(best["s"] == 0, 1.0).otherwise(best["s"])
     return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
 
 
+def confidence(clusters: Column) -> Column:
+    return F.aggregate(clusters, F.lit(0.0), lambda t, c: t + c["s"])
+
+
 def routed(rows: DataFrame, thresholds: Sequence[float], ratio: str, cheap: str, costly: str, limit: float = 5.0) -> DataFrame:
     """threshold, acc, p99, passes, ok, chosen: the cheap answer where ratio <= threshold (1 pass), else the costly one (9).
 

@@ -105,7 +105,8 @@ ALPHAS = (0.0, 0.2, 0.35, 0.5, 1.0)
 def m21(v):
     """x, y of each rule for each pair, with the band score as the check of the verified rules; tests compare with a plain loop."""
     k = proposals(v, "band_score").select("pair_id", h.clustered(F.col("props"), verify=True).alias("k"))
-    rules = {r: h.voted(F.col("k"), r) for r in h.RULES} | {"verify" if a == 0 else f"verify+{a}": h.verified(F.col("k"), alpha=a) for a in ALPHAS}
+    k = k.withColumn("short", h.shortlisted(F.col("k"))).withColumn("whole", h.confidence(F.col("short")))
+    rules = {r: h.voted(F.col("k"), r) for r in h.RULES} | {"verify" if a == 0 else f"verify+{a}": h.verified(F.col("short"), F.col("whole"), a) for a in ALPHAS}
     return k.select("pair_id", F.size("k").alias("clusters"), F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), p.alias("p")) for r, p in rules.items())))).select("pair_id", "clusters", "rule", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 

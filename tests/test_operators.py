@@ -188,8 +188,8 @@ def test_cell_weights_have_the_mean_and_spread_of_a_bootstrap(spark):
 def test_verified_clusters(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [(float(a) / 100, float(x), float(y), float(v) / 7) for a, x, y, v in zip(rng.integers(1, 99, 12), rng.integers(0, 40, 12), rng.integers(0, 40, 12), rng.integers(0, 7, 12), strict=True)]) for i in range(30)]
-    df = spark.createDataFrame(rows, "id int, p array<struct<score:double,x:double,y:double,check:double>>").select("id", hypotheses.clustered(F.col("p"), verify=True).alias("k"))
-    got = {r["id"]: r for r in df.select("id", *(hypotheses.verified(F.col("k"), alpha=a).alias(f"a{n}") for n, a in enumerate((0.0, 0.35)))).collect()}
+    df = spark.createDataFrame(rows, "id int, p array<struct<score:double,x:double,y:double,check:double>>").select("id", hypotheses.shortlisted(hypotheses.clustered(F.col("p"), verify=True)).alias("k")).withColumn("w", hypotheses.confidence(F.col("k")))
+    got = {r["id"]: r for r in df.select("id", *(hypotheses.verified(F.col("k"), F.col("w"), a).alias(f"a{n}") for n, a in enumerate((0.0, 0.35)))).collect()}
     for i, ps in rows:
         clusters = []
         for p in sorted(ps, reverse=True):
