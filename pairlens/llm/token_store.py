@@ -8,6 +8,7 @@ the next. So any id is read with one lookup for each level and no block is ever
 A segment is one value of this format: a header, document ids and lengths, then the levels. Segments
 are rows of Parquet files in the shared folder, written in ascending document order (nulls first,
 repeated ids by text), so writers can be lost and repeated and any store that Spark can write does.
+An index of one row for each segment leads from a position in the corpus to its segment.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import LibraryIds, documents, kept, partitions, settle, text_batche
 
 MAGIC = b"DACS0001"
 BLOCK = 512  # bits for each entry of a rank directory
+RANGE = 1 << 16  # positions that ids_at looks up together
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -46,7 +48,7 @@ def pack(ids: np.ndarray, doc_ids: list, lens: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Reads a segment: whole, by document, or any single id."""
+    """Reads a segment: whole, by document, or any single id; document ids are only unpacked when asked for."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
@@ -60,10 +62,7 @@ class Segment:
             at += got.nbytes
             return got
 
-        ids = take("<i8", self.n_docs)
-        known = np.unpackbits(take("u1", -(-self.n_docs // 8)), count=self.n_docs)
-        self.doc_ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
-        self.lens = take("<u4", self.n_docs).astype(np.int64)
+        self._ids, self._known, self._lens = take("<i8", self.n_docs), take("u1", -(-self.n_docs // 8)), take("<u4", self.n_docs)
         self.levels = []
         for _ in range(levels):
             n = int(take("<u8", 1)[0])
@@ -71,6 +70,16 @@ class Segment:
             bits = take("u1", -(-n // BLOCK) * (BLOCK // 8))
             self.levels.append((chunk, bits, take("<u4", -(-n // BLOCK) + 1)))
 
+    @property
+    def doc_ids(self) -> list:
+        known = np.unpackbits(self._known, count=self.n_docs)
+        return [i if k else None for i, k in zip(self._ids.tolist(), known.tolist(), strict=True)]
+
+    @property
+    def lens(self) -> np.ndarray:
+        """How many ids each document has."""
+        return self._lens.astype(np.int64)
+
     def __getitem__(self, i: int) -> int:
         """The id at position i, without reading its neighbours."""
         if not 0 <= i < self.n_ids:
@@ -130,11 +139,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids:
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the segments alone.
-
-    Shards hold ranges of document ids, so the shards' totals in the order of their first ids and
-    the segments' totals within a shard place every document: no sort of all rows.
-    """
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the segments alone: the index and each document's
+    place in its segment, no sort of all rows."""
 
     def run(it):
         for batch in it:
@@ -147,15 +153,46 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.full(n, shard), pa.int32()), (np.full(n, seq), pa.int64()), (s.doc_ids, pa.int64()), (starts, pa.int64()), (s.lens, pa.int64()), (crcs, pa.int64()))], ["shard", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = segments.select("shard", "seq", "data").mapInArrow(run, "shard int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(corpus_index(segments), ["shard", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def corpus_index(segments: DataFrame) -> DataFrame:
+    """shard, seq, first, n_ids: the position in the corpus of each segment's first id, and how many it has.
+
+    Shards hold ranges of document ids, so the shards' totals in the order of their first ids and the
+    segments' totals within a shard place every segment; the segments' data are not read.
+    """
     heads = segments.select("shard", "seq", "first_doc_id", "n_ids")
-    first = F.struct(F.col("first_doc_id").isNotNull(), "first_doc_id")
-    shards = heads.groupBy("shard").agg(F.min(first).alias("first"), F.sum("n_ids").alias("n"))
+    least = F.struct(F.col("first_doc_id").isNotNull(), "first_doc_id")
+    shards = heads.groupBy("shard").agg(F.min(least).alias("least"), F.sum("n_ids").alias("n"))
     # one row for each writing task
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("shard", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("offset"))
-    return rows.join(heads.join(shards, "shard"), ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    heads = heads.select("shard", "seq", "n_ids", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("offset"))
+    return heads.join(shards, "shard").select("shard", "seq", (F.col("base") + F.col("offset")).alias("first"), "n_ids")
+
+
+def ids_at(segments: DataFrame, positions: DataFrame, column: str = "position") -> DataFrame:
+    """position, id of each distinct position of the corpus that is asked for, read one by one from its segment.
+
+    Positions before the first or behind the last id, and nulls, have no row. A position finds its segment
+    by ranges of ``RANGE`` positions; those of one range and segment travel as one list, which is no longer
+    than the range, so a segment that is asked for often is no hot key. Segments that aren't asked for stay unread.
+    """
+    cell = lambda x: F.floor(x / RANGE)
+    places = corpus_index(segments).filter("n_ids > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.col("n_ids") - 1))))
+    asked = positions.select(F.col(column).cast("long").alias("position")).distinct().withColumn("cell", cell(F.col("position")))
+    met = asked.join(places, "cell").filter("position >= first and position < first + n_ids")
+    lists = met.groupBy("shard", "seq", "cell", "first").agg(F.collect_list("position").alias("positions"))
+
+    def run(it):
+        for batch in it:
+            for first, wanted, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = Segment(data)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([s[p - first] for p in wanted], pa.int64())], ["position", "id"])
+
+    return lists.join(segments.select("shard", "seq", "data"), ["shard", "seq"]).select("first", "positions", "data").mapInArrow(run, "position long, id long")
 
 
 def op3_token_store(spark, sf_dir):

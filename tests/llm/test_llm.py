@@ -47,6 +47,21 @@ def test_token_store_round_trip(request, which):
     assert Counter(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("which", ["odd", "docs", "empty"])
+def test_ids_at_any_position_of_the_corpus(request, spark, which, monkeypatch):
+    df = request.getfixturevalue(which)
+    lib, segments = tokenizer(BYTE), token_store.write_tokens(df, BYTE, 2, segment_ids=5000)
+    whole = [x for _, t in plain(df) for x in [*lib.encode(t, add_special_tokens=False).ids, 2]]
+    wanted = [*range(0, len(whole), 7), *range(max(0, len(whole) - 50), len(whole)), 0, 0, len(whole), len(whole) + 70_000, -1, None]
+    asked = spark.createDataFrame([(p,) for p in wanted], "position long")
+    for reach in (token_store.RANGE, 1000):  # ranges longer and shorter than a segment
+        monkeypatch.setattr(token_store, "RANGE", reach)
+        got = token_store.ids_at(segments, asked).collect()
+        assert sorted(map(tuple, got)) == [(p, whole[p]) for p in sorted({p for p in wanted if p is not None and 0 <= p < len(whole)})]
+    index = token_store.corpus_index(segments).orderBy("first").collect()
+    assert sum(r["n_ids"] for r in index) == len(whole) and all(a["first"] + a["n_ids"] == b["first"] for a, b in zip(index, index[1:]))
+
+
 def test_any_id_is_read_alone():
     ids = np.random.default_rng(0).choice([1, 255, 256, 65535, 65536, 2**31], 5000).astype(np.uint32)
     s = token_store.Segment(token_store.pack(ids, [None, 4], np.array([2000, 3000])))
@@ -280,6 +295,40 @@ def test_pii_ibans_before_words_and_other_phones():
     assert said("call 2024-02-29")[1] == {"date": 1} and said("call 4400 8962 7013 6251")[1] == {"card": 1}
 
 
+def test_quality_by_brute_force(docs):
+    """Features, class ratios and the dual's optimum against plain loops."""
+    rows = [t for _, t in plain(docs)][:60] + ["", "ab", "a a a a b", "one two one two"]
+    found = list(quality.features(pa.array(rows, pa.large_string())))
+    for text, f in zip(rows, found, strict=True):
+        data, want = text.encode(), set()
+        for i in range(len(data) - 2):
+            want.add(int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 % 2**32 >> 32 - quality.BITS)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        for k, d in enumerate(quality.AGAIN):
+            share = sum(a == b for a, b in zip(words, words[d:])) / max(1, len(words))
+            want |= {(1 << quality.BITS) + k * len(quality.SHARES) + j for j, s in enumerate(quality.SHARES) if share >= s}
+        assert f.tolist() == sorted(want), text[:80]
+    labels = np.array([float(len(t) % 3 > 0) for t in rows])
+    ratios = quality.log_ratios(found, labels)
+    for j in {int(x) for f in found for x in f[::97]}:
+        share = [(1 + sum(j in f for f, y in zip(found, labels, strict=True) if y == c)) / (2 + (labels == c).sum()) for c in (0, 1)]
+        assert abs(ratios[j] - np.log(share[1] / share[0])) < 1e-9
+    # no slower method finds a lower hinge loss: the duality gap is closed
+    weights, bias = quality.dual_descent(found, labels, ratios, rounds=2000)
+    sign, used = np.where(labels > 0, 1.0, -1.0), ratios != 0
+    w = np.zeros_like(weights)
+    w[used] = weights[used] / ratios[used]
+    cost = len(labels) / (2 * np.where(labels > 0, (labels > 0).sum(), (labels <= 0).sum()))
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - sign * np.array([b + (w[f] * ratios[f]).sum() / max(1.0, np.sqrt(len(f))) for f in found]))).sum()
+    best, rng = loss(w, bias), np.random.default_rng(0)
+    assert best < loss(np.zeros_like(w), 0.0)
+    for size in (1e-3, 1e-2, 1e-1):
+        for _ in range(20):
+            step = np.where(used, rng.standard_normal(len(w)), 0.0)
+            assert loss(w + size * step / np.linalg.norm(step), bias + size * rng.standard_normal() / 10) > best - 1e-3
+        assert loss(w * (1 - size), bias * (1 - size)) > best - 1e-3
+
+
 def test_quality_held_out(spark, docs, odd, empty, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
