@@ -65,7 +65,10 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
-    return f"with {ctes}, {body[5:]}" if body.lower().startswith("with ") else f"with {ctes} {body}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
+    return f"with {ctes} {body}"
 
 
 class Queries(dict):

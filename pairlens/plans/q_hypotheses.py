@@ -101,9 +101,37 @@ def proposals(v, check: str | None = None):
 ALPHAS = (0.0, 0.2, 0.35, 0.5, 1.0)
 
 
-@Q.add("m21_vote_rules", None, "v3")
+def alone(p: str) -> str:
+    return f"{{'x0':{p}.x,'y0':{p}.y,'n':1::double,'s':{p}.score,'sx':{p}.score*{p}.x,'sy':{p}.score*{p}.y,'top':{p}.score,'c':{p}.c}}"
+
+
+M21 = f"""with recursive pr as (
+  select pair_id, list({{'score':zncc,'x':px,'y':py,'c':band_score}} order by zncc desc, px desc, py desc, band_score desc) as props
+  from (select distinct pair_id, zncc, px, py, band_score from v3) group by 1),
+t(pair_id, props, i, cl) as (
+  select pair_id, props[2:], 1, [{alone("props[1]")}] from pr
+  union all
+  select pair_id, props, i+1, case when spot>0 then list_transform(cl, lambda k, j: case when j=spot then
+    {{'x0':k.x0,'y0':k.y0,'n':k.n+1,'s':k.s+p.score,'sx':k.sx+p.score*p.x,'sy':k.sy+p.score*p.y,'top':k.top,'c':greatest(k.c,p.c)}} else k end)
+    else list_append(cl, {alone("p")}) end
+  from (select *, props[i] as p, coalesce(list_position(list_transform(cl, lambda k: sqrt((props[i].x-k.x0)*(props[i].x-k.x0)+(props[i].y-k.y0)*(props[i].y-k.y0))<=6), true), 0) as spot
+    from t where i<=len(props))),
+u as (select pair_id, len(cl) as clusters, unnest(cl) as k, generate_subscripts(cl, 1) as i from t where i>len(props)),
+sh as (select *, sum(k.s) over (partition by pair_id) as whole from (select *, row_number() over (partition by pair_id order by k.s desc, i) as i4 from u) where i4<=4),
+scored as (
+  select pair_id, clusters, k, i, unnest([{{'rule':'sum','a':k.s,'b':k.n}},{{'rule':'top1','a':k.top,'b':0.0::double}},{{'rule':'count','a':k.n,'b':k.s}},
+    {{'rule':'max','a':k.top,'b':1.0::double}},{{'rule':'count_mean','a':k.n*(k.s/k.n),'b':0.0::double}}]) as r from u
+  union all
+  select pair_id, clusters, k, i4, {{'rule':case when alpha=0 then 'verify' else 'verify+'||alpha end,'a':k.c+alpha/(case when whole=0 then 1.0 else whole end)*k.s,'b':0.0::double}}
+  from sh, (select unnest({list(ALPHAS)}::double[]) as alpha)),
+best as (select *, row_number() over (partition by pair_id, r.rule order by r.a desc, r.b desc, i) as place from scored)
+select pair_id, clusters::int as clusters, r.rule as rule, round(case when r.rule='top1' then k.x0 else k.sx/(case when k.s=0 then 1.0 else k.s end) end,6) as x,
+  round(case when r.rule='top1' then k.y0 else k.sy/(case when k.s=0 then 1.0 else k.s end) end,6) as y from best where place=1"""
+
+
+@Q.add("m21_vote_rules", M21, "v3")
 def m21(v):
-    """x, y of each rule for each pair, with the band score as the check of the verified rules; tests compare with a plain loop."""
+    """x, y of each rule for each pair, with the band score as the check of the verified rules."""
     k = proposals(v, "band_score").select("pair_id", h.clustered(F.col("props"), verify=True).alias("k"))
     k = k.withColumn("short", h.shortlisted(F.col("k"))).withColumn("whole", h.confidence(F.col("short")))
     rules = {r: h.voted(F.col("k"), r) for r in h.RULES} | {"verify" if a == 0 else f"verify+{a}": h.verified(F.col("short"), F.col("whole"), a) for a in ALPHAS}

@@ -134,17 +134,65 @@ def w08(v):
     return s.coverage(masks, "cell", "layer", "m").withColumn("visible", r6(F.col("visible")))
 
 
-@Q.add("w13_suppressed_top", None, "embeddings")
+W13 = """with recursive t(vec_id, embedding, taken) as (
+  select vec_id, embedding, []::bigint[] from embeddings
+  union all
+  select vec_id, embedding, list_append(taken, list_reduce(free, lambda a, b: case when embedding[b+1]>embedding[a+1] then b else a end))
+  from (select *, list_filter(range(len(embedding)), lambda i: len(list_filter(taken, lambda p: abs(p-i)<=3))=0) as free from t where len(taken)<5) where len(free)>0)
+select vec_id, array_to_string(arg_max(taken, len(taken)), ',') as tops from t group by 1"""
+
+
+@Q.add("w13_suppressed_top", W13, "embeddings")
 def w13(e):
-    """Positions of the five strongest values of each vector; tests compare with a plain loop."""
+    """Positions of the five strongest values of each vector."""
     return e.select("vec_id", F.array_join(F.transform(s.suppressed_top(F.col("embedding"), 5), lambda i: i.cast("string")), ",").alias("tops"))
 
 
-@Q.add("f14_plane_fit", None, "v1")
+def solved_sql(names: tuple[str, str, str]) -> str:
+    """Cramer's rule for the normal equations of z on x, y and a constant, with the sums of sums_sql."""
+    det = lambda m: f"({m[0]}*({m[4]}*{m[8]}-{m[5]}*{m[7]})-{m[1]}*({m[3]}*{m[8]}-{m[5]}*{m[6]})+{m[2]}*({m[3]}*{m[7]}-{m[4]}*{m[6]}))"
+    m, r = "xx xy sx xy yy sy sx sy sw".split(), "xz yz sz".split()
+    put = lambda k: [r[i // 3] if i % 3 == k else m[i] for i in range(9)]
+    return ", ".join(f"{det(put(k))}/nullif({det(m)},0) as {name}" for k, name in enumerate(names))
+
+
+def sums_sql(w: str = "1.0::double") -> str:
+    terms = {"sx": "x", "sy": "y", "sz": "z", "xx": "x*x", "xy": "x*y", "yy": "y*y", "xz": "x*z", "yz": "y*z"}
+    return f"count(*) as n, sum({w}) as sw, " + ", ".join(f"sum({w}*{t}) as {k}" for k, t in terms.items())
+
+
+def plane_sql(rounds: int = 3) -> str:
+    parts = ["r0 as (select architecture as k, gt_x as x, gt_y as y, x as z from v1)"]
+    for t in range(rounds):
+        parts.append(f"f{t} as (select k, n, {solved_sql(('a', 'b', 'c'))} from (select k, {sums_sql()} from r{t} group by 1))")
+        if t:
+            kept = ", ".join(f"case when f.n>=6 and f.a is not null then f.{c} else g.{c} end as {c}" for c in "nabc")
+            parts.append(f"g{t} as (select g.k, {kept} from g{t - 1} g left join f{t} f using (k))")
+        else:
+            parts.append("g0 as (select * from f0)")
+        parts.append(f"o{t} as (select k, x, y, z, abs(z-(a*x+b*y+c)) as off from r0 join g{t} using (k))")
+        parts.append(f"r{t + 1} as (select k, x, y, z from o{t} join (select k, greatest(3*quantile_cont(off,0.5),0.15) as most from o{t} group by 1) using (k) where off<=most)")
+    return f"with {', '.join(parts)} select k as architecture, n, round(a,6) as a, round(b,6) as b, round(c,4) as c from g{rounds - 1}"
+
+
+@Q.add("f14_plane_fit", plane_sql(), "v1")
 def f14(v):
-    return s.plane_fit(v, "architecture", "gt_x", "gt_y", "x")
+    out = s.plane_fit(v, "architecture", "gt_x", "gt_y", "x")
+    return out.select("architecture", "n", r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"), F.round("c", 4).alias("c"))
+
+
+def huber_sql(rounds: int = 4) -> str:
+    parts = ["h0 as (select architecture as k, gt_x as x, gt_y as y, x as z, 1.0::double as w from v1)"]
+    for t in range(rounds):
+        parts.append(f"f{t} as (select k, {solved_sql(('a', 'b', 'c'))} from (select k, {sums_sql('w')} from h{t} group by 1))")
+        parts.append(f"o{t} as (select k, x, y, z, z-(a*x+b*y+c) as off, a, b, c from h0 join f{t} using (k))")
+        parts.append(f"h{t + 1} as (select k, x, y, z, case when abs(off)/s<=1.345 then 1.0 else 1.345/(abs(off)/s) end as w from o{t} join (select k, 1.4826*quantile_cont(abs(off),0.5)+1e-12 as s from o{t} group by 1) using (k))")
+    last = f"o{rounds - 1}"
+    return f"with {', '.join(parts)} select k as architecture, round(any_value(a),6) as a, round(any_value(b),6) as b, round(any_value(c),4) as c, round(1-sum(off*off)/nullif(var_pop(z)*count(*),0),6) as r2 from {last} group by 1"
 
 
-@Q.add("f15_huber_fit", None, "v1")
+@Q.add("f15_huber_fit", huber_sql(), "v1")
 def f15(v):
-    return s.huber_fit(v, "architecture", ["gt_x", "gt_y"], "x")
+    out = s.huber_fit(v, "architecture", ["gt_x", "gt_y"], "x")
+    w = F.col("weights")
+    return out.select("architecture", r6(w[0]).alias("a"), r6(w[1]).alias("b"), F.round(w[2], 4).alias("c"), r6(F.col("r2")).alias("r2"))
