@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, lm_scores, media, mixing, near_dedup, packing, pii, prefix_trie, quality, token_counts, token_store
+from . import alignment, byte_bpe, fingerprints, lm_scores, media, mixing, near_dedup, packing, pii, prefix_trie, quality, token_counts, token_store
 
-MODULES = (near_dedup, packing, token_store, media, token_counts, pii, quality, lm_scores, byte_bpe, fingerprints, mixing, prefix_trie)
+MODULES = (near_dedup, packing, token_store, media, token_counts, pii, quality, lm_scores, byte_bpe, fingerprints, mixing, alignment, prefix_trie)
 
 
 def queries() -> dict:
