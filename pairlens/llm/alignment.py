@@ -20,15 +20,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LibraryIds, byte_symbols, documents, gather, kept, looked_up, partitions, settle, text_batches, texts
+from .common import LibraryIds, byte_symbols, documents, gather, kept, looked_up, partitions, settle, space_pieces, spans, text_batches, texts
 from .shingles import mix
 from .wordshuffle import BLOCK_BYTES, SCHEMA, by_key, expand, meet, squeeze
 
@@ -70,7 +72,9 @@ class PieceIds:
         """The ids of each as 32-bit integers. The library puts a space before a text; a line end before a piece keeps that away."""
         fresh = [p for p in pieces if p not in self.new and p not in self.old]
         found = self.lib.encode([p[1:] if p[:1] == " " else "\n" + p for p in fresh], num_threads=1) if fresh else []
-        made = {p: np.array(ids if p[:1] == " " else ids[2:], np.int32).tobytes() for p, ids in zip(fresh, found, strict=True)}
+        ends = list(accumulate(map(len, found)))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, ends[-1] if ends else 0).tobytes()
+        made = {p: flat[4 * (a if p[:1] == " " else a + 2) : 4 * b] for p, a, b in zip(fresh, [0, *ends[:-1]], ends, strict=True)}
         # a piece that is one space only is no text to the library
         made |= {p: np.array(self.lib.encode("\n ")[2:], np.int32).tobytes() for p in fresh if p == " "} | {p: b"" for p in fresh if not p}
         out = [made[p] if p in made else self.new[p] if p in self.new else self.old[p] for p in pieces]
@@ -87,20 +91,33 @@ class Pair:
         self.a, self.b = PlainIds(path_a), PieceIds(path_b)
         self.len_a, self.len_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
 
-    def _faithful(self, side, ids: bytes, piece: bytes) -> bool:
-        return b"".join([side.bytes[i] for i in np.frombuffer(ids, np.int32).tolist()]) == piece
+    def _unlike(self, side, sizes: np.ndarray, made: list[bytes], pieces: list[bytes]) -> np.ndarray:
+        """Whether each piece's tokens have other bytes than the piece."""
+        flat, starts, n = spans(made)
+        other = _sums(sizes[flat], n) != np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if other.any() or b"".join([side.bytes[i] for i in flat.tolist()]) != b"".join(pieces):
+            other = np.array([b"".join([side.bytes[i] for i in flat[a : a + k].tolist()]) != p for a, k, p in zip(starts.tolist(), n.tolist(), pieces, strict=True)], bool)
+        return other
+
+    def _pieces(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces of a space and each text, their numbers in order, and how many each text has."""
+        spaced = pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(pa.scalar("", column.type), column, pa.scalar(" ", column.type)))
+        words, codes, lens, whole = space_pieces(spaced)
+        if whole.any():  # white space beside white space: cut where there is none
+            number = {w: k for k, w in enumerate(words)}
+            parts = [[number.setdefault(p, len(number)) for p in _CUT.split(t)] for t in spaced.filter(pa.array(whole)).to_pylist()]
+            n = lens.copy()
+            n[whole] = [len(x) for x in parts]
+            starts = np.where(whole, 0, _starts(lens))
+            starts[whole] = len(codes) + _starts(n[whole])
+            codes, lens, words = gather(np.concatenate([codes, *(np.array(x, np.int64) for x in parts)]), starts, n), n, list(number)
+        return words, codes, lens
 
     def tokens(self, column: pa.Array):
         """(ids, their document, their end) of A and of B; ends are places in the batch's bytes, the same on both sides."""
-        number: dict[str, int] = {}
-        codes, lens = [], []
-        for text in column.to_pylist():
-            at = [number.setdefault(p, len(number)) for p in _CUT.split(" " + text)] if text else []
-            codes += at
-            lens.append(len(at))
-        codes, lens, pieces = np.array(codes, np.int64), np.array(lens, np.int64), list(number)
-        a, b = self.a.make(pieces), self.b.make(pieces)
-        bad = np.array([not (self._faithful(self.a, x, q := p.encode()) and self._faithful(self.b, y, q)) for p, x, y in zip(pieces, a, b, strict=True)], bool)
+        pieces, codes, lens = self._pieces(column)
+        a, b, said = self.a.make(pieces), self.b.make(pieces), [p.encode() for p in pieces]
+        bad = self._unlike(self.a, self.len_a, a, said) | self._unlike(self.b, self.len_b, b, said)
         if bad.any():
             doc = np.repeat(np.arange(len(lens)), lens)
             out = np.zeros(len(lens), bool)
