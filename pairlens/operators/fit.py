@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..sources.io import shared_folder
+from ..sources.io import stored
 from . import score as s
 from .aggregate import quantiles
 
@@ -20,13 +20,6 @@ def scaling(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float,
     return {x: (one[f"m{i}"] or 0.0, one[f"s{i}"] or 1.0) for i, x in enumerate(features)}
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """rows from a table in the shared folder, for fits that pass over them again and again."""
-    path = shared_folder(rows.sparkSession, "fit")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _scaled(scale: Mapping[str, tuple[float, float]]) -> list[Column]:
     return [(c.zero_if_missing(x) - m) / d for x, (m, d) in scale.items()]
 

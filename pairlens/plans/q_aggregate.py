@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import aggregate as a
 from ..operators import score as s
+from ..sources.io import stored
 from .fixtures import Queries
 from .q_columns import LOC, r6
 from .q_score import G
@@ -43,15 +44,14 @@ ABSENT = "select 'absent by severity' as dimension, cast(severity as varchar) as
 @Q.add("a08_breakdowns", f"with {G} " + " union all ".join([*(BREAK.replace("{k}", k) for k in ("grp", "severity", "architecture")), ABSENT]), "v1")
 def a08(v):
     rows = s.measured(v).filter("grp in ('A','B','C')")
-    there = a.each_alone(rows.filter("gt_found = 1"), ["grp", "severity", "architecture"])
-    absent = rows.filter("gt_found = 0").withColumns({"dimension": F.lit("absent by severity"), "value": F.col("severity").cast("string"), "err": F.lit(None).cast("double"), "raw_loc": F.lit(None).cast("double")})
-    long = there.unionByName(absent)
+    there = F.col("gt_found") == 1
+    here = rows.withColumns({n: F.when(there, F.col(n)) for n in ("err", "raw_loc")})
+    # one reading: a present row stands under three dimensions, an absent one under its own
+    long = a.each_alone(here, {"grp": there, "severity": there, "architecture": there, "absent by severity": ~there}, {"absent by severity": "severity"})
     said, keys = F.col("score") >= 0.5, ["dimension", "value"]
     credit, near = F.when(said, F.col("raw_loc")).otherwise(F.when(F.col("raw_loc").isNotNull(), 0.0)), F.when(F.col("err").isNotNull(), F.col("err") <= 1)
-    one = long.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~said).alias("declined"), r6(F.avg(credit)).alias("credit"), r6(a.share(near)).alias("le1"), F.count_if(F.col("err") > 5).alias("gt5"))
-    for value, name in (("err", "median"), ("score", "median_score")):
-        one = a.joined(one, a.quantiles(long, keys, value, {name: 0.5}), keys).withColumn(name, r6(F.col(name)))
-    return one
+    plain = [F.count("*").alias("n"), F.count_if(~said).alias("declined"), r6(F.avg(credit)).alias("credit"), r6(a.share(near)).alias("le1"), F.count_if(F.col("err") > 5).alias("gt5")]
+    return rounded(a.selected(long, keys, {"median": ("err", 0.5), "median_score": ("score", 0.5)}, plain), keys)
 
 
 @Q.add("a09_set_severity_matrix", f"with {E} select grp, severity, count(*) as n, round(avg(case when err<=5 then 1.0::double else 0 end),6) as acc5 from e where err is not null group by rollup(grp, severity)", "v1")
@@ -77,9 +77,11 @@ def t02(v):
 @Q.add("a11_severity_medians", f"with {E}, cr as (select *, case when err<=1 then 1.0::double when err<=2 then 0.8 when err<=3 then 0.6 when err<=5 then 0.4 else 0 end as credit from e where err is not null), m as (select grp, severity, median(err) as med from cr group by 1,2), k as (select grp, med > lag(med) over (partition by grp order by severity) as up from m), t as (select grp, bool_and(coalesce(up,true)) as rising from k group by 1) select cr.grp, round(avg(credit),6) as credit, round(median(err),6) as median, any_value(rising) as rising from cr join t on t.grp=cr.grp group by 1", "v1")
 def a11(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null")
-    rising = a.strictly_rising(a.quantiles(rows, ["grp", "severity"], "err", {"med": 0.5}), ["grp"], "severity", "med")
-    one = rows.groupBy("grp").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"))
-    return rounded(a.joined(a.joined(one, a.quantiles(rows, ["grp"], "err", {"median": 0.5}), ["grp"]), rising, ["grp"]), ["grp"])
+    # a row stands for its group and for its level of the group
+    both = rows.withColumn("level", F.explode(F.array(F.lit(None).cast("int"), F.col("severity").cast("int"))))
+    one = stored(a.selected(both, ["grp", "level"], {"median": ("err", 0.5)}, [F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit")]))
+    rising = a.strictly_rising(one.filter("level is not null"), ["grp"], "level", "median")
+    return rounded(a.joined(one.filter("level is null").drop("level"), rising, ["grp"]), ["grp"])
 
 
 @Q.add("a12_score_range_by_presence", "select gt_found, min(score) as lo, max(score) as hi, bool_and(case when gt_found=0 then grp='C' else grp<>'C' end) as family_ok from v1 group by 1", "v1")
@@ -92,10 +94,10 @@ NR = "min(case when upto > least(floor({p}*total), total-1) then secs end)"
 
 @Q.add("a13_latency", f"with q as (select grp, secs, sum(count(*)) over (partition by grp order by secs) as upto, sum(count(*)) over (partition by grp) as total from v1 group by 1,2), n as (select grp, {NR.format(p=0.5)} as nr50, {NR.format(p=0.9)} as nr90 from q group by 1) select v1.grp, round(median(secs),6) as median, round(quantile_cont(secs,0.9),6) as p90, max(secs) as top, count_if(secs>1.5)::bigint as slow, any_value(nr50) as nr50, any_value(nr90) as nr90 from v1 join n on v1.grp=n.grp group by 1", "v1")
 def a13(v):
-    near = a.nearest_rank(v, ["grp"], "secs", {"nr50": 0.5, "nr90": 0.9})
-    one = v.groupBy("grp").agg(F.max("secs").alias("top"), F.count_if(F.col("secs") > 1.5).alias("slow"))
-    between = rounded(a.quantiles(v, ["grp"], "secs", {"median": 0.5, "p90": 0.9}), ["grp"])
-    return a.joined(a.joined(one, between, ["grp"]), near, ["grp"])
+    plain = [F.max("secs").alias("top"), F.count_if(F.col("secs") > 1.5).alias("slow")]
+    wanted = {"median": ("secs", 0.5), "p90": ("secs", 0.9), "nr50": ("secs", 0.5), "nr90": ("secs", 0.9)}
+    one = a.selected(v, ["grp"], wanted, plain, nearest=["nr50", "nr90"])
+    return one.withColumns({k: r6(F.col(k)) for k in ("median", "p90")})
 
 
 @Q.add("a14_run_health", "select architecture, count(*) as n, count_if(f)::bigint as errors, count_if(score>=0.8)::bigint as found, concat_ws(' | ', case when count_if(f)*1.0/count(*)>=0.2 then 'errors' end, case when count_if(score>=0.8)*1.0/count(*)<0.3 then 'few found' end) as reasons from (select architecture, score, (c%29=0 or (architecture='1-URGENT' and c%4=0)) as f from v1) group by 1", "v1")
@@ -117,10 +119,12 @@ def a23(v):
 
 @Q.add("a24_composition", "select architecture, count(*) as n, round(avg(abs(x-gt_x)),6) as mean_shift, round(quantile_cont(abs(x-gt_x),0.95),6) as p95_shift, max(abs(x-gt_x)) as max_shift, round(stddev_samp(gt_x),4) as spread, (count(*)-count(distinct pair_id))::bigint as duplicates, count_if(not(gt_x between 100 and 899))::bigint as outside from v1 group by 1", "v1")
 def a24(v):
-    shift = F.abs(F.col("x") - F.col("gt_x"))
-    p95 = rounded(a.quantiles(v.select("architecture", shift.alias("shift")), ["architecture"], "shift", {"p95_shift": 0.95}), ["architecture"])
-    one = v.groupBy("architecture").agg(F.count("*").alias("n"), r6(F.avg(shift)).alias("mean_shift"), F.max(shift).alias("max_shift"), F.round(F.stddev_samp("gt_x"), 4).alias("spread"), (F.count("*") - F.count_distinct("pair_id")).alias("duplicates"), F.count_if(~F.col("gt_x").between(100, 899)).alias("outside"))
-    return a.joined(one, p95, ["architecture"])
+    rows = v.withColumn("shift", F.abs(F.col("x") - F.col("gt_x")))
+    plain = [F.count("*").alias("n"), r6(F.avg("shift")).alias("mean_shift"), F.max("shift").alias("max_shift"), F.round(F.stddev_samp("gt_x"), 4).alias("spread"), F.count_if(~F.col("gt_x").between(100, 899)).alias("outside")]
+    one = a.selected(rows, ["architecture"], {"p95_shift": ("shift", 0.95)}, plain).withColumn("p95_shift", r6(F.col("p95_shift")))
+    # ids of the whole table are told apart by a count of their own: a distinct count beside other aggregates would expand every row
+    ids = v.groupBy("architecture", "pair_id").agg(F.count("*").alias("_n")).groupBy("architecture").agg(F.sum(F.col("_n") - 1).alias("duplicates"))
+    return a.joined(one, ids, ["architecture"])
 
 
 ERF = "(1-(tt*(0.254829592+tt*(-0.284496736+tt*(1.421413741+tt*(-1.453152027+tt*1.061405429)))))*exp(-z*z))"
@@ -172,7 +176,7 @@ def a28(v, w):
 @Q.add("a29_optimum_to_label_gap", f"with {E} select severity, round(median(err),6) as gap, round(median(err)/0.25,6) as in_jitter, count(*) as n from e where err is not null and score>=0.5 group by 1", "v1")
 def a29(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null and score >= 0.5")
-    one = a.joined(rows.groupBy("severity").agg(F.count("*").alias("n")), a.quantiles(rows, ["severity"], "err", {"gap": 0.5}), ["severity"])
+    one = a.selected(rows, ["severity"], {"gap": ("err", 0.5)}, [F.count("*").alias("n")])
     return rounded(one.withColumn("in_jitter", F.col("gap") / 0.25), ["severity"])
 
 
@@ -210,7 +214,7 @@ def a32(v):
 def a34(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null")
     rows = rows.withColumn("epoch", (F.col("pair_id") % 20).cast("int"))
-    one = a.joined(rows.groupBy("epoch").agg(a.share(F.col("err") <= 5).alias("acc5")), a.quantiles(rows, ["epoch"], "err", {"med": 0.5}), ["epoch"])
+    one = a.selected(rows, ["epoch"], {"med": ("err", 0.5)}, [a.share(F.col("err") <= 5).alias("acc5")])
     one = rounded(one, ["epoch"])
     # the history as one JSON text, as a training run leaves it; one row for each epoch
     text = one.agg(F.to_json(F.sort_array(F.collect_list(F.struct("epoch", "acc5", "med")))).alias("history"))
@@ -232,17 +236,15 @@ def a35(v, w):
     top = w.groupBy("pair_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("zncc"))), 1, 2).alias("top"))
     margin = top.select("pair_id", (F.get("top", F.lit(0)) - F.get("top", F.lit(1))).alias("margin"))
     rows = v.withColumn("err", c.location_error()).filter("err is not null").join(margin, "pair_id", "left")
-    one = rows.groupBy("architecture").agg(F.avg("err").alias("mean"), *(a.share(F.col("err") <= t).alias(f"le{t}") for t in (1, 2, 3, 5)))
-    for value, name in (("err", "median"), ("score", "score"), ("margin", "margin")):
-        one = a.joined(one, a.quantiles(rows, ["architecture"], value, {name: 0.5}), ["architecture"])
-    return rounded(one, ["architecture"])
+    plain = [F.avg("err").alias("mean"), *(a.share(F.col("err") <= t).alias(f"le{t}") for t in (1, 2, 3, 5))]
+    return rounded(a.selected(rows, ["architecture"], {"median": ("err", 0.5), "score": ("score", 0.5), "margin": ("margin", 0.5)}, plain), ["architecture"])
 
 
 @Q.add("a36_gross_miss_gate", f"with {E} select architecture, count_if(err>5)::bigint as misses, count_if(err>10)::bigint as gross, count_if(err>5)=0 as all_within, round(median(err),6) as median from e where err is not null group by 1", "v1")
 def a36(v):
     rows = v.withColumn("err", c.location_error()).filter("err is not null")
-    one = rows.groupBy("architecture").agg(F.count_if(F.col("err") > 5).alias("misses"), F.count_if(F.col("err") > 10).alias("gross"), (F.count_if(F.col("err") > 5) == 0).alias("all_within"))
-    return rounded(a.joined(one, a.quantiles(rows, ["architecture"], "err", {"median": 0.5}), ["architecture"]), ["architecture"])
+    plain = [F.count_if(F.col("err") > 5).alias("misses"), F.count_if(F.col("err") > 10).alias("gross"), (F.count_if(F.col("err") > 5) == 0).alias("all_within")]
+    return rounded(a.selected(rows, ["architecture"], {"median": ("err", 0.5)}, plain), ["architecture"])
 
 
 @Q.add("a37_shard_counts", "with a as (select source, count(*) as claimed from claimed where source<>'src3' group by 1), b as (select source, count(*) as present from present_files where source<>'src5' group by 1) select coalesce(a.source,b.source) as source, claimed, present, case when claimed is null then 'no manifest' when present is null then 'empty' when claimed<>present then 'count differs' else 'ok' end as reason from a full join b on a.source=b.source", "claimed present_files")

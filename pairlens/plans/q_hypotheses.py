@@ -150,7 +150,7 @@ AB = f"ab as (select 'base' as variant, *, {LOC} as err from v1 union all select
 @Q.add("m22_variant_ab", f"with {AB} select g.variant, g.dimension, g.value, round(g.credit,6) as credit, round(g.dx,6) as dx, round(g.le1,6) as le1, round(g.worst,6) as worst, round(40*(g.credit-b.credit),6) as points from gg g join gg b on b.variant='base' and b.dimension=g.dimension and b.value=g.value", "v1 v2")
 def m22(v, w):
     both = v.withColumn("variant", F.lit("base")).union(w.withColumn("variant", F.lit("other"))).withColumn("err", c.location_error()).filter("err is not null")
-    one = each_alone(both, ["severity", "architecture"]).groupBy("variant", "dimension", "value").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"), F.avg(F.abs(F.col("x") - F.col("gt_x"))).alias("dx"), F.avg((F.col("err") <= 1).cast("double")).alias("le1"), F.max("err").alias("worst"))
+    one = each_alone(both, {"severity": F.lit(True), "architecture": F.lit(True)}).groupBy("variant", "dimension", "value").agg(F.avg(c.tier("err", c.LOCATION_TIERS)).alias("credit"), F.avg(F.abs(F.col("x") - F.col("gt_x"))).alias("dx"), F.avg((F.col("err") <= 1).cast("double")).alias("le1"), F.max("err").alias("worst"))
     base = one.filter("variant = 'base'").select("dimension", "value", F.col("credit").alias("_b"))
     return one.join(base, ["dimension", "value"]).select("variant", "dimension", "value", *(r6(F.col(k)).alias(k) for k in ("credit", "dx", "le1", "worst")), r6(40 * (F.col("credit") - F.col("_b"))).alias("points"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -271,12 +272,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="pairlens-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system as Spark sees them, whatever the store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A shared_folder that goes when the session's JVM ends."""
+    path = shared_folder(spark, name)
+    where, system = hadoop_path(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def stored(rows: DataFrame, name: str = "table") -> DataFrame:
+    """rows from a table in a passing folder: computed once, lineage cut, its size known to what reads it."""
+    path = passing_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_commented(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV files with comment lines (#) anywhere; their header each, or none and a schema."""
     reader = spark.read.option("comment", "#")

@@ -166,6 +166,43 @@ def test_quantiles_equal_numpy(spark):
     assert aggregate.quantiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
 
 
+def test_quantiles_of_narrow_ranges_need_small_sorts(spark, monkeypatch):
+    """Seconds of one day and scores near 1: all keys, columns and shares at once, and no sort sees 1 % of a key's rows."""
+    rng, n = np.random.default_rng(5), 60_000
+    when, near = 1.7e9 + rng.random(n) * 86_400, 1 - rng.random(n) ** 2 / 20
+    spike = np.where(rng.random(n) < 0.7, 0.25, rng.normal(size=n))
+    key = np.where(np.arange(n) < n // 3, "hot", "other")
+    df = spark.createDataFrame(list(zip(key.tolist(), when.tolist(), near.tolist(), spike.tolist())), "k string, t double, s double, v double").repartition(6).cache()
+    wanted = {"t50": ("t", 0.5), "t99": ("t", 0.99), "s01": ("s", 0.001), "s50": ("s", 0.5), "s51": ("s", 0.5005), "v50": ("v", 0.5), "v90": ("v", 0.9), "vr": ("v", 0.9), "top": ("t", 1.0)}
+    got = {r["k"]: r for r in aggregate.selected(df, ["k"], wanted, [F.count("*").alias("n"), F.max("t").alias("last")], ["vr"]).collect()}
+    for k, r in got.items():
+        own = {"t": when[key == k], "s": near[key == k], "v": spike[key == k]}
+        assert r["n"] == len(own["t"]) and r["last"] == own["t"].max()
+        for name, (v, p) in wanted.items():
+            want = np.sort(own[v])[int(p * len(own[v]))] if name == "vr" else np.quantile(own[v], p)
+            assert np.isclose(r[name], want, rtol=1e-14, atol=0)
+    first = aggregate._around(["k"], df, {"t": [0.5], "s": [0.5]}, [])
+    for i, v in enumerate("ts"):
+        in_bin, inside = aggregate._bin(F.col(v), i, 1)
+        put = df.join(first, "k").select("k", in_bin.alias("bin"), F.when(inside, aggregate._slice(F.col(v), i, 1)).alias("slice"))
+        size = put.filter("slice is not null").groupBy("k", "bin", "slice").agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("most"), F.sum("n").alias("inside")).collect()
+        assert all(r["most"] < 0.0005 * n and r["inside"] < 0.01 * n for r in size)
+
+
+def test_quantiles_read_their_rows_twice(spark, sf):
+    from pairlens.plans import registry
+
+    reads = []
+    keep = aggregate.stored
+    aggregate.stored = lambda rows, name: (reads.append(rows), keep(rows, name))[1]
+    try:
+        out = registry.queries()["a08_breakdowns"](spark, sf)
+    finally:
+        aggregate.stored = keep
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("orders.parquet")
+    assert [scans(x) for x in reads] == [1, 1] and scans(out) == 0
+
+
 def test_draws_have_exact_quotas(spark):
     df = spark.createDataFrame([(i, "AAB"[i % 3]) for i in range(90)], "pair_id int, grp string")
     d = sample.draws(df, "grp", {"A": 50, "B": 30}, 40)
