@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import with_ordinal
+from .aggregate import joined
 
 
 def portable_hash(*parts: Column | str | int) -> Column:
@@ -65,14 +66,13 @@ def draws(rows: DataFrame, stratum: str, quotas: Mapping[str, int], count: int,
     return some.join(chosen, (F.col(stratum) == F.col("_s")) & (F.col("_at") == F.col("_place"))).drop("_s", "_at", "_place")
 
 
-def poisson_weight(u: Column, most: int = 6) -> Column:
-    """A Poisson(1) count from a uniform number."""
+def poisson_weight(u: Column) -> Column:
+    """A Poisson(1) count from a uniform number of 32 bits; 13 and more are less likely than the least step of such a number."""
     import math
 
-    out, upto = F.lit(most), 1.0
-    for k in range(most - 1, -1, -1):
-        upto = sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))
-        out = F.when(u < upto, k).otherwise(out)
+    out = F.lit(13)
+    for k in range(12, -1, -1):
+        out = F.when(u < sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), k).otherwise(out)
     return out
 
 
@@ -82,18 +82,43 @@ def bootstrap_weights(rows: DataFrame, count: int, seed: int = 0, key: str = "pa
     return long.withColumn("weight", poisson_weight(uniform(key, F.col("draw"), seed))).filter("weight > 0")
 
 
+def _log_factorial(k: Column) -> Column:
+    """ln k!, for k above 20 by its series (right to 1e-12)."""
+    x = F.greatest(k, F.lit(21)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * 3.141592653589793 * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k > 20, series).otherwise(F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double")))
+
+
+def poisson_table(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, _k, _before: the chance that a Poisson count of mean n is below k, for all k that a uniform number of 32 bits can tell apart.
+
+    A cell has some 18 sqrt(n) rows: beyond 9 deviations (and 40) to both sides lies less than the least step of such a number.
+    """
+    n = F.col("n").cast("double")
+    far = F.ceil(9 * F.sqrt(n)) + 40
+    long = cells.select(*keys, n.alias("_mean"), F.explode(F.sequence(F.greatest(F.lit(0), F.floor(n) - far).cast("long"), (F.floor(n) + far).cast("long"))).alias("_k"))
+    k, mean = F.col("_k"), F.col("_mean")
+    some = F.greatest(k, F.lit(1)).cast("double")
+    # k ln(n / k) + k - n: no difference of large numbers
+    close = F.when(k == 0, -mean).otherwise(k * F.log1p((mean - some) / some) + (k - mean))
+    stirling = _log_factorial(k) - F.when(k == 0, 0.0).otherwise(some * F.log(some) - some)
+    p = F.exp(close - stirling)
+    own = Window.partitionBy(*keys).orderBy("_k")
+    return long.withColumn("_p", p).select(*keys, "_k", (F.sum("_p").over(own.rowsBetween(Window.unboundedPreceding, -1))).alias("_before")).fillna(0.0, ["_before"])
+
+
 def cell_weights(cells: DataFrame, keys: Sequence[str], count: int, seed: int = 0) -> DataFrame:
-    """cells (keys, n rows alike) once for each draw with the weight of all their rows: a sum of n Poisson(1) counts.
+    """cells (keys, n rows alike) once for each draw with the weight of all their rows (zeros left out).
 
-    Up to 15 rows the counts are drawn one by one, beyond that the sum is drawn from its normal limit, rounded.
+    The weight is a sum of n Poisson(1) counts, which is a Poisson count of mean n: it is read from that law's
+    table at one uniform number, the same way for every n. A cell's draws and table are sorted together.
     """
-    long = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    one = lambda i: poisson_weight(uniform(*keys, "draw", i, seed))
-    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(15)).cast("int")), F.lit(0), lambda w, i: w + one(i))
-    angle, size = uniform(*keys, "draw", F.lit("a"), seed), uniform(*keys, "draw", F.lit("b"), seed)
-    normal = F.sqrt(-2 * F.log(size)) * F.cos(angle * (2 * 3.141592653589793))
-    many = F.greatest(F.lit(0), F.floor(F.col("n") + F.sqrt(F.col("n").cast("double")) * normal + 0.5))
-    return long.withColumn("weight", F.when(F.col("n") <= 15, few).otherwise(many)).filter("weight > 0")
+    table = poisson_table(cells, keys).select(*keys, "_k", F.col("_before").alias("_at"), F.lit(None).cast("int").alias("draw"))
+    asked = cells.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
+    asked = asked.select(*keys, F.lit(None).cast("long").alias("_k"), uniform(*keys, "draw", seed).alias("_at"), "draw")
+    up_to = Window.partitionBy(*keys).orderBy("_at", F.col("draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    drawn = table.unionByName(asked).withColumn("weight", F.last("_k", True).over(up_to)).filter("draw is not null and weight > 0").select(*keys, "draw", "weight")
+    return joined(drawn, cells, keys)
 
 
 def paired_difference(rows: DataFrame, value_a: str, value_b: str, count: int, seed: int = 0, strata: Sequence[str] = ()) -> DataFrame:

@@ -53,17 +53,21 @@ def m14(v):
     return one.groupBy("threshold").agg(r6(F.avg("f1")).alias("mean_f1"), r6(bonus).alias("p_bonus"), r6(F.avg("loc")).alias("mean_loc"), r6(total).alias("mean_total"), r6(total + 4 * bonus).alias("mean_with_bonus"))
 
 
-POIS = "case when u<0.36787944117144233 then 0 when u<0.7357588823428847 then 1 when u<0.9196986029286058 then 2 when u<0.9810118431238462 then 3 when u<0.9963401531726563 then 4 when u<0.9994058151824183 then 5 else 6 end"
+#: ln k! and ln p(k) of a Poisson count of mean n
+LOGFACT = "case when k<=20 then ln(factorial(least(k,20)::int)::double) else k*ln(k::double)-k+0.5*ln(2*3.141592653589793*k)+1/(12.0e0*k)-1/(360.0e0*k*k*k)+1/(1260.0e0*k*k*k*k*k) end"
+LOGP = f"case when k=0 then -n::double else k*ln(1+(n-k)/k::double)+(k-n)-({LOGFACT})+(k*ln(k::double)-k) end"
 
 
 def paired_sql(a: str, b: str, strata: str = "", name: str = "") -> str:
     """Common table expressions ending in ``{name}dd``: draw, delta."""
     s_ = f"{strata}," if strata else ""
-    u = lambda *parts: f"(({H.format(','.join((strata, 'a', 'b', 'draw', *parts, '0') if strata else ('a', 'b', 'draw', *parts, '0')))})+0.5)/4294967296.0"
-    few = f"list_sum(list_transform(range(1,least(n,15)+1), lambda i: {POIS.replace('u<', u('i') + '<')}))"
-    normal = f"sqrt(-2*ln({u(chr(39) + 'b' + chr(39))}))*cos(({u(chr(39) + 'a' + chr(39))})*(2*3.141592653589793))"
+    u = f"(({H.format(','.join((strata, 'a', 'b', 'draw', '0') if strata else ('a', 'b', 'draw', '0')))})+0.5)/4294967296.0"
+    on = "and ".join(f"w.{k}=t.{k} " for k in ((strata, "a", "b") if strata else ("a", "b")))
     return f"""{name}c as (select {s_} round(va*1000)::int as a, round(vb*1000)::int as b, count(*) as n from (select a.grp, {a} as va, {b} as vb from v1 a join v2 b using (pair_id) where a.gt_found=1) group by all),
- {name}w as (select *, case when n<=15 then {few} else greatest(0,floor(n+sqrt(n)*{normal}+0.5)) end as wt from {name}c, (select unnest(range({N_DRAWS})) as draw)),
+ {name}k as (select *, unnest(range(greatest(0,n-ceil(9*sqrt(n))::bigint-40), n+ceil(9*sqrt(n))::bigint+41)) as k from {name}c),
+ {name}t as (select {s_} a, b, n, k, coalesce(sum(exp({LOGP})) over (partition by {s_} a, b order by k rows between unbounded preceding and 1 preceding),0) as low from {name}k),
+ {name}u as (select {s_} a, b, n, draw, ({u})::double as u from {name}c, (select unnest(range({N_DRAWS})) as draw)),
+ {name}w as (select w.*, t.k as wt from {name}u w asof join {name}t t on {on} and w.u>=t.low),
  {name}d as (select draw, {s_} sum(wt*(b-a))/sum(wt)/1000 as d from {name}w where wt>0 group by all), {name}dd as (select draw, avg(d) as delta from {name}d group by 1)"""
 
 

@@ -214,12 +214,26 @@ def test_draws_have_exact_quotas(spark):
         sample.draws(df, "grp", {"B": 31}, 3).count()
 
 
-def test_cell_weights_have_the_mean_and_spread_of_a_bootstrap(spark):
-    cells = spark.createDataFrame([("few", 5), ("many", 400)], "k string, n int")
-    w = {r["k"]: r for r in sample.cell_weights(cells, ["k"], 4000).groupBy("k").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q")).collect()}
-    for k, n in (("few", 5), ("many", 400)):
-        mean = w[k]["s"] / 4000
-        assert abs(mean - n) < 4 * np.sqrt(n / 4000) and abs(w[k]["q"] / 4000 - mean**2 - n) < 0.1 * n
+def test_cell_weights_are_poisson_counts_of_any_mean(spark):
+    """Mean and variance are n on both sides of small and large counts, and each draw is the law's inverse at its uniform number."""
+    from math import exp, lgamma, log
+
+    means, draws = (1, 5, 15, 16, 400, 1_000_000), 4000
+    cells = spark.createDataFrame([(f"c{n}", n) for n in means], "k string, n int")
+    w = {r["k"]: r for r in sample.cell_weights(cells, ["k"], draws).groupBy("k").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"), F.sort_array(F.collect_list(F.struct("draw", "weight"))).alias("all")).collect()}
+    us = {(r["k"], r["draw"]): r["u"] for r in cells.select("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("u", sample.uniform("k", "draw", 0)).collect()}
+    for n in means:
+        mean = w[f"c{n}"]["s"] / draws
+        assert abs(mean - n) < 4 * np.sqrt(n / draws) and abs(w[f"c{n}"]["q"] / draws - mean**2 - n) < 0.12 * n
+        if n > 1000:
+            continue
+        chance, upto = [exp(k * log(n) - n - lgamma(k + 1)) for k in range(n + 400)], 0.0
+        below = np.cumsum(chance)
+        got = {d: x for d, x in w[f"c{n}"]["all"]}
+        for d in range(draws):
+            assert got.get(d, 0) == np.searchsorted(below, us[f"c{n}", d], side="right")
+    table = sample.poisson_table(cells, ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.max("_before").alias("top")).collect()
+    assert all(abs(r["top"] - 1) < 1e-9 for r in table) and max(r["n"] for r in table) < 20_000
 
 
 def test_verified_clusters(spark):
