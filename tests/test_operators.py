@@ -1,5 +1,7 @@
 """Operators on small hand-made tables with known answers."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -292,6 +294,38 @@ def test_isolated_map_never_loses_a_row(spark):
     got = batch.isolated_map(df, "pair_id", _make, _odd, limit=0.2).collect()
     assert len(got) == 12 and {(r["pair_id"] % 4 == 3, r["error"]) for r in got} == {(True, "late"), (False, "not a number")}
 
+    def _strict(model, row):
+        return [{"x": "12.5", "found": 1}, {"x": 1.0, "found": 7}, {"x": True}, {"x": 2, "found": True}][row["k"]]
+
+    got = batch.isolated_map(df, "pair_id", _make, _strict).collect()
+    assert {(r["pair_id"] % 4, r["error"], r["found"], r["x"]) for r in got} == {*((k, "not a number", 0, 0.0) for k in range(3)), (3, None, 1, 2.0)}
+
+    def _native(model, row):
+        import ctypes
+        import os
+
+        if row["k"] == 0:
+            ctypes.PyDLL(None).sleep(600)  # holds the interpreter's lock: no signal handler runs
+        if row["k"] == 1:
+            os._exit(3)
+        return {"found": 1}
+
+    began = time.perf_counter()
+    got = batch.isolated_map(df.filter("pair_id < 8"), "pair_id", _make, _native, limit=0.5).collect()
+    assert {(r["pair_id"] % 4, r["error"]) for r in got} == {(0, "late"), (1, "died"), (2, None), (3, None)} and len(got) == 8 and time.perf_counter() - began < 100
+
+    def _broken():
+        raise OSError("no weights")
+
+    for limit in (None, 5):
+        with pytest.raises(Exception, match="no weights"):
+            batch.isolated_map(df, "pair_id", _broken, _strict, limit).collect()
+
+    big = spark.createDataFrame([(2**60 + 1, 1.0), (None, 2.0), (-5, None)], "`odd key` long, x double")
+    for limit in (None, 5):
+        got = batch.isolated_map(big, "odd key", _make, lambda m, r: {"x": -1.0 if r["x"] is None else float(r["odd key"] is None), "score": 1}, limit).collect()
+        assert {(r["odd key"], r["x"], r["error"]) for r in got} == {(2**60 + 1, 0.0, None), (None, 1.0, None), (-5, -1.0, None)}
+
     def _other():
         return {"n": 5}
 
