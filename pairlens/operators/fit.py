@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..sources.io import stored
 from . import score as s
-from .aggregate import quantiles
 
 
 def scaling(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -86,29 +85,6 @@ def trace(rows: DataFrame, model: dict, label: str) -> dict[str, float]:
     return {"loss": one["loss"], "gradient": float(np.sqrt(sum(v * v for k, v in one.asDict().items() if k != "loss")))}
 
 
-def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int = 200, depth: int = 3, rate: float = 0.06, least: int = 25) -> tuple[object, DataFrame]:
-    """Boosted trees as a nonlinear control: the model, and rows with its probability in p.
-
-    Missing values become the feature's median. First-order boosting: not leaf by leaf that of a
-    second-order one.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    mid = {}
-    for x in features:
-        one = quantiles(rows.select(c.finite(x).alias("v")), [], "v", {"mid": 0.5}).first()
-        mid[x] = one["mid"] if one else None
-    names = [f"_z{i}" for i in range(len(features))]
-    data = rows.withColumns({n: F.coalesce(c.finite(x), F.lit(mid[x] or 0.0)) for n, x in zip(names, features, strict=True)} | {"_label": F.col(label).cast("double")})
-    data = VectorAssembler(inputCols=names, outputCol="_features").transform(data)
-    trees = GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=least, seed=1)
-    model = trees.setRawPredictionCol("_r").setProbabilityCol("_q").fit(data)
-    out = model.transform(data).withColumn("p", vector_to_array("_q")[1])
-    return model, out.select(*rows.columns, "p")
-
-
 def f1_ceiling(rows: DataFrame, value: Column, present: str = "gt_found") -> DataFrame:
     """best, threshold: the highest reject-positive F1 that any threshold on a fitted value reaches on the same rows."""
     data = rows.select(value.alias("score"), F.when(F.col(present) == 1, 1).otherwise(0).alias("present"), F.when(F.col(present) == 1, 0).otherwise(1).alias("absent"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import columns as c
-from pairlens.operators import aggregate, batch, fit, hypotheses, joins, sample, score, spatial
+from pairlens.operators import aggregate, batch, boost, fit, hypotheses, joins, sample, score, spatial
 from pairlens.sources import io
 from pairlens.streaming import streams
 
@@ -446,16 +446,66 @@ def test_breakdown_and_health(spark):
     assert values(aggregate.health(df.withColumn("r", F.lit(1)), ["r"], "f", "f"), "errors", "reasons") == [(1, "errors")]
 
 
-def test_boosted_trees_query_has_all_rounds(monkeypatch):
-    from pairlens.plans import q_fit
-
-    asked = []
-
-    def boosted(rows, features, label, rounds=200):
-        asked.append(rounds)
-        raise StopIteration
-
-    monkeypatch.setattr(q_fit.fit, "boosted", boosted)
-    with pytest.raises(StopIteration):
-        q_fit.m07(None)
-    assert asked == [200]
+def newton_trees(x, y, rounds, depth, rate, lam, least):
+    """A plain loop: every leaf of every tree, in order from the left, and the margins."""
+    p = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    f, trees = np.full(len(y), np.log(p / (1 - p))), []
+
+    def grow(rows, g, h, left, leaves, out):
+        best = None
+        if left and len(rows) >= 2 * least:
+            for j in range(x.shape[1]):
+                for t in np.unique(x[rows, j])[:-1]:
+                    a, b = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                    if min(len(a), len(b)) >= least:
+                        gain = g[a].sum() ** 2 / (h[a].sum() + lam) + g[b].sum() ** 2 / (h[b].sum() + lam) - g[rows].sum() ** 2 / (h[rows].sum() + lam)
+                        if best is None or gain > best[0] + 1e-12:
+                            best = (gain, a, b)
+        if best is None or best[0] <= 1e-9:
+            leaves.append(-g[rows].sum() / (h[rows].sum() + lam))
+            out[rows] = leaves[-1]
+            return
+        grow(best[1], g, h, left - 1, leaves, out)
+        grow(best[2], g, h, left - 1, leaves, out)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-f))
+        leaves, out = [], np.zeros(len(y))
+        grow(np.arange(len(y)), p - y, np.maximum(p * (1 - p), 1e-6), depth, leaves, out)
+        f = f + rate * out
+        trees.append(leaves)
+    return trees, f
+
+
+def leaves_of(tree, k=0):
+    return leaves_of(tree, tree[k][2]) + leaves_of(tree, tree[k][3]) if isinstance(tree[k], tuple) else [tree[k]]
+
+
+def test_boosted_trees_equal_a_plain_loop(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(140, 3)), 1)
+    y = (rng.random(140) < 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1] + x[:, 2]))).astype(float)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y int").repartition(5)
+    want, f = newton_trees(x, y, 6, 3, 0.3, 1.0, 9)
+    for kept, parts in ((25, 64), (2, 1)):  # margins from the table too, and sums added up in tasks
+        monkeypatch.setattr(boost, "KEPT", kept)
+        monkeypatch.setattr(boost, "PARTS", parts)
+        model = boost.boosted(df, ["a", "b", "c"], "y", rounds=6, depth=3, rate=0.3, least=9)
+        assert len(model["trees"]) == 6
+        for tree, leaves in zip(model["trees"], want, strict=True):
+            assert np.allclose(leaves_of(tree), leaves, atol=1e-12)
+    got = {(r["a"], r["b"], r["c"]): r["m"] for r in df.withColumn("m", boost.margin(model)).collect()}
+    assert all(abs(got[tuple(r)] - v) < 1e-9 for r, v in zip(x.tolist(), f, strict=True))
+    missing = spark.createDataFrame([(None, float("nan"), 0.1)], "a double, b double, c double").withColumn("m", boost.margin(model)).first()
+    there = spark.createDataFrame([(float(np.median(x[:, 0])), float(np.median(x[:, 1])), 0.1)], "a double, b double, c double").withColumn("m", boost.margin(model)).first()
+    assert missing["m"] == there["m"]
+
+
+def test_boosted_trees_of_few_bins_learn(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(t), i % 3) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))], "a double, b double, y int, fold int")
+    model = boost.boosted(df.filter("fold > 0"), ["a", "b"], "y", rounds=15, rate=0.3, bins=16)
+    held = score.auc(df.filter("fold = 0").withColumn("score", boost.predicted(model)), [], "y").first()["auc"]
+    assert held > 0.95
