@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..sources.io import stored
 from .aggregate import selected
+from .passes import added
 
 #: Trees whose answers are worked out anew in each pass, until the rows are written with them.
 KEPT = 25
-#: Parts of sums that the driver adds up; more are added in tasks first.
-PARTS = 64
 
 
 def _filled(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -53,22 +52,6 @@ def _values(tree: list, places: np.ndarray) -> np.ndarray:
     return np.array([0.0 if isinstance(n, tuple) else n for n in tree])[_walk(tree, places)]
 
 
-def _added(parts: DataFrame) -> np.ndarray:
-    """The sum of the arrays in the rows' column s."""
-
-    def add(it):
-        total = None
-        for batch in it:
-            for value in batch.column(0).to_pylist():
-                got = np.frombuffer(value)
-                total = got.copy() if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-    rows = parts.collect() if parts.rdd.getNumPartitions() <= PARTS else parts.repartition(PARTS).mapInArrow(add, "s binary").collect()
-    return np.sum([np.frombuffer(r["s"]) for r in rows], axis=0)
-
-
 def _best(sums: np.ndarray, lam: float, least: int):
     """(feature, bin that ends the left side, next bin with rows) of the greatest gain, or None; sums has g, h, n of each (feature, bin)."""
     g, h, n = sums
@@ -127,7 +110,7 @@ def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int =
                             total[k, v, j] += np.bincount(places[j, here], w, width)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-        return _added(some.mapInArrow(run, "s binary")).reshape(len(open_nodes), *shape)
+        return added(some.mapInArrow(run, "s binary")).reshape(len(open_nodes), *shape)
 
     def written(fresh):
         def run(it):

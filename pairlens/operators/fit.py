@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Hashable, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..sources.io import stored
 from . import score as s
+from .passes import added
 
 
 def scaling(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -85,6 +87,77 @@ def trace(rows: DataFrame, model: dict, label: str) -> dict[str, float]:
     return {"loss": one["loss"], "gradient": float(np.sqrt(sum(v * v for k, v in one.asDict().items() if k != "loss")))}
 
 
+def fitted(rows: DataFrame, wanted: Mapping[Hashable, tuple[Sequence[str], Column]], label: str, l2: float = 1e-3, steps: int = 40, tolerance: float = 1e-9) -> dict[Hashable, dict]:
+    """A standardised logistic fit for each wanted (features, rows to learn from), with a ridge on the weights (not the bias) of the mean loss.
+
+    All fits go side by side by Newton steps: rows are written once, and one pass takes the normal equations of every
+    fit that isn't done. A model has scale, weights, bias and its trace: gradient norm, largest step and mean
+    log-loss at the start of each step. Missing values count as 0.
+    """
+    features = list(dict.fromkeys(x for xs, _ in wanted.values() for x in xs))
+    data = stored(rows.select(*(c.zero_if_missing(x).cast("double").alias(f"_x{i}") for i, x in enumerate(features)), F.col(label).cast("double").alias("_y"), *(on.alias(f"_on{i}") for i, (_, on) in enumerate(wanted.values()))), "fit")
+    places = {name: [features.index(x) for x in xs] for name, (xs, _) in wanted.items()}
+    turn = {name: i for i, name in enumerate(wanted)}
+    k = len(features)
+
+    def read(batch):
+        number = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k + 1)]
+        return np.column_stack(number[:k]) if k else np.zeros((len(batch), 0)), number[k]
+
+    def taken(batch, name):
+        return np.array([v is True for v in batch.column(k + 1 + turn[name]).to_pylist()], bool)
+
+    def run_sums(it):
+        total = np.zeros((len(turn), 1 + 2 * k))
+        for batch in it:
+            x, _ = read(batch)
+            for name, i in turn.items():
+                z = x[taken(batch, name)]
+                total[i] += np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    first = added(data.mapInArrow(run_sums, "s binary")).reshape(len(wanted), 1 + 2 * k)
+    n, mean = np.maximum(first[:, 0], 1), first[:, 1 : 1 + k] / np.maximum(first[:, :1], 1)
+    spread = np.sqrt(np.maximum(first[:, 1 + k :] / n[:, None] - mean**2, 0))
+    spread[spread <= 1e-12 * np.maximum(np.abs(mean), 1)] = 1.0
+    weights, traces, todo = {name: np.zeros(len(p) + 1) for name, p in places.items()}, {name: [] for name in places}, list(places)
+
+    def equations(now, at):
+        sizes = [len(places[name]) + 1 for name in now]
+
+        def run(it):
+            total = [np.zeros(m * m + m + 1) for m in sizes]
+            for batch in it:
+                x, y = read(batch)
+                for j, name in enumerate(now):
+                    on, p, i = taken(batch, name), places[name], turn[name]
+                    z = np.column_stack([(x[on][:, p] - mean[i, p]) / spread[i, p], np.ones(int(on.sum()))])
+                    t = z @ at[name]
+                    q = 1 / (1 + np.exp(-t))
+                    loss = np.logaddexp(0, t) - y[on] * t
+                    total[j] += np.concatenate([((z * (q * (1 - q))[:, None]).T @ z).ravel(), z.T @ (q - y[on]), [loss.sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(total).tobytes()], pa.binary())], ["s"])
+
+        got, out = added(data.mapInArrow(run, "s binary")), {}
+        for name, m in zip(now, sizes, strict=True):
+            one, got = got[: m * m + m + 1], got[m * m + m + 1 :]
+            out[name] = one[: m * m].reshape(m, m), one[m * m : -1], one[-1]
+        return out
+
+    for _ in range(steps):
+        if not todo:
+            break
+        for name, (h, g, loss) in equations(todo, weights).items():
+            rows_of, own = n[turn[name]], np.r_[np.full(len(places[name]), l2), 0.0]
+            g, h = g / rows_of + own * weights[name], h / rows_of + np.diag(own)
+            step = -np.linalg.lstsq(h, g, rcond=None)[0]
+            traces[name].append((float(np.linalg.norm(g)), float(np.abs(step).max()), float(loss / rows_of)))
+            weights[name] = weights[name] + step
+        todo = [name for name in todo if traces[name][-1][1] >= tolerance]
+    scale = lambda name: {x: (float(mean[turn[name], p]), float(spread[turn[name], p])) for x, p in zip(wanted[name][0], places[name], strict=True)}
+    return {name: {"scale": scale(name), "weights": w[:-1].tolist(), "bias": float(w[-1]), "trace": traces[name]} for name, w in weights.items()}
+
+
 def f1_ceiling(rows: DataFrame, value: Column, present: str = "gt_found") -> DataFrame:
     """best, threshold: the highest reject-positive F1 that any threshold on a fitted value reaches on the same rows."""
     data = rows.select(value.alias("score"), F.when(F.col(present) == 1, 1).otherwise(0).alias("present"), F.when(F.col(present) == 1, 0).otherwise(1).alias("absent"))
@@ -93,44 +166,49 @@ def f1_ceiling(rows: DataFrame, value: Column, present: str = "gt_found") -> Dat
     return s.best(swept, [], "f1")
 
 
-def cross_validated(rows: DataFrame, build: Callable[[DataFrame], Column], folds: int = 4, fold: str = "fold") -> DataFrame:
-    """fold, threshold, held_total, held_f1: build(training rows) gives a statistic; its threshold comes from them alone."""
-    out = None
-    for k in range(folds):
-        train, test = rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k)
-        value = build(train)
-        best = s.best(s.sweep(train.withColumn("score", value), []).withColumn("total", F.round("total", 9)), []).first()
-        at = s.sweep(test.withColumn("score", value), []).filter(F.col("score") >= best["threshold"])
-        one = at.agg(F.lit(k).alias("fold"), F.lit(best["threshold"]).alias("threshold"), F.min_by("total", "score").alias("held_total"), F.min_by("f1", "score").alias("held_f1"))
-        out = one if out is None else out.union(one)
-    return out
+def each_fold(build: Callable[[DataFrame], Column]) -> Callable[[DataFrame, Mapping[int, Column]], dict[int, Column]]:
+    """A builder of all folds' statistics from one that sees the training rows of a single fold."""
+    return lambda rows, training: {k: build(rows.filter(on)) for k, on in training.items()}
+
+
+def _held(rows: DataFrame, values: Mapping[tuple[str, int], Column], fold: str) -> DataFrame:
+    """name, fold, threshold, auc, held_total, held_f1: for each (name, fold) a statistic of its own, the threshold that is best on the
+    other folds, and what it earns on the fold; all of them from one histogram, read once."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(k).alias("of"), e.alias("value")) for (name, k), e in values.items())))
+    some = rows.filter(F.col("grp").isin("A", "B", "C")).select(F.col(fold).alias("_f"), *s.MEASURES, each.alias("_s"))
+    long = some.select("_s.name", "_s.of", (F.col("_f") == F.col("_s.of")).alias("held"), F.col("_s.value").alias("score"), *s.MEASURES)
+    hist = stored(s.histogram(long, ["name", "of", "held"]), "held")
+    train, test = (s.sweep_hist(hist.filter(on).drop("held"), ["name", "of"]) for on in ("not held", "held"))
+    chosen = s.best(train.withColumn("total", F.round("total", 9)), ["name", "of"]).select("name", "of", "threshold")
+    at = test.join(chosen, ["name", "of"]).filter("score >= threshold")
+    return at.groupBy("name", F.col("of").alias("fold"), "threshold").agg(F.first("auc").alias("auc"), F.min_by("total", "score").alias("held_total"), F.min_by("f1", "score").alias("held_f1"))
+
+
+def cross_validated(rows: DataFrame, build: Callable[[DataFrame, Mapping[int, Column]], Mapping[int, Column]], folds: int = 4, fold: str = "fold") -> DataFrame:
+    """fold, threshold, held_total, held_f1: build(rows, training condition of each fold) gives each fold's statistic; its threshold comes
+    from the training rows alone. A builder of one fold at a time goes through ``each_fold``."""
+    values = build(rows, {k: F.col(fold) != k for k in range(folds)})
+    return _held(rows, {("", k): e for k, e in values.items()}, fold).select("fold", "threshold", "held_total", "held_f1")
 
 
 def compared(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, fold: str, least: float = 0.5) -> DataFrame:
     """name, eligible, auc, held_total, held_f1: a standardised logistic fit of each named feature set on the other folds,
-    with the threshold that is best there, and what both earn on the fold, as the mean over folds; a set is eligible
-    if all its columns exist and are finite often enough. rows come from measured()."""
+    with the threshold that is best there, and what both earn on the fold, as the mean over folds (auc: over all rows, each
+    scored by the fit that hasn't seen it); a set is eligible if all its columns exist and are finite often enough. rows come from measured().
+
+    The fits of all sets and folds share their passes, and so do their sweeps.
+    """
     wanted = sorted({x for xs in sets.values() for x in xs})
     usable = {r["feature"] for r in c.available(rows, wanted, least).collect() if r["usable"]}
-    ids, out = [r[0] for r in rows.select(fold).distinct().collect()], []  # a few folds
-    for name, xs in sets.items():
-        if not usable.issuperset(xs):
-            out.append((name, False, None, None, None))
-            continue
-        fits = {k: predicted(logistic(rows.filter(F.col(fold) != k), xs, label)) for k in ids}
-        value = F.lit(None).cast("double")
-        for k, e in fits.items():
-            value = F.when(F.col(fold) == k, e).otherwise(value)
-        held = rows.withColumn("score", value)
-        auc = s.auc(held.select("score", F.col(label).alias("_l")), [], "_l").first()["auc"]
-        # a fold's threshold comes from its own fit on the other folds' rows
-        own = held.filter(F.col("grp").isin("A", "B", "C"))
-        train = None
-        for k, e in fits.items():
-            one = s.histogram(rows.filter((F.col(fold) != k) & F.col("grp").isin("A", "B", "C")).withColumn("score", e), []).withColumn(fold, F.lit(k))
-            train = one if train is None else train.unionByName(one)
-        best = s.best(s.sweep_hist(train, [fold]).withColumn("total", F.round("total", 9)), [fold]).select(F.col(fold).alias("_k"), "threshold")
-        at = s.sweep_hist(s.histogram(own, [fold]), [fold]).join(F.broadcast(best), F.col(fold) == F.col("_k")).filter("score >= threshold")
-        got = at.groupBy(fold).agg(F.min_by("total", "score").alias("t"), F.min_by("f1", "score").alias("f")).agg(F.avg("t").alias("t"), F.avg("f").alias("f")).first()
-        out.append((name, True, auc, got["t"], got["f"]))
-    return rows.sparkSession.createDataFrame(out, "name string, eligible boolean, auc double, held_total double, held_f1 double")
+    ids = [r[0] for r in rows.select(fold).distinct().collect()]  # a few folds
+    good = {name: xs for name, xs in sets.items() if usable.issuperset(xs)}
+    models = fitted(rows, {(name, k): (xs, F.col(fold) != k) for name, xs in good.items() for k in ids}, label)
+    values = {at: predicted(m) for at, m in models.items()}
+    table = rows.sparkSession.createDataFrame([(name, name in good) for name in sets], "name string, eligible boolean")
+    if not good:
+        return table.select("name", "eligible", *(F.lit(None).cast("double").alias(k) for k in ("auc", "held_total", "held_f1")))
+    mean = _held(rows, values, fold).groupBy("name").agg(F.avg("held_total").alias("held_total"), F.avg("held_f1").alias("held_f1"))
+    own = lambda name: F.coalesce(*(F.when(F.col(fold) == k, values[name, k]) for k in ids))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), own(name).alias("score")) for name in good)))
+    ranked = s.auc(rows.select(F.col(label).alias("_l"), each.alias("_s")).select("_s.*", "_l"), ["name"], "_l")
+    return table.join(ranked, "name", "left").join(mean, "name", "left").select("name", "eligible", "auc", "held_total", "held_f1")

@@ -65,8 +65,10 @@ def m10(v):
 
 @Q.add("m11_convergence", None, "v1")
 def m11(v):
-    t = fit.trace(v, fit.newton(v, FEATURES, "gt_found"), "gt_found")
-    return v.sparkSession.createDataFrame([(round(t["loss"], 6), round(t["gradient"], 6))], "loss double, gradient double")
+    """Gradient norm, largest step and mean log-loss at each iteration of the fit."""
+    steps = fit.fitted(v, {"all": (FEATURES, F.lit(True))}, "gt_found")["all"]["trace"]
+    rows = [(i + 1, round(g, 6), round(d, 6), round(loss, 6)) for i, (g, d, loss) in enumerate(steps)]
+    return v.sparkSession.createDataFrame(rows, "iteration int, gradient double, largest_step double, loss double")
 
 
 @Q.add("m12_feature_sets", None, "v1")
@@ -81,7 +83,12 @@ def m12(v):
 @Q.add("e02_cv_callback", None, "v1")
 def e02(v):
     rows = s.measured(v).withColumn("fold", (portable_hash("pair_id", F.lit(0)) % 2).cast("int"))
-    return fit.cross_validated(rows, lambda train: fit.predicted(fit.newton(train, FEATURES[:2], "gt_found")), folds=2)
+
+    def build(rows, training):
+        models = fit.fitted(rows, {k: (FEATURES[:2], on) for k, on in training.items()}, "gt_found")
+        return {k: fit.predicted(m) for k, m in models.items()}
+
+    return fit.cross_validated(rows, build, folds=2)
 
 
 def _nothing() -> dict:

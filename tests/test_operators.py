@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import columns as c
-from pairlens.operators import aggregate, batch, boost, fit, hypotheses, joins, sample, score, spatial
+from pairlens.operators import aggregate, batch, boost, fit, hypotheses, joins, passes, sample, score, spatial
 from pairlens.sources import io
 from pairlens.streaming import streams
 
@@ -135,6 +135,41 @@ def test_newton_and_logistic_agree(spark):
     assert df.agg(F.max(F.abs(fit.predicted(n) - fit.predicted_raw(*fit.raw_weights(n))))).first()[0] < 1e-9
 
 
+def by_newton(x, y, l2, steps=40):
+    """Means and deviations, weights and bias, and the trace of a ridge logistic fit in numpy."""
+    mean, dev = x.mean(0), x.std(0)
+    z, w, trace = np.column_stack([(x - mean) / np.where(dev > 0, dev, 1), np.ones(len(x))]), np.zeros(x.shape[1] + 1), []
+    own = np.r_[np.full(x.shape[1], l2), 0.0]
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-z @ w))
+        g, h = z.T @ (p - y) / len(y) + own * w, (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(own)
+        step = -np.linalg.solve(h, g)
+        trace.append((np.linalg.norm(g), np.abs(step).max(), -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))))
+        w = w + step
+        if trace[-1][1] < 1e-9:
+            break
+    return w, trace
+
+
+def test_fits_of_many_sets_and_folds_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, fold = rng.normal(size=(500, 3)) * [1, 5, 0.1] + [0, 3, 1], rng.integers(0, 3, 500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.3 * x[:, 1] + 1)))).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t), int(k)) for r, t, k in zip(x, y, fold, strict=True)], "a double, b double, c double, y int, fold int").repartition(4)
+    passed, keep = [], fit.added
+    monkeypatch.setattr(fit, "added", lambda parts: (passed.append(1), keep(parts))[1])
+    wanted = {(name, k): (xs, F.col("fold") != k) for name, xs in {"a": ["a"], "ab": ["a", "b"], "all": ["a", "b", "c"]}.items() for k in range(3)}
+    got = fit.fitted(df, wanted, "y")
+    longest = 0
+    for (name, k), model in got.items():
+        at = ["abc".index(n) for n in ("abc" if name == "all" else name)]
+        w, trace = by_newton(x[fold != k][:, at], y[fold != k], 1e-3)
+        assert np.allclose([*model["weights"], model["bias"]], w, atol=1e-8)
+        assert len(model["trace"]) == len(trace) and np.allclose(model["trace"], trace, atol=1e-9)
+        longest = max(longest, len(trace))
+    assert len(passed) == longest + 1  # means and deviations, then one pass a step for all nine
+
+
 def test_feature_sets_are_compared_on_held_out_folds(spark, sf):
     from pairlens.plans.fixtures import view
 
@@ -143,11 +178,15 @@ def test_feature_sets_are_compared_on_held_out_folds(spark, sf):
     assert got["one"]["eligible"] and 0 < got["one"]["held_total"] <= 85 and not got["none"]["eligible"] and got["none"]["held_f1"] is None
     # by hand: the other fold's fit and best threshold, on the fold
     for k in (0, 1):
-        rows_k = rows.withColumn("score", fit.predicted(fit.logistic(rows.filter(F.col("fold") != k), ["score"], "gt_found")))
+        model = fit.fitted(rows, {0: (["score"], F.col("fold") != k)}, "gt_found")[0]
+        rows_k = rows.withColumn("score", fit.predicted(model))
         t = score.best(score.sweep(rows_k.filter(F.col("fold") != k), []).withColumn("total", F.round("total", 9)), []).first()["threshold"]
         one = score.rubric(rows_k.filter(F.col("fold") == k), [], t, empty=0.0).first()
         got[k] = (one["total"], one["f1"])
     assert abs(np.mean([got[k][0] for k in (0, 1)]) - got["one"]["held_total"]) < 1e-6 and abs(np.mean([got[k][1] for k in (0, 1)]) - got["one"]["held_f1"]) < 1e-9
+    # the same folds by a callback that builds one fold's statistic at a time
+    own = {r["fold"]: r for r in fit.cross_validated(rows, fit.each_fold(lambda train: fit.predicted(fit.fitted(train, {0: (["score"], F.lit(True))}, "gt_found")[0])), 2).collect()}
+    assert all(abs(own[k]["held_total"] - got[k][0]) < 1e-6 and abs(own[k]["held_f1"] - got[k][1]) < 1e-9 for k in (0, 1))
 
 
 def test_quantiles_equal_numpy(spark):
@@ -489,7 +528,7 @@ def test_boosted_trees_equal_a_plain_loop(spark, monkeypatch):
     want, f = newton_trees(x, y, 6, 3, 0.3, 1.0, 9)
     for kept, parts in ((25, 64), (2, 1)):  # margins from the table too, and sums added up in tasks
         monkeypatch.setattr(boost, "KEPT", kept)
-        monkeypatch.setattr(boost, "PARTS", parts)
+        monkeypatch.setattr(passes, "PARTS", parts)
         model = boost.boosted(df, ["a", "b", "c"], "y", rounds=6, depth=3, rate=0.3, least=9)
         assert len(model["trees"]) == 6
         for tree, leaves in zip(model["trees"], want, strict=True):
