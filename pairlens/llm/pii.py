@@ -7,7 +7,7 @@ documents, and nothing has to be remembered or shuffled. The key must be given;
 permutation can't be undone. Case and separators of the original are kept.
 
 Nulls stay null (counts 0), empty and very long texts are ordinary texts, repeated rows give
-repeated rows. Every pattern has bounded look-ahead, so time is linear in the text's length.
+repeated rows. Patterns look ahead by a bounded length or never go back, so time is linear in the text's length.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import math
+import secrets
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents
 
-#: Where a session keeps the key; and what queries take without it: who reads this can undo their pseudonyms.
-KEY_SETTING, TRIAL_KEY = "spark.pairlens.pii.key", b"for trials only"
+#: Where a session keeps the key.
+KEY_SETTING = "spark.pairlens.pii.key"
 ROUNDS = 10
+#: Characters of a value that are permuted as one number.
+SPAN = 128
 KINDS = ("email", "secret", "phone", "iban", "card", "ssn", "ip", "date")
 _FIND = regex.compile(
     r"""
-    (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[a-z0-9][a-z0-9-]{0,62}\.){1,8}[a-z]{2,24}(?![\w]))
-  | (?:(?<=\btoken\s=\s["'])|(?<=\b(?:token|secret|api_?key|password|passwd)["']?\s?[:=]\s?["']?))(?P<secret>[0-9a-z_/+-]{16,128})(?![\w])
+    (?P<email>(?<![\w.+%-])[\w.+%-]++@(?:[a-z0-9][a-z0-9-]{0,62}\.){1,8}[a-z]{2,24}(?![\w]))
+  | (?:(?<=\btoken\s=\s["'])|(?<=\b(?:token|secret|api_?key|password|passwd)["']?\s?[:=]\s?["']?))(?P<secret>eyj[0-9a-z_-]{13,}+(?:\.[0-9a-z_-]++){1,2}|[0-9a-z_/+-]{16,}+)(?![\w])
   | (?P<phone>(?<![\w])(?:\+?1[\s.-]?)?\(\d{3}\)[\s.-]?\d{3}[ .-]\d{4}(?![\w])|(?<![\w.-])(?:\+?1[\s.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])
     |(?<![\w.,+-])(?<!\d[ ])(?:1[ ])?[2-9]\d{2}[ ]\d{3}[ ]\d{4}(?![\w-]|[.,]\d|[ ]\d{3})
     |(?<![\w+])(?:\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|(?:\+(?!1)|00(?=[2-9]\d{0,2}[ .-]))\d(?:[ ]?\(0\)[ ]?|[ ./-]?\(?\d\)?){6,14})(?![\w-]))
@@ -100,6 +103,12 @@ def _alphabet(c: str) -> str:
 
 def _spelled(text: str, key: bytes, kind: str) -> str:
     """Digits for digits and letters for letters of the same alphabet; two texts never become one (but for the case of a to z)."""
+    if len(text) > SPAN:  # in turns, each under a key of what stands before it, so time is linear and equal values stay equal
+        before, out = hashlib.blake2b(digest_size=16), []
+        for i in range(0, len(text), SPAN):
+            out.append(_spelled(text[i : i + SPAN], key, f"{kind} {before.hexdigest()}" if i else kind))
+            before.update(text[i : i + SPAN].lower().encode())
+        return "".join(out)
     x, size, spots, shape = 0, 1, [], []
     for i, c in enumerate(text):
         alphabet = _alphabet(c)
@@ -261,9 +270,13 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def session_key(spark) -> bytes:
-    """The key in the session's settings, or that for trials."""
-    said = spark.conf.get(KEY_SETTING, None)
-    return said.encode() if said else TRIAL_KEY
+    """The key in the session's settings; where there is none, one drawn at random for this session, which is kept there.
+
+    Such a key is in no source and no other session has it: values stay linked within the session only.
+    """
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
 
 
 def op6_pii(spark, sf_dir):
