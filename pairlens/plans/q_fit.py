@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batch, boost, fit
 from ..operators import score as s
-from ..sources.io import shared_folder, stored
+from ..sources.io import passing_folder, stored
 from ..streaming import streams
 from .fixtures import Queries, view
 from .q_columns import r6
@@ -107,7 +107,7 @@ def e03(v):
 
 
 def _folder(spark) -> str:
-    return shared_folder(spark, "stream")
+    return passing_folder(spark, "stream")
 
 
 def stream(name: str, sql: str | None = None):
@@ -176,7 +176,7 @@ def x04(events, at):
         streams.resume(rows.select("event_id"), "event_id", f"{at}/out", f"{at}/check")
     # again from the start, as after a lost checkpoint: nothing is added
     streams.resume(rows.select("event_id"), "event_id", f"{at}/out", f"{at}/check2")
-    return events.sparkSession.read.parquet(f"{at}/out")
+    return streams.committed(events.sparkSession, f"{at}/out")
 
 
 def x05(spark, sf_dir):

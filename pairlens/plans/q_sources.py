@@ -117,7 +117,7 @@ def s21(d):
 @Q.add("s14_report_files", "select grp, count(*) as n, round(avg(score),6) as mean, round(max(score),6) as top from v1 group by 1", "v1")
 def s14(v):
     """Rows as JSON lines, metrics as JSON and a report as CSV, written and read back; one row of each for each set."""
-    at = io.shared_folder(v.sparkSession, "reports")
+    at = io.passing_folder(v.sparkSession, "reports")
     read = v.sparkSession.read
     v.select("pair_id", "grp", "score").write.json(f"{at}/rows")
     rows = read.schema("pair_id long, grp string, score double").json(f"{at}/rows")
@@ -143,7 +143,7 @@ def s02(d):
 @Q.add("s13_results_files", "select cast(o_custkey as varchar) as name, count(*) as n, round(sum(round(o_totalprice,2)),2) as total from orders group by 1", "orders")
 def s13(o):
     """Files of splits in both layouts, some customers in each file; a split holds the prices of a customer's orders."""
-    at = io.shared_folder(o.sparkSession, "results")
+    at = io.passing_folder(o.sparkSession, "results")
     split = o.groupBy("o_custkey").agg(F.collect_list(F.round(F.col("o_totalprice").cast("double"), 2)).alias("errors"))
     split = split.select(F.floor(F.col("o_custkey") / 500).alias("file"), F.struct(F.col("o_custkey").cast("string").alias("name"), "errors").alias("s"))
     lists = split.groupBy("file").agg(F.collect_list("s").alias("splits"))
@@ -157,7 +157,7 @@ def s13(o):
 
 @Q.add("s15_comment_lines", "select doc_id, lang from documents where doc_id%10<>0", "documents")
 def s15(d):
-    at = io.shared_folder(d.sparkSession, "comments")
+    at = io.passing_folder(d.sparkSession, "comments")
     d.select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("# note "), "doc_id")).otherwise(F.concat_ws(",", "doc_id", "lang"))).write.text(at)
     return io.read_commented(d.sparkSession, at, "doc_id long, lang string")
 

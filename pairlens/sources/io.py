@@ -8,7 +8,9 @@ import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +60,52 @@ def resolve_schema(columns: Sequence[str], wanted: Sequence[str] = PAIRS3, mappi
     return out
 
 
+def _bare(path: str) -> str:
+    """A path without the local scheme, as both Spark and users write it."""
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
+
+
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The header of each path, a CSV file or a folder of such; repeated names, and files of a folder that differ, are an error.
+
+    One job for all paths: each file is a task's, which ends after the first line that is no comment, so no file is read
+    to its end; the later blocks of large files are left at once.
+    """
+
+    def first(it):
+        for batch in it:
+            for value, file, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at:
+                    return
+                if not value.startswith("#"):
+                    yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([file])], ["value", "file"])
+                    return
+
+    setting, limit = "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in (setting, limit)}
+    # opening a file counts as much as a whole task's bytes, so no task gets a second one; and few lines make a batch
+    spark.conf.set(setting, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    spark.conf.set(limit, 64)
+    try:
+        lines = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+        found = lines.mapInArrow(first, "value string, file string").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = {}
+    for path in paths:
+        own = {r["value"] for r in found if unquote(_bare(r["file"])) == _bare(path) or unquote(_bare(r["file"])).startswith(_bare(path) + "/")}
+        if len(own) > 1:
+            raise SchemaError(f"files with different headers: {sorted(own)}")
+        names = next(csv.reader(io.StringIO(own.pop()))) if own else []
+        if len(set(names)) != len(names):
+            raise SchemaError(f"repeated columns in {names}")
+        out[path] = names
+    return out
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header line of a CSV file, or of all files of a folder; repeated names and files that differ are an error."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at")).filter(~F.col("value").startswith("#"))
-    # a file's header is in its first block, before all lines but comments
-    first = lines.filter("at = 0").groupBy("f").agg(F.first("value").alias("h")).select("h").distinct().limit(2).collect()
-    if len(first) > 1:
-        raise SchemaError(f"files with different headers: {[r['h'] for r in first]}")
-    names = next(csv.reader(io.StringIO(first[0]["h"]))) if first else []
-    if len(set(names)) != len(names):
-        raise SchemaError(f"repeated columns in {names}")
-    return names
+    return headers(spark, [path])[path]
 
 
 def key_faults(rows: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -126,8 +163,8 @@ def scan_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Folders with the same header are one read, so the plan grows with the headers, not with the shards.
     """
     by_header: dict[tuple, list[str]] = {}
-    for p in paths:
-        by_header.setdefault(tuple(header(spark, p)), []).append(p)
+    for p, names in headers(spark, paths).items():
+        by_header.setdefault(tuple(names), []).append(p)
     out = None
     for names, same in by_header.items():
         schema = ", ".join(f"`{n}` string" for n in names)

@@ -6,12 +6,15 @@ one row for each run (or one id within the watermark); sinks can be written agai
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score as s
 from ..operators.aggregate import ERROR_SHARE
-from ..sources.io import complete_only
+from ..sources.io import complete_only, hadoop_path
 
 LEAST_ROWS = 8
 
@@ -49,9 +52,8 @@ def alarm(rows: DataFrame, run: str, failed: Column, out: str, checkpoint: str)
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a Parquet folder is there with anything in it."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))
+    where, system = hadoop_path(spark, path)
+    return system.exists(where) and any(f.getPath().getName().startswith("part-") for f in system.listStatus(where))
 
 
 def progress(rows: DataFrame, run: str, found: Column, seconds: str, total: int) -> DataFrame:
@@ -61,20 +63,61 @@ def progress(rows: DataFrame, run: str, found: Column, seconds: str, total: int)
     return one.select(run, "done", "found", "median", rate.alias("rate"), (F.greatest(F.lit(total) - F.col("done"), F.lit(0)) / rate).alias("eta"))
 
 
-def _by_file(batch: DataFrame, out: str) -> None:
-    """Writes a batch into a folder for each input file, in place of what was there: a file that comes again, in a
-    repeated batch or after a lost checkpoint, counts once."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(out)
+#: Folders of batches that a sink keeps apart; more are written as one.
+FOLDERS = 16
+
+
+def _log(spark: SparkSession, out: str) -> DataFrame:
+    """version, folders, added: one row for each commit of a sink: its folders from then on, and what was added."""
+    schema = "version long, folders array<string>, added array<string>"
+    return spark.read.schema(schema).parquet(f"{out}/log") if exists(spark, f"{out}/log") else spark.createDataFrame([], schema)
+
+
+def commit(rows: DataFrame, out: str, added: DataFrame, merge: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Adds rows to a sink as one folder, and then a row to its log: what isn't in the log isn't there.
+
+    added (one column) says what the rows stand for, so it can be told later. With more than ``FOLDERS`` folders all are
+    written anew as one, through ``merge``. So a sink has files by batches, not by input files. One writer at a time.
+    """
+    spark = rows.sparkSession
+    last = _log(spark, out).agg(F.max("version").alias("v"), F.max_by("folders", "version").alias("f")).first()
+    folders, name = list(last["f"] or []), f"data/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{out}/{name}")
+    folders.append(name)
+    if len(folders) > FOLDERS:
+        name = f"data/{uuid.uuid4().hex}"
+        merge(spark.read.parquet(*(f"{out}/{f}" for f in folders))).write.parquet(f"{out}/{name}")
+        folders = [name]
+    entry = added.agg(F.collect_set(added.columns[0]).alias("added"))  # a batch's files, or one token
+    entry = entry.select(F.lit((last["v"] or 0) + 1).cast("long").alias("version"), F.array(*(F.lit(f) for f in folders)).alias("folders"), "added")
+    entry.coalesce(1).write.mode("append").parquet(f"{out}/log")
+
+
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of a sink's committed batches."""
+    folders = _log(spark, out).agg(F.max_by("folders", "version")).first()[0]
+    return spark.read.parquet(*(f"{out}/{f}" for f in folders))
+
+
+def _new_files(batch: DataFrame, out: str) -> DataFrame:
+    """The batch without files that are in the sink: a file that comes again, in a repeated batch or after a lost checkpoint, counts once."""
+    seen = _log(batch.sparkSession, out).select(F.explode("added").alias("_file"))
+    return batch.join(seen, "_file", "left_anti")
 
 
 def grow_pool(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Keeps all rows that have arrived, with their shard; rows come from read(). See pool()."""
-    _drain(rows.writeStream.foreachBatch(lambda batch, _: _by_file(batch, out)), checkpoint)
+
+    def put(batch: DataFrame, _: int) -> None:
+        new = _new_files(batch, out)
+        commit(new, out, new.select("_file").distinct())
+
+    _drain(rows.writeStream.foreachBatch(put), checkpoint)
 
 
 def pool(spark: SparkSession, out: str, markers: str, shard: str) -> DataFrame:
     """Rows of the shards that are finished by now, whenever their rows came."""
-    return complete_only(spark.read.parquet(out).drop("_file"), spark.read.parquet(markers), shard)
+    return complete_only(committed(spark, out).drop("_file"), spark.read.parquet(markers), shard)
 
 
 def epoch_of(pool: DataFrame, size: int, seed: int, key: str) -> DataFrame:
@@ -85,29 +128,42 @@ def epoch_of(pool: DataFrame, size: int, seed: int, key: str) -> DataFrame:
 
 
 def resume(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """Appends rows whose key isn't in the output yet; safe to run again from an older checkpoint."""
+    """Adds rows whose key isn't in the output yet; read with committed().
+
+    Keys that have come are kept as the query's state, so a batch costs the same whatever the output's size; a batch that is
+    repeated after a failure is known by its number. From an older checkpoint, or none, the state is built anew from the
+    source, and only in that run batches are compared with the output.
+    """
     spark = rows.sparkSession
+    where, system = hadoop_path(spark, checkpoint)
+    lost = not system.exists(where) and exists(spark, f"{out}/log")
 
-    def put(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates([key])
-        if exists(spark, out):
-            new = new.join(spark.read.parquet(out).select(key), key, "left_anti")
-        new.write.mode("append").parquet(out)
+    def put(batch: DataFrame, number: int) -> None:
+        token = spark.range(1).select(F.lit(f"{checkpoint} {number}").alias("token"))
+        if not token.join(_log(spark, out).select(F.explode("added").alias("token")), "token", "left_semi").isEmpty():
+            return
+        new = batch.join(committed(spark, out).select(key), key, "left_anti") if lost else batch
+        commit(new, out, token)
 
-    _drain(rows.writeStream.foreachBatch(put), checkpoint)
+    _drain(rows.dropDuplicates([key]).writeStream.foreachBatch(put), checkpoint)
 
 
 def score_stream(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Keeps the additive score histogram of each file; their sum is the state. Read with scored().
+    """Keeps the additive score histogram of each batch; their sum is the state. Read with scored().
 
     rows come from measured(read()).
     """
-    _drain(rows.writeStream.foreachBatch(lambda batch, _: _by_file(s.histogram(batch, [*keys, "_file"]), out)), checkpoint)
+
+    def put(batch: DataFrame, _: int) -> None:
+        new = _new_files(batch, out)
+        commit(s.histogram(new, keys), out, new.select("_file").distinct(), lambda old: s.histogram(old, keys))
+
+    _drain(rows.writeStream.foreachBatch(put), checkpoint)
 
 
 def scored(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The histogram of everything scored so far, with accuracy and its standard error for each key."""
-    hist = spark.read.parquet(out).groupBy(*keys, "score").agg(*(F.sum(m).alias(m) for m in s.MEASURES))
+    hist = committed(spark, out).groupBy(*keys, "score").agg(*(F.sum(m).alias(m) for m in s.MEASURES))
     p = F.sum("correct") / F.nullif(F.sum("present"), F.lit(0))
     return hist.groupBy(*keys).agg(F.sum("n").alias("n"), p.alias("acc"), F.sqrt(p * (1 - p) / F.sum("present")).alias("se"))
 

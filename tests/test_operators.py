@@ -402,6 +402,25 @@ def test_columns_and_schemas_are_refused(spark, tmp_path):
         io.header(spark, str(tmp_path / "two"))
 
 
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    paths = []
+    for i in range(40):
+        paths.append(str(tmp_path / f"shard {i}" / "pairs.csv"))
+        (tmp_path / f"shard {i}").mkdir()
+        (tmp_path / f"shard {i}" / "pairs.csv").write_text("# made\n" * (i % 3 * 50) + f"pair_id,c{i % 4}\n" + "1,2\n" * 3000)
+    (tmp_path / "empty.csv").write_text("")
+    paths.append(str(tmp_path / "empty.csv"))
+    before = [spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    spark.sparkContext.setJobGroup("headers", "headers")
+    got = io.headers(spark, paths)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [got[p] for p in paths] == [["pair_id", f"c{i % 4}"] for i in range(40)] + [[]] and len(jobs) <= 2
+    assert before == [spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    rows = io.scan_shards(spark, paths[:-1])
+    assert rows.count() == 40 * 3000 and set(rows.columns) == {"pair_id", "c0", "c1", "c2", "c3", "file", "shard"}
+
+
 def test_results_files_of_both_layouts(spark, tmp_path):
     split = '[{"name": "x", "errors": [1.0, 2.5]}]'
     for text in (split, '{"provenance": {"commit": "c"}, "splits": ' + split + "}"):
@@ -453,7 +472,33 @@ def test_streams_keep_unique_rows_and_resume(spark, tmp_path):
     assert streams.drained(streams.unique(rows(), "k", "ts"), str(tmp_path / "u"), str(tmp_path / "c1")).count() == 50
     for k in (2, 3):
         streams.resume(rows(), "k", str(tmp_path / "r"), str(tmp_path / f"c{k}"))
-        assert spark.read.parquet(str(tmp_path / "r")).count() == 50
+        assert streams.committed(spark, str(tmp_path / "r")).count() == 50
+    # more arrives for the second checkpoint, whose state is whole: the output isn't read for it
+    df.withColumn("k", F.col("k") + 25).write.mode("append").parquet(str(tmp_path / "in"))
+    keep, streams.committed = streams.committed, None
+    try:
+        streams.resume(rows(), "k", str(tmp_path / "r"), str(tmp_path / "c3"))
+    finally:
+        streams.committed = keep
+    assert sorted(values(streams.committed(spark, str(tmp_path / "r")), "k")) == [(i,) for i in range(75)]
+
+
+def test_sinks_have_files_by_batches_and_count_a_file_once(spark, tmp_path, monkeypatch):
+    at = lambda n: str(tmp_path / n)
+    df = spark.range(240).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("shard"))
+    df.repartition(12).write.parquet(at("in"))
+    monkeypatch.setattr(streams, "FOLDERS", 3)
+    rows = lambda n: streams.read(spark, at("in"), df.schema, n)
+    streams.grow_pool(rows(2), at("out"), at("c1"))  # six batches
+    log = streams._log(spark, at("out"))
+    assert log.count() == 6 and log.agg(F.max(F.size("folders"))).first()[0] <= 3
+    assert log.select(F.explode("added").alias("f")).distinct().count() == 12
+    streams.grow_pool(rows(5), at("out"), at("lost"))
+    spark.createDataFrame([(0,), (1,), (2,)], "shard int").write.parquet(at("m"))
+    assert sorted(values(streams.pool(spark, at("out"), at("m"), "shard"), "k")) == [(i,) for i in range(240)]
+    # a batch that failed between its rows and its log entry isn't there
+    spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("shard"), F.lit("x").alias("_file")).write.parquet(at("out") + "/data/left")
+    assert streams.committed(spark, at("out")).count() == 240
 
 
 def test_pool_and_scores_survive_late_markers_and_lost_checkpoints(spark, tmp_path):
