@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import with_ordinal
+from ..sources.io import stored, with_ordinal
 from .aggregate import joined
 
 
@@ -51,7 +51,8 @@ def draws(rows: DataFrame, stratum: str, quotas: Mapping[str, int], count: int,
     rows. A draw that stays short is an error.
     """
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
-    some = with_ordinal(rows.filter(F.col(stratum).isin(*quotas)), key, "_at", within=[stratum])
+    # numbered rows are read for the strata's sizes and for the draws
+    some = stored(with_ordinal(rows.filter(F.col(stratum).isin(*quotas)), key, "_at", within=[stratum]), "numbered")
     strata = some.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n")).withColumn("_quota", quota[F.col("_s")])
     # enough tries for the quota of distinct places, with room to spare
     tries = F.ceil(-2 * F.col("_n") * F.log(F.greatest(1 - F.col("_quota") / (F.col("_n") + 0.5), F.lit(1e-9)))) + 40

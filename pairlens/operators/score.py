@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..sources.io import stored
 
 # fixed values: weights of the rubric
 WEIGHT_A, WEIGHT_B = 0.45, 0.55
@@ -67,7 +68,13 @@ def running(hist: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEAS
 def auc(rows: DataFrame, keys: Sequence[str], label: str, score: str = "score") -> DataFrame:
     """keys, auc: the chance that a row with label 1 scores over one with label 0, ties half; null if either is missing."""
     rows = rows.withColumns({"_pos": F.when(F.col(label) == 1, 1).otherwise(0), "_neg": F.when(F.col(label) == 1, 0).otherwise(1)})
-    swept = running(histogram(rows, keys, ("_pos", "_neg"), score), keys, ("_pos", "_neg"), score)
+    return auc_of(histogram(rows, keys, ("_pos", "_neg"), score), keys, score)
+
+
+def auc_of(hist: DataFrame, keys: Sequence[str], score: str = "score", positive: str = "_pos", negative: str = "_neg") -> DataFrame:
+    """keys, auc of a histogram that has the rows of both labels."""
+    hist = hist.select(*keys, score, F.col(positive).alias("_pos"), F.col(negative).alias("_neg"))
+    swept = running(hist, keys, ("_pos", "_neg"), score)
     below = F.col("all__neg") - F.col("ge__neg")
     return swept.groupBy(*keys).agg(ratio(F.sum(F.col("_pos") * (below + 0.5 * F.col("_neg"))), F.max("all__pos") * F.max("all__neg")).alias("auc"))
 
@@ -169,7 +176,7 @@ def fold_thresholds(own: DataFrame, fold: str) -> DataFrame:
 
 def held_out(rows: DataFrame, fold: str) -> DataFrame:
     """fold, threshold, held_total, held_f1: each fold's best threshold on the other folds, and what it earns on the fold itself."""
-    own = histogram(rows.filter(F.col("grp").isin("A", "B", "C")), [fold])
+    own = stored(histogram(rows.filter(F.col("grp").isin("A", "B", "C")), [fold]), "folds")  # rows are read once, whatever is swept
     chosen = fold_thresholds(own, fold).withColumnRenamed(fold, "_k")
     # the fold's own row with the least score at or above the threshold tells all sums of score >= threshold
     at = sweep_hist(own, [fold]).join(F.broadcast(chosen), F.col(fold) == F.col("_k")).filter(F.col("score") >= F.col("threshold"))

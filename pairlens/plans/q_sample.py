@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import sample as m
 from ..operators import score as s
+from ..sources.io import stored
 from .fixtures import Queries
 from .q_columns import r6
 from .q_score import G, HASH4, auc_sql, sweep_sql
@@ -42,8 +43,8 @@ PARTS = "z as (select draw, t, coalesce(2.0*count_if(score<t and gt_found=0)/nul
 def m14(v):
     """2,000 draws, shared by all thresholds: mean F1, credit and total, and the chance of the bonus."""
     drawn = m.draws(s.measured(v).filter("grp in ('A','B','C')"), "grp", QUOTAS, N_DRAWS)
-    hist = s.histogram(drawn, ["draw"])
-    ranked = s.auc(drawn, ["draw"], "correct")
+    hist = stored(s.histogram(drawn, ["draw"]).withColumn("wrong", F.col("n") - F.col("correct")))  # all else is a sum over it
+    ranked = s.auc_of(hist, ["draw"], positive="correct", negative="wrong")
     grid = F.explode(F.array(*(F.lit(t) for t in THRESHOLDS)))
     on = F.when(F.col("score") >= F.col("threshold"), 1).otherwise(0)
     at = hist.withColumn("threshold", grid).groupBy("draw", "threshold").agg(*(F.sum(F.col(k) * on).alias(f"ge_{k}") for k in s.MEASURES), *(F.sum(k).alias(f"all_{k}") for k in s.MEASURES))
@@ -129,7 +130,7 @@ OOF = f"gf as (select g.*, {HASH4} as fold from g), rt as (select gf.*, x.f as h
 def m17(v):
     """Each row is decided by the threshold with the best total on the other folds; the gate is an F1 of 0.9 in a draw."""
     rows = s.measured(v).filter("grp in ('A','B','C')").withColumn("fold", (m.portable_hash("pair_id", 0) % 4).cast("int"))
-    t = s.fold_thresholds(s.histogram(rows, ["fold"]), "fold")
+    t = s.fold_thresholds(stored(s.histogram(rows, ["fold"])), "fold")
     said = rows.join(F.broadcast(t), "fold").withColumn("said", F.col("score") >= F.col("threshold"))
     one = m.draws(said, "grp", QUOTAS, N_DRAWS).groupBy("draw").agg(s.f1(**s.confusion(F.col("said"), F.col("gt_found") == 1)).alias("f1"))
     return one.agg(r6(F.avg("f1")).alias("mean_f1"), r6(F.percentile("f1", F.lit(0.9))).alias("p90_f1"), r6(F.avg((F.col("f1") >= 0.9).cast("double"))).alias("p_gate"))
@@ -142,7 +143,7 @@ HALVES = f"l as (select g.*, seed, row_number() over (partition by seed, gt_foun
 def m18(v):
     """The threshold with the best total on one half, and what it earns on the other, over seeds."""
     long = m.half_splits(s.measured(v).filter("grp in ('A','B','C')"), "gt_found", 5)
-    hist = s.histogram(long, ["seed", "half"])
+    hist = stored(s.histogram(long, ["seed", "half"]))
     swept = lambda half: s.sweep_hist(hist.filter(F.col("half") == half).drop("half"), ["seed"]).withColumn("total", F.round("total", 9))
     t = s.best(swept(0), ["seed"]).select(F.col("seed").alias("_k"), "threshold")
     at = swept(1).join(F.broadcast(t), F.col("seed") == F.col("_k")).filter("score >= threshold").groupBy("seed").agg(F.min_by("total", "score").alias("total"), F.min_by("f1", "score").alias("f1"))
