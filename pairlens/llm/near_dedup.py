@@ -9,11 +9,14 @@ A text needs about k ln k + 2k darts, however long it is, for ranks beyond that
 rare case that a coordinate stays empty the rank limit is doubled.
 
 Signatures are cut into bands; equal bands are candidates. Exact copies are set aside first and count
-as one document. In each bucket all members are compared with a few hubs, then with more, until every
-pair of members that are still in different classes has been compared: a pair is skipped only if its
-members are already in one class, so no link between classes is lost. The hubs are the members with the
-largest buckets (the text that others were copied from, as a rule), so that a large group of copies is
-one class after a few comparisons for each member. Nothing is capped.
+as one document. In each bucket all members are compared with a few hubs, the members with the largest
+buckets (the text that others were copied from, as a rule), so that a large group of copies is one class
+after a few comparisons for each member. Members of buckets that still hold several classes then meet by
+their rarest shingles (see ``_rare``: no pair that is similar enough fails to meet), again with a few hubs
+and then with more, until all pairs that meet have been compared. A pair is skipped only if its members are
+already in one class or it was compared before, so no link between classes is lost. Texts that share a
+long passage but are under the threshold don't meet there, unless their rest is shared by some as well.
+Nothing is capped.
 
 Two tests within the join leave few pairs that aren't similar. The parity of the shingles (each place in
 a text counts) that fall on each of ``PARITIES`` bits: two texts differ in at least as many shingles as
@@ -119,15 +122,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-def parities(sets: list[tuple[np.ndarray, np.ndarray]], bits: int = PARITIES) -> np.ndarray:
-    """Per set and bit whether an odd number of its shingles falls there; a shingle's repeats fall apart."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *(s[0] for s in sets)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(s[1] for s in sets)]).astype(np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+def _places(one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of each shingle of a text; a shingle's repeats have hashes of their own."""
+    keys, counts = one
     turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
-        place = mix(np.repeat(keys, counts) + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(bits)
-    odd = np.bincount(np.repeat(row, counts) * bits + place.astype(np.int64), minlength=len(sets) * bits) & 1
+        return mix(np.repeat(keys, counts) + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3))
+
+
+def parities(sets: list[tuple[np.ndarray, np.ndarray]], bits: int = PARITIES) -> np.ndarray:
+    """Per set and bit whether an odd number of its shingles falls there; a shingle's repeats fall apart."""
+    n = np.array([int(s[1].sum()) for s in sets], np.int64)
+    place = np.concatenate([np.zeros(0, np.uint64), *(_places(s) for s in sets)]) % np.uint64(bits)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), n) * bits + place.astype(np.int64), minlength=len(sets) * bits) & 1
     return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.int64)
 
 
@@ -208,6 +215,57 @@ def _agreeing(a: Column, b: Column, longs: int) -> Column:
     return F.lit(16 * longs) - count
 
 
+def _elements(of: DataFrame) -> DataFrame:
+    """node, weight, element for every shingle of the texts (node, text); a shingle's repeats are elements of their own."""
+
+    def run(it):
+        for nodes, column in text_batches(it):
+            sets = weighted(column)
+            n = np.array([int(s[1].sum()) for s in sets], np.int64)
+            keys = np.concatenate([np.zeros(0, np.uint64), *(_places(s) for s in sets)])
+            rows = [np.repeat(nodes.to_numpy(), n), np.repeat(n, n), keys.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["node", "weight", "element"])
+
+    return of.mapInArrow(run, "node long, weight long, element long")
+
+
+def _rare(of: DataFrame, threshold: float) -> DataFrame:
+    """bucket, node, weight, short: each text's rarest elements, where another text has them too.
+
+    Texts of sizes x <= y and a similarity of t share at least 2t/(1+t) x and at least t y elements. With all
+    elements in one order, one of the first x - 2t/(1+t) x + 1 of the smaller text (``short``) is then among the
+    first y - t y + 1 of the larger one. In the order of their numbers of texts, what a whole group has in
+    common comes last, and texts that share only that don't meet.
+    """
+    elements = settle(_elements(of))
+    counts = elements.groupBy("element").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "element"))
+    first = F.col("weight") - F.ceil(F.col("weight") * threshold - 1e-6) + 1
+    shorter = F.col("weight") - F.ceil(F.col("weight") * (2 * threshold / (1 + threshold)) - 1e-6) + 1
+    rare = elements.join(counts, "element").withColumn("place", place).filter(F.col("place") <= first)
+    rare = settle(rare.select(F.col("element").alias("bucket"), "node", "weight", (F.col("place") <= shorter).alias("short")))
+    met = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.max("short").alias("any")).filter("n > 1 and any").select("bucket")
+    return rare.join(met, "bucket")
+
+
+def _merged(label: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The labels of the nodes after the pairs a, b are linked."""
+    if not fresh.limit(1).count():
+        return label
+    # the classes so far are the nodes of the graph
+    edges = fresh.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    found = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return settle(label.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def _open(left: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several classes, with their labels."""
+    now = left.join(label, "node")
+    several = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
+    return settle(now.join(several, "bucket", "left_semi"))
+
+
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, digest of every row; label, digest, n_exact of each text; and of each class (label) its class_id,
     class_size, and the id and digest that come first in it, nulls last."""
@@ -229,30 +287,42 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[
     least = ESTIMATE * bands * rows + 16 * longs - bands * rows  # filling places always agree
     differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"hub_p{k}"))) for k in range(1, PARITIES // 64)), F.bit_count(F.col("p0").bitwiseXOR(F.col("hub_p0"))))
     most = (F.col("weight") + F.col("hub_weight")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    likely = (differ <= most) & (_agreeing(F.col("code"), F.col("hub_code"), longs) >= least)
+    # the same order in all buckets, so that the buckets of a group agree on its hubs
+    order = Window.partitionBy("bucket").orderBy(F.desc("wide"), "node")
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    label, hubs = nodes.select("node", F.col("node").alias("label")), HUBS
+
+    # the buckets of the bands, with a few hubs each
+    now = _open(members.select("bucket", "node"), label)
+    chosen = now.join(signs.select("node", "wide"), "node").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
+    chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
     after = (F.col("hub_wide") > F.col("wide")) | ((F.col("hub_wide") == F.col("wide")) & (F.col("hub") < F.col("node")))
-    label, left, hubs = nodes.select("node", F.col("node").alias("label")), members.select("bucket", "node"), HUBS
-    while True:
-        now = left.join(label, "node")
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
-        now = settle(now.join(open_, "bucket", "left_semi").select("bucket", "node", "label"))
-        if not now.limit(1).count():
-            break
-        # the same order in all buckets, so that the bands of a group agree on its hubs
-        order = Window.partitionBy("bucket").orderBy(F.desc("wide"), "node")
-        chosen = now.join(signs.select("node", "wide"), "node").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-        chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
-        coded, hub = now.join(signs, "node"), chosen.join(hubs_signs, "hub")
-        near = (coded["bucket"] == hub["bucket"]) & (F.col("label") != F.col("hub_label")) & after & (differ <= most) & (_agreeing(F.col("code"), F.col("hub_code"), longs) >= least)
-        pairs = coded.join(hub, near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        fresh = settle(_similar(pairs, of, threshold))
-        if fresh.limit(1).count():
-            # the classes so far are the nodes of the graph
-            edges = fresh.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-            found = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-            found = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            label = settle(label.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        left = now.select("bucket", "node").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        hubs *= MORE
+    coded, hub = now.join(signs, "node"), chosen.join(hubs_signs, "hub")
+    met = (coded["bucket"] == hub["bucket"]) & (F.col("label") != F.col("hub_label")) & after & likely
+    sent = settle(coded.join(hub, met).select(*pair).distinct())
+    label = _merged(label, settle(_similar(sent, of, threshold)))
+    left = now.select("bucket", "node").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+    rest = settle(_open(left, label).select("node").distinct())
+    if rest.limit(1).count():
+        # what these leave in different classes meets by its rarest elements
+        left = settle(_rare(of.join(rest, "node", "left_semi"), threshold).join(signs.select("node", "wide"), "node"))
+        while True:
+            now = _open(left, label)
+            chosen = now.filter("short").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
+            chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight")))
+            if not chosen.limit(1).count():
+                break
+            larger = F.struct("weight", "node") > F.struct(F.col("hub_weight").alias("weight"), F.col("hub").alias("node"))
+            alike = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * threshold - 1e-6
+            pairs = now.join(chosen, "bucket").filter((F.col("label") != F.col("hub_label")) & (larger | F.col("short")) & alike)
+            pairs = settle(pairs.select(*pair).distinct().join(sent, ["a", "b"], "left_anti"))
+            # signatures go to each pair once, texts to the pairs that these leave
+            fit = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(signs, "node").join(hubs_signs, "hub").filter(likely)
+            label = _merged(label, settle(_similar(settle(fit.select(*pair)), of, threshold)))
+            sent = sent.union(pairs)
+            left = now.drop("label").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+            hubs *= MORE
     grouped = exact.select("node", "digest", "least", "n_exact").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("least").isNull(), "least", "digest"))
     of = grouped.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_exact").alias("class_size"), first.alias("first"))

@@ -173,6 +173,47 @@ def test_near_dedup_in_a_large_group(spark):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == exact_classes(rows)
 
 
+def alike(n, common, own, seed=3):
+    """Texts of a common part and a part of their own."""
+    rng = np.random.default_rng(seed)
+    head = [f"w{i}" for i in range(common)]
+    return [(i, " ".join([*head, *(f"o{i}x{k}" for k in rng.permutation(own))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_near_dedup_compares_few_of_long_texts_that_are_alike_but_not_linked(spark, monkeypatch, n):
+    rows = alike(n, 1600, 240)  # similarity 0.769
+    sent, similar = [], near_dedup._similar
+
+    def counted(pairs, of, threshold):
+        sent.append(pairs.count())
+        return similar(pairs, of, threshold)
+
+    monkeypatch.setattr(near_dedup, "_similar", counted)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_size"] == 1 for r in got)
+    assert sum(sent) <= 2 * near_dedup.BANDS * n and sum(sent[1:]) == 0
+
+
+def test_rare_shingles_meet_wherever_texts_are_similar(spark):
+    rng = np.random.default_rng(5)
+    rows = alike(40, 300, 40)
+    for i in range(120):  # edits of earlier texts: chains and trees, also by lines that come twice
+        w = rows[int(rng.integers(len(rows)))][1].split()
+        at = int(rng.integers(len(w)))
+        w = [w[:at] + w[at + int(rng.integers(30)) :], w + w[at : at + 25], w[:at] + [f"n{i}"] + w[at + 1 :]][i % 3]
+        rows.append((len(rows), " ".join(w)))
+    sets = near_dedup.weighted(pa.array([t for _, t in rows], pa.large_string()))
+    links = {(a, b) for b in range(len(rows)) for a in range(b) if near_dedup.similarity(sets[a], sets[b]) >= 0.8}
+    met = defaultdict(list)
+    for r in near_dedup._rare(spark.createDataFrame(rows, "node long, text string"), 0.8).collect():
+        met[r["bucket"]].append((r["weight"], r["node"], r["short"]))
+    pairs = {tuple(sorted((x[1], y[1]))) for m in met.values() for x in m for y in m if x[:2] < y[:2] and x[2]}
+    assert links and not links - pairs and len(pairs) < len(rows) * (len(rows) - 1) / 4
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == exact_classes(rows)
+
+
 def test_near_dedup_empty_and_deduplicated(empty, odd):
     assert near_dedup.near_classes(empty).count() == 0
     kept = near_dedup.deduplicated(odd)
