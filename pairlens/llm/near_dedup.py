@@ -230,11 +230,12 @@ def _elements(of: DataFrame) -> DataFrame:
 
 
 def _rare(of: DataFrame, threshold: float) -> DataFrame:
-    """bucket, node, weight, short: each text's rarest elements, where another text has them too.
+    """bucket, node, weight, place, short: each text's rarest elements, where another text has them too.
 
     Texts of sizes x <= y and a similarity of t share at least 2t/(1+t) x and at least t y elements. With all
     elements in one order, one of the first x - 2t/(1+t) x + 1 of the smaller text (``short``) is then among the
-    first y - t y + 1 of the larger one. In the order of their numbers of texts, what a whole group has in
+    first y - t y + 1 of the larger one. For a given pair the first shared element is so early in both that
+    t/(1+t) (x + y) elements can be shared from it on (``_early``). In the order of their numbers of texts, what a whole group has in
     common comes last, and texts that share only that don't meet.
     """
     elements = settle(_elements(of))
@@ -243,11 +244,17 @@ def _rare(of: DataFrame, threshold: float) -> DataFrame:
     first = F.col("weight") - F.ceil(F.col("weight") * threshold - 1e-6) + 1
     shorter = F.col("weight") - F.ceil(F.col("weight") * (2 * threshold / (1 + threshold)) - 1e-6) + 1
     rare = elements.join(counts, "element").withColumn("place", place).filter(F.col("place") <= first)
-    rare = settle(rare.select(F.col("element").alias("bucket"), "node", "weight", (F.col("place") <= shorter).alias("short")))
+    rare = settle(rare.select(F.col("element").alias("bucket"), "node", "weight", "place", (F.col("place") <= shorter).alias("short")))
     met = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.max("short").alias("any")).filter("n > 1 and any").select("bucket")
     return rare.join(met, "bucket")
 
 
+def _early(threshold: float) -> Column:
+    """Whether enough elements of a member and its hub are left from the place on where they meet."""
+    shared = F.ceil((F.col("weight") + F.col("hub_weight")) * (threshold / (1 + threshold)) - 1e-6)
+    return F.least(F.col("weight") - F.col("place"), F.col("hub_weight") - F.col("hub_place")) + 1 >= shared
+
+
 def _merged(label: DataFrame, fresh: DataFrame) -> DataFrame:
     """The labels of the nodes after the pairs a, b are linked."""
     if not fresh.limit(1).count():
@@ -309,13 +316,11 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[
         left = settle(_rare(of.join(rest, "node", "left_semi"), threshold).join(signs.select("node", "wide"), "node"))
         while True:
             now = _open(left, label)
-            chosen = now.filter("short").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-            chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight")))
+            chosen = now.filter("short").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= hubs)
+            chosen = settle(chosen.select("bucket", F.col("node").alias("hub"), *(F.col(k).alias(f"hub_{k}") for k in ("label", "weight", "place"))))
             if not chosen.limit(1).count():
                 break
-            larger = F.struct("weight", "node") > F.struct(F.col("hub_weight").alias("weight"), F.col("hub").alias("node"))
-            alike = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * threshold - 1e-6
-            pairs = now.join(chosen, "bucket").filter((F.col("label") != F.col("hub_label")) & (larger | F.col("short")) & alike)
+            pairs = now.join(chosen, "bucket").filter((F.col("label") != F.col("hub_label")) & _early(threshold))
             pairs = settle(pairs.select(*pair).distinct().join(sent, ["a", "b"], "left_anti"))
             # signatures go to each pair once, texts to the pairs that these leave
             fit = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(signs, "node").join(hubs_signs, "hub").filter(likely)

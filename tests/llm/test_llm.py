@@ -207,8 +207,8 @@ def test_rare_shingles_meet_wherever_texts_are_similar(spark):
     links = {(a, b) for b in range(len(rows)) for a in range(b) if near_dedup.similarity(sets[a], sets[b]) >= 0.8}
     met = defaultdict(list)
     for r in near_dedup._rare(spark.createDataFrame(rows, "node long, text string"), 0.8).collect():
-        met[r["bucket"]].append((r["weight"], r["node"], r["short"]))
-    pairs = {tuple(sorted((x[1], y[1]))) for m in met.values() for x in m for y in m if x[:2] < y[:2] and x[2]}
+        met[r["bucket"]].append((r["weight"], r["node"], r["place"], r["short"]))
+    pairs = {tuple(sorted((x[1], y[1]))) for m in met.values() for x in m for y in m if x[:2] < y[:2] and x[3] and min(x[0] - x[2], y[0] - y[2]) + 1 >= (x[0] + y[0]) * 0.8 / 1.8 - 1e-6}
     assert links and not links - pairs and len(pairs) < len(rows) * (len(rows) - 1) / 4
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == exact_classes(rows)
