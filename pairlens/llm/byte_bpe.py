@@ -5,7 +5,8 @@ shuffle (see wordshuffle), each is merged once, its ids go back to the blocks of
 it, and each text's ids are put together by position. Decoding joins ids with the table of tokens'
 bytes. The table is as large as the vocabulary, so every task has it whole.
 
-Nulls count as empty texts, which have no ids; repeated rows give repeated rows.
+Nulls count as empty texts, which have no ids; repeated rows give repeated rows. Document ids are whole
+numbers; any other type is refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merge
-from .common import PATTERN, documents, gather, kept, partitions, space_pieces, texts
-from .wordshuffle import SCHEMA, by_key, expand, meet, packets, places, squeeze, unpack_words
+from .common import PATTERN, documents, gather, kept, partitions, space_pieces, texts, whole_ids
+from .wordshuffle import SCHEMA, bucket_count, by_key, expand, meet, packets, places, squeeze, unpack_words
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -54,8 +55,8 @@ def pre_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers as one binary value) of each row."""
-    n = partitions(docs.sparkSession)
-    buckets, rows = 2 * n, texts(docs)
+    n, rows = partitions(docs.sparkSession), texts(whole_ids(docs))
+    buckets = bucket_count(rows)
 
     def answer(it):
         rank = kept(("ranks", path), lambda: ranks(path))

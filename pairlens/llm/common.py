@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..sources.io import shared_folder
 
@@ -39,6 +40,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """docs, if their ids are whole numbers; operators that store ids as such refuse all others."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share; it goes when the session ends."""
     path = shared_folder(spark, "llm")

@@ -5,20 +5,22 @@ merge into the sketch of the whole (keep the k smallest of the union), and two o
 resemblance, containment and distinct counts. As text: base64 of the hashes, big-endian, ascending.
 
 Nulls count as empty texts; an empty text has an empty sketch, and two empty sketches are alike (1).
-A row's next row is the next by doc_id (nulls first), then by text; of repeated ids the texts decide.
+A row's next row is the next by doc_id (nulls first), then by the text's digest. Document ids are whole
+numbers; any other type is refused with a TypeError.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, texts
+from .common import documents, partitions, texts, whole_ids
 from .shingles import shingle_hashes
 
 K = 128
@@ -83,27 +85,44 @@ def merge_parts(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return least.groupBy("_key").agg(kept.alias("hashes")).withColumnRenamed("_key", key)
 
 
+def _place(known, doc_id, part):
+    """A row's place in the order of documents: null ids first, then by id, then by the place of the digest in [0, 1)."""
+    return F.struct(known.cast("int").alias("known"), doc_id.cast("long").alias("id"), part.cast("double").alias("part"))
+
+
+def _bounds(cuts: list[int], nulls: int) -> list[tuple[int, int, float]]:
+    """The least place of each range but the first; an id that is the cut m times has m ranges, null ids have nulls (or 1)."""
+    out = [(0, 0, k / nulls) for k in range(1, nulls)] + [(1, -(1 << 63), 0.0)]
+    for cut, m in sorted(Counter(cuts).items()):
+        out += [(1, cut, k / m) for k in range(m)] + ([(1, cut, 1.0)] if m > 1 else [])
+    return out
+
+
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """run over streams of (doc_id, text, text of the next row in doc_id order); the last is followed by the first.
 
-    Rows are dealt by ranges of doc_id. The first row of each range goes to the range before too,
-    so no task needs another's rows; the ranges' bounds are all that the driver sees.
+    Rows are dealt by ranges of doc_id; ids that fill several ranges, and null ids, are parted by the
+    texts' digests. The first row of each range goes to the range before too, so no task needs
+    another's rows; the ranges' bounds are all that the driver sees.
     """
     spark = docs.sparkSession
     n = 3 * partitions(spark)
-    rows = texts(docs)
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0]
-    cuts = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts or []))))
-    of = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    first = F.struct(F.col("doc_id").isNotNull(), "doc_id")
-    heads = ids.groupBy(of.alias("bucket")).agg(F.min(first)["doc_id"].alias("head")).orderBy("bucket").collect()
-    befores = [(h["head"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
-    befores = spark.createDataFrame(befores, "head long, before int")
-    dealt = rows.withColumn("bucket", of).join(F.broadcast(befores), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    rows = texts(whole_ids(docs)).withColumn("digest", F.md5("text"))
+    cuts = F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)
+    seen = docs.agg(cuts.alias("cuts"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    bounds = _bounds(seen["cuts"] or [], round(n * (1 - seen["known"] / seen["n"])) if seen["n"] else 0)
+    part = F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / 16**13
+    at = _place(F.col("doc_id").isNotNull().cast("int"), F.coalesce("doc_id", F.lit(0)), part)
+    of = F.size(F.filter(F.array(*(_place(*map(F.lit, b)) for b in bounds)), lambda b: b <= at))
+    first = F.struct(F.col("doc_id").isNotNull(), "doc_id", "digest")
+    heads = rows.groupBy(of.alias("bucket")).agg(F.min(first).alias("head")).orderBy("bucket").collect()
+    befores = [(h["head"]["doc_id"], h["head"]["digest"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
+    befores = spark.createDataFrame(befores, "head long, head_digest string, before int")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("digest") == F.col("head_digest"))
+    dealt = rows.withColumn("bucket", of).join(F.broadcast(befores), is_head, "left")
     to = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("carried")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("carried")))))
-    dealt = dealt.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.*")
-    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "carried", "doc_id", "text")
+    dealt = dealt.select("doc_id", "text", "digest", F.explode(to).alias("to")).select("doc_id", "text", "digest", "to.*")
+    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "carried", "doc_id", "digest").drop("digest")
 
     def pairs(it):
         held, rows, size = None, [], 0

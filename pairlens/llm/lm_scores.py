@@ -16,7 +16,8 @@ So all that is gathered grows with the input.
 
 Ids: the ``SYMBOLS`` most frequent of the training words have a symbol each; the others share one, and
 within it their smoothed shares. Nulls count as empty texts, which have only an end. Repeated rows give
-repeated rows and count as often. Without training texts the counts are 0 and every word is spelled by an
+repeated rows and count as often. Document ids are whole numbers; any other type is refused with a
+TypeError. Without training texts the counts are 0 and every word is spelled by an
 untrained model.
 """
 
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import LibraryIds, crc_of_ids, documents, gather, kept, partitions, settle, spans, text_batches, texts
-from .wordshuffle import SCHEMA, blocks, by_key, expand, meet, pack_words, squeeze, unpack_words
+from .common import LibraryIds, crc_of_ids, documents, gather, kept, partitions, settle, spans, text_batches, texts, whole_ids
+from .wordshuffle import SCHEMA, blocks, bucket_count, by_key, expand, meet, pack_words, squeeze, unpack_words
 
 #: Weight of the words' own counts.
 MIX = 0.2
@@ -309,8 +310,8 @@ def train(homes: DataFrame, speller: Speller) -> tuple[Symbols, dict]:
 def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
-    n, rows = partitions(spark), texts(docs)
-    found = blocks(rows, cut, 2 * n, _counted, lambda words: spelled(words, _speller(path)))
+    n, rows = partitions(spark), texts(whole_ids(docs))
+    found = blocks(rows, cut, bucket_count(rows), _counted, lambda words: spelled(words, _speller(path)))
     homes, found = found.filter("at_home").drop("at_home"), found.filter("not at_home").drop("at_home")
     words = settle(dictionary(found, n), "none")
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()

@@ -7,7 +7,8 @@ the next. So any id is read with one lookup for each level and no block is ever
 
 A segment is one value of this format: a header, document ids and lengths, then the levels. Segments
 are rows of Parquet files in the shared folder, written in ascending document order (nulls first,
-repeated ids by text), so writers can be lost and repeated and any store that Spark can write does.
+repeated ids by their texts' digests), so writers can be lost and repeated and any store that Spark can
+write does. Document ids are whole numbers; any other type is refused with a TypeError.
 An index of one row for each segment leads from a position in the corpus to its segment.
 """
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LibraryIds, documents, kept, partitions, settle, text_batches, texts
+from .common import LibraryIds, documents, kept, partitions, settle, text_batches, texts, whole_ids
 
 MAGIC = b"DACS0001"
 BLOCK = 512  # bits for each entry of a rank directory
@@ -133,8 +134,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids:
         if held:
             yield close()
 
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(run, "shard int, seq long, first_doc_id long, n_ids long, data binary")
+    # with the digest, the rows of one id, or without any, are dealt out as well
+    keyed = texts(whole_ids(docs)).withColumn("digest", F.md5("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    written = ordered.select("doc_id", "text").mapInArrow(run, "shard int, seq long, first_doc_id long, n_ids long, data binary")
     return settle(written, "none")
 
 
@@ -165,8 +168,8 @@ def corpus_index(segments: DataFrame) -> DataFrame:
     heads = segments.select("shard", "seq", "first_doc_id", "n_ids")
     least = F.struct(F.col("first_doc_id").isNotNull(), "first_doc_id")
     shards = heads.groupBy("shard").agg(F.min(least).alias("least"), F.sum("n_ids").alias("n"))
-    # one row for each writing task
-    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each writing task; the rows of one id can begin several shards, which are numbered in their order
+    before = Window.orderBy("least", "shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("shard", "seq", "n_ids", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("offset"))

@@ -13,6 +13,7 @@ the same documents agree as long as Spark reads them in the same splits, and ``m
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from itertools import groupby
@@ -22,14 +23,25 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import settle, text_batches
+from .common import partitions, settle, text_batches
 
 BLOCK_BYTES = 4_000_000
 _ROW = ("block", "bucket", "payload")
 SCHEMA = "block long, bucket int, payload binary"
 
 
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for the words of rows: two for each shuffle partition, or more for a large corpus.
+
+    A corpus's distinct words grow about with the square root of its size, and so do the buckets; a task
+    holds the distinct words of one bucket, some hundred thousand at 100 TB.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * partitions(rows.sparkSession), math.ceil(math.sqrt(size) / 1000))
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; whole numbers by their bytes' places, which compresses better."""
     parts = []
