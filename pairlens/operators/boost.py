@@ -7,16 +7,17 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..sources.io import stored
 from .aggregate import selected
-from .passes import added
+from .passes import summed
 
 #: Trees whose answers are worked out anew in each pass, until the rows are written with them.
-KEPT = 25
+KEPT = 8
 
 
 def _filled(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -38,18 +39,23 @@ def _places(cuts: list[np.ndarray], x: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum(np.searchsorted(e, v, side="left"), len(e) - 1) for e, v in zip(cuts, x, strict=True)])
 
 
-def _walk(tree: list, places: np.ndarray) -> np.ndarray:
-    """The node of each row: a tree is a list of (feature, last bin that goes left, left, right) or of a leaf's value."""
-    at = np.zeros(places.shape[1], np.int64)
-    for k, node in enumerate(tree):  # a node's number is less than its children's
-        if isinstance(node, tuple):
-            here = at == k
-            at[here] = np.where(places[node[0], here] <= node[1], node[2], node[3])
-    return at
+def _leaf(tree: list, columns: Sequence[np.ndarray], limit: int, k: int = 0):
+    """The leaf that each row ends in, below node k: a tree is a list of (feature, last bin that goes left, left, right, greatest
+    value that goes left) or of leaves; limit is 1 for columns of bins and 4 for values."""
+    node = tree[k]
+    if not isinstance(node, tuple):
+        return np.min_scalar_type(len(tree)).type(k)
+    return np.where(columns[node[0]] <= node[limit], _leaf(tree, columns, limit, node[2]), _leaf(tree, columns, limit, node[3]))
 
 
-def _values(tree: list, places: np.ndarray) -> np.ndarray:
-    return np.array([0.0 if isinstance(n, tuple) else n for n in tree])[_walk(tree, places)]
+def _values(tree: list, columns: Sequence[np.ndarray], limit: int = 1):
+    return np.array([0.0 if isinstance(n, tuple) else n for n in tree])[_leaf(tree, columns, limit)]
+
+
+def _spread(blocks: DataFrame) -> RDD:
+    """The blocks on all cores, planned once and kept for many passes."""
+    rows, most = blocks.rdd, min(blocks.sparkSession.sparkContext.defaultParallelism, blocks.count())
+    return (rows if rows.getNumPartitions() >= most else blocks.repartition(most).rdd).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _best(sums: np.ndarray, lam: float, least: int):
@@ -74,9 +80,9 @@ def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int =
     """A model of ``rounds`` trees for a label of 0 and 1 under the logistic loss.
 
     A leaf is -G / (H + lam), a split's gain G_l^2 / (H_l + lam) + G_r^2 / (H_r + lam) - G^2 / (H + lam), with at least so many
-    rows on both sides; missing values are the feature's median. Rows are placed in bins once and written; each
-    level of a tree is one pass that sums g, h and rows of every (node, feature, bin) within its tasks. Those sums are as large as
-    the tree's level, whatever the rows. With more bins than distinct values the trees are those of a search over all values;
+    rows on both sides; missing values are the feature's median. Rows are placed in bins once and written
+    as blocks of bins, labels and answers; each level of a tree is one pass over the blocks that sums g, h and rows of every
+    (node, feature, bin) within its tasks. Those sums are as large as the tree's level, whatever the rows. With more bins than distinct values the trees are those of a search over all values;
     else a bin is known by its greatest value, and a split lies between two of those.
     """
     middle = _filled(rows, features)
@@ -85,47 +91,59 @@ def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int =
     cuts = _cuts(some, len(features), bins)
     width = max(map(len, cuts))
     share = min(max(some.agg(F.avg("_y")).first()[0] or 0.0, 1e-6), 1 - 1e-6)
-    bias, trees, fresh, shape = float(np.log(share / (1 - share))), [], [], (3, len(features), width)
+    bias, trees, fresh, kind = float(np.log(share / (1 - share))), [], [], np.min_scalar_type(width - 1)
+
+    def blocks(it):
+        for batch in it:
+            *x, y, m = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            yield block(_places(cuts, x).astype(kind), y, m)
 
-    def margins(batch, fresh):
-        x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-        places = _places(cuts, x)
-        m = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).copy()
+    def block(*arrays):
+        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["x", "y", "m"])
+
+    def read(x, y, m, fresh):
+        places, m = np.frombuffer(x, kind).reshape(len(names), -1), np.frombuffer(m)
         for t in fresh:
-            m += rate * _values(t, places)
-        return places, m
+            m = m + rate * _values(t, places)
+        return places, np.frombuffer(y), m
+
+    def sums(table, tree, open_nodes, fresh):
+        n = len(open_nodes)
+        slot = np.array([open_nodes.index(k) if k in open_nodes else n for k in range(len(tree))])
 
-    def sums(tree, open_nodes, fresh):
         def run(it):
-            total = np.zeros((len(open_nodes), *shape))
-            for batch in it:
-                places, m = margins(batch, fresh)
+            total = np.zeros((3, len(names), (n + 1) * width))  # the last part is of rows in no open node
+            for row in it:
+                places, y, m = read(*row, fresh)
                 p = 1 / (1 + np.exp(-(bias + m)))
-                g, h = p - batch.column(len(names)).to_numpy(zero_copy_only=False), np.maximum(p * (1 - p), 1e-6)
-                at = _walk(tree, places)
-                for k, node in enumerate(open_nodes):
-                    here = at == node
-                    for j in range(len(names)):
-                        for v, w in enumerate((g[here], h[here], None)):
-                            total[k, v, j] += np.bincount(places[j, here], w, width)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+                g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+                at = slot[_leaf(tree, places, 1)] * width
+                for j in range(len(names)):
+                    here = places[j] + at
+                    for v, w in enumerate((g, h, None)):
+                        total[v, j] += np.bincount(here, w, total.shape[2])
+            yield total
 
-        return added(some.mapInArrow(run, "s binary")).reshape(len(open_nodes), *shape)
+        return summed(table, run).reshape(3, len(names), n + 1, width).transpose(2, 0, 1, 3)[:n]
 
     def written(fresh):
         def run(it):
             for batch in it:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margins(batch, fresh)[1])], batch.schema.names)
+                for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                    places, y, m = read(*row, fresh)
+                    yield block(places, y, m)
 
         return stored(some.mapInArrow(run, some.schema), "boost")
 
+    some = stored(some.mapInArrow(blocks, "x binary, y binary, m binary"), "boost")
+    table = _spread(some)
     for turn in range(rounds):
         tree, open_nodes = [None], [0]
         for level in range(depth + 1):
             if not open_nodes:
                 break
             if level < depth:
-                got = dict(zip(open_nodes, sums(tree, open_nodes, fresh), strict=True))
+                got = dict(zip(open_nodes, sums(table, tree, open_nodes, fresh), strict=True))
             open_next = []
             for node in open_nodes:
                 if level == depth:
@@ -148,6 +166,9 @@ def boosted(rows: DataFrame, features: Sequence[str], label: str, rounds: int =
         fresh.append(tree)
         if len(fresh) == KEPT and turn + 1 < rounds:
             some, fresh = written(fresh), []
+            table.unpersist()
+            table = _spread(some)
+    table.unpersist()
     return {"features": list(features), "middle": middle, "cuts": cuts, "bias": bias, "rate": rate, "trees": trees}
 
 
@@ -160,12 +181,7 @@ def margin(model: dict) -> Column:
         values = [np.where(np.isfinite(v), v, m) for v, m in zip((x[k].to_numpy(float) for k in x.columns), middle, strict=True)]
         out = np.full(len(x), model["bias"])
         for tree in model["trees"]:
-            at = np.zeros(len(x), np.int64)
-            for k, node in enumerate(tree):
-                if isinstance(node, tuple):
-                    here = at == k
-                    at[here] = np.where(values[node[0]][here] <= node[4], node[2], node[3])
-            out += model["rate"] * np.array([0.0 if isinstance(n, tuple) else n for n in tree])[at]
+            out += model["rate"] * _values(tree, values, 4)
         return pd.Series(out)
 
     return run(F.struct(*(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names))))

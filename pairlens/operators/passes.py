@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 
 #: Parts of sums that the driver adds up; more are added in tasks first.
@@ -24,3 +27,14 @@ def added(parts: DataFrame) -> np.ndarray:
 
     rows = parts.collect() if parts.rdd.getNumPartitions() <= PARTS else parts.repartition(PARTS).mapInArrow(add, "s binary").collect()
     return np.sum([np.frombuffer(r["s"]) for r in rows], axis=0)
+
+
+def summed(rows: RDD, run: Callable[[Iterable], Iterable[np.ndarray]]) -> np.ndarray:
+    """The sum of the arrays that run makes of each partition. A table's RDD is planned once, so a pass of many costs little beside its rows."""
+
+    def add(it):
+        arrays = list(it)
+        return [np.sum(arrays, axis=0)] if arrays else []
+
+    parts = rows.mapPartitions(run)
+    return np.sum((parts if rows.getNumPartitions() <= PARTS else parts.repartition(PARTS).mapPartitions(add)).collect(), axis=0)

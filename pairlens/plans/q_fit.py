@@ -41,9 +41,9 @@ def m07(v):
     values = {"boosted": boost.predicted(boost.boosted(train, FEATURES, "gt_found")), "linear": fit.predicted(fit.newton(train, FEATURES, "gt_found")), "plain": F.least("score", "zncc")}
     each = None
     for name, e in values.items():
-        one = rows.withColumns({"statistic": F.lit(name), "score": e})
+        one = rows.select(F.lit(name).alias("statistic"), "fold", e.alias("score"), *s.MEASURES)
         each = one if each is None else each.unionByName(one)
-    hist = s.histogram(stored(each), ["statistic", "fold"])
+    hist = stored(s.histogram(each, ["statistic", "fold"]))
     sides = {k: s.sweep_hist(hist.filter(on).groupBy("statistic", "score").agg(*(F.sum(m).alias(m) for m in s.MEASURES)), ["statistic"]) for k, on in (("train", "fold <> 0"), ("test", "fold = 0"))}
     chosen = s.best(sides["train"].withColumn("total", F.round("total", 9)), ["statistic"]).select("statistic", "threshold")
     at = sides["test"].join(chosen, "statistic").filter("score >= threshold")

@@ -585,6 +585,24 @@ def test_boosted_trees_equal_a_plain_loop(spark, monkeypatch):
     assert missing["m"] == there["m"]
 
 
+def test_boosting_plans_no_query_for_a_level(spark):
+    df = spark.createDataFrame([(i / 40, (i * 7 % 40) / 40, int(i % 3 == 0)) for i in range(40)], "a double, b double, y int").repartition(3)
+    store, took = spark._jsparkSession.sharedState().statusStore(), []
+    for rounds in (1, 5):
+        before = store.executionsCount()
+        assert len(boost.boosted(df, ["a", "b"], "y", rounds=rounds, least=3)["trees"]) == rounds
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        took.append(store.executionsCount() - before)
+    assert took[0] == took[1]
+
+
+def test_sums_of_passes_are_the_same_in_parts(spark, monkeypatch):
+    rows = spark.sparkContext.parallelize(range(20), 6)
+    for parts in (64, 2):
+        monkeypatch.setattr(passes, "PARTS", parts)
+        assert passes.summed(rows, lambda it: [np.array([float(x), 1.0]) for x in it]).tolist() == [190.0, 20.0]
+
+
 def test_boosted_trees_of_few_bins_learn(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 2))
