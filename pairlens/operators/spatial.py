@@ -113,12 +113,16 @@ def sidelobes(surface: DataFrame, key: str, half: int = 5, least: int = 16) -> D
 
 def running_outliers(values: Column, half: int = 7, factor: float = 4.0) -> Column:
     """Values less their running median (edges repeated), kept only where over factor times 1.4826 MAD above it; else 0."""
-    n = F.size(values)
-    at = lambda i: F.element_at(values, F.least(F.greatest(i, F.lit(0)), n - 1) + 1).cast("double")
-    middle = lambda xs: F.element_at(F.array_sort(xs), F.floor((F.size(xs) + 1) / 2).cast("int"))
-    rest = F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i) - middle(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda o: at(i + o))))
-    mad = middle(F.transform(rest, F.abs))
-    return F.transform(rest, lambda x: F.when(x > factor * 1.4826 * mad, x).otherwise(0.0))
+    own = F.transform(values, lambda v: v.cast("double"))
+    edge = lambda i: F.array_repeat(F.get(own, i), half)
+    holes = F.exists(values, F.isnull)  # nulls count and come last; without them sort_array needs no interpreted comparisons
+    middle = lambda xs, holes: F.get(F.when(holes, F.array_sort(xs)).otherwise(F.sort_array(xs)), F.floor((F.size(xs) + 1) / 2).cast("int") - 1)
+    # an array of one element gives a value a name, so it is worked out once and not once for each element
+    named = lambda value, f: F.transform(F.array(value), f)[0]
+    around = F.concat(edge(F.lit(0)), own, edge(F.size(own) - 1))
+    rest = lambda w, hole: F.transform(own, lambda v, i: v - middle(F.slice(w, i + 1, 2 * half + 1), hole))
+    over = lambda r, mad: F.transform(r, lambda x: F.when(x > factor * 1.4826 * mad, x).otherwise(0.0))
+    return named(holes, lambda hole: named(named(around, lambda w: rest(w, hole)), lambda r: named(middle(F.transform(r, F.abs), hole), lambda mad: over(r, mad))))
 
 
 def coverage(masks: DataFrame, key: str, layer: str, mask: str) -> DataFrame:

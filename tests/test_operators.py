@@ -611,3 +611,21 @@ def test_boosted_trees_of_few_bins_learn(spark):
     model = boost.boosted(df.filter("fold > 0"), ["a", "b"], "y", rounds=15, rate=0.3, bins=16)
     held = score.auc(df.filter("fold = 0").withColumn("score", boost.predicted(model)), [], "y").first()["auc"]
     assert held > 0.95
+
+
+def test_running_outliers_of_many_long_arrays(spark):
+    rng = np.random.default_rng(11)
+    arrays = [rng.normal(size=n).round(3).tolist() for n in (1, 2, 15, 64, 64, 400)]
+    arrays[3][20] = None
+    df = spark.createDataFrame([(i, a) for i, a in enumerate([*arrays, []])], "i int, a array<double>")
+    began = time.perf_counter()
+    got = {r["i"]: r["o"] for r in df.select("i", spatial.running_outliers(F.col("a")).alias("o")).collect()}
+    assert time.perf_counter() - began < 30  # a deviation worked out for each element takes minutes for 400
+    last = lambda x: (x is None, x or 0.0)
+    middle = lambda xs: sorted(xs, key=last)[(len(xs) + 1) // 2 - 1]
+    less = lambda x, m: None if x is None or m is None else x - m
+    for i, a in enumerate(arrays):
+        rest = [less(x, middle([a[min(max(k + o, 0), len(a) - 1)] for o in range(-7, 8)])) for k, x in enumerate(a)]
+        mad = middle([None if x is None else abs(x) for x in rest])
+        assert got[i] == [x if x is not None and x > 4 * 1.4826 * mad else 0.0 for x in rest]
+    assert got[6] == []
