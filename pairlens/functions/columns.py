@@ -6,7 +6,7 @@ All take columns (or names) and give columns; none needs a Python worker. NaN an
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -274,3 +274,8 @@ def content_hash(payload: Column | str) -> Column:
 def utc_text(time: Column) -> Column:
     """A time as a UTC text, whatever the session's time zone."""
     return F.date_format(F.to_utc_timestamp(time.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once: an array's only element is a variable, whereas a column is worked out wherever it stands."""
+    return F.transform(F.array(value), f)[0]

@@ -51,10 +51,16 @@ def recall_at(rows: DataFrame, error: str, ks: Sequence[int], pair: str = "pair_
     return first.groupBy("box").agg(F.count("*").alias("n"), *(inside(k).alias(f"recall{k}") for k in ks), F.count_if(F.col("first") < 0).alias("never"))
 
 
+def selected_errors(rows: DataFrame, error: str = "location_error", pair: str = "pair_id", index: str = "hypothesis_index", scores: Sequence[str] = SCORES) -> DataFrame:
+    """pair, one column for each score with the error of its winner, and oracle, the error of the best candidate: one row for each pair."""
+    best = lambda v: F.max_by(error, F.struct(v.alias("_v"), -F.col(index)))
+    return rows.groupBy(pair).agg(*(best(F.col(s)).alias(s) for s in scores), best(-F.col(error)).alias("oracle"))
+
+
 def selector_errors(rows: DataFrame, error: str = "location_error", pair: str = "pair_id", index: str = "hypothesis_index", scores: Sequence[str] = SCORES) -> DataFrame:
     """pair, selector, err: the error of each score's winner; and of the best candidate as "oracle"."""
-    long = rows.select(pair, error, index, F.inline(F.array(*(F.struct(F.lit(s).alias("selector"), F.col(s).alias("_v")) for s in scores), F.struct(F.lit("oracle").alias("selector"), (-F.col(error)).alias("_v")))))
-    return long.groupBy(pair, "selector").agg(F.max_by(error, F.struct(F.col("_v"), -F.col(index))).alias("err"))
+    one = selected_errors(rows, error, pair, index, scores)
+    return one.select(pair, F.inline(F.array(*(F.struct(F.lit(s).alias("selector"), F.col(s).alias("err")) for s in (*scores, "oracle")))))
 
 
 def against(errors: DataFrame, base: str, limit: float = 5.0, pair: str = "pair_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as c
 from ..sources.io import shared_folder
 from .aggregate import quantiles
 from .joins import band_join
@@ -117,8 +118,7 @@ def running_outliers(values: Column, half: int = 7, factor: float = 4.0) -> Colu
     edge = lambda i: F.array_repeat(F.get(own, i), half)
     holes = F.exists(values, F.isnull)  # nulls count and come last; without them sort_array needs no interpreted comparisons
     middle = lambda xs, holes: F.get(F.when(holes, F.array_sort(xs)).otherwise(F.sort_array(xs)), F.floor((F.size(xs) + 1) / 2).cast("int") - 1)
-    # an array of one element gives a value a name, so it is worked out once and not once for each element
-    named = lambda value, f: F.transform(F.array(value), f)[0]
+    named = c.named
     around = F.concat(edge(F.lit(0)), own, edge(F.size(own) - 1))
     rest = lambda w, hole: F.transform(own, lambda v, i: v - middle(F.slice(w, i + 1, 2 * half + 1), hole))
     over = lambda r, mad: F.transform(r, lambda x: F.when(x > factor * 1.4826 * mad, x).otherwise(0.0))

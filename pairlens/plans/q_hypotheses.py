@@ -53,8 +53,7 @@ SEL = "sel as (" + " union all ".join(f"select pair_id, '{s}' as selector, arg_m
 
 @Q.add("a19_oracle", f"with {SEL}, b as (select a.pair_id, a.err as base, o.err as best from sel a join sel o on a.pair_id=o.pair_id and a.selector='zncc' and o.selector='oracle') select count_if(base>5)::bigint as failures, count_if(base>5 and best<=5)::bigint as recoverable, round(avg(best),6) as oracle_mean from b", "v3")
 def a19(v):
-    e = h.selector_errors(v)
-    pair = e.groupBy("pair_id").pivot("selector", ["zncc", "oracle"]).agg(F.first("err"))
+    pair = h.selected_errors(v, scores=("zncc",))
     return pair.agg(F.count_if(F.col("zncc") > 5).alias("failures"), F.count_if((F.col("zncc") > 5) & (F.col("oracle") <= 5)).alias("recoverable"), r6(F.avg("oracle")).alias("oracle_mean"))
 
 
@@ -81,14 +80,14 @@ def a21(v):
 
 @Q.add("a22_oracle_pose_gap", f"with {SEL}, j as (select v1.grp, a.err as est, o.err as best from v1 join sel a on v1.pair_id=a.pair_id and a.selector='zncc' join sel o on v1.pair_id=o.pair_id and o.selector='oracle') select grp, count(*) as n, round(avg(est-best),6) as gap, round((count_if(est>5 and best<=5)*1.0/nullif(count_if(est>5),0))::double,6) as fixed from j group by rollup(grp)", "v1 v3")
 def a22(v, w):
-    pair = h.selector_errors(w).groupBy("pair_id").pivot("selector", ["zncc", "oracle"]).agg(F.first("err"))
+    pair = h.selected_errors(w, scores=("zncc",))
     bad = F.col("zncc") > 5
     return v.select("pair_id", "grp").join(pair, "pair_id").rollup("grp").agg(F.count("*").alias("n"), r6(F.avg(F.col("zncc") - F.col("oracle"))).alias("gap"), r6(F.try_divide(F.count_if(bad & (F.col("oracle") <= 5)), F.count_if(bad))).alias("fixed"))
 
 
 @Q.add("m20_routing_sweep", f"with {SEL}, j as (select v1.pair_id, peak_ratio, a.err as es, o.err as et from v1 join sel a on v1.pair_id=a.pair_id and a.selector='zncc' join sel o on v1.pair_id=o.pair_id and o.selector='oracle'), b as (select avg(case when et<=5 then 1.0::double else 0 end) as ba, quantile_cont(et,0.99) as bp from j), g as (select t, avg(case when case when peak_ratio<=t then es else et end<=5 then 1.0::double else 0 end) as acc, quantile_cont(case when peak_ratio<=t then es else et end,0.99) as p99, avg(case when peak_ratio<=t then 1.0::double else 9 end) as passes from j, (select unnest([0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]::double[]) as t) group by 1), k as (select *, acc>=ba and p99<=bp*1.05 as ok from g, b) select t as threshold, round(acc,6) as acc, round(p99,6) as p99, round(passes,6) as passes, ok, coalesce(t=arg_min(t, struct_pack(p := passes, t := t)) filter (where ok) over (), false) as chosen from k", "v1 v3")
 def m20(v, w):
-    pair = h.selector_errors(w).groupBy("pair_id").pivot("selector", ["zncc", "oracle"]).agg(F.first("err"))
+    pair = h.selected_errors(w, scores=("zncc",))
     out = h.routed(v.select("pair_id", "peak_ratio").join(pair, "pair_id"), [k / 10 for k in range(11)], "peak_ratio", "zncc", "oracle")
     return out.select("threshold", r6(F.col("acc")).alias("acc"), r6(F.col("p99")).alias("p99"), r6(F.col("passes")).alias("passes"), "ok", "chosen")
 

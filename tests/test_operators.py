@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import columns as c
 from pairlens.operators import aggregate, batch, boost, fit, hypotheses, joins, passes, sample, score, spatial
+from pairlens.plans import fixtures
 from pairlens.sources import io
 from pairlens.streaming import streams
 
@@ -629,3 +630,22 @@ def test_running_outliers_of_many_long_arrays(spark):
         mad = middle([None if x is None else abs(x) for x in rest])
         assert got[i] == [x if x is not None and x > 4 * 1.4826 * mad else 0.0 for x in rest]
     assert got[6] == []
+
+
+def test_candidates_are_sorted_in_as_many_tasks_as_they_need(spark, sf, monkeypatch):
+    once = fixtures.view(spark, sf, "v3")
+    want = sorted(map(tuple, once.collect()))
+    monkeypatch.setattr(fixtures, "AT_ONCE", 300)
+    many = fixtures.view(spark, sf, "v3")
+    assert many.rdd.getNumPartitions() == spark.read.parquet(f"{sf}/lineitem.parquet").count() // 300 + 1
+    assert sorted(map(tuple, many.collect())) == want
+
+
+def test_selectors_take_one_row_for_each_candidate(spark, sf):
+    rows = fixtures.view(spark, sf, "v3")
+    wide, long = hypotheses.selected_errors(rows), hypotheses.selector_errors(rows)
+    for name in (*hypotheses.SCORES, "oracle"):
+        assert sorted(values(wide, "pair_id", name)) == sorted(values(long.filter(F.col("selector") == name), "pair_id", "err"))
+    for make in (hypotheses.selected_errors, hypotheses.selector_errors):  # the only exchange and sort are the view's
+        plan = make(rows)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count(" Sort [") == 1
