@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as c
 from .aggregate import joined, quantiles
 
 SCORES = ("zncc", "rank_score", "band_score", "dog_score")
@@ -79,14 +80,13 @@ def clustered(proposals: Column, radius: float = 6.0, verify: bool = False) -> C
     """
     start = F.array().cast("array<struct<x0:double,y0:double,n:int,s:double,sx:double,sy:double,top:double,check:double>>")
     check = lambda p: (p["check"] if verify else F.lit(None)).cast("double")
-    order = F.reverse(F.array_sort(proposals))
+    order = F.sort_array(proposals, asc=False)  # compared natively
 
     def join(clusters: Column, p: Column) -> Column:
         near = lambda k: F.hypot(p["x"] - k["x0"], p["y"] - k["y0"]) <= radius
-        at = F.array_position(F.transform(clusters, near), F.lit(True))
-        grown = F.transform(clusters, lambda k, i: F.when(i + 1 == at, F.struct(k["x0"].alias("x0"), k["y0"].alias("y0"), (k["n"] + 1).alias("n"), (k["s"] + p["score"]).alias("s"), (k["sx"] + p["score"] * p["x"]).alias("sx"), (k["sy"] + p["score"] * p["y"]).alias("sy"), k["top"].alias("top"), F.greatest(k["check"], check(p)).alias("check"))).otherwise(k))
+        grown = lambda at: F.transform(clusters, lambda k, i: F.when(i + 1 == at, F.struct(k["x0"].alias("x0"), k["y0"].alias("y0"), (k["n"] + 1).alias("n"), (k["s"] + p["score"]).alias("s"), (k["sx"] + p["score"] * p["x"]).alias("sx"), (k["sy"] + p["score"] * p["y"]).alias("sy"), k["top"].alias("top"), F.greatest(k["check"], check(p)).alias("check"))).otherwise(k))
         own = F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.lit(1).alias("n"), p["score"].alias("s"), (p["score"] * p["x"]).alias("sx"), (p["score"] * p["y"]).alias("sy"), p["score"].alias("top"), check(p).alias("check"))
-        return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(own)))
+        return c.named(F.array_position(F.transform(clusters, near), F.lit(True)), lambda at: F.when(at > 0, grown(at)).otherwise(F.concat(clusters, F.array(own))))
 
     return F.aggregate(order, start, join)
 
@@ -99,19 +99,23 @@ RULES = {
 }
 
 
+def centroid(cluster: Column) -> Column:
+    weight = F.when(cluster["s"] == 0, 1.0).otherwise(cluster["s"])
+    return F.struct((cluster["sx"] / weight).alias("x"), (cluster["sy"] / weight).alias("y"))
+
+
 def voted(clusters: Column, rule: str) -> Column:
     """(x, y) of the best cluster by a rule: its score-weighted centroid, or for top1 its first member; the earliest on ties."""
     key = RULES[rule]
     best = F.array_max(F.transform(clusters, lambda k, i: F.struct(key(k).alias("key"), (-i).alias("i"), k.alias("k"))))["k"]
     if rule == "top1":
-        return F.struct(best["x0"].alias("x"), best["y0"].alias("y"))
-    weight = F.when(best["s"] == 0, 1.0).otherwise(best["s"])
-    return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
+        return c.named(best, lambda b: F.struct(b["x0"].alias("x"), b["y0"].alias("y")))
+    return c.named(best, centroid)
 
 
 def shortlisted(clusters: Column, k: int = 4) -> Column:
     """The k clusters with the greatest total confidence, the earlier first on ties, and their whole confidence."""
-    order = F.array_sort(F.transform(clusters, lambda c, i: F.struct((-c["s"]).alias("s"), i.alias("i"), c.alias("k"))))
+    order = F.sort_array(F.transform(clusters, lambda c, i: F.struct((-c["s"]).alias("s"), i.alias("i"), c.alias("k"))))
     return F.transform(F.slice(order, 1, k), lambda c: c["k"])
 
 
@@ -122,8 +126,7 @@ def verified(shortlist: Column, whole: Column, alpha: Column | float = 0.0) -> C
     share = alpha / F.when(whole == 0, 1.0).otherwise(whole)
     value = lambda c, i: F.struct((c["check"] + share * c["s"]).alias("v"), (-i).alias("i"), c.alias("k"))
     best = F.array_max(F.transform(shortlist, value))["k"]
-    weight = F.when(best["s"] == 0, 1.0).otherwise(best["s"])
-    return F.struct((best["sx"] / weight).alias("x"), (best["sy"] / weight).alias("y"))
+    return c.named(best, centroid)
 
 
 def confidence(clusters: Column) -> Column:
