@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..sources.io import stored
 from .aggregate import joined, quantiles
 
 SCORES = ("zncc", "rank_score", "band_score", "dog_score")
@@ -144,6 +145,7 @@ def routed(rows: DataFrame, thresholds: Sequence[float], ratio: str, cheap: str,
     below = F.size(F.filter(grid, lambda t: t < F.col(ratio)))
     kinds = F.explode(F.array(F.struct(F.lit(True).alias("fast"), F.col(cheap).alias("e")), F.struct(F.lit(False).alias("fast"), F.col(costly).alias("e"))))
     counts = rows.filter(F.col(ratio).isNotNull()).select(below.alias("_below"), kinds.alias("k")).groupBy("_below", "k.fast", "k.e").agg(F.count("*").alias("_n"))
+    counts = stored(counts, "counts")  # read for each sum and quantile
     base = counts.filter("not fast").agg((F.sum(F.when(F.col("e") <= limit, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("_acc"))
     p99 = quantiles(counts.filter("not fast"), [], "e", {"_p99": 0.99}, F.col("_n"))
     long = counts.select("*", F.posexplode(grid).alias("_place", "threshold")).filter((F.col("_below") <= F.col("_place")) == F.col("fast"))

@@ -659,3 +659,10 @@ def test_votes_work_a_cluster_out_once(spark):
     scan = spark.createDataFrame(df.rdd, df.schema)
     assert text(k.alias("o"), scan).count("array_position(") == 1 and text(rule.alias("o"), held).count("array_max(") == 1
     assert held.select(rule["x"].alias("x")).first()["x"] == 1.5
+
+
+def test_routing_reads_its_pairs_once(spark):
+    df = spark.createDataFrame([(0.1, 3.0, 1.0), (0.9, 8.0, 2.0), (0.4, 1.0, 7.0)], "r double, a double, b double")
+    out = hypotheses.routed(df, [0.0, 0.5, 1.0], "r", "a", "b")
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()  # only their counts are read for each sum
+    assert [(r["threshold"], r["passes"]) for r in out.orderBy("threshold").collect()] == [(0.0, 9.0), (0.5, 11 / 3), (1.0, 1.0)]
