@@ -87,36 +87,40 @@ def trace(rows: DataFrame, model: dict, label: str) -> dict[str, float]:
     return {"loss": one["loss"], "gradient": float(np.sqrt(sum(v * v for k, v in one.asDict().items() if k != "loss")))}
 
 
-def fitted(rows: DataFrame, wanted: Mapping[Hashable, tuple[Sequence[str], Column]], label: str, l2: float = 1e-3, steps: int = 40, tolerance: float = 1e-9) -> dict[Hashable, dict]:
+def fitted(rows: DataFrame, wanted: Mapping[Hashable, tuple[Sequence[str], Column]], label: str, l2: float = 1e-3, steps: int = 40, tolerance: float = 1e-9, weight: str | None = None) -> dict[Hashable, dict]:
     """A standardised logistic fit for each wanted (features, rows to learn from), with a ridge on the weights (not the bias) of the mean loss.
 
     All fits go side by side by Newton steps: rows are written once, and one pass takes the normal equations of every
-    fit that isn't done. A model has scale, weights, bias and its trace: gradient norm, largest step and mean
-    log-loss at the start of each step. Missing values count as 0.
+    fit that isn't done. Fits that are given the same column object share its rows. A model has scale, weights, bias and its
+    trace: gradient norm, largest step and mean log-loss at the start of each step. Missing values count as 0; weight is how
+    many rows a row stands for.
     """
     features = list(dict.fromkeys(x for xs, _ in wanted.values() for x in xs))
-    data = stored(rows.select(*(c.zero_if_missing(x).cast("double").alias(f"_x{i}") for i, x in enumerate(features)), F.col(label).cast("double").alias("_y"), *(on.alias(f"_on{i}") for i, (_, on) in enumerate(wanted.values()))), "fit")
+    sides = {id(on): on for _, on in wanted.values()}
+    turn = {name: list(sides).index(id(on)) for name, (_, on) in wanted.items()}
+    one = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    data = stored(rows.select(*(c.zero_if_missing(x).cast("double").alias(f"_x{i}") for i, x in enumerate(features)), F.col(label).cast("double").alias("_y"), one.alias("_w"), *(F.coalesce(on, F.lit(False)).alias(f"_on{i}") for i, on in enumerate(sides.values()))), "fit")
     places = {name: [features.index(x) for x in xs] for name, (xs, _) in wanted.items()}
-    turn = {name: i for i, name in enumerate(wanted)}
-    k = len(features)
+    k, n_sides = len(features), len(sides)
 
     def read(batch):
-        number = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k + 1)]
-        return np.column_stack(number[:k]) if k else np.zeros((len(batch), 0)), number[k]
+        number = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k + 2)]
+        return np.column_stack(number[:k]) if k else np.zeros((len(batch), 0)), *number[k:]
 
-    def taken(batch, name):
-        return np.array([v is True for v in batch.column(k + 1 + turn[name]).to_pylist()], bool)
+    def taken(batch, i):
+        return batch.column(k + 2 + i).to_numpy(zero_copy_only=False)
 
     def run_sums(it):
-        total = np.zeros((len(turn), 1 + 2 * k))
+        total = np.zeros((n_sides, 1 + 2 * k))
         for batch in it:
-            x, _ = read(batch)
-            for name, i in turn.items():
-                z = x[taken(batch, name)]
-                total[i] += np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
+            x, _, w = read(batch)
+            for i in range(n_sides):
+                on = taken(batch, i)
+                z, v = x[on], w[on]
+                total[i] += np.concatenate([[v.sum()], v @ z, v @ (z * z)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    first = added(data.mapInArrow(run_sums, "s binary")).reshape(len(wanted), 1 + 2 * k)
+    first = added(data.mapInArrow(run_sums, "s binary")).reshape(n_sides, 1 + 2 * k)
     n, mean = np.maximum(first[:, 0], 1), first[:, 1 : 1 + k] / np.maximum(first[:, :1], 1)
     spread = np.sqrt(np.maximum(first[:, 1 + k :] / n[:, None] - mean**2, 0))
     spread[spread <= 1e-12 * np.maximum(np.abs(mean), 1)] = 1.0
@@ -128,14 +132,17 @@ def fitted(rows: DataFrame, wanted: Mapping[Hashable, tuple[Sequence[str], Colum
         def run(it):
             total = [np.zeros(m * m + m + 1) for m in sizes]
             for batch in it:
-                x, y = read(batch)
-                for j, name in enumerate(now):
-                    on, p, i = taken(batch, name), places[name], turn[name]
-                    z = np.column_stack([(x[on][:, p] - mean[i, p]) / spread[i, p], np.ones(int(on.sum()))])
-                    t = z @ at[name]
-                    q = 1 / (1 + np.exp(-t))
-                    loss = np.logaddexp(0, t) - y[on] * t
-                    total[j] += np.concatenate([((z * (q * (1 - q))[:, None]).T @ z).ravel(), z.T @ (q - y[on]), [loss.sum()]])
+                x, y, w = read(batch)
+                for i in {turn[name] for name in now}:
+                    on = taken(batch, i)
+                    every, own, v = np.column_stack([(x[on] - mean[i]) / spread[i], np.ones(int(on.sum()))]), y[on], w[on]
+                    for j, name in enumerate(now):
+                        if turn[name] == i:
+                            z = every[:, [*places[name], k]]
+                            t = z @ at[name]
+                            q = 1 / (1 + np.exp(-t))
+                            loss = v @ (np.logaddexp(0, t) - own * t)
+                            total[j] += np.concatenate([((z * (v * q * (1 - q))[:, None]).T @ z).ravel(), z.T @ (v * (q - own)), [loss]])
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(total).tobytes()], pa.binary())], ["s"])
 
         got, out = added(data.mapInArrow(run, "s binary")), {}
@@ -173,9 +180,10 @@ def each_fold(build: Callable[[DataFrame], Column]) -> Callable[[DataFrame, Mapp
 
 def _held(rows: DataFrame, values: Mapping[tuple[str, int], Column], fold: str) -> DataFrame:
     """name, fold, threshold, auc, held_total, held_f1: for each (name, fold) a statistic of its own, the threshold that is best on the
-    other folds, and what it earns on the fold; all of them from one histogram, read once."""
+    other folds, and what it earns on the fold; all of them from one histogram, read once. rows are of the sets A, B and C and have
+    the histogram's measures, or sums of them."""
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(k).alias("of"), e.alias("value")) for (name, k), e in values.items())))
-    some = rows.filter(F.col("grp").isin("A", "B", "C")).select(F.col(fold).alias("_f"), *s.MEASURES, each.alias("_s"))
+    some = rows.select(F.col(fold).alias("_f"), *s.MEASURES, each.alias("_s"))
     long = some.select("_s.name", "_s.of", (F.col("_f") == F.col("_s.of")).alias("held"), F.col("_s.value").alias("score"), *s.MEASURES)
     hist = stored(s.histogram(long, ["name", "of", "held"]), "held")
     train, test = (s.sweep_hist(hist.filter(on).drop("held"), ["name", "of"]) for on in ("not held", "held"))
@@ -188,7 +196,7 @@ def cross_validated(rows: DataFrame, build: Callable[[DataFrame, Mapping[int, Co
     """fold, threshold, held_total, held_f1: build(rows, training condition of each fold) gives each fold's statistic; its threshold comes
     from the training rows alone. A builder of one fold at a time goes through ``each_fold``."""
     values = build(rows, {k: F.col(fold) != k for k in range(folds)})
-    return _held(rows, {("", k): e for k, e in values.items()}, fold).select("fold", "threshold", "held_total", "held_f1")
+    return _held(rows.filter(F.col("grp").isin("A", "B", "C")), {("", k): e for k, e in values.items()}, fold).select("fold", "threshold", "held_total", "held_f1")
 
 
 def compared(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, fold: str, least: float = 0.5) -> DataFrame:
@@ -196,19 +204,26 @@ def compared(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, fol
     with the threshold that is best there, and what both earn on the fold, as the mean over folds (auc: over all rows, each
     scored by the fit that hasn't seen it); a set is eligible if all its columns exist and are finite often enough. rows come from measured().
 
-    The fits of all sets and folds share their passes, and so do their sweeps.
+    Rows alike in fold, label and features are added up first, in one pass, and stand as one row with its sums. The fits of all
+    sets and folds share their passes over these, and so do their sweeps.
     """
     wanted = sorted({x for xs in sets.values() for x in xs})
     usable = {r["feature"] for r in c.available(rows, wanted, least).collect() if r["usable"]}
-    ids = [r[0] for r in rows.select(fold).distinct().collect()]  # a few folds
     good = {name: xs for name, xs in sets.items() if usable.issuperset(xs)}
-    models = fitted(rows, {(name, k): (xs, F.col(fold) != k) for name, xs in good.items() for k in ids}, label)
-    values = {at: predicted(m) for at, m in models.items()}
     table = rows.sparkSession.createDataFrame([(name, name in good) for name in sets], "name string, eligible boolean")
     if not good:
         return table.select("name", "eligible", *(F.lit(None).cast("double").alias(k) for k in ("auc", "held_total", "held_f1")))
-    mean = _held(rows, values, fold).groupBy("name").agg(F.avg("held_total").alias("held_total"), F.avg("held_f1").alias("held_f1"))
-    own = lambda name: F.coalesce(*(F.when(F.col(fold) == k, values[name, k]) for k in ids))
+    at = {x: f"_f{i}" for i, x in enumerate(sorted({x for xs in good.values() for x in xs}))}
+    gray = F.col("grp").isin("A", "B", "C")
+    alike = (F.col(fold).alias("_fold"), F.col(label).alias("_label"), *(c.zero_if_missing(x).alias(n) for x, n in at.items()))
+    some = rows.select(*alike, *(F.when(gray, F.col(m)).otherwise(0).alias(m) for m in s.MEASURES))
+    cells = stored(some.groupBy("_fold", "_label", *at.values()).agg(F.count("*").alias("_rows"), *(F.sum(m).alias(m) for m in s.MEASURES)), "cells")
+    others = {r[0]: F.col("_fold") != r[0] for r in cells.select("_fold").distinct().collect()}  # a few folds
+    models = fitted(cells, {(name, k): ([at[x] for x in xs], on) for name, xs in good.items() for k, on in others.items()}, "_label", weight="_rows")
+    values = {of: predicted(m) for of, m in models.items()}
+    mean = _held(cells.filter("n > 0"), values, "_fold").groupBy("name").agg(F.avg("held_total").alias("held_total"), F.avg("held_f1").alias("held_f1"))
+    own = lambda name: F.coalesce(*(F.when(F.col("_fold") == k, values[name, k]) for k in others))
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), own(name).alias("score")) for name in good)))
-    ranked = s.auc(rows.select(F.col(label).alias("_l"), each.alias("_s")).select("_s.*", "_l"), ["name"], "_l")
+    signs = (F.when(F.col("_label") == 1, F.col("_rows")).otherwise(0).alias("_pos"), F.when(F.col("_label") == 1, 0).otherwise(F.col("_rows")).alias("_neg"))
+    ranked = s.auc_of(s.histogram(cells.select(*signs, each.alias("_s")).select("_s.*", "_pos", "_neg"), ["name"], ("_pos", "_neg")), ["name"])
     return table.join(ranked, "name", "left").join(mean, "name", "left").select("name", "eligible", "auc", "held_total", "held_f1")

@@ -190,6 +190,47 @@ def test_feature_sets_are_compared_on_held_out_folds(spark, sf):
     assert all(abs(own[k]["held_total"] - got[k][0]) < 1e-6 and abs(own[k]["held_f1"] - got[k][1]) < 1e-9 for k in (0, 1))
 
 
+def test_feature_sets_read_rows_alike_once(spark, sf, monkeypatch):
+    """Rows alike in fold, label and features are added up before the fits, and earn what they earn one by one."""
+    from pairlens.plans.fixtures import view
+
+    rows = score.measured(view(spark, sf, "v1").limit(300)).withColumns({"fold": (F.col("pair_id") % 2).cast("int"), "zncc": F.when(F.col("pair_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("zncc"))})
+    rows = rows.localCheckpoint()
+    sets = {"one": ["score"], "two": ["score", "zncc"], "none": ["score", "zz"]}
+    plain = {r["name"]: r for r in fit.compared(rows, sets, "gt_found", "fold").collect()}
+    seen, keep = [], fit.fitted
+
+    def counted(data, *args, **kwargs):
+        seen.append(data.count())
+        return keep(data, *args, **kwargs)
+
+    monkeypatch.setattr(fit, "fitted", counted)
+    many = rows.crossJoin(spark.range(40)).drop("id")
+    got = {r["name"]: r for r in fit.compared(many, sets, "gt_found", "fold").collect()}
+    assert len(seen) == 1 and seen[0] <= 300
+    for name, want in plain.items():
+        assert got[name]["eligible"] == want["eligible"]
+        for k in ("auc", "held_total", "held_f1"):
+            assert got[name][k] == want[k] if want[k] is None else abs(got[name][k] - want[k]) < 1e-9
+    # ranks by hand: each row by the fit of the other fold, pairs of labels compared one by one
+    models = {k: keep(rows, {0: (["score"], F.col("fold") != k)}, "gt_found")[0] for k in (0, 1)}
+    value = F.when(F.col("fold") == 0, fit.predicted(models[0])).otherwise(fit.predicted(models[1]))
+    own = [(r[0], r[1]) for r in rows.select("gt_found", F.round(value, 12)).collect()]
+    a, b = (np.array([v for y, v in own if y == side]) for side in (1, 0))
+    assert abs(((a[:, None] > b) + 0.5 * (a[:, None] == b)).mean() - plain["one"]["auc"]) < 1e-9
+
+
+def test_weights_of_a_fit_are_repeated_rows(spark):
+    rows = [(0.1, 0, 3), (0.4, 1, 1), (0.5, 0, 2), (0.9, 1, 4), (None, 1, 1), (float("nan"), 0, 2)]
+    df = spark.createDataFrame(rows, "a double, y int, n int")
+    wanted = {"all": (["a"], F.lit(True)), "some": (["a"], F.col("a") > 0.2)}  # null: not learned from
+    got = fit.fitted(df, wanted, "y", weight="n")
+    each = fit.fitted(df.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n")))), wanted, "y")
+    for name in wanted:
+        assert np.allclose([*got[name]["weights"], got[name]["bias"]], [*each[name]["weights"], each[name]["bias"]], atol=1e-9)
+        assert np.allclose(got[name]["trace"], each[name]["trace"], atol=1e-9)
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(k, float(x)) for k, n in (("a", 1), ("b", 2), ("c", 700), (None, 31)) for x in np.round(rng.normal(size=n), 2)] + [("d", None)]
