@@ -57,7 +57,8 @@ def groups(profiles: np.ndarray, share: np.ndarray, count: int) -> list[np.ndarr
     return sets
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: Places that a place can't look at, as attention has them: keys down, queries across, which makes sums over keys fast.
+_MASK = np.tril(np.full((WINDOW, WINDOW), -1e9, np.float32), -1)
 
 
 def _joint(m: dict) -> np.ndarray:
@@ -65,21 +66,57 @@ def _joint(m: dict) -> np.ndarray:
     return np.concatenate([m["q"] * m["q"].dtype.type(1 / math.sqrt(WIDTH)), m["k"], m["v"]], 1)
 
 
-def _states(m: dict, ids: np.ndarray, joint: np.ndarray | None = None) -> dict:
-    """All layers' values; those without attention's pairs of places have one row for each place."""
+def _attended(m: dict, ids: np.ndarray, joint: np.ndarray) -> dict:
+    """The attention's values; those without pairs of places have one row for each place."""
     size, n = ids.shape
-    x = (m["emb"][ids] + m["pos"][:n]).reshape(-1, WIDTH)
-    three = (x @ (_joint(m) if joint is None else joint)).reshape(size, n, 3 * WIDTH)
+    x = m["emb"][ids]
+    x += m["pos"][:n]
+    x = x.reshape(-1, WIDTH)
+    three = (x @ joint).reshape(size, n, 3 * WIDTH)
     q, k, v = three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
-    s = q @ k.transpose(0, 2, 1)
+    s = k @ q.transpose(0, 2, 1)
     s += _MASK[:n, :n]
-    s -= s.max(2, keepdims=True)
+    s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
-    s /= (s @ np.ones((n, 1), s.dtype))
-    c = (s @ v).reshape(-1, WIDTH)
-    h = x + c @ m["o"]
-    g = np.maximum(h @ m["w1"] + m["b1"], 0)
-    return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": h, "g": g, "z": (h + g @ m["w2"]).reshape(size, n, WIDTH)}
+    s /= np.ones((1, n), s.dtype) @ s
+    c = (s.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
+    h = c @ m["o"]
+    h += x
+    return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": h}
+
+
+def _perceived(m: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The perceptron's hidden layer and what comes out, of any rows."""
+    g = h @ m["w1"]
+    g += m["b1"]
+    np.maximum(g, 0, out=g)
+    z = g @ m["w2"]
+    z += h
+    return g, z
+
+
+def _states(m: dict, ids: np.ndarray, joint: np.ndarray | None = None) -> dict:
+    """All layers' values at all places."""
+    f = _attended(m, ids, _joint(m) if joint is None else joint)
+    g, z = _perceived(m, f["h"])
+    return f | {"g": g, "z": z.reshape(*ids.shape, WIDTH)}
+
+
+def _with_bias(z: np.ndarray) -> np.ndarray:
+    """Rows with a 1 behind, which meets the bias in a matrix's last column."""
+    out = np.empty((len(z), WIDTH + 1), z.dtype)
+    out[:, :WIDTH], out[:, WIDTH] = z, 1
+    return out
+
+
+def _beside(u: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([u, b[:, None]], 1)
+
+
+def _keep_heap() -> None:
+    """Lets the process keep the memory of arrays that come and go: malloc's limits grow with the largest array freed so far.
+    Else each batch's arrays are mapped anew, which takes as long as the work on them."""
+    np.empty(30 << 20, np.uint8)
 
 
 class Windows:
@@ -113,91 +150,109 @@ class Windows:
 
 def log_probs(m: dict, edges: np.ndarray, seqs: np.ndarray, lens: np.ndarray, word_groups: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """ln of each target's share, and of the share of all groups that start a word, in the order of seqs."""
+    _keep_heap()
     windows = Windows(seqs, lens, len(m["b"]))
     own, word = np.empty(len(seqs), np.float32), np.empty(len(seqs), np.float32)
-    # biases as one more row of each matrix
-    ug, u = np.concatenate([m["ug"], m["bg"][None]]), np.concatenate([m["u"], m["b"][:, None]], 1)
-    ug, of, joint = np.ascontiguousarray(ug), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), _joint(m)
-    sums, at = np.stack([word_groups, np.ones_like(word_groups)], 1).astype(np.float32), 0
+    ug, u, joint, of = _beside(m["ug"].T, m["bg"]), _beside(m["u"], m["b"]), _joint(m), _group_of(edges)
+    sums, at = np.stack([word_groups, np.ones_like(word_groups)]).astype(np.float32), 0
     for i in range(0, len(windows), chunk):
         inputs, targets, some = windows.take(slice(i, i + chunk))
-        z = _states(m, inputs, joint)["z"][some]
-        z = np.concatenate([z, np.ones((len(z), 1), np.float32)], 1)
         t = targets[some]
+        order = np.argsort(of[t], kind="stable")
+        t = t[order]
         g = of[t]
-        logits = z @ ug
-        logits -= logits.max(1, keepdims=True)
-        mine = logits[np.arange(len(z)), g]
+        _, z = _perceived(m, _attended(m, inputs, joint)["h"][np.flatnonzero(some)[order]])
+        z = _with_bias(z)
+        logits, row = ug @ z.T, np.arange(len(z))
+        logits -= logits.max(0)
+        mine = logits[g, row]
         np.exp(logits, out=logits)
-        total = logits @ sums
-        mine -= np.log(total[:, 1])
-        word[at : at + len(z)] = np.log(np.minimum(total[:, 0] / total[:, 1], 1) + 1e-30)
-        order = np.argsort(g, kind="stable")
-        ends = np.searchsorted(g[order], np.arange(len(edges)))
+        total = sums @ logits
+        mine -= np.log(total[1])
+        ends = np.searchsorted(g, np.arange(len(edges)))
         for k in np.flatnonzero(np.diff(ends)).tolist():
             if edges[k + 1] - edges[k] > 1:
-                rows = order[ends[k] : ends[k + 1]]
-                part = z[rows] @ u[edges[k] : edges[k + 1]].T
-                part -= part.max(1, keepdims=True)
-                mine[rows] += part[np.arange(len(rows)), t[rows] - edges[k]]
+                rows = slice(ends[k], ends[k + 1])
+                part = u[edges[k] : edges[k + 1]] @ z[rows].T
+                part -= part.max(0)
+                mine[rows] += part[t[rows] - edges[k], row[: ends[k + 1] - ends[k]]]
                 np.exp(part, out=part)
-                mine[rows] -= np.log(part.sum(1))
-        own[at : at + len(z)] = mine
+                mine[rows] -= np.log(part.sum(0))
+        here = at + order
+        own[here], word[here] = mine, np.log(np.minimum(total[0] / total[1], 1) + 1e-30)
         at += len(z)
     return own, word
 
 
-def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    row = np.arange(len(p))
-    loss = float(-np.log(p[row, target] + 1e-12).sum())
-    p[row, target] -= 1
-    return loss, p
+def _group_of(edges: np.ndarray) -> np.ndarray:
+    """Each symbol's group, as small numbers, which sort faster."""
+    return np.repeat(np.arange(len(edges) - 1, dtype=np.uint16), np.diff(edges))
+
+
+def _softmax_loss(p: np.ndarray, target: np.ndarray, row: np.ndarray) -> float:
+    """The loss of columns of logits, which become its gradients."""
+    p -= p.max(0)
+    mine = p[target, row]
+    np.exp(p, out=p)
+    total = p.sum(0)
+    p *= 1 / total
+    p[target, row] -= 1
+    return float(np.log(total).sum() - mine.sum())
 
 
 def gradients(m: dict, edges: np.ndarray, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the scored targets and its gradients."""
-    f, (size, n) = _states(m, ids), ids.shape
-    z, t, count = f["z"][scored], targets[scored], max(1, int(scored.sum()))
-    g = np.searchsorted(edges, t, "right") - 1
-    loss, p = _softmax_loss(z @ m["ug"] + m["bg"], g)
-    d = {"ug": z.T @ p / count, "bg": p.sum(0) / count, "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
-    near = p @ m["ug"].T
-    order = np.argsort(g, kind="stable")
-    ends = np.searchsorted(g[order], np.arange(len(edges)))
+    size, n = ids.shape
+    joint, of, t = _joint(m), _group_of(edges), targets[scored]
+    f, count = _attended(m, ids, joint), max(1, len(t))
+    # rows of one group lie together
+    order = np.argsort(of[t], kind="stable")
+    t, spot = t[order], np.flatnonzero(scored)[order]
+    g, h = of[t], f["h"][spot]
+    hidden, z = _perceived(m, h)
+    z, row = _with_bias(z), np.arange(len(z))
+    ug, u = _beside(m["ug"].T, m["bg"]), _beside(m["u"], m["b"])
+    p = ug @ z.T
+    loss = _softmax_loss(p, g, row)
+    dug, du, dz = p @ z, np.zeros_like(u), p.T @ ug[:, :WIDTH]
+    ends = np.searchsorted(g, np.arange(len(edges)))
     for k in np.flatnonzero(np.diff(ends)).tolist():
         if edges[k + 1] - edges[k] > 1:
-            rows, span = order[ends[k] : ends[k + 1]], slice(edges[k], edges[k + 1])
-            own = z[rows]
-            more, p = _softmax_loss(own @ m["u"][span].T + m["b"][span], t[rows] - edges[k])
-            loss += more
-            d["u"][span], d["b"][span] = p.T @ own / count, p.sum(0) / count
-            near[rows] += p @ m["u"][span]
-    dz = np.zeros_like(f["z"])
-    dz[scored] = near / count
-    dz = dz.reshape(-1, WIDTH)
-    dg = (dz @ m["w2"].T) * (f["g"] > 0)
-    d["w2"], d["w1"], d["b1"] = f["g"].T @ dz, f["h"].T @ dg, dg.sum(0)
-    dh = dz + dg @ m["w1"].T
+            rows, span = slice(ends[k], ends[k + 1]), slice(edges[k], edges[k + 1])
+            p = u[span] @ z[rows].T
+            loss += _softmax_loss(p, t[rows] - edges[k], row[: ends[k + 1] - ends[k]])
+            du[span] = p @ z[rows]
+            dz[rows] += p.T @ u[span, :WIDTH]
+    dz /= count
+    dug /= count
+    du /= count
+    d = {"ug": dug[:, :WIDTH].T, "bg": dug[:, WIDTH], "u": du[:, :WIDTH], "b": du[:, WIDTH]}
+    dg = dz @ m["w2"].T
+    dg *= hidden > 0
+    d["w2"], d["w1"], d["b1"] = hidden.T @ dz, h.T @ dg, dg.sum(0)
+    dz += dg @ m["w1"].T
+    dh = np.zeros_like(f["h"])
+    dh[spot] = dz
     d["o"] = f["c"].T @ dh
     dc = (dh @ m["o"].T).reshape(size, n, WIDTH)
-    da = dc @ f["v"].transpose(0, 2, 1)
+    da = f["v"] @ dc.transpose(0, 2, 1)
     three = np.empty((size, n, 3 * WIDTH), dz.dtype)
-    three[..., 2 * WIDTH :] = f["a"].transpose(0, 2, 1) @ dc
+    three[..., 2 * WIDTH :] = f["a"] @ dc
     da *= f["a"]
-    da -= f["a"] * (da @ np.ones((n, 1), da.dtype))
-    three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH] = da @ f["k"], da.transpose(0, 2, 1) @ f["q"]
+    da -= f["a"] * (np.ones((1, n), da.dtype) @ da)
+    three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH] = da.transpose(0, 2, 1) @ f["k"], da @ f["q"]
     three = three.reshape(-1, 3 * WIDTH)
-    joint = f["x"].T @ three
-    d["q"], d["k"], d["v"] = joint[:, :WIDTH] * joint.dtype.type(1 / math.sqrt(WIDTH)), joint[:, WIDTH : 2 * WIDTH], joint[:, 2 * WIDTH :]
-    dx = dh + three @ _joint(m).T
+    whole = f["x"].T @ three
+    d["q"], d["k"], d["v"] = whole[:, :WIDTH] * whole.dtype.type(1 / math.sqrt(WIDTH)), whole[:, WIDTH : 2 * WIDTH], whole[:, 2 * WIDTH :]
+    dh += three @ joint.T
     d["pos"] = np.zeros_like(m["pos"])
-    d["pos"][:n] = dx.reshape(size, n, WIDTH).sum(0)
+    d["pos"][:n] = dh.reshape(size, n, WIDTH).sum(0)
     d["emb"] = np.zeros_like(m["emb"])
-    order = np.argsort(ids.ravel(), kind="stable")
-    first = np.flatnonzero(np.diff(ids.ravel()[order], prepend=-1))
-    d["emb"][ids.ravel()[order[first]]] = np.add.reduceat(dx[order], first)
+    inputs = ids.ravel().astype(np.min_scalar_type(len(m["emb"])))
+    order = np.argsort(inputs, kind="stable")
+    inputs = inputs[order]
+    first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+    d["emb"][inputs[first]] = np.add.reduceat(dh[order], first)
     return loss / count, d
 
 
@@ -206,6 +261,7 @@ def train(m: dict, edges: np.ndarray, windows: Windows, least_steps: int, rate:
 
     Batches are as large (64 to 512 windows) as leaves 400 steps for a pass.
     """
+    _keep_heap()
     batch = min(512, max(64, len(windows) // 400))
     m = {k: v.copy() for k, v in m.items()}
     one, two, step, rng = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0, np.random.default_rng(seed)

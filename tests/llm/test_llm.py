@@ -433,6 +433,32 @@ def test_attention_gradients_and_windows():
     assert np.allclose(one, 1, atol=1e-4) and (word <= 0).all()
 
 
+def test_attention_keeps_its_memory():
+    """In a fresh process, batches after the first map no memory anew."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from pairlens.llm import attention
+edges = np.arange(0, 4097, 64)
+model = attention.new_model(np.full(4096, 1 / 4096), edges)
+seqs, lens = np.random.default_rng(0).integers(0, 4096, 100_000), np.full(500, 200)
+windows = attention.Windows(seqs, lens, 4096)
+attention.train(model, edges, attention.Windows(seqs[:200], lens[:1], 4096), 1, 0.01)
+for _ in range(3):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    attention.log_probs(model, edges, seqs, lens, np.arange(64) % 2 == 0)
+    attention.gradients(model, edges, *windows.take(slice(0, 512)))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    plain = {k: v for k, v in os.environ.items() if not k.startswith("MALLOC_")}
+    done = subprocess.run([sys.executable, "-c", code], env=plain, capture_output=True, text=True, timeout=120, check=True)
+    assert int(done.stdout.split()[-1]) < 2000  # 20,000 and more if each batch's arrays are new
+
+
 @pytest.mark.parametrize("which", ["odd", "docs", "empty"])
 def test_lm_scores_counts_and_base(request, which, monkeypatch):
     monkeypatch.setattr(lm_scores, "LEAST_STEPS", 20)
