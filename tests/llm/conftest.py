@@ -8,6 +8,12 @@ ODD = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def pii_key(spark):
+    """The session's key is the tests' own; without one a session draws it at random, and no test could tell what is written."""
+    spark.conf.set("spark.pairlens.pii.key", "a key of tests")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows and ids, and columns whose names operators use inside."""
