@@ -57,8 +57,10 @@ def groups(profiles: np.ndarray, share: np.ndarray, count: int) -> list[np.ndarr
     return sets
 
 
-#: Places that a place can't look at, as attention has them: keys down, queries across, which makes sums over keys fast.
-_MASK = np.tril(np.full((WINDOW, WINDOW), -1e9, np.float32), -1)
+#: Places that a place can look at, as attention has them: keys down, queries across, which makes sums over keys fast.
+_SEEN = np.triu(np.ones((WINDOW, WINDOW), np.float32))
+#: Logits no further from 0 than this are raised as they are; else each place's greatest is taken off before.
+PLAIN = 60.0
 
 
 def _joint(m: dict) -> np.ndarray:
@@ -75,9 +77,11 @@ def _attended(m: dict, ids: np.ndarray, joint: np.ndarray) -> dict:
     three = (x @ joint).reshape(size, n, 3 * WIDTH)
     q, k, v = three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
     s = k @ q.transpose(0, 2, 1)
-    s += _MASK[:n, :n]
-    s -= s.max(1, keepdims=True)
+    if max(-s.min(initial=0), s.max(initial=0)) > PLAIN:
+        s[:, _SEEN[:n, :n] == 0] = -np.inf
+        s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
+    s *= _SEEN[:n, :n]
     s /= np.ones((1, n), s.dtype) @ s
     c = (s.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
     h = c @ m["o"]

@@ -208,7 +208,7 @@ class Symbols:
 
 
 def summed(rows: DataFrame, schema_key: str, n: int) -> dict[int, np.ndarray]:
-    """Rows (key, payload: an array) added up by their few keys, in so many tasks; the driver gets one array for each key."""
+    """Rows (key, payload: an array) added up by their few keys, in so many tasks of one job; the driver gets one array for each key."""
 
     def added(it):
         for k, same in by_key(it, 0):
@@ -219,7 +219,7 @@ def summed(rows: DataFrame, schema_key: str, n: int) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["key", "payload"])
 
     met = rows.repartition(n, schema_key).sortWithinPartitions(schema_key).mapInArrow(added, "key int, payload binary")
-    return {r["key"]: expand(r["payload"])[0] for r in met.toLocalIterator()}
+    return {r["key"]: expand(r["payload"])[0] for r in met.collect()}
 
 
 def neighbours(homes: DataFrame, number: np.ndarray, n: int, column: np.ndarray) -> np.ndarray:

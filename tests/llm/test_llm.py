@@ -481,6 +481,28 @@ def homes_of(df):
     return found.filter("at_home").drop("at_home")
 
 
+def test_lm_sums_take_one_job(spark):
+    rows = spark.createDataFrame([(k % 40, bytearray(wordshuffle.squeeze(np.arange(5) + k))) for k in range(120)], "key int, payload binary")
+    spark.sparkContext.setJobGroup("lm sums", "")
+    got = lm_scores.summed(rows, "key", 20)
+    spark.sparkContext.setJobGroup("", "")
+    assert {k: v.tolist() for k, v in got.items()} == {k: (3 * np.arange(5) + 3 * k + 120).tolist() for k in range(40)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lm sums")) <= 3  # was one for each task
+
+
+def test_attention_of_great_logits():
+    """Both ways of raising logits give the same weights; places ahead have none, whatever their logits."""
+    m = attention.new_model(np.full(7, 1 / 7), np.array([0, 3, 4, 7]))
+    ids = np.random.default_rng(0).integers(0, 8, (5, attention.WINDOW))
+    for scale in (1, 9, 40, 200):
+        f = attention._attended(m, ids, attention._joint(m) * np.float32(scale))
+        s = np.einsum("wqc,wkc->wkq", f["q"].astype(np.float64), f["k"].astype(np.float64))
+        s[:, np.tril(np.ones((attention.WINDOW,) * 2, bool), -1)] = -np.inf
+        want = np.exp(s - s.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        assert np.allclose(f["a"], want, atol=1e-3) and (f["a"].sum(1) > 0.999).all()
+
+
 def spelling(text, lib):
     """Ids of the words of one text by the library, each after a space; None for the end."""
     words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
